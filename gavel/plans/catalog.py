@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["q_governance"]
+AREAS = ["q_governance", "q_analytics"]
 
 
 def _load():

@@ -104,7 +104,7 @@ WHERE doc_id % 4 = 0
     "b_eval": (("lineitem",), """
 SELECT 'li__' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) AS task,
        'model_' || CAST(l_suppkey % 3 AS STRING) AS model,
-       l_orderkey * 8 + l_linenumber AS seq,
+       (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS seq,
        CASE WHEN l_orderkey % 97 = 0 THEN NULL
             WHEN l_returnflag = 'A' THEN 'OK' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'VETO'
             WHEN l_returnflag = 'N' AND l_linenumber % 3 = 0 THEN 'OK'
@@ -124,18 +124,20 @@ SELECT 'li__' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRIN
 FROM {lineitem}
 """),
     "b_iter": (("lineitem",), """
-SELECT 'run__' || CAST(l_orderkey AS STRING) AS run, CAST(l_linenumber AS BIGINT) AS tau_step,
+SELECT 'run__' || CAST(l_orderkey AS STRING) AS run, tau_step,
        tt AS total_tests, CASE WHEN ff < tt THEN ff ELSE tt END AS tests_failed,
        CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 1 ELSE 0 END AS n_violations,
        CAST(floor(l_tax * 100.0) AS BIGINT) % 4 AS n_lint
-FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_tax,
+FROM (SELECT l_orderkey, l_returnflag, l_linestatus, l_tax,
+             CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT)
+               AS tau_step,
              CAST(floor(l_quantity) AS BIGINT) % 6 AS tt,
              CAST(floor(l_extendedprice) AS BIGINT) % 3 AS ff
       FROM {lineitem}) li
 """),
     "b_cands": (("lineitem",), """
 SELECT 'p__' || CAST(l_partkey AS STRING) AS instance_id,
-       l_orderkey * 8 + l_linenumber AS cand_idx,
+       (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS cand_idx,
        'cand_' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) AS candidate_dir,
        l_returnflag = 'A' OR l_linestatus = 'F' AS resolved,
        CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE 1.0 - l_discount * 5.0 END AS cri,
