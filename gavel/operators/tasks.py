@@ -120,7 +120,7 @@ def reset_tokens(df: DataFrame, secret_key: str, user: str = "user_id", issued:
 
 
 # ------------------------------------------------------------------ BIZ-7
-def verify_bearer(requests: DataFrame, secret_key: str, header: str = "authorization") -> DataFrame:
+def verify_bearer(requests: DataFrame, secret_key: str, header: str = "auth_header") -> DataFrame:
     """Five failure reasons in order, else ok with the user id."""
     h = F.col(header)
     parts = F.split(h, " ", 2)
@@ -219,12 +219,12 @@ def ledger_audit(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
               .when(F.col("_owner") != F.col("actor"), F.lit("not_owner")))
     checked = j.withColumn("rejection", reason).drop("_owner", "_tgt_known")
     post = F.explode(F.array(F.struct(F.col("source").alias("account_id"), (-F.col("amount")).alias("delta"),
-                                      F.lit("debit").alias("kind")),
+                                      F.lit("debit").alias("kind"), F.lit(0).alias("n")),
                              F.struct(F.col("target").alias("account_id"), F.col("amount").alias("delta"),
-                                      F.lit("credit").alias("kind"))))
+                                      F.lit("credit").alias("kind"), F.lit(1).alias("n"))))
     postings = checked.where(F.col("rejection").isNull()).select("seq", post.alias("p")).select("seq", "p.*")
     opening = accounts.select("account_id", F.col("balance").alias("opening"))
-    w = Window.partitionBy("account_id").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("account_id").orderBy("seq", "n").rowsBetween(Window.unboundedPreceding, 0)
     ledger = (postings.join(opening, "account_id", "left")
               .withColumn("balance_after", F.col("opening") + F.sum("delta").over(w))
               .withColumn("overdrawn", F.col("balance_after") < 0))

@@ -31,8 +31,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPARK = {"arr": "array", "empty": "CAST(array() AS ARRAY<STRING>)", "nullarr": "CAST(NULL AS ARRAY<STRING>)"}
-DUCK = {"arr": "list_value", "empty": "CAST([] AS VARCHAR[])", "nullarr": "CAST(NULL AS VARCHAR[])"}
+SPARK = {"arr": "array", "empty": "CAST(array() AS ARRAY<STRING>)", "nullarr": "CAST(NULL AS ARRAY<STRING>)",
+         "epoch": "unix_seconds(CAST(ts AS TIMESTAMP))", "month": "date_format(ts, 'yyyy-MM')",
+         "h1": "sha2(", "h2": ", 256)"}
+DUCK = {"arr": "list_value", "empty": "CAST([] AS VARCHAR[])", "nullarr": "CAST(NULL AS VARCHAR[])",
+        "epoch": "CAST(floor(epoch(ts)) AS BIGINT)", "month": "strftime(ts, '%Y-%m')",
+        "h1": "sha256(", "h2": ")"}
+
+# fixed value: the demo signing key used by the bearer/reset-token bridges
+DEMO_KEY = "bridge-secret"
 
 _DIFF_BODY = """
   SELECT doc_id, source, text,
@@ -162,13 +169,97 @@ FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
              CAST(floor(o_totalprice) AS BIGINT) % 5 AS tt,
              CAST(floor(o_totalprice / 7.0) AS BIGINT) % 6 AS pp
       FROM {orders}) o
+"""),
+    "b_limiter": (("events",), """
+SELECT event_id, user_id, CAST(floor({epoch} / 14400) AS BIGINT) AS ts_unit FROM {events}
+"""),
+    "b_usage": (("events",), """
+SELECT 'acct_' || CAST(user_id AS STRING) AS account, {month} AS month,
+       CASE user_id % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'Pro' WHEN 2 THEN 'enterprise' ELSE 'gold' END AS plan,
+       CASE WHEN user_id % 29 = 0 THEN CAST(-1 AS BIGINT) ELSE CAST(count(*) * 25 AS BIGINT) END AS calls
+FROM {events} GROUP BY user_id, {month}
+"""),
+    "b_uploads": (("pages",), """
+SELECT page_id,
+       regexp_extract(url, '([^/]*)$', 1) || CASE page_id % 6 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.jpeg'
+           WHEN 3 THEN '.pdf' WHEN 4 THEN '.gif' ELSE '' END AS filename,
+       CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'application/pdf'
+           WHEN 3 THEN 'IMAGE/PNG' ELSE 'text/html' END AS content_type,
+       CAST(length(html) AS BIGINT) * (page_id % 400) AS size_bytes
+FROM {pages}
+"""),
+    "b_users": (("customer",), """
+SELECT c_custkey, c_name AS username, {h1}'pw' || CAST(c_custkey AS STRING){h2} AS password_hash,
+       c_acctbal > 0 AS is_active
+FROM {customer}
+"""),
+    "b_attempts": (("orders",), """
+SELECT o_orderkey AS attempt_id,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'Nobody#' || CAST(o_orderkey AS STRING)
+            ELSE 'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') END AS username,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'wrong' ELSE 'pw' || CAST(o_custkey AS STRING) END AS password
+FROM {orders}
+"""),
+    "b_actions": (("events",), """
+SELECT event_id, user_id, event_type AS action FROM {events}
+"""),
+    "b_session_log": (("events",), """
+SELECT chain_id, k AS seq,
+       CASE WHEN k = 1 THEN 'create' WHEN event_type IN ('view', 'click', 'purchase') THEN 'rotate'
+            ELSE 'invalidate' END AS op,
+       CASE WHEN k = 1 THEN 's' || c || '_1'
+            WHEN event_type IN ('purchase', 'signup') THEN 's' || c || '_' || CAST(greatest(k - 2, 1) AS STRING)
+            ELSE 's' || c || '_' || CAST(k - 1 AS STRING) END AS session_id,
+       CASE WHEN k = 1 THEN 'u' || CAST(user_id AS STRING) END AS user_id,
+       CASE WHEN k > 1 AND event_type IN ('view', 'click', 'purchase') THEN 's' || c || '_' || CAST(k AS STRING)
+            END AS new_session_id
+FROM (SELECT event_type, user_id, user_id * 4 + event_id % 4 AS chain_id,
+             CAST(user_id * 4 + event_id % 4 AS STRING) AS c,
+             row_number() OVER (PARTITION BY user_id * 4 + event_id % 4 ORDER BY ts, event_id) AS k
+      FROM {events}) e
+"""),
+    "b_accounts": (("customer",), """
+SELECT 'acct_' || CAST(c_custkey AS STRING) AS account_id, 'u' || CAST(c_custkey AS STRING) AS owner_id,
+       CAST(c_acctbal AS DECIMAL(18,2)) AS balance
+FROM {customer}
+"""),
+    "b_transfers": (("orders",), """
+SELECT o_orderkey AS seq,
+       CASE WHEN o_orderkey % 13 = 0 THEN 'u' || CAST(o_custkey + 1 AS STRING) ELSE 'u' || CAST(o_custkey AS STRING) END
+         AS actor,
+       'acct_' || CAST(o_custkey AS STRING) AS source,
+       CASE WHEN o_orderkey % 19 = 0 THEN 'acct_missing' ELSE 'acct_' || CAST((o_custkey + o_orderkey) % 100 AS STRING) END
+         AS target,
+       CASE WHEN o_orderkey % 17 = 0 THEN CAST(-5 AS DECIMAL(18,2))
+            ELSE CAST(CAST(floor(o_totalprice / 100.0) AS BIGINT) AS DECIMAL(18,2)) END AS amount
+FROM {orders}
+"""),
+    "b_profiles": (("pages",), """
+SELECT page_id, url AS username, substring(html, 1, 300) AS bio FROM {pages}
+"""),
+    "b_bearer": (("events",), """
+SELECT event_id AS request_id, user_id,
+       CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Token abc' WHEN 2 THEN 'Bearer ' WHEN 3 THEN 'Bearer nodot'
+            WHEN 4 THEN 'Bearer .sig' WHEN 5 THEN 'Bearer u' || CAST(user_id AS STRING) || '.badsig'
+            ELSE 'Bearer u' || CAST(user_id AS STRING) || '.' || {hmac_u} END AS auth_header
+FROM {events}
 """),
 }
 
 
+def hmac_sql(dialect: dict, key: str, msg: str) -> str:
+    """HMAC-SHA256 hex of ``msg`` (SQL expression) in either dialect."""
+    from gavel.functions.crypto import _pads
+    ipad, opad = _pads(key.encode("utf-8"))
+    if dialect is SPARK:
+        return (f"sha2(concat(X'{opad.hex()}', unhex(sha2(concat(X'{ipad.hex()}', encode({msg}, 'UTF-8')), 256))), 256)")
+    return f"sha256(unhex('{opad.hex()}') || unhex(sha256(unhex('{ipad.hex()}') || encode({msg}))))"
+
+
 def sql_for(name: str, dialect: dict, tables: dict[str, str] | None = None) -> str:
     deps, text = BRIDGES[name]
     slots = dict(dialect)
+    slots["hmac_u"] = hmac_sql(dialect, DEMO_KEY, "'u' || CAST(user_id AS STRING)")
     for t in deps:
         slots[t] = (tables or {}).get(t, t)
     return text.format(**slots)
@@ -185,6 +276,7 @@ def bridge(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
-def oracle_cte(*names: str) -> str:
+def oracle_cte(*names: str, recursive: bool = False) -> str:
     """``WITH`` clause defining the named bridges for DuckDB."""
-    return "WITH " + ",\n".join(f"{n} AS ({sql_for(n, DUCK)})" for n in names)
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(f"{n} AS ({sql_for(n, DUCK)})" for n in names)
