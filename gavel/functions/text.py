@@ -35,8 +35,8 @@ def py_strip(c) -> Column:
 
 
 def strip_newlines(c) -> Column:
-    """Python ``s.strip('\\n')``."""
-    return F.regexp_replace(_c(c), r"^\n+|\n+\z", "")
+    """Python ``s.strip('\\n')`` (a character trim, no regex)."""
+    return F.trim(_c(c), F.lit(LF))
 
 
 def lines_of(c) -> Column:
@@ -73,15 +73,16 @@ def normalize_patch(c) -> Column:
 
 
 def _raw(c: Column) -> Column:
-    raw = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n", LF), "\r", LF)
-    return F.regexp_replace(raw, "^\ufeff+", "")
+    raw = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), F.lit(LF)), F.lit("\r"), F.lit(LF))
+    return F.when(raw.startswith("\ufeff"), F.regexp_replace(raw, "^\ufeff+", "")).otherwise(raw)
 
 
 def _candidate(raw: Column) -> Column:
     bare = strip_newlines(raw)
     unwrapped = F.regexp_replace(F.regexp_replace(bare, _OUTER_OPEN, ""), _OUTER_CLOSE, "$1")
-    bare = F.when(bare.rlike("^" + PY_WS + "*```"), unwrapped).otherwise(bare)
-    return F.when(raw.rlike(_FENCE), F.regexp_extract(raw, _FENCE, 1)).otherwise(bare)
+    fenced = raw.contains("```")  # cheap guard before any fence regex
+    bare = F.when(fenced & bare.rlike("^" + PY_WS + "*```"), unwrapped).otherwise(bare)
+    return F.when(fenced & raw.rlike(_FENCE), F.regexp_extract(raw, _FENCE, 1)).otherwise(bare)
 
 
 def _start(left: Column) -> Column:
@@ -101,25 +102,45 @@ def _finish(cand: Column, lines: Column, start: Column) -> Column:
 
 
 def with_normalized_patch(df, src: str, out: str = "patch"):
-    """TXT-1 staged over DataFrame columns (no duplicated sub-expressions)."""
+    """TXT-1 staged over DataFrame columns (no duplicated sub-expressions).
+
+    Exact fast paths keep typical patches off the per-line path: text that
+    starts with a git header has its start at line 1; text without a fence
+    marker needs no fence-line filter; text with any non-blank line at
+    column 0 has a dedent margin of 0.
+    """
     t = "_np"
     df = (df.withColumn(f"{t}_raw", _raw(F.col(src)))
-          .withColumn(f"{t}_cand", _candidate(F.col(f"{t}_raw")))
-          .withColumn(f"{t}_lines", lines_of(f"{t}_cand")))
-    df = df.withColumn(f"{t}_start", _start(F.transform(F.col(f"{t}_lines"), lambda x: py_lstrip(x))))
-    block = F.filter(F.slice(F.col(f"{t}_lines"), F.coalesce(F.col(f"{t}_start"), F.lit(1)),
-                             F.greatest(F.size(f"{t}_lines"), F.lit(1))),
+          .withColumn(f"{t}_cand", _candidate(F.col(f"{t}_raw"))))
+    cand = F.col(f"{t}_cand")
+    maybe_header = cand.contains("diff --git ") | cand.contains("--- ")
+    df = df.withColumn(f"{t}_lines", F.when(~cand.startswith("diff --git ") & maybe_header, lines_of(cand)))
+    slow_start = _start(F.transform(F.col(f"{t}_lines"), lambda x: py_lstrip(x)))
+    df = df.withColumn(f"{t}_start", F.when(cand.startswith("diff --git "), F.lit(1))
+                       .when(maybe_header, slow_start))
+    start = F.col(f"{t}_start")
+    has_fence = cand.contains("```")
+    lines = F.coalesce(F.col(f"{t}_lines"), lines_of(cand))
+    block = F.filter(F.slice(lines, F.coalesce(start, F.lit(1)), F.greatest(F.size(lines), F.lit(1))),
                      lambda x: ~py_lstrip(x).startswith("```"))
-    df = df.withColumn(f"{t}_body", F.when(F.col(f"{t}_start").isNotNull(), F.array_join(block, LF))
-                       .otherwise(F.col(f"{t}_cand")))
+    after_start = F.when(start == 1, cand).otherwise(
+        F.array_join(F.slice(lines, F.coalesce(start, F.lit(1)), F.greatest(F.size(lines), F.lit(1))), LF))
+    df = df.withColumn(f"{t}_body", F.when(start.isNull(), cand)
+                       .when(has_fence, F.array_join(block, LF))
+                       .otherwise(after_start))
     df = with_safe_dedent(df, f"{t}_body", f"{t}_ded")
     df = df.withColumn(out, F.concat(strip_newlines(F.col(f"{t}_ded")), F.lit(LF)))
     return df.drop(f"{t}_raw", f"{t}_cand", f"{t}_lines", f"{t}_start", f"{t}_body", f"{t}_ded")
 
 
+_ZERO_INDENT = r"(?m)(?d)^" + PY_NONWS
+
+
 def with_safe_dedent(df, src: str, out: str):
     t = "_sd"
-    df = df.withColumn(f"{t}_lines", lines_of(src))
+    text = F.col(src)
+    # A non-blank line starting at column 0 makes the margin 0: identity.
+    df = df.withColumn(f"{t}_lines", F.when(~text.rlike(_ZERO_INDENT), lines_of(src)))
     indents = F.transform(F.filter(F.col(f"{t}_lines"), lambda x: py_lstrip(x) != ""),
                           lambda x: F.length(x) - F.length(py_lstrip(x)))
     df = df.withColumn(f"{t}_margin", F.array_min(indents))
@@ -127,7 +148,7 @@ def with_safe_dedent(df, src: str, out: str):
     cut = F.transform(F.col(f"{t}_lines"), lambda x: F.when(x == "", x)
                       .when(F.length(x) <= margin, F.lit(" "))
                       .otherwise(x.substr(margin + 1, F.length(x))))
-    df = df.withColumn(out, F.when(margin.isNotNull() & (margin > 0), F.array_join(cut, LF)).otherwise(F.col(src)))
+    df = df.withColumn(out, F.when(margin.isNotNull() & (margin > 0), F.array_join(cut, LF)).otherwise(text))
     return df.drop(f"{t}_lines", f"{t}_margin")
 
 

@@ -35,25 +35,34 @@ def greedy_rate_limit(events: DataFrame, user: str = "user_id", ts: str = "ts_un
            .withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
            .drop("_prev", "_new"))
     schema = T.StructType(seg.schema.fields + [T.StructField("allowed", T.BooleanType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order], kind="stable")
-        times = pdf[ts].to_numpy()
-        kept: list = []
-        out = []
-        for t in times:
-            cutoff = t - window + 1
-            while kept and kept[0] < cutoff:
-                kept.pop(0)
-            if len(kept) >= limit:
-                out.append(False)
-            else:
-                kept.append(t)
-                out.append(True)
-        pdf["allowed"] = out
-        return pdf
-
-    return seg.groupBy(user, "_seg").applyInPandas(fold, schema=schema).drop("_seg")
+    nparts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def fold(batches):
+        # Rows arrive clustered by (user, segment) and sorted by time inside
+        # each partition (secondary sort), so one pass with a small state
+        # that survives batch boundaries replaces one Python call per group.
+        key, kept = None, []
+        for pdf in batches:
+            users = pdf[user].to_numpy()
+            segs = pdf["_seg"].to_numpy()
+            times = pdf[ts].to_numpy()
+            out = [False] * len(pdf)
+            for i in range(len(pdf)):
+                k = (users[i], segs[i])
+                if k != key:
+                    key, kept = k, []
+                t = times[i]
+                cutoff = t - window + 1
+                while kept and kept[0] < cutoff:
+                    kept.pop(0)
+                if len(kept) < limit:
+                    kept.append(t)
+                    out[i] = True
+            pdf["allowed"] = out
+            yield pdf
+
+    clustered = seg.repartition(nparts, user, "_seg").sortWithinPartitions(user, "_seg", ts, order)
+    return clustered.mapInPandas(fold, schema=schema).drop("_seg")
 
 
 # ------------------------------------------------------------------ BIZ-2
