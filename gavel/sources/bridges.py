@@ -243,6 +243,71 @@ SELECT event_id AS request_id, user_id,
             WHEN 4 THEN 'Bearer .sig' WHEN 5 THEN 'Bearer u' || CAST(user_id AS STRING) || '.badsig'
             ELSE 'Bearer u' || CAST(user_id AS STRING) || '.' || {hmac_u} END AS auth_header
 FROM {events}
+"""),
+    "b_traj": (("conversations",), """
+SELECT conv_id, 'conv_' || CAST(conv_id AS STRING) AS instance_id,
+       CASE WHEN conv_id % 13 = 0 THEN ''
+            WHEN conv_id % 11 = 0 THEN ' no_patch '
+            WHEN conv_id % 3 = 0 THEN 'diff --git a/m.py b/m.py' || chr(10) || '--- a/m.py' || chr(10) || '+++ b/m.py'
+                 || chr(10) || '@@ -1,1 +1,1 @@' || chr(10) || '-old' || chr(10) || '+' || replace(text, chr(10), ' ')
+                 || chr(10) || chr(10)
+            WHEN conv_id % 3 = 1 THEN 'Here is the patch:' || chr(10) || '```diff' || chr(10) || '--- a/m.py' || chr(10)
+                 || '+++ b/m.py' || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || ' keep' || chr(10) || '+'
+                 || replace(text, chr(10), ' ') || chr(10) || '```' || chr(10) || 'Done.'
+            ELSE text END AS submission
+FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
+      FROM {conversations} WHERE role = 'assistant') t
+WHERE r = 1
+"""),
+    "b_testlogs": (("lineitem",), """
+SELECT (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS log_id,
+       CASE CAST(floor(l_quantity) AS BIGINT) % 7
+         WHEN 0 THEN CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) || ' passed in 0.12s'
+         WHEN 1 THEN CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) || ' passed, '
+                     || CAST(l_linenumber AS STRING) || ' failed in 1.0s'
+         WHEN 2 THEN CAST(l_linenumber AS STRING) || ' failed, ' || CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING)
+                     || ' passed'
+         WHEN 3 THEN 'FAILED (failures=' || CAST(l_linenumber AS STRING) || ')'
+         WHEN 4 THEN 'all tests PASSED'
+         WHEN 5 THEN 'E   SyntaxError: invalid syntax'
+         ELSE '' END AS output,
+       CAST(l_linenumber % 2 AS BIGINT) AS exit_code
+FROM {lineitem}
+"""),
+    "b_evallogs": (("conversations",), """
+SELECT conv_id, turn,
+       CASE (conv_id + turn) % 6
+         WHEN 0 THEN text || chr(10) || '>>>>> Patch Apply Failed:' || chr(10) || 'patch unexpectedly ends in middle of line'
+         WHEN 1 THEN text || chr(10) || 'Only garbage was found in the patch input.'
+         WHEN 2 THEN 'Tests ran' || chr(10) || 'resolved: True' || chr(10) || text
+         WHEN 3 THEN 'resolved:   False'
+         WHEN 4 THEN 'Error building image: manifest unknown'
+         ELSE text END AS log_text
+FROM {conversations}
+"""),
+    "b_paths": (("documents",), """
+SELECT doc_id,
+       CASE doc_id % 8 WHEN 0 THEN 'tests/test_' || source || '.py' WHEN 1 THEN 'pkg/tests/' || source || '.py'
+            WHEN 2 THEN 'src/test_' || source || '.py' WHEN 3 THEN 'src/' || source || '_test.py'
+            WHEN 4 THEN 'test_' || source || '.py' WHEN 5 THEN 'SRC/Tests/' || source || '.py'
+            WHEN 6 THEN '' ELSE 'src/' || source || '.py' END AS path,
+       CASE doc_id % 5 WHEN 0 THEN 'Dummy_' || source WHEN 1 THEN ' my-EXAMPLE ' ELSE lower(substring(text, 1, 12)) END
+         AS value,
+       text
+FROM {documents}
+"""),
+    "b_subset": (("nation",), """
+SELECT CASE WHEN n_nationkey % 9 = 4 THEN '# ' || lower(n_name) WHEN n_nationkey % 9 = 7 THEN '   '
+            ELSE '  org__' || lower(n_name) || ' ' END AS line, n_nationkey AS pos
+FROM {nation}
+"""),
+    "b_state": (("nation",), """
+SELECT 'model-a|' || CASE n_nationkey % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN '-SAD' ELSE 'full' END
+       || '|org__' || lower(n_name) || '|r1' AS key,
+       CASE WHEN n_nationkey % 4 = 0 THEN 'failed' ELSE 'done' END AS status, n_nationkey AS seq
+FROM {nation}
+UNION ALL
+SELECT 'model-b|full|org__' || lower(n_name) || '|r2', 'done', 100 + n_nationkey FROM {nation} WHERE n_nationkey % 2 = 0
 """),
 }
 
