@@ -308,6 +308,29 @@ SELECT 'model-a|' || CASE n_nationkey % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN '-S
 FROM {nation}
 UNION ALL
 SELECT 'model-b|full|org__' || lower(n_name) || '|r2', 'done', 100 + n_nationkey FROM {nation} WHERE n_nationkey % 2 = 0
+"""),
+    "b_code": (("documents",), """
+SELECT doc_id, 'src/' || source || '/m' || CAST(doc_id AS STRING) || '.py' AS path,
+       CASE doc_id % 6
+         WHEN 0 THEN 'cursor.execute("SELECT * FROM t WHERE id=" + uid)' || chr(10) || substring(text, 1, 400)
+         WHEN 1 THEN 'q = f"SELECT ' || chr(123) || 'x' || chr(125) || ' FROM t"' || chr(10) || 'password = "hunter22"' || chr(10) || substring(text, 1, 300)
+         WHEN 2 THEN '@app.get("/u")' || chr(10) || 'def h(user_id):' || chr(10) || '    return user_id' || chr(10)
+         WHEN 3 THEN 'db.save()' || chr(10) || 'obj.update()' || chr(10) || 'el.innerHTML = x' || chr(10)
+         WHEN 4 THEN 'import random' || chr(10) || 'api_key = 12345' || chr(10) || 'eval(s); os.system(c)'
+         ELSE substring(text, 1, 500) END AS code,
+       CASE doc_id % 3 WHEN 0 THEN {arr}('SQLI', 'SECRETS', 'MISSING_AUTH', 'NO_TRANSACTION', 'XSS', 'WEAK_RNG')
+            WHEN 1 THEN {arr}('SQLI', 'SECRETS') ELSE {empty} END AS rules
+FROM {documents}
+"""),
+    "b_index": (("documents",), """
+SELECT 'doc__' || CAST(doc_id AS STRING) AS instance_id, 'org/' || source AS repo,
+       substring({h1}text{h2}, 1, 12) AS base_commit
+FROM {documents} WHERE doc_id % 3 <> 0
+"""),
+    "b_evalreport": (("labels",), """
+SELECT 'doc__' || CAST(doc_id AS STRING) AS instance_id, quality = 1 AS resolved,
+       CASE WHEN toxic = 1 THEN false WHEN doc_id % 9 = 0 THEN NULL ELSE true END AS patch_applied
+FROM {labels} WHERE doc_id % 2 = 0
 """),
 }
 

@@ -3,13 +3,125 @@ trajectories, evaluator reports and logs, listings.
 
 Every reader returns a DataFrame with a fixed schema plus ordering columns
 (``file``, ``pos``/``seq``) where the governed tool's semantics depend on
-input order; Spark itself never relies on row order.
+input order; Spark itself never relies on row order. Whole-file formats
+(JSON documents, YAML) are read one file per row (``wholetext`` /
+``binaryFile``) so files parse in parallel; line formats are split by Spark.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gavel.functions.text import looks_like_diff, py_rstrip, py_strip
+
+PRED_FIELDS = "instance_id string, task string, id string, task_id string, model_patch string, provider string, " \
+              "tau_step bigint, model_name_or_path string"
+RESULT_SCHEMA = "instance_id string, resolved boolean, resolved_status string, cri string"
+REPORT_SCHEMA = ("instance_id string, task string, repo string, base_commit string, scan_scope string, "
+                 "scan_failed boolean, scan_ok boolean, scan_error string, skipped boolean, skip_reason string, "
+                 "changed_files array<string>, new_violations array<string>, "
+                 "files array<struct<path:string, before_violations:array<string>, after_violations:array<string>, "
+                 "new_violations:array<string>>>, _corrupt_record string")
+
+
+def _id_of(rec, fallback):
+    """SRC-2: first truthy of instance_id, task, id, task_id, else fallback."""
+    return F.coalesce(*[F.nullif(F.nullif(rec[c], F.lit("")), F.lit("0")) for c in
+                        ("instance_id", "task", "id", "task_id")], fallback)
+
+
+# ------------------------------------------------------------------ SRC-1
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Polymorphic predictions: JSON array, map id -> payload, single
+    record, or JSONL; one row per prediction with (file, seq), duplicates
+    kept. The patch is returned raw (normalise with TXT-1)."""
+    files = (spark.read.text(path, wholetext=True)
+             .select(F.col("_metadata.file_path").alias("file"),
+                     F.regexp_replace(F.col("value"), "^﻿", "").alias("text")))
+    files = files.where(py_strip(F.col("text")) != "")
+    t = py_strip(F.col("text"))
+    rec_t = PRED_FIELDS
+    whole_ok = F.try_parse_json(F.col("text")).isNotNull()
+    arr = files.where(whole_ok & t.startswith("[")).select(
+        "file", F.posexplode(F.from_json(F.col("text"), "array<string>")).alias("i", "e"))
+    arr = arr.select("file", (F.col("i") + 1).alias("seq"),
+                     F.when(F.col("e").startswith("{"), F.from_json("e", rec_t)).alias("r"), "e")
+    arr = arr.select("file", "seq", _id_of(F.col("r"), F.concat(F.lit("instance_"), F.col("seq").cast("string")))
+                     .alias("instance_id"),
+                     F.when(F.col("r").isNotNull(), F.col("r.model_patch")).otherwise(F.col("e")).alias("model_patch"),
+                     F.col("r.provider").alias("provider"), F.col("r.tau_step").alias("tau_step"))
+    objs = files.where(whole_ok & t.startswith("{"))
+    has_key = F.lit(False)
+    for k in ("instance_id", "task", "id", "task_id"):
+        has_key = has_key | F.get_json_object("text", f"$.{k}").isNotNull() | F.col("text").contains(f'"{k}"')
+    single = objs.where(has_key).select("file", F.lit(1).cast("bigint").alias("seq"),
+                                        F.from_json("text", rec_t).alias("r"))
+    single = single.select("file", "seq", _id_of(F.col("r"), F.lit("instance_unknown")).alias("instance_id"),
+                           F.col("r.model_patch").alias("model_patch"), F.col("r.provider").alias("provider"),
+                           F.col("r.tau_step").alias("tau_step"))
+    mapped = objs.where(~has_key).select("file", F.posexplode(F.from_json("text", "map<string,string>")).alias("i", "k", "v"))
+    mapped = mapped.select("file", (F.col("i") + 1).cast("bigint").alias("seq"), "k", "v",
+                           F.when(F.col("v").startswith("{"), F.from_json("v", rec_t)).alias("r"))
+    mapped = mapped.select("file", "seq", _id_of(F.col("r"), F.col("k")).alias("instance_id"),
+                           F.when(F.col("r").isNotNull(), F.col("r.model_patch")).otherwise(F.col("v")).alias("model_patch"),
+                           F.col("r.provider").alias("provider"), F.col("r.tau_step").alias("tau_step"))
+    lines = files.where(~whole_ok).select("file", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = lines.where(py_strip(F.col("line")) != "").select(
+        "file", (F.col("i") + 1).cast("bigint").alias("seq"), F.from_json(py_strip(F.col("line")), rec_t).alias("r"),
+        py_strip(F.col("line")).alias("raw"))
+    empty_obj = F.col("raw").isin("{}", "[]", "null", "0", '""', "false")
+    lines = lines.select("file", "seq",
+                         F.when(empty_obj, F.concat(F.lit("line_"), F.col("seq").cast("string")))
+                         .otherwise(_id_of(F.col("r"), F.lit("instance_unknown"))).alias("instance_id"),
+                         F.col("r.model_patch").alias("model_patch"), F.col("r.provider").alias("provider"),
+                         F.col("r.tau_step").alias("tau_step"))
+    return arr.unionByName(single).unionByName(mapped).unionByName(lines).withColumn(
+        "model_patch", F.coalesce(F.col("model_patch"), F.lit("")))
+
+
+# ------------------------------------------------------------------ SRC-3
+def read_statuses(spark: SparkSession, path_glob: str) -> DataFrame:
+    """exit_statuses_*.yaml, flat or nested; unreadable or non-mapping files
+    are skipped; rows (file, pos, instance_id, status); null ids dropped."""
+    schema = "file string, pos bigint, instance_id string, status string"
+
+    def parse(batches):
+        import yaml
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    data = yaml.safe_load(bytes(content).decode("utf-8"))
+                except Exception:  # noqa: BLE001 - unreadable file is skipped
+                    continue
+                if not isinstance(data, dict):
+                    continue
+                pos = 0
+                if "instances_by_exit_status" in data:
+                    ibs = data.get("instances_by_exit_status")
+                    if not isinstance(ibs, dict):
+                        continue
+                    for status, ids in ibs.items():
+                        if not isinstance(ids, (list, tuple)):
+                            continue
+                        for i in ids:
+                            if i is None:
+                                continue
+                            pos += 1
+                            rows.append((path, pos, str(i), str(status)))
+                    continue
+                for i, status in data.items():
+                    if i is None or status is None:
+                        continue
+                    pos += 1
+                    rows.append((path, pos, str(i), str(status)))
+            yield pd.DataFrame(rows, columns=["file", "pos", "instance_id", "status"])
+
+    raw = spark.read.format("binaryFile").load(path_glob).select("path", "content")
+    return raw.mapInPandas(parse, schema)
 
 
 def merge_statuses(rows: DataFrame, order=("file", "pos")) -> DataFrame:
@@ -19,3 +131,104 @@ def merge_statuses(rows: DataFrame, order=("file", "pos")) -> DataFrame:
     return (rows.where(F.col("instance_id").isNotNull() & F.col("status").isNotNull())
             .groupBy(F.col("instance_id").cast("string").alias("instance_id"))
             .agg(F.max_by(F.col("status").cast("string"), F.struct(*[F.col(c) for c in order])).alias("status")))
+
+
+# ------------------------------------------------------------------ SRC-4, SRC-11
+def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """SRC-11: JSONL with (file, line) kept; mode FAILFAST (strict),
+    DROPMALFORMED, or PERMISSIVE with ``_corrupt_record`` for reporting."""
+    lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+             .withColumn("line", F.monotonically_increasing_id()).where(py_strip(F.col("value")) != ""))
+    full = schema + ", _corrupt_record string" if mode == "PERMISSIVE" else schema
+    parsed = lines.select("file", "line", F.from_json("value", full, {"mode": mode,
+                          "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), "value")
+    out = parsed.select("file", "line", "r.*")
+    if mode == "DROPMALFORMED":
+        out = out.where(F.col("r").isNotNull()) if "r" in out.columns else out
+    return out
+
+
+def read_instance_results(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-4: rows without id dropped, the last row per id wins."""
+    r = read_jsonl(spark, path, RESULT_SCHEMA, mode="PERMISSIVE")
+    r = r.where(F.coalesce(F.col("instance_id"), F.lit("")) != "")
+    return (r.groupBy("instance_id").agg(F.max_by(F.struct("resolved", "resolved_status", "cri"),
+                                                  F.struct("file", "line")).alias("x"))
+            .select("instance_id", "x.*"))
+
+
+# ------------------------------------------------------------------ SRC-5, 6
+def read_reports(spark: SparkSession, directory: str) -> DataFrame:
+    """SRC-5/6: one security report per '<id>.json'; id = instance_id, task
+    or file stem; an unreadable report becomes corrupt=true."""
+    raw = (spark.read.schema(REPORT_SCHEMA).option("multiLine", "true").option("mode", "PERMISSIVE")
+           .json(f"{directory}/*.json").withColumn("file", F.col("_metadata.file_name")))
+    stem = F.regexp_replace("file", r"\.json$", "")
+    return raw.select(
+        F.coalesce(F.nullif("instance_id", F.lit("")), F.nullif("task", F.lit("")), stem).alias("instance_id"),
+        "scan_scope", "scan_failed", "scan_ok", "scan_error", "new_violations",
+        F.col("_corrupt_record").isNotNull().alias("corrupt"), "files", "changed_files")
+
+
+# ------------------------------------------------------------------ SRC-7
+def read_trajectories(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-7: '*.traj.json' anywhere under root; info.submission kept only
+    when it looks like a diff (right-stripped plus one newline)."""
+    raw = (spark.read.option("multiLine", "true").option("recursiveFileLookup", "true")
+           .option("pathGlobFilter", "*.traj.json").schema("info struct<submission:string>").json(root)
+           .withColumn("file", F.col("_metadata.file_name")))
+    sub = F.coalesce(F.col("info.submission"), F.lit(""))
+    return raw.select(F.regexp_replace("file", r"\.traj\.json$", "").alias("instance_id"),
+                      F.lit("extracted_from_trajectory").alias("model_name_or_path"),
+                      F.when(looks_like_diff(sub), F.concat(py_rstrip(sub), F.lit("\n"))).otherwise(F.lit(""))
+                      .alias("model_patch"), F.octet_length(sub).cast("bigint").alias("submission_bytes"))
+
+
+# ------------------------------------------------------------------ SRC-9, 10, 14, 16
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """Listing (path, mtime, length) without reading contents."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+            .load(root).select("path", F.col("modificationTime").alias("mtime"), "length"))
+
+
+def newest_per_key(listing: DataFrame, key_regex: str) -> DataFrame:
+    """SRC-9/10 / WIN-7: newest file per key extracted from the path."""
+    k = listing.withColumn("key", F.regexp_extract("path", key_regex, 1)).where(F.col("key") != "")
+    return k.groupBy("key").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+
+
+def discover_artifacts(listing: DataFrame, root: str, candidates: dict) -> DataFrame:
+    """SRC-14/16: per (instance, kind) the first existing candidate path in
+    priority order. ``candidates`` maps kind -> list of relative path
+    templates with '{id}'."""
+    rel = F.regexp_replace("path", "^(file:)?" + root.rstrip("/") + "/", "")
+    parts = []
+    for kind, templates in candidates.items():
+        for prio, tpl in enumerate(templates):
+            pre, post = tpl.split("{id}")
+            rx = "^" + pre.replace(".", r"\.") + "(.+)" + post.replace(".", r"\.") + "$"
+            parts.append(listing.select(F.lit(kind).alias("kind"), F.lit(prio).alias("prio"),
+                                        F.regexp_extract(rel, rx, 1).alias("instance_id"), rel.alias("rel"))
+                         .where(F.col("instance_id") != ""))
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    return allp.groupBy("instance_id", "kind").agg(F.min_by("rel", "prio").alias("path"))
+
+
+# ------------------------------------------------------------------ SRC-12, 13
+def subset_lines(df: DataFrame, col: str = "value") -> DataFrame:
+    """SRC-12: one id per line; blanks and '#' comments ignored."""
+    s = py_strip(F.col(col))
+    return df.select(s.alias("id")).where((F.col("id") != "") & ~F.col("id").startswith("#"))
+
+
+def read_subset(spark: SparkSession, path: str) -> DataFrame:
+    return subset_lines(spark.read.text(path))
+
+
+def read_dataset_index(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-13: id -> (repo, base_commit); rows without id dropped."""
+    d = spark.read.parquet(path)
+    return d.select(F.col("instance_id").cast("string"), "repo", "base_commit").where(
+        F.coalesce(F.col("instance_id"), F.lit("")) != "")
