@@ -29,6 +29,12 @@ def risk_coverage(evals: DataFrame, thresholds=K.SWEEP_THRESHOLDS) -> DataFrame:
     """AGG-4: per threshold total, accepted, coverage, false_accepts, risk,
     resolved_ok, veto, abstain. ``resolved`` is compared strictly (null is
     neither a false accept nor a resolved OK)."""
+    return sweep_rows(evals.agg(*sweep_aggs(thresholds)), thresholds)
+
+
+def sweep_aggs(thresholds=K.SWEEP_THRESHOLDS) -> list:
+    """The one-pass conditional aggregates behind AGG-4 (also usable on a
+    stream)."""
     aggs = [F.count(F.lit(1)).alias("total"),
             F.count_if(F.col("final_decision") == "VETO").alias("veto"),
             F.count_if(F.col("final_decision") == "ABSTAIN").alias("abstain")]
@@ -37,7 +43,11 @@ def risk_coverage(evals: DataFrame, thresholds=K.SWEEP_THRESHOLDS) -> DataFrame:
         aggs += [F.count_if(acc).alias(f"a{i}"),
                  F.count_if(acc & (F.col("resolved") == F.lit(False))).alias(f"f{i}"),
                  F.count_if(acc & (F.col("resolved") == F.lit(True))).alias(f"r{i}")]
-    wide = evals.agg(*aggs)
+    return aggs
+
+
+def sweep_rows(wide: DataFrame, thresholds=K.SWEEP_THRESHOLDS) -> DataFrame:
+    """Turn the one-row wide aggregate into one row per threshold."""
     rows = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"a{i}").alias("accepted"),
                                         F.col(f"f{i}").alias("false_accepts"), F.col(f"r{i}").alias("resolved_ok"))
                                for i, t in enumerate(thresholds)]))

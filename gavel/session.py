@@ -43,20 +43,28 @@ def get_spark(master: str | None = None, app: str = "gavel", shuffle_partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """Return the shared checkpoint folder of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant
-    folder and is used as is. Only when it is unset (local tests) a scratch
-    folder is created and registered.
+    folder and is used as is. Only when nothing is configured (local tests
+    and benches) a scratch folder is created and registered.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        try:
+            conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001
+            conf_dir = None
     if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
-        return conf_dir
+        sc.setCheckpointDir(conf_dir)
+        return sc.getCheckpointDir() or conf_dir
     local = tempfile.mkdtemp(prefix="gavel-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc.setCheckpointDir(local)
+    return sc.getCheckpointDir() or local
 
 
 def cpus() -> int:
