@@ -44,7 +44,8 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     files = files.where(py_strip(F.col("text")) != "")
     t = py_strip(F.col("text"))
     rec_t = PRED_FIELDS
-    whole_ok = F.try_parse_json(F.col("text")).isNotNull()
+    # wrapping in brackets makes trailing values (JSONL) a parse error
+    whole_ok = F.try_parse_json(F.concat(F.lit("["), F.col("text"), F.lit("]"))).isNotNull()
     arr = files.where(whole_ok & t.startswith("[")).select(
         "file", F.posexplode(F.from_json(F.col("text"), "array<string>")).alias("i", "e"))
     arr = arr.select("file", (F.col("i") + 1).alias("seq"),
@@ -54,9 +55,9 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
                      F.when(F.col("r").isNotNull(), F.col("r.model_patch")).otherwise(F.col("e")).alias("model_patch"),
                      F.col("r.provider").alias("provider"), F.col("r.tau_step").alias("tau_step"))
     objs = files.where(whole_ok & t.startswith("{"))
-    has_key = F.lit(False)
-    for k in ("instance_id", "task", "id", "task_id"):
-        has_key = has_key | F.get_json_object("text", f"$.{k}").isNotNull() | F.col("text").contains(f'"{k}"')
+    # top-level key presence (a null value still counts, as with ``k in obj``)
+    top_keys = F.map_keys(F.from_json("text", "map<string,string>"))
+    has_key = F.exists(top_keys, lambda k: k.isin("instance_id", "task", "id", "task_id"))
     single = objs.where(has_key).select("file", F.lit(1).cast("bigint").alias("seq"),
                                         F.from_json("text", rec_t).alias("r"))
     single = single.select("file", "seq", _id_of(F.col("r"), F.lit("instance_unknown")).alias("instance_id"),
