@@ -1,6 +1,8 @@
 """File sources on small fixtures written to scratch folders."""
 
 import json
+
+from pyspark.sql import functions as F
 import os
 
 from gavel.operators import astscan
@@ -79,3 +81,19 @@ def test_ast_scan_and_delta(spark):
     assert reps["i1"] == (["WEAK_RNG_USAGE"], False)
     assert reps["i2"] == ([], False)
     assert reps["i3"] == (["SYNTAX_ERROR_PREVENTS_SECURITY_SCAN"], False)
+
+
+def test_sinks(spark, tmpdir_path):
+    from gavel.sinks import writers as W
+    st = spark.createDataFrame([("a", "ok"), ("b", "error"), ("c", "ok")], "instance_id string, status string")
+    kept, removed = W.delete_statuses(st, ["b", "zz"])
+    assert sorted(r.instance_id for r in kept.collect()) == ["a", "c"]
+    again, removed2 = W.delete_statuses(kept, ["b"])
+    assert again.count() == 2 and removed2.count() == 0
+    same, would = W.delete_statuses(st, ["a"], dry_run=True)
+    assert same.count() == 3 and would.count() == 1
+    W.write_jsonl(st.withColumn("seq", F.monotonically_increasing_id()), os.path.join(tmpdir_path, "out"))
+    back = spark.read.json(os.path.join(tmpdir_path, "out"))
+    assert back.count() == 3
+    W.write_csv(st, os.path.join(tmpdir_path, "csv"))
+    assert spark.read.option("header", "true").csv(os.path.join(tmpdir_path, "csv")).count() == 3
