@@ -135,3 +135,41 @@ def first_k(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     """WIN-8: first k rows per group (k is a fixed small parameter)."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+
+
+def rows_equal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """SET-5: canonical compare of two tables (columns by name, arrays as
+    given, duplicates counted): rows only in a, rows only in b, counts."""
+    cols = sorted(a.columns)
+    a2, b2 = a.select(*cols), b.select(*cols)
+    only_a = a2.exceptAll(b2).agg(F.count(F.lit(1)).alias("only_left"))
+    only_b = b2.exceptAll(a2).agg(F.count(F.lit(1)).alias("only_right"))
+    spark = a.sparkSession
+    return spark.sql("SELECT (SELECT only_left FROM {x}) AS only_left, (SELECT only_right FROM {y}) AS only_right,"
+                     " (SELECT count(*) FROM {a}) AS left_rows, (SELECT count(*) FROM {b}) AS right_rows",
+                     x=only_a, y=only_b, a=a2, b=b2)
+
+
+def pack_context(files: DataFrame, max_changed: int = 5, max_tests: int = 3) -> DataFrame:
+    """TXT-26: per instance, the explicit files if any exist, else the first
+    ``max_changed`` changed .py files (listing order); then the first
+    ``max_tests`` test files by path. Sections '=== path ===' (tests marked
+    ' (tests)') joined by newlines; bounded by k files per instance."""
+    w_changed = Window.partitionBy("instance_id").orderBy("pos")
+    w_tests = Window.partitionBy("instance_id").orderBy("path")
+    has_explicit = F.max((F.col("kind") == "explicit").cast("int")).over(Window.partitionBy("instance_id")) > 0
+    f = files.withColumn("_has_exp", has_explicit)
+    explicit = f.where(F.col("kind") == "explicit").select("instance_id", F.lit(0).alias("sec"), "pos", "path", "content")
+    changed = (f.where((F.col("kind") == "changed") & ~F.col("_has_exp") & F.col("path").endswith(".py"))
+               .withColumn("_rn", F.row_number().over(w_changed)).where(F.col("_rn") <= max_changed)
+               .select("instance_id", F.lit(1).alias("sec"), "pos", "path", "content"))
+    tests = (f.where(F.col("kind") == "test").withColumn("_rn", F.row_number().over(w_tests))
+             .where(F.col("_rn") <= max_tests)
+             .select("instance_id", F.lit(2).alias("sec"), F.col("_rn").cast("bigint").alias("pos"), "path", "content"))
+    parts = explicit.unionByName(changed).unionByName(tests)
+    text = F.when(F.col("sec") == 2, F.concat(F.lit("=== "), F.col("path"), F.lit(" (tests) ===\n"), F.col("content"),
+                                             F.lit("\n"))) \
+        .otherwise(F.concat(F.lit("=== "), F.col("path"), F.lit(" ===\n"), F.col("content"), F.lit("\n")))
+    return (parts.groupBy("instance_id")
+            .agg(F.array_sort(F.collect_list(F.struct("sec", "pos", text.alias("t")))).alias("_s"))
+            .select("instance_id", F.array_join(F.transform("_s", lambda x: x["t"]), "\n").alias("context")))

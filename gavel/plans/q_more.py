@@ -307,3 +307,72 @@ def jsn04(spark, sf):
     from gavel.operators.cards import proofcards
     return proofcards(bridge(spark, sf, "b_eval"), run_id="bench-run", stamp="2024-01-01T00:00:00+00:00",
                       sign_key=DEMO_KEY.encode(), key_hint="bridge.key")
+
+
+# ------------------------------------------------------------------ TXT-2, TXT-26, MET-5, WIN-7, AGG-14
+def _dedent_oracle():
+    ctes, last = Q.dedent_ctes("b_preds", "model_patch", "seq")
+    return f"{oracle_cte('b_preds')},\n{ctes}\nSELECT seq, ded FROM {last}"
+
+
+@register("txt02_safe_dedent", _dedent_oracle())
+def txt02(spark, sf):
+    p = bridge(spark, sf, "b_preds").select("seq", "model_patch")
+    return X.with_safe_dedent(p, "model_patch", "ded").select("seq", "ded")
+
+
+@register("txt26_context_packing", oracle_cte("b_ctxfiles") + """,
+f AS (SELECT *, max(CASE WHEN kind = 'explicit' THEN 1 ELSE 0 END) OVER (PARTITION BY instance_id) > 0 AS has_exp
+      FROM b_ctxfiles),
+parts AS (
+  SELECT instance_id, 0 AS sec, pos, path, content FROM f WHERE kind = 'explicit'
+  UNION ALL
+  SELECT instance_id, 1, pos, path, content FROM (
+    SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY pos) AS rn FROM f
+    WHERE kind = 'changed' AND NOT has_exp AND ends_with(path, '.py')) c WHERE rn <= 5
+  UNION ALL
+  SELECT instance_id, 2, rn, path, content FROM (
+    SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY path) AS rn FROM f WHERE kind = 'test') t
+  WHERE rn <= 3)
+SELECT instance_id,
+       string_agg(CASE WHEN sec = 2 THEN '=== ' || path || ' (tests) ===' || chr(10) || content || chr(10)
+                       ELSE '=== ' || path || ' ===' || chr(10) || content || chr(10) END, chr(10) ORDER BY sec, pos)
+         AS context
+FROM parts GROUP BY instance_id""")
+def txt26(spark, sf):
+    from gavel.operators.ordered import pack_context
+    return pack_context(bridge(spark, sf, "b_ctxfiles"))
+
+
+@register("met05_normalize_resolved", oracle_cte("b_results") + f"""
+SELECT instance_id,
+       CASE WHEN resolved_status IS NOT NULL AND {Q.strip('resolved_status')} <> '' THEN
+              CASE WHEN lower({Q.strip('resolved_status')}) IN ('resolved', 'pass', 'passed') THEN 'resolved'
+                   ELSE 'unresolved' END
+            WHEN resolved IS NOT NULL THEN CASE WHEN resolved THEN 'resolved' ELSE 'unresolved' END END AS normalized
+FROM b_results""")
+def met05(spark, sf):
+    from gavel.functions.metrics import normalize_resolved
+    b = bridge(spark, sf, "b_results")
+    return b.select("instance_id", normalize_resolved("resolved_status", "resolved").alias("normalized"))
+
+
+@register("win07_newest_pick", oracle_cte("b_status_raw") + """
+SELECT instance_id AS key, file || '#' || CAST(pos AS VARCHAR) AS path FROM b_status_raw
+QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY ts DESC, file || '#' || CAST(pos AS VARCHAR) DESC) = 1""")
+def win07(spark, sf):
+    from gavel.operators.ordered import newest
+    b = bridge(spark, sf, "b_status_raw").select(
+        F.col("instance_id").alias("key"), F.concat("file", F.lit("#"), F.col("pos").cast("string")).alias("path"),
+        F.col("ts").alias("mtime"))
+    return newest(b, "key")
+
+
+@register("agg14_calibration", oracle_cte("b_eval") + """,
+e AS (SELECT least(floor(coalesce(cri, 0.0) * 10), 9) AS bin, coalesce(cri, 0.0) AS cri,
+             CASE WHEN resolved THEN 1.0 ELSE 0.0 END AS y FROM b_eval WHERE resolved IS NOT NULL),
+b AS (SELECT bin, count(*) AS n, sum(cri) AS sc, sum(y) AS sy FROM e GROUP BY bin)
+SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(abs(sc - sy)) / sum(n), 6) AS ece FROM b""")
+def agg14b(spark, sf):
+    from gavel.operators.aggregates import calibration
+    return calibration(bridge(spark, sf, "b_eval")).withColumn("ece", F.round("ece", 6))

@@ -12,6 +12,7 @@ QUERIES = {
     "str02_decision_counts_stream": J.decision_counts_stream,
     "str03_risk_coverage_stream": J.risk_coverage_stream,
     "str04_limiter_stream": J.limiter_stream,
+    "str05_session_stream": J.session_stream,
     "str06_status_upsert_stream": J.status_upsert_stream,
     "str07_dedupe_stream": J.dedupe_stream,
 }

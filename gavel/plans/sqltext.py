@@ -105,3 +105,15 @@ def status_norm(s: str) -> str:
 
 def in_list(x: str, values) -> str:
     return f"{x} IN ({', '.join(q(v) for v in values)})"
+
+
+def dedent_ctes(src: str, col: str, keep: str, prefix: str = "dd") -> tuple[str, str]:
+    """CTE chain: safe dedent of ``col`` into column ``ded``."""
+    k = (keep + ", ") if keep else ""
+    c0 = (f"{prefix}0 AS (SELECT {k}{col} AS body, string_split({col}, chr(10)) AS bl,"
+          f" list_min(list_transform(list_filter(string_split({col}, chr(10)), lambda x: {lstrip('x')} <> ''),"
+          f" lambda x: length(x) - length({lstrip('x')}))) AS margin FROM {src})")
+    c1 = (f"{prefix}1 AS (SELECT {k}CASE WHEN margin > 0 THEN array_to_string(list_transform(bl, lambda x:"
+          f" CASE WHEN x = '' THEN x WHEN length(x) <= margin THEN ' ' ELSE substring(x, margin + 1) END), chr(10))"
+          f" ELSE body END AS ded FROM {prefix}0)")
+    return ",\n".join([c0, c1]), f"{prefix}1"

@@ -331,6 +331,17 @@ FROM {documents} WHERE doc_id % 3 <> 0
 SELECT 'doc__' || CAST(doc_id AS STRING) AS instance_id, quality = 1 AS resolved,
        CASE WHEN toxic = 1 THEN false WHEN doc_id % 9 = 0 THEN NULL ELSE true END AS patch_applied
 FROM {labels} WHERE doc_id % 2 = 0
+"""),
+    "b_ctxfiles": (("documents",), """
+SELECT source AS instance_id, doc_id AS pos,
+       CASE WHEN doc_id % 10 = 0 THEN 'tests/test_' || CAST(doc_id AS STRING) || '.py'
+            WHEN doc_id % 7 = 0 THEN 'docs/' || CAST(doc_id AS STRING) || '.md'
+            ELSE 'pkg/m' || CAST(doc_id AS STRING) || '.py' END AS path,
+       CASE WHEN doc_id % 10 = 0 THEN 'test'
+            WHEN doc_id % 10 = 1 AND CAST(substring(source, 4) AS BIGINT) % 2 = 0 THEN 'explicit'
+            ELSE 'changed' END AS kind,
+       substring(text, 1, 120) AS content
+FROM {documents}
 """),
 }
 

@@ -233,3 +233,51 @@ def read_dataset_index(spark: SparkSession, path: str) -> DataFrame:
     d = spark.read.parquet(path)
     return d.select(F.col("instance_id").cast("string"), "repo", "base_commit").where(
         F.coalesce(F.col("instance_id"), F.lit("")) != "")
+
+
+# ------------------------------------------------------------------ SRC-8
+EVAL_PAYLOAD = ("instance_id string, task string, id string, task_id string, resolved boolean, "
+                "patch_successfully_applied boolean")
+
+
+def read_evaluator_report(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-8 / SET-4: instance entries of an evaluator report. Sections
+    'report', 'results', 'instances' (each a map id -> payload or a list of
+    payloads) are read in that order and later entries override earlier
+    ones; a top-level list is read as one section; a lone object with an
+    instance_id is the fallback. One row per (file, instance)."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"),
+                                                         F.col("value").alias("text"))
+    parts = []
+    for rank, key in enumerate(("report", "results", "instances")):
+        sec = F.get_json_object("text", f"$.{key}")
+        as_map = files.where(py_strip(sec).startswith("{")).select(
+            "file", F.posexplode(F.from_json(sec, "map<string,string>")).alias("pos", "k", "v"))
+        parts.append(as_map.where(F.col("v").startswith("{")).select(
+            "file", F.lit(rank).alias("rank"), "pos", F.col("k").alias("instance_id"),
+            F.from_json("v", EVAL_PAYLOAD).alias("p")))
+        as_list = files.where(py_strip(sec).startswith("[")).select(
+            "file", F.posexplode(F.from_json(sec, "array<string>")).alias("pos", "e"))
+        p = F.from_json("e", EVAL_PAYLOAD)
+        parts.append(as_list.where(F.col("e").startswith("{")).select(
+            "file", F.lit(rank).alias("rank"), "pos", _id_of(p, F.lit(None).cast("string")).alias("instance_id"),
+            p.alias("p")))
+    top = files.where(py_strip(F.col("text")).startswith("[")).select(
+        "file", F.posexplode(F.from_json("text", "array<string>")).alias("pos", "e"))
+    p = F.from_json("e", EVAL_PAYLOAD)
+    parts.append(top.where(F.col("e").startswith("{")).select(
+        "file", F.lit(3).alias("rank"), "pos", _id_of(p, F.lit(None).cast("string")).alias("instance_id"), p.alias("p")))
+    entries = parts[0]
+    for q in parts[1:]:
+        entries = entries.unionByName(q)
+    entries = entries.where(F.coalesce(F.col("instance_id"), F.lit("")) != "")
+    single = files.where(py_strip(F.col("text")).startswith("{")).select(
+        "file", F.lit(-1).alias("rank"), F.lit(0).alias("pos"),
+        F.get_json_object("text", "$.instance_id").alias("instance_id"), F.from_json("text", EVAL_PAYLOAD).alias("p"))
+    single = single.where(F.col("instance_id").isNotNull()).join(entries.select("file").distinct(), "file", "left_anti")
+    allrows = entries.unionByName(single)
+    return (allrows.groupBy("file", "instance_id")
+            .agg(F.max_by(F.struct(F.col("p.resolved").alias("resolved"),
+                                   F.col("p.patch_successfully_applied").alias("patch_successfully_applied")),
+                          F.struct("rank", "pos")).alias("x"))
+            .select("file", "instance_id", "x.*"))

@@ -163,3 +163,49 @@ def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = (raw.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "2 days")
             .dropDuplicatesWithinWatermark(["instance_id"]).select("instance_id"))
     return drain_to_memory(keys, "dedupe")
+
+
+# ------------------------------------------------------------------ STR-5
+SESSION_STATE = T.StructType([T.StructField("ids", T.ArrayType(T.StringType())),
+                              T.StructField("owners", T.ArrayType(T.StringType()))])
+
+
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session state per chain with ``applyInPandasWithState``: the live
+    ids of a chain and their owners are the state; each op is applied in
+    sequence order inside the micro-batch and the state carries across
+    batches (ops of one chain must arrive in order)."""
+    from gavel.operators.tasks import SESSION_OUT
+    from gavel.sources.bridges import SPARK, bridge, sql_for
+
+    # The log derives each op's sequence number from a per-chain window,
+    # which a stream cannot compute; the ops table itself is streamed from
+    # the batch derivation written under the checkpoint folder.
+    path = _location(spark, "session-log")
+    bridge(spark, sf_dir, "b_session_log").write.mode("overwrite").parquet(path)
+    schema = spark.read.parquet(path).schema
+    log = spark.readStream.schema(schema).parquet(path)
+
+    def step(key, batches, state):
+        live = dict(zip(*state.get)) if state.exists else {}
+        for pdf in batches:
+            rows = []
+            for r in pdf.sort_values("seq", kind="stable").itertuples(index=False):
+                if r.op == "create":
+                    live[r.session_id] = r.user_id
+                    rows.append((r.chain_id, r.seq, r.op, r.session_id, r.user_id, True, None))
+                elif r.op == "invalidate":
+                    rows.append((r.chain_id, r.seq, r.op, r.session_id, live.pop(r.session_id, None), False, None))
+                else:
+                    owner = live.pop(r.session_id, None)
+                    if owner is None:
+                        rows.append((r.chain_id, r.seq, r.op, r.new_session_id, None, False, "unknown session id"))
+                    else:
+                        live[r.new_session_id] = owner
+                        rows.append((r.chain_id, r.seq, r.op, r.new_session_id, owner, True, None))
+            yield pd.DataFrame(rows, columns=[f.name for f in SESSION_OUT.fields])
+        state.update((list(live.keys()), list(live.values())))
+
+    out = log.groupBy("chain_id").applyInPandasWithState(step, SESSION_OUT, SESSION_STATE, "append",
+                                                         GroupStateTimeout.NoTimeout)
+    return drain_to_memory(out, "sessions")
