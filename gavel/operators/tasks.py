@@ -17,52 +17,98 @@ from gavel.functions.text import py_strip
 
 # ------------------------------------------------------------------ BIZ-1
 def greedy_rate_limit(events: DataFrame, user: str = "user_id", ts: str = "ts_unit", order: str = "event_id",
-                      window: int = K.LIMITER_WINDOW, limit: int = K.LIMITER_LIMIT) -> DataFrame:
+                      window: int = K.LIMITER_WINDOW, limit: int = K.LIMITER_LIMIT, span: int | None = None,
+                      max_rounds: int = 64) -> DataFrame:
     """Allow an event when fewer than ``limit`` ALLOWED events of the same
     user lie in [ts - window + 1, ts]; denied events do not count, so a
     plain windowed count is wrong.
 
-    The greedy state only reaches back ``window`` units, so a gap of at
-    least ``window`` between consecutive events of a user resets it exactly.
-    The user's timeline is cut at those gaps (a running sum over a lag), and
-    each segment is folded independently with ``applyInPandas``: a busy user
-    is spread over as many tasks as it has idle gaps.
+    Parallel and exact:
+    1. The greedy state only reaches back ``window`` units, so a gap of at
+       least ``window`` between consecutive events of a user resets it: the
+       timeline is cut into segments there (running sum over a lag).
+    2. Segments are cut further into time chunks of ``span`` units, so a
+       user who never pauses (a hot key) still spreads over many tasks.
+    3. Every chunk is folded in parallel from an entry state (the allowed
+       timestamps carried in); the first pass assumes an empty one. A
+       chunk's true entry state is the exit state of the chunk before it in
+       the same segment; chunks whose entry changed are folded again until
+       nothing changes. The first chunk of a segment is always exact, so
+       after round r the first r chunks of every segment are final; in
+       practice one extra round suffices. Rounds cut lineage with
+       ``checkpoint()`` in the shared checkpoint folder.
     """
+    spark = events.sparkSession
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    span = span or window * 4096
+    key = [user, "_seg", "_chunk"]
     w = Window.partitionBy(user).orderBy(ts, order)
-    seg = (events.withColumn("_prev", F.lag(ts).over(w))
-           .withColumn("_new", F.when(F.col("_prev").isNull() | (F.col(ts) - F.col("_prev") >= window), 1)
-                       .otherwise(0))
-           .withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-           .drop("_prev", "_new"))
-    schema = T.StructType(seg.schema.fields + [T.StructField("allowed", T.BooleanType())])
-    nparts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = (events.withColumn("_prev", F.lag(ts).over(w))
+            .withColumn("_new", F.when(F.col("_prev").isNull() | (F.col(ts) - F.col("_prev") >= window), 1)
+                        .otherwise(0))
+            .withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("_chunk", F.floor(F.col(ts) / span).cast("bigint"))
+            .drop("_prev", "_new"))
+    base_fields = data.schema.fields
+    out_schema = T.StructType(base_fields + [T.StructField("allowed", T.BooleanType()),
+                                             T.StructField("_after", T.ArrayType(T.LongType()))])
 
     def fold(batches):
-        # Rows arrive clustered by (user, segment) and sorted by time inside
-        # each partition (secondary sort), so one pass with a small state
-        # that survives batch boundaries replaces one Python call per group.
-        key, kept = None, []
+        # Rows arrive clustered by chunk and time-sorted inside each
+        # partition (secondary sort); the state survives batch boundaries.
+        cur, kept = None, []
         for pdf in batches:
-            users = pdf[user].to_numpy()
-            segs = pdf["_seg"].to_numpy()
-            times = pdf[ts].to_numpy()
-            out = [False] * len(pdf)
+            users, segs, chunks = pdf[user].to_numpy(), pdf["_seg"].to_numpy(), pdf["_chunk"].to_numpy()
+            times, entries = pdf[ts].to_numpy(), pdf["_entry"].to_numpy()
+            allowed, after = [False] * len(pdf), [None] * len(pdf)
             for i in range(len(pdf)):
-                k = (users[i], segs[i])
-                if k != key:
-                    key, kept = k, []
-                t = times[i]
-                cutoff = t - window + 1
-                while kept and kept[0] < cutoff:
+                k = (users[i], segs[i], chunks[i])
+                if k != cur:
+                    cur = k
+                    kept = [int(x) for x in entries[i]] if entries[i] is not None else []
+                t = int(times[i])
+                while kept and kept[0] <= t - window:
                     kept.pop(0)
                 if len(kept) < limit:
                     kept.append(t)
-                    out[i] = True
-            pdf["allowed"] = out
+                    allowed[i] = True
+                after[i] = list(kept)
+            pdf = pdf.drop(columns=["_entry"])
+            pdf["allowed"] = allowed
+            pdf["_after"] = after
             yield pdf
 
-    clustered = seg.repartition(nparts, user, "_seg").sortWithinPartitions(user, "_seg", ts, order)
-    return clustered.mapInPandas(fold, schema=schema).drop("_seg")
+    def run(rows: DataFrame, entries: DataFrame | None) -> DataFrame:
+        if entries is None:
+            rows = rows.withColumn("_entry", F.lit(None).cast("array<bigint>"))
+        else:
+            rows = rows.join(entries, key, "left")
+        clustered = rows.repartition(nparts, *key).sortWithinPartitions(*key, ts, order)
+        return clustered.mapInPandas(fold, out_schema)
+
+    def next_entries(out: DataFrame) -> DataFrame:
+        exits = out.groupBy(*key).agg(F.max_by("_after", F.struct(ts, order)).alias("_exit"))
+        nxt = F.lead("_chunk").over(Window.partitionBy(user, "_seg").orderBy("_chunk"))
+        return (exits.withColumn("_next", nxt).where(F.col("_next").isNotNull())
+                .select(user, "_seg", F.col("_next").alias("_chunk"), F.col("_exit").alias("_entry"))
+                .where(F.size("_entry") > 0))
+
+    from pyspark import StorageLevel
+    out = run(data, None).persist(StorageLevel.MEMORY_AND_DISK)
+    entries = spark.createDataFrame([], T.StructType([f for f in base_fields if f.name in key]
+                                                    + [T.StructField("_entry", T.ArrayType(T.LongType()))]))
+    for _ in range(max_rounds):
+        nxt = next_entries(out).persist(StorageLevel.MEMORY_AND_DISK)
+        cmp = nxt.join(entries.withColumnRenamed("_entry", "_old"), key, "full")
+        changed = cmp.where(~F.coalesce(F.col("_entry"), F.array().cast("array<bigint>"))
+                            .eqNullSafe(F.coalesce(F.col("_old"), F.array().cast("array<bigint>")))).select(*key)
+        if changed.isEmpty():
+            break
+        redo = run(data.join(changed, key, "left_semi"), nxt)
+        # later rounds cut the growing lineage in the shared checkpoint folder
+        out = out.join(changed, key, "left_anti").unionByName(redo).checkpoint()
+        entries = nxt
+    return out.drop("_seg", "_chunk", "_after")
 
 
 # ------------------------------------------------------------------ BIZ-2

@@ -109,3 +109,12 @@ def test_iteration_fold(spark):
     assert f["r3"].iterations == 3 and f["r3"].last_tau == 3
     assert f["r3"].cri_history == [0.0, 0.5, 0.75]
     assert f["r3"].cri_improvement == 0.75
+
+
+def test_limiter_dense_hot_user_chunks(spark):
+    rnd = random.Random(11)
+    events = [(eid, 0 if eid % 3 else rnd.choice([1, 2]), eid // 2 + rnd.randint(0, 1)) for eid in range(2000)]
+    df = spark.createDataFrame(events, "event_id long, user_id long, ts_unit long")
+    # a tiny span forces many chunks per dense segment and several fix-point rounds
+    got = {r.event_id: r.allowed for r in B.greedy_rate_limit(df, span=37).collect()}
+    assert got == brute_limiter(events)
