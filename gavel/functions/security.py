@@ -58,25 +58,39 @@ def secret_findings_rows(rows, key: str = "seq"):
                                  F.array_sort(F.array_distinct(F.flatten(F.collect_list(tagged)))).alias("light"))
 
 
-def with_diff_scan(df, patch: str, need: Column | None = None, prefix: str = "_ds"):
-    """SEC-13 staged: adds ``{prefix}_light`` (sorted tagged findings),
-    ``{prefix}_haspy``, ``{prefix}_blank`` and ``{prefix}_parse_in`` (the
-    added code to parse, null wherever the outcome does not depend on the
-    parse). Rows with ``need`` false are skipped (null light)."""
-    from gavel.functions.text import with_added_lines
+def diff_scan(patch) -> Column:
+    """SEC-13 without the parse check as ONE struct column: light (sorted
+    tagged findings), haspy, blank, ncode and parse_in (the added code to
+    parse, null wherever the outcome does not depend on the parse). Each
+    intermediate is bound once, so the expression stays linear in size."""
+    from gavel.functions.text import added_lines, let
+
+    def with_src(src):
+        def with_code(code):
+            snip = F.array_join(F.transform(code, lambda a: a["line"]), "\n")
+            light = secret_findings_from_code(code)
+            haspy = has_python_tokens(src)
+
+            def finish(v):
+                blank = py_strip(v["snip"]) == ""
+                parse_in = F.when((F.size(v["light"]) == 0) & v["haspy"] & ~blank, v["snip"])
+                return F.struct(v["light"].alias("light"), v["haspy"].alias("haspy"), blank.alias("blank"),
+                                v["ncode"].alias("ncode"), parse_in.alias("parse_in"))
+            return let(F.struct(snip.alias("snip"), light.alias("light"), haspy.alias("haspy"),
+                                F.size(code).alias("ncode")), finish)
+        return let(code_lines(added_lines(src)), with_code)
+    return let(_c(patch), with_src)
+
 
+def with_diff_scan(df, patch: str, need: Column | None = None, prefix: str = "_ds"):
+    """SEC-13 staged onto ``df``: adds ``{prefix}_light``, ``_haspy``,
+    ``_blank``, ``_ncode`` and ``_parse_in``. Rows with ``need`` false are
+    skipped (null results)."""
     src = F.col(patch) if need is None else F.when(need, F.col(patch))
-    df = df.withColumn(f"{prefix}_src", src)
-    df = with_added_lines(df, f"{prefix}_src", f"{prefix}_added")
-    df = df.withColumn(f"{prefix}_code", code_lines(F.col(f"{prefix}_added")))
-    df = df.withColumn(f"{prefix}_light", secret_findings_from_code(F.col(f"{prefix}_code")))
-    df = df.withColumn(f"{prefix}_ncode", F.size(f"{prefix}_code"))
-    df = df.withColumn(f"{prefix}_snip", F.array_join(F.transform(f"{prefix}_code", lambda a: a["line"]), "\n"))
-    df = (df.withColumn(f"{prefix}_haspy", has_python_tokens(f"{prefix}_src"))
-          .withColumn(f"{prefix}_blank", py_strip(f"{prefix}_snip") == ""))
-    needs_parse = (F.size(f"{prefix}_light") == 0) & F.col(f"{prefix}_haspy") & ~F.col(f"{prefix}_blank")
-    df = df.withColumn(f"{prefix}_parse_in", F.when(needs_parse, F.col(f"{prefix}_snip")))
-    return df.drop(f"{prefix}_src", f"{prefix}_added", f"{prefix}_code", f"{prefix}_snip")
+    df = df.withColumn(f"{prefix}_scan", diff_scan(src))
+    for f in ("light", "haspy", "blank", "ncode", "parse_in"):
+        df = df.withColumn(f"{prefix}_{f}", F.col(f"{prefix}_scan.{f}"))
+    return df.drop(f"{prefix}_scan")
 
 
 def diff_scan_failed(patch_is_null: Column, light: Column, has_python: Column, snippet_blank: Column,

@@ -43,33 +43,68 @@ def lines_of(c) -> Column:
     return F.split(_c(c), LF, -1)
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it many times in ``body`` (a lambda):
+    ``transform(array(value), v -> body(v))[0]``. Keeps expression trees
+    linear when the optimizer inlines projections into later operators."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # ------------------------------------------------------------ TXT-1 / TXT-2
 _FENCE = r"(?s)```(?:diff|patch)?" + PY_WS + r"*\n(.*?)\n```"
 _OUTER_OPEN = "^" + PY_WS + r"*```(?:diff|patch)?" + PY_WS + r"*\n?"
 _OUTER_CLOSE = r"(?s)\A(.*?)\n?" + PY_WS + r"*```" + PY_WS + r"*(?=\n|\z)"
 
 
+_ZERO_INDENT = r"(?m)(?d)^" + PY_NONWS
+
+
 def safe_dedent(c) -> Column:
     """TXT-2: remove the common indent of non-blank lines; a whitespace-only
-    line that would vanish becomes a single space."""
-    text = _c(c)
-    lines = lines_of(text)
-    indents = F.transform(F.filter(lines, lambda x: py_lstrip(x) != ""),
-                          lambda x: F.length(x) - F.length(py_lstrip(x)))
-    margin = F.array_min(indents)
-    cut = F.transform(lines, lambda x: F.when(x == "", x)
-                      .when(F.length(x) <= margin, F.lit(" "))
-                      .otherwise(x.substr(margin + 1, F.length(x))))
-    return F.when(margin.isNotNull() & (margin > 0), F.array_join(cut, LF)).otherwise(text)
+    line that would vanish becomes a single space. A non-blank line at
+    column 0 makes the margin 0 (identity) without splitting lines."""
+    def body(text):
+        def with_lines(lines):
+            indents = F.transform(F.filter(lines, lambda x: py_lstrip(x) != ""),
+                                  lambda x: F.length(x) - F.length(py_lstrip(x)))
+
+            def with_margin(margin):
+                cut = F.transform(lines, lambda x: F.when(x == "", x)
+                                  .when(F.length(x) <= margin, F.lit(" "))
+                                  .otherwise(x.substr(margin + 1, F.length(x))))
+                return F.when(margin.isNotNull() & (margin > 0), F.array_join(cut, LF)).otherwise(text)
+            return let(F.array_min(indents), with_margin)
+        return F.when(text.rlike(_ZERO_INDENT), text).otherwise(let(lines_of(text), with_lines))
+    return let(_c(c), body)
 
 
 def normalize_patch(c) -> Column:
-    """TXT-1 as a single Column (fine for small inputs; pipelines use the
-    staged ``with_normalized_patch`` which computes each step once)."""
-    raw = _raw(_c(c))
-    cand = _candidate(raw)
-    lines = lines_of(cand)
-    return _finish(cand, lines, _start(F.transform(lines, lambda x: py_lstrip(x))))
+    """TXT-1: canonical patch text (see module doc for the LF-only rule).
+
+    One linear-size expression: every intermediate is bound once with
+    ``let``. Exact fast paths keep typical patches off the per-line path:
+    text that starts with a git header has its start at line 1; text
+    without a fence marker needs no fence-line filter; text with a
+    non-blank line at column 0 has a dedent margin of 0.
+    """
+    def with_cand(cand):
+        maybe_header = cand.contains("diff --git ") | cand.contains("--- ")
+
+        def with_lines(lines):
+            start = F.when(cand.startswith("diff --git "), F.lit(1)).when(
+                maybe_header, _start(F.transform(lines, lambda x: py_lstrip(x))))
+
+            def with_start(st):
+                tail = F.slice(lines, F.coalesce(st, F.lit(1)), F.greatest(F.size(lines), F.lit(1)))
+                block = F.filter(tail, lambda x: ~py_lstrip(x).startswith("```"))
+                body = (F.when(st.isNull(), cand)
+                        .when(cand.contains("```"), F.array_join(block, LF))
+                        .when(st == 1, cand)
+                        .otherwise(F.array_join(tail, LF)))
+                return F.concat(strip_newlines(safe_dedent(body)), F.lit(LF))
+            return let(start, with_start)
+        return let(lines_of(cand), with_lines)
+    return let(_raw(_c(c)), lambda raw: let(_candidate(raw), with_cand))
 
 
 def _raw(c: Column) -> Column:
@@ -78,78 +113,36 @@ def _raw(c: Column) -> Column:
 
 
 def _candidate(raw: Column) -> Column:
-    bare = strip_newlines(raw)
-    unwrapped = F.regexp_replace(F.regexp_replace(bare, _OUTER_OPEN, ""), _OUTER_CLOSE, "$1")
-    fenced = raw.contains("```")  # cheap guard before any fence regex
-    bare = F.when(fenced & bare.rlike("^" + PY_WS + "*```"), unwrapped).otherwise(bare)
-    return F.when(fenced & raw.rlike(_FENCE), F.regexp_extract(raw, _FENCE, 1)).otherwise(bare)
+    def with_bare(bare):
+        unwrapped = F.regexp_replace(F.regexp_replace(bare, _OUTER_OPEN, ""), _OUTER_CLOSE, "$1")
+        fenced = raw.contains("```")  # cheap guard before any fence regex
+        bare2 = F.when(fenced & bare.rlike("^" + PY_WS + "*```"), unwrapped).otherwise(bare)
+        return F.when(fenced & raw.rlike(_FENCE), F.regexp_extract(raw, _FENCE, 1)).otherwise(bare2)
+    return let(strip_newlines(raw), with_bare)
 
 
 def _start(left: Column) -> Column:
     """1-based index of the first diff header line (git, else '--- ' with a
     later '+++ '), or null."""
-    git_pos = F.array_position(F.transform(left, lambda x: x.startswith("diff --git ")), True)
-    last_plus = F.array_max(F.transform(left, lambda x, i: F.when(x.startswith("+++ "), i).otherwise(-1)))
-    first_minus = F.array_min(F.transform(left, lambda x, i: F.when(x.startswith("--- ") & (i < last_plus), i)))
-    return F.when(git_pos > 0, git_pos).otherwise(first_minus + 1)
+    def body(lf):
+        git_pos = F.array_position(F.transform(lf, lambda x: x.startswith("diff --git ")), True)
+        last_plus = F.array_max(F.transform(lf, lambda x, i: F.when(x.startswith("+++ "), i).otherwise(-1)))
 
-
-def _finish(cand: Column, lines: Column, start: Column) -> Column:
-    block = F.filter(F.slice(lines, F.coalesce(start, F.lit(1)), F.greatest(F.size(lines), F.lit(1))),
-                     lambda x: ~py_lstrip(x).startswith("```"))
-    body = F.when(start.isNotNull(), F.array_join(block, LF)).otherwise(cand)
-    return F.concat(strip_newlines(safe_dedent(body)), F.lit(LF))
+        def with_last(lp):
+            first_minus = F.array_min(F.transform(lf, lambda x, i: F.when(x.startswith("--- ") & (i < lp), i)))
+            return F.when(git_pos > 0, git_pos).otherwise(first_minus + 1)
+        return let(last_plus, with_last)
+    return let(left, body)
 
 
 def with_normalized_patch(df, src: str, out: str = "patch"):
-    """TXT-1 staged over DataFrame columns (no duplicated sub-expressions).
-
-    Exact fast paths keep typical patches off the per-line path: text that
-    starts with a git header has its start at line 1; text without a fence
-    marker needs no fence-line filter; text with any non-blank line at
-    column 0 has a dedent margin of 0.
-    """
-    t = "_np"
-    df = (df.withColumn(f"{t}_raw", _raw(F.col(src)))
-          .withColumn(f"{t}_cand", _candidate(F.col(f"{t}_raw"))))
-    cand = F.col(f"{t}_cand")
-    maybe_header = cand.contains("diff --git ") | cand.contains("--- ")
-    df = df.withColumn(f"{t}_lines", F.when(~cand.startswith("diff --git ") & maybe_header, lines_of(cand)))
-    slow_start = _start(F.transform(F.col(f"{t}_lines"), lambda x: py_lstrip(x)))
-    df = df.withColumn(f"{t}_start", F.when(cand.startswith("diff --git "), F.lit(1))
-                       .when(maybe_header, slow_start))
-    start = F.col(f"{t}_start")
-    has_fence = cand.contains("```")
-    lines = F.coalesce(F.col(f"{t}_lines"), lines_of(cand))
-    block = F.filter(F.slice(lines, F.coalesce(start, F.lit(1)), F.greatest(F.size(lines), F.lit(1))),
-                     lambda x: ~py_lstrip(x).startswith("```"))
-    after_start = F.when(start == 1, cand).otherwise(
-        F.array_join(F.slice(lines, F.coalesce(start, F.lit(1)), F.greatest(F.size(lines), F.lit(1))), LF))
-    df = df.withColumn(f"{t}_body", F.when(start.isNull(), cand)
-                       .when(has_fence, F.array_join(block, LF))
-                       .otherwise(after_start))
-    df = with_safe_dedent(df, f"{t}_body", f"{t}_ded")
-    df = df.withColumn(out, F.concat(strip_newlines(F.col(f"{t}_ded")), F.lit(LF)))
-    return df.drop(f"{t}_raw", f"{t}_cand", f"{t}_lines", f"{t}_start", f"{t}_body", f"{t}_ded")
-
-
-_ZERO_INDENT = r"(?m)(?d)^" + PY_NONWS
+    """TXT-1 as a column of ``df``."""
+    return df.withColumn(out, normalize_patch(F.col(src)))
 
 
 def with_safe_dedent(df, src: str, out: str):
-    t = "_sd"
-    text = F.col(src)
-    # A non-blank line starting at column 0 makes the margin 0: identity.
-    df = df.withColumn(f"{t}_lines", F.when(~text.rlike(_ZERO_INDENT), lines_of(src)))
-    indents = F.transform(F.filter(F.col(f"{t}_lines"), lambda x: py_lstrip(x) != ""),
-                          lambda x: F.length(x) - F.length(py_lstrip(x)))
-    df = df.withColumn(f"{t}_margin", F.array_min(indents))
-    margin = F.col(f"{t}_margin")
-    cut = F.transform(F.col(f"{t}_lines"), lambda x: F.when(x == "", x)
-                      .when(F.length(x) <= margin, F.lit(" "))
-                      .otherwise(x.substr(margin + 1, F.length(x))))
-    df = df.withColumn(out, F.when(margin.isNotNull() & (margin > 0), F.array_join(cut, LF)).otherwise(text))
-    return df.drop(f"{t}_lines", f"{t}_margin")
+    """TXT-2 as a column of ``df``."""
+    return df.withColumn(out, safe_dedent(F.col(src)))
 
 
 # --------------------------------------------------------------- TXT-3..6, 8
@@ -194,10 +187,26 @@ def is_no_patch(c) -> Column:
 
 # ------------------------------------------------------------------ TXT-9
 def added_lines(c) -> Column:
-    """TXT-9 as a single Column (small inputs); see ``with_added_lines``."""
-    lines = lines_of(c)
-    idx = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    return _added_from(idx, *_added_parts(idx))
+    """TXT-9: array<struct<pos, path, line>> of the '+' lines inside hunks.
+
+    A line's block is the last 'diff --git ' line before it; it is inside a
+    hunk when the block's first '@@ ' line precedes it; its path is the last
+    '+++ ' line of the block before it. No sequential fold, no shuffle; cost
+    O(lines x files) inside the row. Every intermediate is bound once
+    (``let``), so the expression stays linear in size.
+    """
+    idx0 = F.transform(lines_of(c), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+
+    def with_idx(idx):
+        heads, hunks, plus = _added_parts(idx)
+        cand = F.filter(idx, lambda s: s["x"].startswith("+") & ~s["x"].startswith("+++ "))
+        parts = F.struct(heads.alias("h"), hunks.alias("k"), plus.alias("p"), cand.alias("c"))
+
+        def with_parts(hp):
+            return let(_blocks(hp["h"], hp["k"]),
+                       lambda blocks: _added_from_parts(hp["c"], hp["h"], hp["p"], blocks))
+        return let(parts, with_parts)
+    return let(idx0, with_idx)
 
 
 def _added_parts(idx: Column):
@@ -213,16 +222,16 @@ def _blocks(heads: Column, hunks: Column) -> Column:
                        lambda b: F.struct(b.alias("b"), F.array_min(F.filter(hunks, lambda k: k > b)).alias("k")))
 
 
-def _added_from(idx, heads, hunks, plus, blocks=None) -> Column:
-    blocks = _blocks(heads, hunks) if blocks is None else blocks
-    cand = F.filter(idx, lambda s: s["x"].startswith("+") & ~s["x"].startswith("+++ "))
-
+def _added_from_parts(cand, heads, plus, blocks) -> Column:
     def resolve(s):
         b = F.coalesce(F.array_max(F.filter(heads, lambda h: h < s["i"])), F.lit(-1))
-        k = F.array_min(F.transform(F.filter(blocks, lambda bk: bk["b"] == b), lambda bk: bk["k"]))
-        p = F.array_max(F.filter(plus, lambda pp: (pp["i"] > b) & (pp["i"] < s["i"])))["p"]
-        return F.struct(s["i"].alias("pos"), p.alias("path"), F.substring(s["x"], 2, 1 << 30).alias("line"),
-                        (F.coalesce(k, F.lit(1 << 30)) < s["i"]).alias("in_hunk"))
+
+        def at_block(bv):
+            k = F.array_min(F.transform(F.filter(blocks, lambda bk: bk["b"] == bv), lambda bk: bk["k"]))
+            p = F.array_max(F.filter(plus, lambda pp: (pp["i"] > bv) & (pp["i"] < s["i"])))["p"]
+            return F.struct(s["i"].alias("pos"), p.alias("path"), F.substring(s["x"], 2, 1 << 30).alias("line"),
+                            (F.coalesce(k, F.lit(1 << 30)) < s["i"]).alias("in_hunk"))
+        return let(b, at_block)
 
     out = F.filter(F.transform(cand, resolve), lambda s: s["in_hunk"])
     return F.transform(out, lambda s: F.struct(s["pos"].alias("pos"), s["path"].alias("path"),
@@ -230,21 +239,8 @@ def _added_from(idx, heads, hunks, plus, blocks=None) -> Column:
 
 
 def with_added_lines(df, src: str, out: str = "added"):
-    """TXT-9 staged: array<struct<pos, path, line>> of '+' lines in hunks.
-
-    A line's block is the last 'diff --git ' line before it; it is inside a
-    hunk when the block's first '@@ ' line precedes it; its path is the last
-    '+++ ' line of the block before it. No sequential fold, no shuffle;
-    cost O(lines x files) inside the row.
-    """
-    t = "_al"
-    df = df.withColumn(f"{t}_idx", F.transform(lines_of(src), lambda x, i: F.struct(i.alias("i"), x.alias("x"))))
-    heads, hunks, plus = _added_parts(F.col(f"{t}_idx"))
-    df = df.withColumn(f"{t}_heads", heads).withColumn(f"{t}_hunks", hunks).withColumn(f"{t}_plus", plus)
-    df = df.withColumn(f"{t}_blocks", _blocks(F.col(f"{t}_heads"), F.col(f"{t}_hunks")))
-    df = df.withColumn(out, _added_from(F.col(f"{t}_idx"), F.col(f"{t}_heads"), F.col(f"{t}_hunks"),
-                                        F.col(f"{t}_plus"), F.col(f"{t}_blocks")))
-    return df.drop(f"{t}_idx", f"{t}_heads", f"{t}_hunks", f"{t}_plus", f"{t}_blocks")
+    """TXT-9 as a column of ``df`` (see ``added_lines``)."""
+    return df.withColumn(out, added_lines(F.col(src)))
 
 
 def explode_added_lines(df, src: str, key: str = "seq"):

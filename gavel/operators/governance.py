@@ -62,11 +62,6 @@ def governed_eval(preds: DataFrame, statuses: DataFrame | None = None, results:
     """
     p = preds if prepared else prepare_predictions(preds)
     t = float(cri_threshold)
-    if statuses is None and results is None and reports is None and artifacts is None:
-        # Keep the normalisation stage and the scan stage apart (the joins
-        # normally do this); the optimizer would otherwise inline the staged
-        # text expressions into every consumer.
-        p = p.repartition("instance_id")
 
     if statuses is not None:
         p = p.join(statuses.select("instance_id", F.col("status").alias("_status")), "instance_id", "left")
