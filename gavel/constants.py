@@ -70,6 +70,9 @@ RESOLVED_LOG_RE = r"resolved:\s*(True|False)"
 PY_WS_CHARS = (r"\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 PY_WS = "[" + PY_WS_CHARS + "]"
+# the same set as literal characters (for character-set trims)
+PY_WS_LITERAL = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+                 "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 PY_NONWS = "[^" + PY_WS_CHARS + "]"
 SECRET_RE = (r"(?i)(api[_-]?key|secret|token|password)" + PY_WS + r"*=" + PY_WS
              + r"*['\"]([^'\"]+)['\"]")

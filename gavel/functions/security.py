@@ -28,17 +28,41 @@ def secret_findings(added) -> Column:
     return secret_findings_from_code(code_lines(added))
 
 
+# Every spelling the case-insensitive secret pattern accepts contains one of
+# these lower-case fragments ('ſ' folds to 's' and 'K' to 'k' under Unicode
+# case folding, so the fragments avoid those letters): an exact cheap guard.
+_SECRET_GUARDS = ("ecret", "oken", "word", "ey")
+
+
+def secret_guard(line) -> Column:
+    low = F.lower(_c(line))
+    hit = F.lit(False)
+    for g in _SECRET_GUARDS:
+        hit = hit | low.contains(g)
+    return hit
+
+
 def secret_findings_from_code(code) -> Column:
     """SEC-13 regex layer: tagged SECRETS_POSSIBLE_HARDCODED labels, sorted
-    and distinct, one per (line, match)."""
+    and distinct, one per (line, match). A match never includes the line's
+    leading or trailing blanks, so the pattern runs on the raw line behind a
+    substring guard and only matching lines are stripped for the snippet."""
+    from gavel.functions.text import let
+
     def per_line(a):
-        norm = py_strip(a["line"])
-        values = F.regexp_extract_all(norm, F.lit(K.SECRET_RE), 2)
-        snippet = cap_snippet(norm)
-        label = F.when(F.coalesce(a["path"], F.lit("")) != "",
-                       F.concat(F.lit(K.SECRET_LABEL + "@"), a["path"], F.lit(": "), snippet)
-                       ).otherwise(F.concat(F.lit(K.SECRET_LABEL + ": "), snippet))
-        return F.transform(values, lambda v: F.concat(F.lit("["), secret_severity(a["path"], v), F.lit("] "), label))
+        values = F.when(secret_guard(a["line"]), F.regexp_extract_all(a["line"], F.lit(K.SECRET_RE), 2)) \
+            .otherwise(F.array().cast("array<string>"))
+
+        def tag(vals):
+            def with_norm(norm):
+                snippet = cap_snippet(norm)
+                label = F.when(F.coalesce(a["path"], F.lit("")) != "",
+                               F.concat(F.lit(K.SECRET_LABEL + "@"), a["path"], F.lit(": "), snippet)
+                               ).otherwise(F.concat(F.lit(K.SECRET_LABEL + ": "), snippet))
+                return F.transform(vals, lambda v: F.concat(F.lit("["), secret_severity(a["path"], v), F.lit("] "),
+                                                            label))
+            return F.when(F.size(vals) == 0, vals).otherwise(let(py_strip(a["line"]), with_norm))
+        return let(values, tag)
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(code, per_line))))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gavel.constants import PY_NONWS, PY_WS, SNIPPET_KEEP, SNIPPET_MAX
+from gavel.constants import PY_NONWS, PY_WS, PY_WS_LITERAL, SNIPPET_KEEP, SNIPPET_MAX
 
 LF = "\n"
 
@@ -23,15 +23,16 @@ def _c(c) -> Column:
 
 # ---------------------------------------------------------------- whitespace
 def py_lstrip(c) -> Column:
-    return F.regexp_replace(_c(c), "^" + PY_WS + "+", "")
+    """Python ``str.lstrip()``: a character-set trim, no regex."""
+    return F.ltrim(_c(c), F.lit(PY_WS_LITERAL))
 
 
 def py_rstrip(c) -> Column:
-    return F.regexp_replace(_c(c), PY_WS + r"+\z", "")
+    return F.rtrim(_c(c), F.lit(PY_WS_LITERAL))
 
 
 def py_strip(c) -> Column:
-    return py_rstrip(py_lstrip(c))
+    return F.trim(_c(c), F.lit(PY_WS_LITERAL))
 
 
 def strip_newlines(c) -> Column:
