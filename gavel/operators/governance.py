@@ -62,10 +62,6 @@ def governed_eval(preds: DataFrame, statuses: DataFrame | None = None, results:
     """
     p = preds if prepared else prepare_predictions(preds)
     t = float(cri_threshold)
-    if statuses is None and results is None and reports is None and artifacts is None:
-        # Without a join there is no exchange between the text stage and the
-        # Arrow UDF; this one keeps the UDF input a plain column.
-        p = p.repartition("instance_id")
 
     if statuses is not None:
         p = p.join(statuses.select("instance_id", F.col("status").alias("_status")), "instance_id", "left")

@@ -40,5 +40,11 @@ def scan_completes(snippet: str) -> bool:
 
 
 @F.pandas_udf(T.BooleanType())
-def python_scan_ok(snippets: pd.Series) -> pd.Series:
+def _python_scan_ok(snippets: pd.Series) -> pd.Series:
     return snippets.map(lambda s: None if s is None else scan_completes(s)).astype("boolean")
+
+
+# Marked non-deterministic so the optimizer never moves or copies the call
+# (e.g. into a pushed-down filter on the decision columns): it is computed
+# exactly once per row, in its own Arrow stage.
+python_scan_ok = _python_scan_ok.asNondeterministic()
