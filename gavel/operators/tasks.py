@@ -93,19 +93,24 @@ def greedy_rate_limit(events: DataFrame, user: str = "user_id", ts: str = "ts_un
                 .select(user, "_seg", F.col("_next").alias("_chunk"), F.col("_exit").alias("_entry"))
                 .where(F.size("_entry") > 0))
 
-    from pyspark import StorageLevel
-    out = run(data, None).persist(StorageLevel.MEMORY_AND_DISK)
+    # Entry states only matter for segments that span several chunks; when
+    # there are none, one fold is exact and nothing needs to be kept.
+    multi = (data.select(user, "_seg", "_chunk").distinct().groupBy(user, "_seg").count()
+             .where(F.col("count") > 1))
+    if multi.isEmpty():
+        return run(data, None).drop("_seg", "_chunk", "_after")
+    out = run(data, None).checkpoint()
     entries = spark.createDataFrame([], T.StructType([f for f in base_fields if f.name in key]
                                                     + [T.StructField("_entry", T.ArrayType(T.LongType()))]))
     for _ in range(max_rounds):
-        nxt = next_entries(out).persist(StorageLevel.MEMORY_AND_DISK)
+        nxt = next_entries(out).checkpoint()
         cmp = nxt.join(entries.withColumnRenamed("_entry", "_old"), key, "full")
         changed = cmp.where(~F.coalesce(F.col("_entry"), F.array().cast("array<bigint>"))
                             .eqNullSafe(F.coalesce(F.col("_old"), F.array().cast("array<bigint>")))).select(*key)
         if changed.isEmpty():
             break
         redo = run(data.join(changed, key, "left_semi"), nxt)
-        # later rounds cut the growing lineage in the shared checkpoint folder
+        # each round cuts the growing lineage in the shared checkpoint folder
         out = out.join(changed, key, "left_anti").unionByName(redo).checkpoint()
         entries = nxt
     return out.drop("_seg", "_chunk", "_after")
