@@ -131,16 +131,16 @@ SELECT 'li__' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRIN
 FROM {lineitem}
 """),
     "b_iter": (("lineitem",), """
-SELECT 'run__' || CAST(l_orderkey AS STRING) AS run, tau_step,
+SELECT run, tau_step,
        tt AS total_tests, CASE WHEN ff < tt THEN ff ELSE tt END AS tests_failed,
        CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 1 ELSE 0 END AS n_violations,
        CAST(floor(l_tax * 100.0) AS BIGINT) % 4 AS n_lint
-FROM (SELECT l_orderkey, l_returnflag, l_linestatus, l_tax,
-             CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT)
+FROM (SELECT run, l_returnflag, l_linestatus, l_tax,
+             CAST(row_number() OVER (PARTITION BY run ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT)
                AS tau_step,
              CAST(floor(l_quantity) AS BIGINT) % 6 AS tt,
              CAST(floor(l_extendedprice) AS BIGINT) % 3 AS ff
-      FROM {lineitem}) li
+      FROM (SELECT 'run__' || CAST(l_orderkey AS STRING) AS run, * FROM {lineitem}) r) li
 """),
     "b_cands": (("lineitem",), """
 SELECT 'p__' || CAST(l_partkey AS STRING) AS instance_id,
