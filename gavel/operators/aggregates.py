@@ -73,9 +73,10 @@ def ci_gate(evals: DataFrame) -> DataFrame:
 
 
 def frequency_tables(evals: DataFrame) -> DataFrame:
-    """AGG-2: four frequency tables in one pass (grouping sets). Nulls print
-    as 'None'; scan_failed as true/false; falsy scopes are skipped. Rows
-    carry ``first_seq`` so a caller can break count ties by first sight."""
+    """AGG-2: four frequency tables in ONE pass (grouping sets: one Expand,
+    one partial + final aggregation). Nulls print as 'None'; scan_failed as
+    true/false; falsy scopes are skipped. Rows carry ``first_seq`` so a
+    caller can break count ties by first sight."""
     e = evals.select(
         F.coalesce(F.col("final_decision").cast("string"), F.lit("None")).alias("final_decision"),
         F.coalesce(F.col("resolved_status").cast("string"), F.lit("None")).alias("resolved_status"),
@@ -83,15 +84,22 @@ def frequency_tables(evals: DataFrame) -> DataFrame:
         .alias("security_scan_failed"),
         F.nullif(F.col("security_scan_scope"), F.lit("")).alias("security_scan_scope"),
         F.col("seq"))
-    parts = []
-    for name in ("final_decision", "resolved_status", "security_scan_failed", "security_scan_scope"):
-        parts.append(e.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value"))
-                     .agg(F.count(F.lit(1)).cast("bigint").alias("count"), F.min("seq").alias("first_seq"))
-                     .withColumn("field", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("field", "value", "count", "first_seq")
+    g = e.sparkSession.sql("""
+        SELECT final_decision, resolved_status, security_scan_failed, security_scan_scope,
+               grouping_id() AS gid, count(*) AS n, min(seq) AS first_seq
+        FROM {e}
+        GROUP BY GROUPING SETS ((final_decision), (resolved_status), (security_scan_failed), (security_scan_scope))
+    """, e=e)
+    fields = ["final_decision", "resolved_status", "security_scan_failed", "security_scan_scope"]
+    # grouping_id bit i (from the left) is 0 for the column grouped on
+    field = F.lit(None).cast("string")
+    value = F.lit(None).cast("string")
+    for i, name in enumerate(fields):
+        gid = (1 << len(fields)) - 1 - (1 << (len(fields) - 1 - i))
+        field = F.when(F.col("gid") == gid, F.lit(name)).otherwise(field)
+        value = F.when(F.col("gid") == gid, F.col(name)).otherwise(value)
+    out = g.select(field.alias("field"), value.alias("value"), F.col("n").cast("bigint").alias("count"), "first_seq")
+    return out.where(~((F.col("field") == "security_scan_scope") & F.col("value").isNull()))
 
 
 def snapshot(evals: DataFrame) -> DataFrame:

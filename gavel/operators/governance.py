@@ -37,7 +37,12 @@ def prepare_predictions(preds: DataFrame) -> DataFrame:
     cols = set(preds.columns)
     provider = F.col("provider") if "provider" in cols else F.lit(None).cast("string")
     tau = F.col("tau_step") if "tau_step" in cols else F.lit(None).cast("bigint")
-    seq = F.col("seq") if "seq" in cols else F.monotonically_increasing_id()
+    if "seq" in cols:
+        seq = F.col("seq")
+    elif preds.isStreaming:  # arrival order is not a row property of a stream
+        seq = F.lit(None).cast("bigint")
+    else:
+        seq = F.monotonically_increasing_id()
     p = preds.select(F.col("instance_id").cast("string").alias("instance_id"), seq.alias("seq"),
                      F.coalesce(provider, F.lit(K.DEFAULT_PROVIDER)).alias("provider"),
                      F.coalesce(tau.cast("bigint"), F.lit(1).cast("bigint")).alias("tau"),

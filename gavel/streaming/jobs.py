@@ -43,6 +43,26 @@ def drain_to_memory(df: DataFrame, label: str, mode: str = "append") -> DataFram
     return spark.table(name)
 
 
+def start_to_parquet(df: DataFrame, label: str, path: str, processing_time: str | None = "1 minute"):
+    """Production form: append the stream to a parquet table with its
+    progress and state under the shared checkpoint folder (exactly-once file
+    sink; a restarted query resumes from the checkpoint). Returns the
+    running ``StreamingQuery``."""
+    w = (df.writeStream.format("parquet").option("path", path).outputMode("append")
+         .option("checkpointLocation", f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{label}"))
+    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
+    return w.start()
+
+
+def governed_eval_stream(spark: SparkSession, predictions: DataFrame, statuses: DataFrame, results: DataFrame,
+                         reports: DataFrame | None, model_id: str, allow_diff_fallback: bool = True) -> DataFrame:
+    """STR-1 transformation for any streaming predictions source
+    (instance_id, model_patch, ...): stream-static left joins, append-only."""
+    from gavel.operators.governance import governed_eval
+    return governed_eval(predictions, statuses, results, reports, model_id=model_id,
+                         allow_diff_fallback=allow_diff_fallback)
+
+
 # ------------------------------------------------------------------ STR-1
 def governed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Governed evaluation over arriving predictions: stream-static left

@@ -97,3 +97,18 @@ def test_sinks(spark, tmpdir_path):
     assert back.count() == 3
     W.write_csv(st, os.path.join(tmpdir_path, "csv"))
     assert spark.read.option("header", "true").csv(os.path.join(tmpdir_path, "csv")).count() == 3
+
+
+def test_stream_to_parquet(spark, tmpdir_path):
+    from gavel.streaming import jobs as J
+    src = os.path.join(tmpdir_path, "in")
+    spark.createDataFrame([("a", "diff --git a/x b/x\n")], "instance_id string, model_patch string").write.parquet(src)
+    stream = spark.readStream.schema("instance_id string, model_patch string").parquet(src)
+    empty = spark.createDataFrame([], "instance_id string, status string")
+    res = spark.createDataFrame([], "instance_id string, resolved boolean, resolved_status string")
+    ev = J.governed_eval_stream(spark, stream, empty, res, None, model_id="m")
+    out = os.path.join(tmpdir_path, "out")
+    q = J.start_to_parquet(ev.drop("artifacts"), "t-" + os.path.basename(tmpdir_path), out, processing_time=None)
+    q.awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 1 and rows[0].final_decision == "ABSTAIN" and rows[0].security_scan_failed
