@@ -79,7 +79,11 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
                          .otherwise(_id_of(F.col("r"), F.lit("instance_unknown"))).alias("instance_id"),
                          F.col("r.model_patch").alias("model_patch"), F.col("r.provider").alias("provider"),
                          F.col("r.tau_step").alias("tau_step"))
-    return arr.unionByName(single).unionByName(mapped).unionByName(lines).withColumn(
+    scalar = files.where(whole_ok & ~t.startswith("[") & ~t.startswith("{")).select(
+        "file", F.lit(1).cast("bigint").alias("seq"), F.lit("instance_unknown").alias("instance_id"),
+        F.element_at(F.from_json(F.concat(F.lit("["), F.col("text"), F.lit("]")), "array<string>"), 1)
+        .alias("model_patch"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("bigint").alias("tau_step"))
+    return arr.unionByName(single).unionByName(mapped).unionByName(lines).unionByName(scalar).withColumn(
         "model_patch", F.coalesce(F.col("model_patch"), F.lit("")))
 
 

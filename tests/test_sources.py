@@ -112,3 +112,34 @@ def test_stream_to_parquet(spark, tmpdir_path):
     q.awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert len(rows) == 1 and rows[0].final_decision == "ABSTAIN" and rows[0].security_scan_failed
+
+
+def test_scalar_report_context_compare(spark, tmpdir_path):
+    d = tmpdir_path
+    _write(d, "sc/preds.json", json.dumps("diff --git a/x b/x"))
+    rows = S.read_predictions(spark, os.path.join(d, "sc/preds.json")).collect()
+    assert [(r.instance_id, r.model_patch) for r in rows] == [("instance_unknown", "diff --git a/x b/x")]
+    _write(d, "ev/r.run1.json", json.dumps({
+        "report": {"a": {"resolved": True}, "b": {"resolved": True, "patch_successfully_applied": False}},
+        "results": [{"instance_id": "a", "resolved": False}, {"task": "c", "resolved": True}, "junk"],
+    }))
+    _write(d, "ev2/r.run1.json", json.dumps({"instance_id": "solo", "resolved": True}))
+    rep = {r.instance_id: (r.resolved, r.patch_successfully_applied)
+           for r in S.read_evaluator_report(spark, os.path.join(d, "ev/r.run1.json")).collect()}
+    assert rep == {"a": (False, None), "b": (True, False), "c": (True, None)}
+    solo = S.read_evaluator_report(spark, os.path.join(d, "ev2/r.run1.json")).collect()
+    assert [(r.instance_id, r.resolved) for r in solo] == [("solo", True)]
+    from gavel.operators.ordered import pack_context, rows_equal
+    files = spark.createDataFrame([
+        ("i", 1, "pkg/b.py", "changed", "B"), ("i", 2, "pkg/a.py", "changed", "A"), ("i", 3, "d.md", "changed", "D"),
+        ("i", 4, "tests/test_z.py", "test", "Z"), ("i", 5, "tests/test_y.py", "test", "Y"),
+        ("j", 1, "e.py", "explicit", "E"), ("j", 2, "c.py", "changed", "C"),
+    ], "instance_id string, pos long, path string, kind string, content string")
+    ctx = {r.instance_id: r.context for r in pack_context(files).collect()}
+    assert ctx["i"] == ("=== pkg/b.py ===\nB\n\n=== pkg/a.py ===\nA\n\n=== tests/test_y.py (tests) ===\nY\n\n"
+                        "=== tests/test_z.py (tests) ===\nZ\n")
+    assert ctx["j"] == "=== e.py ===\nE\n"
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    b = spark.createDataFrame([("y", 2), ("z", 3)], "v string, k int")
+    cmp = rows_equal(a, b).first()
+    assert (cmp.only_left, cmp.only_right, cmp.left_rows, cmp.right_rows) == (1, 1, 2, 2)
