@@ -71,3 +71,22 @@ def test_missing_report_and_no_reports(spark, tables):
     n = _rows(governed_eval(preds, statuses, results, None, model_id="m"))
     assert n["i"].security_scan_scope == "diff_fragment_fallback_v2" and n["i"].final_decision == "VETO"
     assert n["a"].security_scan_failed is False  # the added Python parses
+
+
+def test_survey_ledger_cases(spark):
+    """SURVEY 8.1/8.2: cases where the shipped code (followed here) differs
+    from what a test might expect."""
+    no_space_hunk = ("diff --git a/src/m.py b/src/m.py\n--- a/src/m.py\n+++ b/src/m.py\n@@\n"
+                     "+password = \"hunter22\"\n")
+    preds = spark.createDataFrame([("x", no_space_hunk), ("y", DIFF_PY), ("z", DIFF_PY)],
+                                  "instance_id string, model_patch string")
+    statuses = spark.createDataFrame([("y", "success"), ("z", "Timeout")], "instance_id string, status string")
+    results = spark.createDataFrame([("y", False, None)], "instance_id string, resolved boolean, resolved_status string")
+    r = _rows(governed_eval(preds, statuses, results, None, model_id="m"))
+    # '@@' without a trailing space never opens a hunk: nothing scanned -> failed coverage, no veto
+    assert r["x"].security_scan_failed and not r["x"].sad_flag and r["x"].final_decision == "ABSTAIN"
+    # resolved=false without a status: resolved fields change, earlier CRI and decision stay
+    assert r["y"].resolved is False and r["y"].eval_status is None
+    assert r["y"].cri == 1.0 and r["y"].final_decision == "OK" and r["y"].total_tests == 1
+    # a VETO base status still ends as ABSTAIN
+    assert r["z"].final_decision == "ABSTAIN" and r["z"].tests_failed == 1
