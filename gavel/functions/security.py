@@ -110,11 +110,14 @@ def with_diff_scan(df, patch: str, need: Column | None = None, prefix: str = "_d
     """SEC-13 staged onto ``df``: adds ``{prefix}_light``, ``_haspy``,
     ``_blank``, ``_ncode`` and ``_parse_in``. Rows with ``need`` false are
     skipped (null results)."""
+    from gavel.functions.text import memo_column
     src = F.col(patch) if need is None else F.when(need, F.col(patch))
-    df = df.withColumn(f"{prefix}_scan", diff_scan(src))
+    df = df.withColumn(f"{prefix}_src", src)
+    df = df.withColumn(f"{prefix}_scan", memo_column(("diff_scan", f"{prefix}_src"),
+                                                     lambda: diff_scan(F.col(f"{prefix}_src"))))
     for f in ("light", "haspy", "blank", "ncode", "parse_in"):
         df = df.withColumn(f"{prefix}_{f}", F.col(f"{prefix}_scan.{f}"))
-    return df.drop(f"{prefix}_scan")
+    return df.drop(f"{prefix}_scan", f"{prefix}_src")
 
 
 def diff_scan_failed(patch_is_null: Column, light: Column, has_python: Column, snippet_blank: Column,

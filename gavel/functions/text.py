@@ -44,6 +44,24 @@ def lines_of(c) -> Column:
     return F.split(_c(c), LF, -1)
 
 
+_MEMO: dict = {}
+
+
+def memo_column(key, build) -> Column:
+    """Reuse an expensive-to-build Column per SparkContext. Unresolved
+    expressions are immutable and resolve against each plan separately, so
+    building the large higher-order-function trees once saves thousands of
+    driver round trips per query."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    k = (id(sc), sc.applicationId if sc is not None else None, key)
+    col = _MEMO.get(k)
+    if col is None:
+        col = build()
+        _MEMO[k] = col
+    return col
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it many times in ``body`` (a lambda):
     ``transform(array(value), v -> body(v))[0]``. Keeps expression trees
@@ -138,12 +156,12 @@ def _start(left: Column) -> Column:
 
 def with_normalized_patch(df, src: str, out: str = "patch"):
     """TXT-1 as a column of ``df``."""
-    return df.withColumn(out, normalize_patch(F.col(src)))
+    return df.withColumn(out, memo_column(("normalize_patch", src), lambda: normalize_patch(F.col(src))))
 
 
 def with_safe_dedent(df, src: str, out: str):
     """TXT-2 as a column of ``df``."""
-    return df.withColumn(out, safe_dedent(F.col(src)))
+    return df.withColumn(out, memo_column(("safe_dedent", src), lambda: safe_dedent(F.col(src))))
 
 
 # --------------------------------------------------------------- TXT-3..6, 8
@@ -241,7 +259,7 @@ def _added_from_parts(cand, heads, plus, blocks) -> Column:
 
 def with_added_lines(df, src: str, out: str = "added"):
     """TXT-9 as a column of ``df`` (see ``added_lines``)."""
-    return df.withColumn(out, added_lines(F.col(src)))
+    return df.withColumn(out, memo_column(("added_lines", src), lambda: added_lines(F.col(src))))
 
 
 def explode_added_lines(df, src: str, key: str = "seq"):

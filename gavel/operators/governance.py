@@ -97,8 +97,8 @@ def governed_eval(preds: DataFrame, statuses: DataFrame | None = None, results:
     has_result = F.coalesce(F.col("_has_result"), F.lit(False))
     infra1 = X.infra_timeout_docker("patch")
     infra2 = ~infra1 & X.infra_timeout_phrase("patch") & ~has_result
-    p = (p.withColumn("_infra1", infra1).withColumn("_infra2", infra2)
-         .withColumn("status", F.coalesce(F.col("_status"), F.lit(K.DEFAULT_STATUS))))
+    p = p.withColumns({"_infra1": infra1, "_infra2": infra2,
+                       "status": F.coalesce(F.col("_status"), F.lit(K.DEFAULT_STATUS))})
 
     # ---- security: report, else diff-fragment scan (only where needed) ----
     if reports is not None:
@@ -109,11 +109,11 @@ def governed_eval(preds: DataFrame, statuses: DataFrame | None = None, results:
         found = F.lit(False)
         need_scan = F.lit(True)
     need_scan = need_scan & ~F.col("_infra1") & ~F.col("_infra2")
-    p = p.withColumn("_found", found).withColumn("_need_scan", need_scan)
-    p = S.with_diff_scan(p, "patch", F.col("_need_scan"), prefix="_ds")
-    p = (p.withColumn("_light", F.when(F.col("_need_scan"), F.col("_ds_light")))
-         .withColumnRenamed("_ds_haspy", "_haspy").withColumnRenamed("_ds_blank", "_blank")
-         .withColumn("_parse_ok", python_scan_ok(F.col("_ds_parse_in"))))
+    p = p.withColumns({"_found": found, "_need_scan": need_scan})
+    p = p.withColumn("_scan_src", F.when(F.col("_need_scan"), F.col("patch")))
+    p = p.withColumn("_ds", X.memo_column(("diff_scan", "_scan_src"), lambda: S.diff_scan(F.col("_scan_src"))))
+    p = p.withColumns({"_light": F.when(F.col("_need_scan"), F.col("_ds.light")), "_haspy": F.col("_ds.haspy"),
+                       "_blank": F.col("_ds.blank"), "_parse_ok": python_scan_ok(F.col("_ds.parse_in"))})
     scan_failed = S.diff_scan_failed(F.lit(False), F.col("_light"), F.col("_haspy"), F.col("_blank"),
                                      F.col("_parse_ok"))
 
@@ -137,24 +137,21 @@ def governed_eval(preds: DataFrame, statuses: DataFrame | None = None, results:
         failed = scan_failed
         error = F.lit(K.ERR_FALLBACK)
         scope = F.lit(K.SCOPE_FALLBACK)
-    p = (p.withColumn("_viol", viol).withColumn("_failed", failed)
-         .withColumn("_error", F.when(F.col("_failed"), error)).withColumn("_scope", scope))
+    p = p.withColumns({"_viol": viol, "_failed": failed, "_error_if": error, "_scope": scope})
 
     # ---- base metrics and decision ----
     sm = M.status_metrics("status")
-    p = p.withColumn("_sm", sm)
+    rs_up = F.nullif(F.upper(F.coalesce(F.col("_r_status"), F.lit(""))), F.lit(""))
+    p = p.withColumns({"_sm": sm, "_rs": rs_up, "_error": F.when(F.col("_failed"), F.col("_error_if"))})
     tp, tf, tt = F.col("_sm.tests_passed"), F.col("_sm.tests_failed"), F.col("_sm.total_tests")
     sad = M.any_high("_viol")
     cri0 = M.cri_v2(tp, tt, F.col("_viol"), F.col("_failed"))
-    p = p.withColumn("_sad", sad).withColumn("_cri0", cri0)
+    res = M.merged_resolved(F.col("_r_flag"), F.col("_rs"))
+    p = p.withColumns({"_sad": sad, "_cri0": cri0, "_res": F.when(has_result, res)})
     dec0 = M.base_decision(F.col("_sad"), F.col("_failed"), F.col("_sm.base_decision"), tt, F.col("_cri0"), t)
     rate0 = F.when(tt > 0, tp.cast("double") / tt.cast("double")).otherwise(F.lit(0.0))
 
     # ---- outcome merge (MET-8) ----
-    rs_up = F.nullif(F.upper(F.coalesce(F.col("_r_status"), F.lit(""))), F.lit(""))
-    p = p.withColumn("_rs", rs_up)
-    res = M.merged_resolved(F.col("_r_flag"), F.col("_rs"))
-    p = p.withColumn("_res", F.when(has_result, res))
     ev = M.merged_eval_status(F.col("_res"), F.col("_rs"))
     p = p.withColumn("_ev", F.when(has_result, ev))
     merged = has_result & F.col("_ev").isNotNull()
