@@ -140,16 +140,21 @@ def merge_statuses(rows: DataFrame, order=("file", "pos")) -> DataFrame:
 
 # ------------------------------------------------------------------ SRC-4, SRC-11
 def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """SRC-11: JSONL with (file, line) kept; mode FAILFAST (strict),
-    DROPMALFORMED, or PERMISSIVE with ``_corrupt_record`` for reporting."""
+    """SRC-11: JSONL with (file, line) kept, blank lines skipped. Modes:
+    FAILFAST (strict: a malformed line fails the job), DROPMALFORMED
+    (malformed lines dropped) or PERMISSIVE (kept with ``_corrupt_record``
+    so they can be reported with their line number)."""
     lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
              .withColumn("line", F.monotonically_increasing_id()).where(py_strip(F.col("value")) != ""))
-    full = schema + ", _corrupt_record string" if mode == "PERMISSIVE" else schema
-    parsed = lines.select("file", "line", F.from_json("value", full, {"mode": mode,
-                          "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), "value")
+    if mode == "FAILFAST":
+        parsed = lines.select("file", "line", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+        return parsed.select("file", "line", "r.*")
+    full = schema + ", _corrupt_record string"
+    parsed = lines.select("file", "line", F.from_json("value", full, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     out = parsed.select("file", "line", "r.*")
     if mode == "DROPMALFORMED":
-        out = out.where(F.col("r").isNotNull()) if "r" in out.columns else out
+        return out.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return out
 
 

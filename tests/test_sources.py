@@ -143,3 +143,12 @@ def test_scalar_report_context_compare(spark, tmpdir_path):
     b = spark.createDataFrame([("y", 2), ("z", 3)], "v string, k int")
     cmp = rows_equal(a, b).first()
     assert (cmp.only_left, cmp.only_right, cmp.left_rows, cmp.right_rows) == (1, 1, 2, 2)
+
+
+def test_jsonl_modes(spark, tmpdir_path):
+    p = _write(tmpdir_path, "r.jsonl", '{"final_decision": "OK"}\n{not json\n\n{"final_decision": "VETO"}\n')
+    schema = "final_decision string"
+    keep = S.read_jsonl(spark, p, schema, "PERMISSIVE").orderBy("line").collect()
+    assert [r._corrupt_record is not None for r in keep] == [False, True, False]
+    drop = S.read_jsonl(spark, p, schema, "DROPMALFORMED").collect()
+    assert sorted(r.final_decision for r in drop) == ["OK", "VETO"]
