@@ -268,7 +268,7 @@ def live_sessions(log: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ BIZ-10
-def ledger_audit(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
+def ledger_audit(transfers: DataFrame, accounts: DataFrame, chunk_span: int = 1 << 16):
     """Reject non-positive amounts, unknown accounts and actors who do not
     own the source; each accepted transfer yields a debit and a credit
     posting together; a posting that takes the running balance (opening
@@ -286,10 +286,20 @@ def ledger_audit(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
                                       F.lit("credit").alias("kind"), F.lit(1).alias("n"))))
     postings = checked.where(F.col("rejection").isNull()).select("seq", post.alias("p")).select("seq", "p.*")
     opening = accounts.select("account_id", F.col("balance").alias("opening"))
-    w = Window.partitionBy("account_id").orderBy("seq", "n").rowsBetween(Window.unboundedPreceding, 0)
-    ledger = (postings.join(opening, "account_id", "left")
-              .withColumn("balance_after", F.col("opening") + F.sum("delta").over(w))
-              .withColumn("overdrawn", F.col("balance_after") < 0))
+    # Two-level prefix sum, exact and parallel for hot accounts: running sums
+    # inside (account, seq-range chunk) windows, plus the prefix over the
+    # small table of chunk totals per account.
+    p = postings.withColumn("_chunk", F.floor(F.col("seq") / chunk_span).cast("bigint"))
+    w_in = Window.partitionBy("account_id", "_chunk").orderBy("seq", "n").rowsBetween(Window.unboundedPreceding, 0)
+    totals = p.groupBy("account_id", "_chunk").agg(F.sum("delta").alias("_t"))
+    w_ch = Window.partitionBy("account_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(w_ch), F.lit(0))).drop("_t")
+    ledger = (p.withColumn("_run", F.sum("delta").over(w_in))
+              .join(before, ["account_id", "_chunk"], "left")
+              .join(opening, "account_id", "left")
+              .withColumn("balance_after", F.col("opening") + F.col("_before") + F.col("_run"))
+              .withColumn("overdrawn", F.col("balance_after") < 0)
+              .drop("_chunk", "_run", "_before"))
     return checked, ledger
 
 

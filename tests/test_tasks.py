@@ -118,3 +118,22 @@ def test_limiter_dense_hot_user_chunks(spark):
     # a tiny span forces many chunks per dense segment and several fix-point rounds
     got = {r.event_id: r.allowed for r in B.greedy_rate_limit(df, span=37).collect()}
     assert got == brute_limiter(events)
+
+
+def test_ledger_chunked_prefix_equals_single_window(spark):
+    from decimal import Decimal
+    rnd = random.Random(3)
+    accounts = spark.createDataFrame([(f"a{i}", f"u{i}", Decimal("50.00")) for i in range(4)],
+                                     "account_id string, owner_id string, balance decimal(18,2)")
+    rows = []
+    for seq in range(400):
+        src = rnd.choice(["a0", "a0", "a0", "a1", "a2", "a3"])  # a0 is hot
+        rows.append((seq, "u" + src[1:], src, rnd.choice(["a0", "a1", "a2", "a3", "zz"]),
+                     Decimal(rnd.randint(-2, 30))))
+    transfers = spark.createDataFrame(rows, "seq long, actor string, source string, target string, amount decimal(18,2)")
+    _, small = B.ledger_audit(transfers, accounts, chunk_span=7)
+    _, big = B.ledger_audit(transfers, accounts, chunk_span=1 << 30)
+    key = lambda r: (r.seq, r.kind)
+    a = sorted(((r.seq, r.kind, r.account_id, r.balance_after, r.overdrawn) for r in small.collect()))
+    b = sorted(((r.seq, r.kind, r.account_id, r.balance_after, r.overdrawn) for r in big.collect()))
+    assert a == b and any(x[4] for x in a)
