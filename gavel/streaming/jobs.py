@@ -142,34 +142,39 @@ def limiter_stream(spark: SparkSession, sf_dir: str, window: int = K.LIMITER_WIN
 
 
 # ------------------------------------------------------------------ STR-6
-def status_upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last-write-wins status table maintained with ``foreachBatch``: each
-    micro-batch is merged with the current table (``max_by`` per id) and
-    the result replaces it. The table lives in the shared checkpoint
-    folder, so a restarted stream continues from it."""
+def status_upsert_stream(spark: SparkSession, sf_dir: str, table_path: str | None = None) -> DataFrame:
+    """Last-write-wins status table maintained with ``foreachBatch``: epoch
+    ``e`` merges its rows with the table of epoch ``e-1`` (``max_by`` per
+    id) and writes version ``e``. A retried epoch overwrites its own
+    version (idempotent) and a restarted query, which resumes at the next
+    epoch from its checkpoint, finds the previous version under the same
+    path."""
+    from pyspark.errors import AnalysisException
     from gavel.sources.bridges import SPARK, sql_for
     from gavel.sources.files import merge_statuses
 
     ev = stream_table(spark, sf_dir, "events")
     raw = spark.sql(sql_for("b_status_raw", SPARK, {"events": "{events}"}), events=ev)
-    base = _location(spark, "status-table")
-    state = {"version": 0}
+    base = table_path or _location(spark, "status_table")
+    seen = {"last": None}
 
     def upsert(batch: DataFrame, epoch: int):
         rows = batch.select("instance_id", "status", "file", "ts", "pos")
-        if state["version"]:
-            rows = rows.unionByName(spark.read.parquet(f"{base}/v{state['version']}"))
+        try:
+            rows = rows.unionByName(spark.read.parquet(f"{base}/v{epoch - 1}"))
+        except AnalysisException:
+            pass  # first epoch: no previous version
         merged = (rows.where(F.col("instance_id").isNotNull() & F.col("status").isNotNull())
                   .groupBy("instance_id")
                   .agg(F.max_by(F.struct("status", "file", "ts", "pos"), F.struct("file", "ts", "pos")).alias("r"))
                   .select("instance_id", "r.*"))
-        state["version"] += 1
-        merged.write.mode("overwrite").parquet(f"{base}/v{state['version']}")
+        merged.write.mode("overwrite").parquet(f"{base}/v{epoch}")
+        seen["last"] = epoch
 
-    q = (raw.writeStream.foreachBatch(upsert).option("checkpointLocation", _location(spark, "status-upsert"))
+    q = (raw.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    table = spark.read.parquet(f"{base}/v{state['version']}")
+    table = spark.read.parquet(f"{base}/v{seen['last']}")
     return merge_statuses(table, order=("file", "ts", "pos"))
 
 
@@ -229,3 +234,18 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = log.groupBy("chain_id").applyInPandasWithState(step, SESSION_OUT, SESSION_STATE, "append",
                                                          GroupStateTimeout.NoTimeout)
     return drain_to_memory(out, "sessions")
+
+
+def windowed_decision_counts_stream(spark: SparkSession, sf_dir: str, width: str = "30 days") -> DataFrame:
+    """STR-2 over event time: decision counts per tumbling window of the
+    ship date, with a watermark bounding the state kept for late rows."""
+    from gavel.sources.bridges import SPARK, sql_for
+    li = stream_table(spark, sf_dir, "lineitem")
+    ev = spark.sql(sql_for("b_eval", SPARK, {"lineitem": "{lineitem}"}).replace(
+        "SELECT 'li__'", "SELECT l_shipdate AS event_time, 'li__'", 1), lineitem=li)
+    counts = (ev.withColumn("event_time", F.col("event_time").cast("timestamp"))
+              .withWatermark("event_time", "60 days")
+              .groupBy(F.window("event_time", width).alias("w"), "final_decision")
+              .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
+    out = drain_to_memory(counts, "decision_windows", mode="complete")
+    return out.select(F.col("w.start").cast("string").alias("window_start"), "final_decision", "n")
