@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 SPARK = {"arr": "array", "empty": "CAST(array() AS ARRAY<STRING>)", "nullarr": "CAST(NULL AS ARRAY<STRING>)",
-         "epoch": "unix_seconds(CAST(ts AS TIMESTAMP))", "month": "date_format(ts, 'yyyy-MM')",
+         "epoch": "(unix_date(CAST(ts AS DATE)) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts))", "month": "date_format(ts, 'yyyy-MM')",
          "h1": "sha2(", "h2": ", 256)"}
 DUCK = {"arr": "list_value", "empty": "CAST([] AS VARCHAR[])", "nullarr": "CAST(NULL AS VARCHAR[])",
         "epoch": "CAST(floor(epoch(ts)) AS BIGINT)", "month": "strftime(ts, '%Y-%m')",

@@ -243,8 +243,10 @@ def windowed_decision_counts_stream(spark: SparkSession, sf_dir: str, width: str
     li = stream_table(spark, sf_dir, "lineitem")
     ev = spark.sql(sql_for("b_eval", SPARK, {"lineitem": "{lineitem}"}).replace(
         "SELECT 'li__'", "SELECT l_shipdate AS event_time, 'li__'", 1), lineitem=li)
-    counts = (ev.withColumn("event_time", F.col("event_time").cast("timestamp"))
-              .withWatermark("event_time", "60 days")
+    # windows over the wall-clock (NTZ) time are independent of the session
+    # time zone; the watermark column is the same instant in UTC
+    counts = (ev.withColumn("wm", F.to_utc_timestamp(F.col("event_time").cast("timestamp"), F.current_timezone()))
+              .withWatermark("wm", "60 days")
               .groupBy(F.window("event_time", width).alias("w"), "final_decision")
               .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
     out = drain_to_memory(counts, "decision_windows", mode="complete")
