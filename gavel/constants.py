@@ -131,3 +131,18 @@ UPLOAD_TYPES = (("png", "image/png"), ("jpg", "image/jpeg"), ("jpeg", "image/jpe
 # --- fixed values: rate limiter --------------------------------------------
 LIMITER_WINDOW = 10
 LIMITER_LIMIT = 3
+
+# --- fixed values: task catalogue (name, language, active security rules) ---
+TASK_CATALOGUE = (
+    ("rate_limiter_python", "python", ()),
+    ("funds_transfer_secure", "python", ("NO_TRANSACTION",)),
+    ("sql_search_users", "python", ("SQLI",)),
+    ("web_login_handler", "python", ("MISSING_AUTH", "SECRETS")),
+    ("password_reset_token", "python", ("SECRETS",)),
+    ("file_upload_validator", "python", ("SECRETS",)),
+    ("html_template_renderer", "python", ("XSS",)),
+    ("audit_log_writer", "python", ()),
+    ("jwt_auth_middleware", "python", ("MISSING_AUTH", "SECRETS")),
+    ("api_rate_plan_billing", "python", ()),
+    ("secure_session_manager", "python", ("WEAK_RNG",)),
+)

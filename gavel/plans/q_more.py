@@ -376,3 +376,22 @@ SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(abs(sc - sy)) / sum(n), 6) AS ece
 def agg14b(spark, sf):
     from gavel.operators.aggregates import calibration
     return calibration(bridge(spark, sf, "b_eval")).withColumn("ece", F.round("ece", 6))
+
+
+# ------------------------------------------------------------------ SRC-15 + SEC-9 gate
+_CAT_SQL = ", ".join("(%d, '%s', [%s])" % (i, n, ", ".join(f"'{r}'" for r in rules))
+                     for i, (n, _lang, rules) in enumerate(K.TASK_CATALOGUE))
+
+
+@register("src15_task_rule_gate", oracle_cte("b_code") + f""",
+cat(idx, name, security_rules) AS (VALUES {_CAT_SQL}),
+c AS (SELECT b.doc_id, cat.name AS task, b.code, cat.security_rules AS rules
+      FROM b_code b JOIN cat ON cat.idx = b.doc_id % 11)
+SELECT doc_id, task, {_rule_sql()} AS findings FROM c""")
+def src15(spark, sf):
+    from gavel.sources.files import task_catalogue
+    cat = F.broadcast(task_catalogue(spark))  # fixed 11 rows
+    b = bridge(spark, sf, "b_code").withColumn("idx", (F.col("doc_id") % 11).cast("int"))
+    j = b.join(cat, "idx", "inner")
+    return j.select("doc_id", F.col("name").alias("task"),
+                    F.array_join(S.rule_findings("code", F.col("security_rules")), ";").alias("findings"))

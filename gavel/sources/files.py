@@ -290,3 +290,39 @@ def read_evaluator_report(spark: SparkSession, path: str) -> DataFrame:
                                    F.col("p.patch_successfully_applied").alias("patch_successfully_applied")),
                           F.struct("rank", "pos")).alias("x"))
             .select("file", "instance_id", "x.*"))
+
+
+# ------------------------------------------------------------------ SRC-15
+def task_catalogue(spark: SparkSession) -> DataFrame:
+    """SRC-15: the task dimension (idx, name, language, security_rules); a
+    fixed 11-row table, so broadcasting it has a proven size bound."""
+    from gavel.constants import TASK_CATALOGUE
+    return spark.createDataFrame([(i, n, lang, list(rules)) for i, (n, lang, rules) in enumerate(TASK_CATALOGUE)],
+                                 "idx int, name string, language string, security_rules array<string>")
+
+
+# ------------------------------------------------------------------ SRC-9, 10, 16
+def read_eval_logs(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-9: newest ``<id>/run_instance.log`` per instance under root (by
+    modification time), with its text."""
+    listing = list_files(spark, root, "run_instance.log")
+    newest = newest_per_key(listing, r"/([^/]+)/run_instance\.log$")
+    texts = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "run_instance.log")
+             .text(root, wholetext=True)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("log_text"))
+    return newest.join(texts, "path", "inner").select(F.col("key").alias("instance_id"), "path", "log_text")
+
+
+def newest_report_path(spark: SparkSession, outdir: str, run_id: str) -> DataFrame:
+    """SRC-10: the newest ``*.<run_id>.json`` report (one row)."""
+    listing = list_files(spark, outdir, f"*.{run_id}.json")
+    return listing.agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+
+
+def choose_prediction_file(listing: DataFrame) -> DataFrame:
+    """SRC-16: per directory, preds_filled.json before preds.json."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    d = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
+    prio = F.when(name == "preds_filled.json", 0).when(name == "preds.json", 1)
+    return (listing.select(d.alias("dir"), "path", prio.alias("prio")).where(F.col("prio").isNotNull())
+            .groupBy("dir").agg(F.min_by("path", "prio").alias("path")))

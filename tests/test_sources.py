@@ -152,3 +152,32 @@ def test_jsonl_modes(spark, tmpdir_path):
     assert [r._corrupt_record is not None for r in keep] == [False, True, False]
     drop = S.read_jsonl(spark, p, schema, "DROPMALFORMED").collect()
     assert sorted(r.final_decision for r in drop) == ["OK", "VETO"]
+
+
+def test_listings_and_pickers(spark, tmpdir_path):
+    import time as _t
+    d = tmpdir_path
+    old = _write(d, "logs/run_evaluation/r1/model/inst1/run_instance.log", "resolved: False")
+    new = _write(d, "logs/run_evaluation/r2/model/inst1/run_instance.log", ">>>>> Patch Apply Failed")
+    _write(d, "logs/run_evaluation/r2/model/inst2/run_instance.log", "resolved: True")
+    os.utime(old, (_t.time() - 100, _t.time() - 100))
+    logs = {r.instance_id: r.log_text for r in S.read_eval_logs(spark, os.path.join(d, "logs")).collect()}
+    assert logs == {"inst1": ">>>>> Patch Apply Failed", "inst2": "resolved: True"}
+    a = _write(d, "out/a.run1.json", "{}")
+    _write(d, "out/b.run1.json", "{}")
+    os.utime(a, (_t.time() + 100, _t.time() + 100))
+    assert S.newest_report_path(spark, os.path.join(d, "out"), "run1").first().path.endswith("a.run1.json")
+    _write(d, "msa/trajs/i1.traj.json", "{}")
+    _write(d, "msa/trajectories/i1.traj.json", "{}")
+    _write(d, "msa/logs/i1.txt", "x")
+    _write(d, "msa/preds_filled.json", "[]")
+    _write(d, "msa/preds.json", "[]")
+    listing = S.list_files(spark, os.path.join(d, "msa"))
+    arts = {(r.instance_id, r.kind): r.path for r in S.discover_artifacts(
+        listing, os.path.join(d, "msa"), {"traj": ["trajs/{id}.traj.json", "trajectories/{id}.traj.json"],
+                                           "log": ["logs/{id}.log", "logs/{id}.txt"]}).collect()}
+    assert arts == {("i1", "traj"): "trajs/i1.traj.json", ("i1", "log"): "logs/i1.txt"}
+    pick = S.choose_prediction_file(listing).collect()
+    assert len(pick) == 1 and pick[0].path.endswith("preds_filled.json")
+    cat = S.task_catalogue(spark).collect()
+    assert len(cat) == 11 and cat[2].security_rules == ["SQLI"]
