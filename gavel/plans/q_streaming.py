@@ -29,6 +29,7 @@ SELECT strftime(time_bucket(INTERVAL '30 days', event_time, TIMESTAMP '1970-01-0
 FROM b_eval GROUP BY 1, 2""",
     "str03_risk_coverage_stream": q_analytics.ORACLE["agg04_risk_coverage"],
     "str04_limiter_stream": q_tasks.ORACLE["biz01_rate_limiter"],
+    "str05_session_stream": q_tasks.ORACLE["biz09_session_ops"],
     "str06_status_upsert_stream": q_analytics.ORACLE["win04_status_last_wins"],
     "str07_dedupe_stream": oracle_cte("b_status_raw") + """
 SELECT DISTINCT instance_id FROM b_status_raw""",

@@ -145,17 +145,52 @@ def biz08(spark, sf):
     return B.audit_fanout(bridge(spark, sf, "b_actions"))
 
 
-# ------------------------------------------------------------------ BIZ-9 (rows only: a recursive chain fold)
-@register("biz09_live_sessions")
-def biz09(spark, sf):
-    return B.live_sessions(bridge(spark, sf, "b_session_log"))
+# ------------------------------------------------------------------ BIZ-9 (oracle: recursive CTE per chain)
+_SESSION_WALK = oracle_cte("b_session_log", recursive=True) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY seq) AS rn FROM b_session_log),
+walk(chain_id, rn, seq, op, sid, owner, live_after, error, ids, owners) AS (
+  SELECT chain_id, rn, seq, op, step.sid, step.owner, step.live_after, step.error, step.ids, step.owners
+  FROM (SELECT r.*, {step} AS step FROM r, (SELECT CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS owners) s0
+        WHERE rn = 1) f
+  UNION ALL
+  SELECT chain_id, rn, seq, op, step.sid, step.owner, step.live_after, step.error, step.ids, step.owners
+  FROM (SELECT r.*, {step_w} AS step FROM walk w JOIN r ON r.chain_id = w.chain_id AND r.rn = w.rn + 1) n)"""
+
+_POS = "list_position({ids}, r.session_id)"
+
+
+def _step(ids: str, owners: str) -> str:
+    pos = _POS.format(ids=ids)
+    keep = f"list_filter({ids}, lambda x, i: i <> coalesce({pos}, -1))"
+    keep_o = f"list_filter({owners}, lambda x, i: i <> coalesce({pos}, -1))"
+    return f"""CASE
+      WHEN r.op = 'create' THEN {{'sid': r.session_id, 'owner': r.user_id, 'live_after': true, 'error': NULL::VARCHAR,
+                               'ids': list_append({ids}, r.session_id), 'owners': list_append({owners}, r.user_id)}}
+      WHEN r.op = 'invalidate' THEN {{'sid': r.session_id, 'owner': CASE WHEN {pos} > 0 THEN {owners}[{pos}] END,
+                               'live_after': false, 'error': NULL::VARCHAR, 'ids': {keep}, 'owners': {keep_o}}}
+      WHEN coalesce({pos}, 0) = 0 THEN {{'sid': r.new_session_id, 'owner': NULL::VARCHAR, 'live_after': false,
+                               'error': 'unknown session id', 'ids': {ids}, 'owners': {owners}}}
+      ELSE {{'sid': r.new_session_id, 'owner': {owners}[{pos}], 'live_after': true, 'error': NULL::VARCHAR,
+             'ids': list_append({keep}, r.new_session_id), 'owners': list_append({keep_o}, {owners}[{pos}])}} END"""
 
 
-@register("biz09_session_ops")
+_WALK_SQL = _SESSION_WALK.replace("{step}", _step("s0.ids", "s0.owners")).replace("{step_w}", _step("w.ids", "w.owners"))
+
+
+@register("biz09_session_ops", _WALK_SQL + """
+SELECT CAST(chain_id AS BIGINT) AS chain_id, CAST(seq AS BIGINT) AS seq, op, sid AS session_id, owner, live_after, error
+FROM walk""")
 def biz09b(spark, sf):
     return B.session_ops(bridge(spark, sf, "b_session_log"))
 
 
+@register("biz09_live_sessions", _WALK_SQL + """,
+last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY rn DESC) = 1)
+SELECT unnest(ids) AS session_id, CAST(chain_id AS BIGINT) AS chain_id, unnest(owners) AS user_id FROM last""")
+def biz09(spark, sf):
+    return B.live_sessions(bridge(spark, sf, "b_session_log"))
+
+
 # ------------------------------------------------------------------ BIZ-10
 _LEDGER_CHECK = """
 chk AS (SELECT t.*, CASE WHEN t.amount IS NULL OR t.amount <= 0 THEN 'non_positive_amount'
