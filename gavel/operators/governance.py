@@ -140,12 +140,13 @@ def governed_eval(preds: DataFrame, statuses: DataFrame | None = None, results:
     p = p.withColumns({"_viol": viol, "_failed": failed, "_error_if": error, "_scope": scope})
 
     # ---- base metrics and decision ----
-    sm = M.status_metrics("status")
+    sm = X.memo_column(("status_metrics", "status"), lambda: M.status_metrics("status"))
     rs_up = F.nullif(F.upper(F.coalesce(F.col("_r_status"), F.lit(""))), F.lit(""))
     p = p.withColumns({"_sm": sm, "_rs": rs_up, "_error": F.when(F.col("_failed"), F.col("_error_if"))})
     tp, tf, tt = F.col("_sm.tests_passed"), F.col("_sm.tests_failed"), F.col("_sm.total_tests")
-    sad = M.any_high("_viol")
-    cri0 = M.cri_v2(tp, tt, F.col("_viol"), F.col("_failed"))
+    sad = X.memo_column(("any_high", "_viol"), lambda: M.any_high("_viol"))
+    cri0 = X.memo_column(("cri0",), lambda: M.cri_v2(F.col("_sm.tests_passed"), F.col("_sm.total_tests"),
+                                                    F.col("_viol"), F.col("_failed")))
     res = M.merged_resolved(F.col("_r_flag"), F.col("_rs"))
     p = p.withColumns({"_sad": sad, "_cri0": cri0, "_res": F.when(has_result, res)})
     dec0 = M.base_decision(F.col("_sad"), F.col("_failed"), F.col("_sm.base_decision"), tt, F.col("_cri0"), t)
@@ -159,7 +160,9 @@ def governed_eval(preds: DataFrame, statuses: DataFrame | None = None, results:
     m_tp = F.when(r_ok, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     m_tf = F.when(r_ok, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
     m_tt = F.lit(1).cast("bigint")
-    m_cri = M.cri_v2(m_tp, m_tt, F.col("_viol"), F.col("_failed"), F.col("_ev"))
+    m_cri = X.memo_column(("mcri",), lambda: M.cri_v2(
+        F.when(F.coalesce(F.col("_res"), F.lit(False)), F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
+        F.lit(1).cast("bigint"), F.col("_viol"), F.col("_failed"), F.col("_ev")))
     p = p.withColumn("_mcri", m_cri)
     m_dec = (F.when(F.col("_sad"), F.lit("VETO")).when(F.col("_failed"), F.lit("ABSTAIN"))
              .when(r_ok & (F.col("_mcri") >= F.lit(t)), F.lit("OK")).otherwise(F.lit("ABSTAIN")))
@@ -189,8 +192,9 @@ def governed_eval(preds: DataFrame, statuses: DataFrame | None = None, results:
         F.when(infra, M.empty_arr()).otherwise(F.col("_viol")).alias("security_violations"),
         infra.alias("infra_timeout_before_patch"), "artifacts", "seq",
     )
-    return out.withColumn("decision_reason", M.decision_reason("final_decision", "sad_flag", "security_scan_failed",
-                                                               "resolved", "cri", t))
+    reason = X.memo_column(("decision_reason", t), lambda: M.decision_reason(
+        "final_decision", "sad_flag", "security_scan_failed", "resolved", "cri", t))
+    return out.withColumn("decision_reason", reason)
 
 
 def ok_rate(evals: DataFrame) -> DataFrame:
