@@ -15,4 +15,15 @@ plans/      the named query catalogue and its DuckDB oracle SQL
 streaming/  Structured Streaming forms of the batch jobs
 """
 
+import sys as _sys
+
 __all__ = ["session"]
+
+# Ship the package's Python functions (Arrow UDF bodies and their helpers) by
+# value with each task, so executors need no installed copy of the package.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to import by name
+    pass
