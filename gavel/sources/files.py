@@ -37,7 +37,10 @@ def _id_of(rec, fallback):
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Polymorphic predictions: JSON array, map id -> payload, single
     record, or JSONL; one row per prediction with (file, seq), duplicates
-    kept. The patch is returned raw (normalise with TXT-1)."""
+    kept. The patch is returned raw (normalise with TXT-1). ``.jsonl`` paths
+    take the line-split reader, so one large file spreads over many tasks."""
+    if path.endswith(".jsonl"):
+        return read_predictions_jsonl(spark, path)
     files = (spark.read.text(path, wholetext=True)
              .select(F.col("_metadata.file_path").alias("file"),
                      F.regexp_replace(F.col("value"), "^﻿", "").alias("text")))
@@ -326,3 +329,36 @@ def choose_prediction_file(listing: DataFrame) -> DataFrame:
     prio = F.when(name == "preds_filled.json", 0).when(name == "preds.json", 1)
     return (listing.select(d.alias("dir"), "path", prio.alias("prio")).where(F.col("prio").isNotNull())
             .groupBy("dir").agg(F.min_by("path", "prio").alias("path")))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with exact 1-based per-file line numbers, split
+    across tasks. Each split (file block) knows its start offset; rows per
+    block are counted, a running sum over the small per-file block table
+    gives each block's first line, and the row's position inside its block
+    comes from ``monotonically_increasing_id`` (consecutive within a task)."""
+    rows = (spark.read.text(path)
+            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("mid"), "value"))
+    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("mid0"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)) + 1)
+    return (rows.join(F.broadcast(blocks.select("file", "block", "mid0", "first")), ["file", "block"])
+            .select("file", (F.col("first") + F.col("mid") - F.col("mid0")).alias("line"), "value"))
+
+
+def read_predictions_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-1, JSONL branch for large files: lines are split across tasks
+    (exact line numbers via ``numbered_lines``); blank lines skipped; a falsy
+    object becomes 'line_<n>'; a leading BOM is removed."""
+    lines = numbered_lines(spark, path)
+    raw = py_strip(F.regexp_replace("value", "^\\ufeff", ""))
+    parsed = lines.where(raw != "").select("file", F.col("line").alias("seq"), raw.alias("raw"),
+                                           F.from_json(raw, PRED_FIELDS).alias("r"))
+    empty_obj = F.col("raw").isin("{}", "[]", "null", "0", '""', "false")
+    return parsed.select("file", "seq",
+                         F.when(empty_obj, F.concat(F.lit("line_"), F.col("seq").cast("string")))
+                         .otherwise(_id_of(F.col("r"), F.lit("instance_unknown"))).alias("instance_id"),
+                         F.coalesce(F.col("r.model_patch"), F.lit("")).alias("model_patch"),
+                         F.col("r.provider").alias("provider"), F.col("r.tau_step").alias("tau_step"))

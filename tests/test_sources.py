@@ -181,3 +181,20 @@ def test_listings_and_pickers(spark, tmpdir_path):
     assert len(pick) == 1 and pick[0].path.endswith("preds_filled.json")
     cat = S.task_catalogue(spark).collect()
     assert len(cat) == 11 and cat[2].security_rules == ["SQLI"]
+
+
+def test_distributed_jsonl_line_numbers(spark, tmpdir_path):
+    lines = []
+    for i in range(1, 201):
+        lines.append("" if i % 17 == 0 else ("{}" if i % 23 == 0 else json.dumps({"instance_id": f"i{i}", "model_patch": "p"})))
+    p = _write(tmpdir_path, "big/preds.jsonl", "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")  # many splits of one file
+    try:
+        nl = {r.line: r.value for r in S.numbered_lines(spark, p).collect()}
+        rows = {r.seq: r.instance_id for r in S.read_predictions_jsonl(spark, p).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert nl == {i: lines[i - 1] for i in range(1, 201)}
+    expect = {i: (f"line_{i}" if i % 23 == 0 else f"i{i}") for i in range(1, 201) if i % 17 != 0}
+    assert rows == expect
