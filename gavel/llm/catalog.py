@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gavel.llm import minhash
+from gavel.llm import minhash, packing
+from gavel.llm.common import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +20,22 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenized_pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    narrow = materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")),
+                         "packing-pieces")
+    return packing.pack(narrow, ["doc_id", "piece", "ids_crc32"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_best_two_fit": op2_best_two_fit,
 }
 
 ORACLE: dict[str, str] = {}
