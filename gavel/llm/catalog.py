@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import minhash, packing
-from gavel.llm.common import materialize
+from gavel.llm import chat, minhash, packing, sharding, warc
+from gavel.llm.common import materialize, shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,82 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(narrow, ["doc_id", "piece", "ids_crc32"])
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text "
+                      "FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.format_conversations(turns).select("conv_id", "formatted", "loss", chat.parse(F.col("formatted")).alias("t"))
+    lines = F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
+    out = out.withColumn("lost", F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss")), ""))
+    return out.select("conv_id", F.size("t").cast("long").alias("n_turns"),
+                      F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+                      F.char_length("lost").cast("long").alias("loss_chars"),
+                      F.sha2(F.col("lost").cast("binary"), 256).alias("loss_sha256"),
+                      F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
+    rows = warc.read_archive(spark, path).select(
+        "type", F.nullif(page("id"), F.lit("")).cast("long").alias("page_id"),
+        page("refers_to").alias("refers_to"), F.octet_length("body").cast("long").alias("payload_bytes"),
+        F.sha2("body", 256).alias("payload_digest"))
+    responses = rows.filter("type = 'response'")
+    full = responses.select(F.col("page_id").alias("first"), "payload_bytes", "payload_digest").dropDuplicates(["first"])
+    revisits = rows.filter("type = 'revisit'").select("page_id", F.col("refers_to").cast("long").alias("first")).join(
+        full, "first")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"),
+                            F.lit(None).cast("long").alias("refers_to")).unionByName(
+        revisits.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"),
+                        F.col("first").alias("refers_to"))).select(*columns)
+
+
+def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.interleave(rows, "source", "doc_id", 16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_best_two_fit": op2_best_two_fit,
+    "op4_chat": op4_chat,
+    "op5_warc": op5_warc,
+    "op9_interleave": op9_interleave,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_chat": r"""
+        WITH turns AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+          UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized AS (
+          SELECT *, length(text) + length(text) - length(replace(text, chr(92), ''))
+              + len(regexp_extract_all(replace(text, chr(92), chr(92) || chr(92)),
+                    '(<|\[)(/?s>|/?INST\]|/?SYS\]|/?ROLE\]|NEXT\]|END\])')) AS esc,
+            role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS opens
+          FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          (3 + sum(esc + CASE WHEN NOT opens THEN 6 WHEN role = 'system' THEN 11 WHEN role = 'user' THEN 13
+             WHEN role = 'assistant' THEN 4 ELSE 18 + length(role) END))::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest,
+                min(page_id) OVER (PARTITION BY sha256(body)) AS first FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+          CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+        FROM d""",
+}
