@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import chat, minhash, packing, sharding, warc
+from gavel.llm import chat, minhash, packing, sharding, topk, warc
 from gavel.llm.common import materialize, shared_path
 
 
@@ -76,12 +76,18 @@ def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(rows, rows.filter("vec_id % 100 = 0"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_best_two_fit": op2_best_two_fit,
     "op4_chat": op4_chat,
     "op5_warc": op5_warc,
     "op9_interleave": op9_interleave,
+    "op10_bit_sliced": op10_bit_sliced,
 }
 
 ORACLE: dict[str, str] = {
@@ -111,4 +117,11 @@ ORACLE: dict[str, str] = {
           CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
         FROM d""",
+    "op10_bit_sliced": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }
