@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import chat, minhash, packing, sharding, topk, warc
+from gavel.llm import chat, editprint, minhash, packing, sharding, topk, warc
 from gavel.llm.common import materialize, shared_path
 
 
@@ -67,6 +67,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("first").alias("refers_to"))).select(*columns)
 
 
+def op8_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.fingerprint_edited(_table(spark, sf_dir, "documents"))
+
+
 def op9_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = _table(spark, sf_dir, "documents").select(
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_two_fit": op2_best_two_fit,
     "op4_chat": op4_chat,
     "op5_warc": op5_warc,
+    "op8_edit_embedding": op8_edit_embedding,
     "op9_interleave": op9_interleave,
     "op10_bit_sliced": op10_bit_sliced,
 }
