@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import chat, editprint, minhash, packing, sharding, topk, warc
+from gavel.llm import chat, editprint, minhash, packing, sharding, topk, warc, wordbpe
 from gavel.llm.common import materialize, shared_path
 
 
@@ -33,6 +33,13 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(narrow, ["doc_id", "piece", "ids_crc32"])
 
 
+def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = wordbpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text "
@@ -88,6 +95,7 @@ def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_best_two_fit": op2_best_two_fit,
+    "op3_word_bpe": op3_word_bpe,
     "op4_chat": op4_chat,
     "op5_warc": op5_warc,
     "op8_edit_embedding": op8_edit_embedding,
