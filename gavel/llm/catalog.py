@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import chat, editprint, minhash, packing, sharding, topk, warc, wordbpe
+from gavel.llm import chat, editprint, langid, minhash, packing, sharding, topk, warc, wordbpe
 from gavel.llm.common import materialize, shared_path
 
 
@@ -74,6 +74,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("first").alias("refers_to"))).select(*columns)
 
 
+def op6_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"))
+    return langid.predict(docs, langid.train(docs.filter("not held_out")), ["doc_id", "held_out"])
+
+
 def op8_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.fingerprint_edited(_table(spark, sf_dir, "documents"))
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_word_bpe": op3_word_bpe,
     "op4_chat": op4_chat,
     "op5_warc": op5_warc,
+    "op6_hierarchical": op6_hierarchical,
     "op8_edit_embedding": op8_edit_embedding,
     "op9_interleave": op9_interleave,
     "op10_bit_sliced": op10_bit_sliced,
