@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import chat, editprint, langid, minhash, packing, sharding, topk, warc, wordbpe
+from gavel.llm import chat, editprint, langid, minhash, packing, pii, sharding, topk, warc, wordbpe
 from gavel.llm.common import materialize, shared_path
 
 
@@ -80,6 +80,22 @@ def op6_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs.filter("not held_out")), ["doc_id", "held_out"])
 
 
+def op7_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs), ["doc_id"])
+    order = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def listed(spans):
+        keyed = F.transform(spans, lambda s: F.struct(F.array_position(order, s["kind"]).alias("k"), s["start"], s["end"]))
+        return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(
+            ":", F.element_at(order, s["k"].cast("int")), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS],
+                        F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op8_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.fingerprint_edited(_table(spark, sf_dir, "documents"))
 
@@ -105,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_warc": op5_warc,
     "op6_hierarchical": op6_hierarchical,
+    "op7_skip_chain": op7_skip_chain,
     "op8_edit_embedding": op8_edit_embedding,
     "op9_interleave": op9_interleave,
     "op10_bit_sliced": op10_bit_sliced,
