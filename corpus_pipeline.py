@@ -1,19 +1,52 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as a table and
+read again as the next stage's input.
+
+1. language ID: documents without a recognised language go
+2. MinHash near-dedup: of each near-duplicate class the smallest id stays
+3. personal data: spans are replaced by their kind in the texts
+4. best-fit packing: pieces of what is left, placed in sequences
+
+The first three return the columns of their input; the last returns one row per
+packed piece. Rows that repeat a doc_id count as one document from stage 2 on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gavel.llm import catalog, common, langid, minhash, packing, pii
+
 
-from gavel.llm import common, minhash
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; ``und`` is rejected."""
+    named = docs.select(*docs.columns, F.struct(*docs.columns).alias("_row"))
+    found = langid.predict(named.select("_row", "text"), langid.train(docs), ["_row"])
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: its smallest id."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
+    """One document of each near-duplicate class: its smallest id."""
+    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by its kind; ``n_chars``, where
+    there is one, follows the text."""
+    clean = pii.redact(docs, pii.train(docs))
+    if "n_chars" in clean.columns:
+        clean = clean.withColumn("n_chars", F.char_length("text").cast(clean.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return catalog.packed_documents(docs)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+STAGES = [("language_id", language_id), ("minhash_near_dedup", near_dedup),
+          ("redact_personal_data", redact_personal_data), ("best_fit_packing", best_fit_packing)]
 
 #: The stages hold a learned model, shingle hashing and a tokenizer: SQL cannot express them.
 ORACLE_SQL = None

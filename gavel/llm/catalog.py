@@ -26,13 +26,17 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenized_pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+def packed_documents(docs: DataFrame) -> DataFrame:
+    pieces = packing.tokenized_pieces(docs, _tokenizer("byte_bpe_50k.json"))
     narrow = materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")),
                          "packing-pieces")
     return packing.pack(narrow, ["doc_id", "piece", "ids_crc32"])
 
 
+def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = wordbpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),

@@ -297,7 +297,7 @@ def redact(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with every span of every text replaced by its kind; null texts
     stay null."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    at, columns = docs.columns.index("text"), docs.columns
+    at, columns = docs.columns.index("text"), list(docs.columns)
 
     def run(batches):
         for batch in batches:
