@@ -44,7 +44,7 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-DIGITS = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
+DIGITS = re.compile(r"[(+]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
 AROUND_AT = re.compile(r"[^\s@]{1,64}@[^\s@]{1,255}")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
