@@ -4,17 +4,19 @@ Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; a
 document's set holds its distinct five-word shingles (64-bit hashes), one
 shingle of all words when there are fewer, nothing when there are none.
 
-* One Arrow pass makes each document's set size, 128-bit set digest, band keys
-  (32 bands of four minima) and the packed low four bits of its 128 minima.
+* One Arrow pass makes each document's set size, 128-bit set digest and band
+  keys (32 bands of four minima).
 * Documents with equal sets collapse to their smallest id by a map-side
   combined minimum; everything later sees one row per distinct set.
-* Bands give candidates. In a bucket each member meets only the bucket's centre
-  (the member with the heaviest buckets), after the collision-corrected b-bit
-  estimate, computed by xor, or and bit counts on the packed signatures.
+* Bands give candidates; whoever shares a bucket gets a signature, the packed
+  low four bits of 1024 minima. In a bucket each member meets only the bucket's
+  centre (the member with the heaviest buckets), after the collision-corrected
+  b-bit estimate, computed by xor, or and bit counts on the packed signatures.
 * Estimated links are confirmed on the full sets (100 * both >= 75 * either).
 * Members already in the centre's component need no further test. What is left
   after two such rounds, pairs of one bucket in different components, is
-  estimated and confirmed in full, so stars lose no link that a band has found.
+  estimated inside the bucket join, each pair in the first band that it shares,
+  and confirmed in full, so stars lose no link that a band has found.
 
 Defined cases: null or empty text has n_shingles 0 and is its own component;
 repeated rows collapse like any equal sets; other input columns are ignored.
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 from gavel.llm.common import connected_components, materialize, mix64, row_chunks, text_buffers
 
 SHINGLE_WORDS = 5
-BANDS, ROWS, LOW_BITS = 32, 4, 4
-MINIMA = BANDS * ROWS
-SIG_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, planes array<long>"
+BANDS, ROWS = 32, 4
+MINIMA, LOW_BITS = 1024, 4  # of a signature
+SIG_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -82,46 +84,73 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_W
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set digest (d1, d2), band keys, packed low bits."""
+def _minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(a)), np.uint64)
+    step = max(1, (1 << 18) // len(a))
+    for i, s in enumerate(sets):
+        if len(s):
+            low = (s[:step, None] * a + b).min(axis=0)
+            for k in range(step, len(s), step):
+                np.minimum(low, (s[k:k + step, None] * a + b).min(axis=0), out=low)
+            out[i] = low
+    return out
+
+
+def _family(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(seed).integers(0, 1 << 63, (2, n), dtype=np.uint64)
+    return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
+
+
+def _lists(m: np.ndarray, some: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(some * m.shape[1]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(m[some].reshape(-1)))
+
+
+def band_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set digest (d1, d2), band keys."""
 
     def sign(batches):
         np.seterr(over="ignore")
-        draw = np.random.default_rng(20240501).integers(0, 1 << 63, (2, MINIMA), dtype=np.uint64)
-        a, b = draw[0] * np.uint64(2) + np.uint64(1), draw[1]
+        a, b = _family(20240501, BANDS * ROWS)
         fold = np.random.default_rng(7).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for lo, hi in row_chunks(offsets):
                 part = offsets[lo:hi + 1]
                 sets = shingle_hashes(data[part[0]:part[-1]], part - part[0])
-                minima = np.zeros((hi - lo, MINIMA), np.uint64)
                 digest = np.zeros((2, hi - lo), np.uint64)
                 for i, s in enumerate(sets):
-                    if len(s):
-                        minima[i] = np.min([(s[k:k + 2048, None] * a + b).min(axis=0)
-                                            for k in range(0, len(s), 2048)], axis=0)
-                        digest[0, i], digest[1, i] = mix64(s).sum(), mix64(s ^ np.uint64(0x5DEECE66D)).sum()
-                some = np.array([len(s) > 0 for s in sets], bool)
-                keys = mix64((minima.reshape(-1, BANDS, ROWS) * fold).sum(axis=2) + np.arange(BANDS, dtype=np.uint64))
-                planes = np.concatenate([np.packbits(((minima >> np.uint64(j)) & np.uint64(1)).astype(np.uint8), axis=1)
-                                         for j in range(LOW_BITS)], axis=1).view(np.int64)
-
-                def lists(m):
-                    per = m.shape[1]
-                    off = np.concatenate(([0], np.cumsum(some * per))).astype(np.int32)
-                    return pa.ListArray.from_arrays(pa.array(off), pa.array(m[some].reshape(-1)))
-
+                    digest[0, i], digest[1, i] = mix64(s).sum(), mix64(s ^ np.uint64(0x5DEECE66D)).sum()
+                minima = _minima(sets, a, b).reshape(-1, BANDS, ROWS)
+                keys = mix64((minima * fold).sum(axis=2) + np.arange(BANDS, dtype=np.uint64))
+                sizes = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo),
-                    pa.array(np.array([len(s) for s in sets], np.int64)),
-                    pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-                    lists(keys.view(np.int64)), lists(planes)],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands", "planes"])
+                    batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(digest[0].view(np.int64)),
+                    pa.array(digest[1].view(np.int64)), _lists(keys.view(np.int64), sizes > 0)],
+                    names=["doc_id", "n_shingles", "d1", "d2", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIG_SCHEMA)
 
 
+def signatures(texts: DataFrame) -> DataFrame:
+    """doc_id and planes: the low bits of the minima, one packed plane a bit."""
+
+    def sign(batches):
+        np.seterr(over="ignore")
+        a, b = _family(20240502, MINIMA)
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for lo, hi in row_chunks(offsets):
+                part = offsets[lo:hi + 1]
+                minima = _minima(shingle_hashes(data[part[0]:part[-1]], part - part[0]), a, b)
+                planes = np.concatenate([np.packbits(((minima >> np.uint64(j)) & np.uint64(1)).astype(np.uint8), axis=1)
+                                         for j in range(LOW_BITS)], axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(planes, np.ones(hi - lo, bool))],
+                                                 names=["doc_id", "planes"])
+
+    return texts.select("doc_id", "text").mapInArrow(sign, "doc_id long, planes array<long>")
+
+
 def estimate(x: str, y: str) -> Column:
     """Similarity from two packed signatures: the share of equal low-bit
     groups, corrected for chance collisions (2^-b)."""
@@ -170,25 +199,25 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    sig = materialize(signatures(docs), "minhash-sig")
+    sig = materialize(band_keys(docs), "minhash-bands")
     classes = sig.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = materialize(sig.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
                          .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "minhash-members")
     reps = (sig.filter("n_shingles > 0").join(member.filter("rep = doc_id").select("doc_id").distinct(), "doc_id")
-            .dropDuplicates(["doc_id"]))
-    rows = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+            .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "bands"))
+    rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = materialize(rows.join(sizes, "key"), "minhash-buckets")
-    weight = shared.groupBy("rep").agg(F.sum("n").alias("w"))
-    cand = materialize(reps.select(F.col("doc_id").alias("rep"), "planes").join(weight, "rep"), "minhash-candidates")
-    buckets = materialize(shared.select("key", "rep").join(cand.select("rep", "w"), "rep"), "minhash-weighted")
+    weight = materialize(shared.groupBy("rep").agg(F.sum("n").alias("w")), "minhash-weights")
     texts = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-                        .join(cand.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]),
+                        .join(weight.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]),
                         "minhash-texts")
+    cand = materialize(signatures(texts).withColumnRenamed("doc_id", "rep").join(reps, "rep"), "minhash-signatures")
+    buckets = materialize(shared.select("key", "band", "rep").join(weight, "rep"), "minhash-weighted")
     left = cand.select(F.col("rep").alias("a"), F.col("planes").alias("pa"))
     right = cand.select(F.col("rep").alias("b"), F.col("planes").alias("pb"))
     least = F.lit(floor_estimate(percent / 100))
-    labels = cand.select("rep", F.col("rep").alias("label"))
+    labels = weight.select("rep", F.col("rep").alias("label"))
     edges = tested = None
     for step in range(star_rounds + 1):
         labelled = buckets.join(labels, "rep")
@@ -203,18 +232,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2) ->
             per = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
             main = (per.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("k"))
                     .filter("k > 1").select("key", F.col("top.label").alias("main")))
-            mixed = labelled.join(main, "key")
-            odd = mixed.filter("label <> main").select("key", F.col("rep").alias("a"), F.col("label").alias("la"))
-            every = mixed.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), "main")
-            pairs = (odd.join(every, "key").filter("la <> lb and (lb = main or a < b)").select("a", "b").distinct())
+            mixed = labelled.join(main, "key").join(cand, "rep")
+            odd = mixed.filter("label <> main").select("key", "band", F.col("rep").alias("a"), F.col("label").alias("la"),
+                                                       F.col("bands").alias("ba"), F.col("planes").alias("pa"))
+            every = mixed.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), "main",
+                                 F.col("bands").alias("bb"), F.col("planes").alias("pb"))
+            earlier = F.exists(F.zip_with(F.slice("ba", F.lit(1), F.col("band")), F.slice("bb", F.lit(1), F.col("band")),
+                                          lambda x, y: x == y), lambda z: z)
+            pairs = odd.join(every, (odd["key"] == every["key"]) & F.expr("la <> lb and (lb = main or a < b)")
+                             & (estimate("pa", "pb") >= least) & ~earlier).select("a", "b")
         if tested is not None:
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
                 tested, ["a", "b"], "left_anti")
-        scored = pairs.join(left, "a").join(right, "b").withColumn("est", estimate("pa", "pb")).filter(F.col("est") >= least)
         if step < star_rounds:
+            scored = pairs.join(left, "a").join(right, "b").withColumn("est", estimate("pa", "pb")).filter(F.col("est") >= least)
             best = scored.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
         else:
-            best = scored.select("a", "b")
+            best = pairs
         best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
                            "minhash-pairs")
         found = materialize(confirm(best, texts, percent), "minhash-links")
@@ -223,7 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2) ->
             continue
         edges = found if edges is None else edges.union(found)
         comp = connected_components(edges)
-        labels = materialize(cand.select("rep").join(comp, F.col("rep") == F.col("node"), "left")
+        labels = materialize(weight.select("rep").join(comp, F.col("rep") == F.col("node"), "left")
                              .select("rep", F.coalesce("component", "rep").alias("label")), "minhash-labels")
     out = member.join(labels, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
