@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gavel import constants as K
 from gavel.functions.security import substring_findings
 from gavel.functions.text import py_strip
-from gavel.operators.astscan import SCAN_ERROR_MARKER, SYNTAX_MARKER, ast_scan
+from gavel.operators.astscan import SCAN_ERROR_MARKER, SYNTAX_MARKER, rule_hits, scan_error, versions_facts
 
 POSTAPPLY_RULES = K.RULE_FAMILIES
 
@@ -32,40 +32,52 @@ def skip_reason(status: Column, patch: Column) -> Column:
 
 def scan_files(files: DataFrame, code_col: str, rules=POSTAPPLY_RULES, rules_col: str | None = None) -> DataFrame:
     """SEC-10 job: adds ``findings`` and ``scan_error`` for each code row."""
-    r = F.col(rules_col) if rules_col else F.array(*[F.lit(x) for x in rules])
-    return (files.withColumn("_s", ast_scan(F.coalesce(F.col(code_col), F.lit("")), r))
-            .withColumn("findings", F.col("_s.findings")).withColumn("scan_error", F.col("_s.error")).drop("_s"))
+    r = F.col(rules_col) if rules_col else F.array(*[F.lit(x) for x in rules]).cast("array<string>")
+    code = F.coalesce(F.col(code_col), F.lit(""))
+    return (files.withColumn("_s", F.get(versions_facts(F.array(code)), F.lit(0)))
+            .withColumn("findings", rule_hits(F.col("_s"), r)).withColumn("scan_error", scan_error(F.col("_s"))).drop("_s"))
 
 
 def file_deltas(files: DataFrame) -> DataFrame:
     """Per changed .py file: before/after findings, new = after - before
-    (set), and the file's error text (before errors stop the file)."""
+    (set), and the file's error text (before errors stop the file). Both
+    versions go through one UDF call."""
     py = files.where(F.col("path").endswith(".py"))
     rules = F.array(*[F.lit(x) for x in POSTAPPLY_RULES])
-    s = (py.withColumn("_b", ast_scan(F.coalesce(F.col("before"), F.lit("")), rules))
-         .withColumn("_a", ast_scan(F.coalesce(F.col("after"), F.lit("")), rules)))
-    before_err = F.col("_b.error")
-    after_err = F.col("_a.error")
-    err = (F.when(before_err.isNotNull(), F.concat(F.lit("before-scan failed for "), F.col("path"), F.lit(": "), before_err))
-           .when(after_err.isNotNull(), F.concat(F.lit("after-scan failed for "), F.col("path"), F.lit(": "), after_err)))
+    both = F.array(F.coalesce(F.col("before"), F.lit("")), F.coalesce(F.col("after"), F.lit("")))
+    s = py.withColumn("_v", versions_facts(both))
+    s = s.select("instance_id", "path", *[c for side, i in (("b", 0), ("a", 1)) for c in (
+        rule_hits(F.get("_v", F.lit(i)), rules).alias(f"_{side}"), scan_error(F.get("_v", F.lit(i))).alias(f"_{side}err"))])
+    err = (F.when(F.col("_berr").isNotNull(), F.concat(F.lit("before-scan failed for "), F.col("path"), F.lit(": "), F.col("_berr")))
+           .when(F.col("_aerr").isNotNull(), F.concat(F.lit("after-scan failed for "), F.col("path"), F.lit(": "), F.col("_aerr"))))
     empty = F.array().cast("array<string>")
-    before_v = F.coalesce(F.col("_b.findings"), empty)
-    after_v = F.when(before_err.isNotNull(), empty).otherwise(F.coalesce(F.col("_a.findings"), empty))
+    before_v = F.coalesce(F.col("_b"), empty)
+    after_v = F.when(F.col("_berr").isNotNull(), empty).otherwise(F.coalesce(F.col("_a"), empty))
     new_v = F.when(err.isNotNull(), empty).otherwise(F.array_sort(F.array_except(after_v, before_v)))
     return s.select("instance_id", "path", before_v.alias("before_violations"), after_v.alias("after_violations"),
                     new_v.alias("new_violations"), err.alias("file_error"))
 
 
+def distinct_findings(rows: DataFrame, key: str, findings: str) -> DataFrame:
+    """(key, findings): sorted union per key. Rows are exploded and the sets
+    combine on the map side; a set is bounded by the rule vocabulary."""
+    return (rows.select(key, F.explode_outer(findings).alias("_f")).groupBy(key)
+            .agg(F.array_sort(F.collect_set("_f")).alias(findings)))
+
+
 def postapply_reports(files: DataFrame) -> DataFrame:
     """SEC-14 / AGG-10: one report row per instance with the sorted union
     of new findings; any file error marks the scan failed (the last error
     in path order is kept) while other files' findings stay."""
     d = file_deltas(files)
-    return d.groupBy("instance_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("new_violations")))).alias("new_violations"),
-        F.count_if(F.col("file_error").isNotNull()).alias("_errors"),
-        F.max_by(F.col("file_error"), F.when(F.col("file_error").isNotNull(), F.col("path"))).alias("scan_error"),
-        F.array_sort(F.collect_list("path")).alias("scanned_files"),
+    one = d.select("instance_id", "path", "file_error", F.posexplode_outer("new_violations").alias("_i", "_f"))
+    first = F.coalesce(F.col("_i"), F.lit(0)) == 0  # one row per file
+    failed = F.col("file_error").isNotNull()
+    return one.groupBy("instance_id").agg(
+        F.array_sort(F.collect_set("_f")).alias("new_violations"),
+        F.count_if(first & failed).alias("_errors"),
+        F.max_by("file_error", F.when(failed, F.col("path"))).alias("scan_error"),
+        F.count_if(first).cast("int").alias("n_files"),
     ).withColumn("scan_failed", F.col("_errors") > 0).withColumn(
         "scan_scope", F.lit(K.SCOPE_POSTAPPLY)).drop("_errors")
 

@@ -7,28 +7,20 @@ lists or conditional aggregates, never as a join between two tables.
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.functions.textops import run_label, state_key
 
 
-def combine_filter(instances: str | None, user_filter: str | None) -> str | None:
-    """FLT-2: '(user regex)' OR-ed with the escaped comma-listed ids."""
-    parts = []
-    if user_filter:
-        parts.append(f"({user_filter})")
-    ids = [s.strip() for s in (instances or "").split(",") if s.strip()]
-    if ids:
-        parts.append("(" + "|".join(re.escape(i) for i in ids) + ")")
-    if not parts:
-        return None
-    if len(parts) == 1:
-        p = parts[0]
-        return p[1:-1] if p.startswith("(") and p.endswith(")") else p
-    return "|".join(parts)
+def selected(instance_id: Column, instances: str | None = None, user_filter: str | None = None) -> Column:
+    """FLT-2: an id passes when the user's regex finds a match in it or the
+    comma-separated list names it; without either every id passes."""
+    listed = [i for i in map(str.strip, (instances or "").split(",")) if i]
+    tests = ([instance_id.rlike(user_filter)] if user_filter else []) + ([instance_id.isin(listed)] if listed else [])
+    return reduce(Column.__or__, tests) if tests else F.lit(True)
 
 
 def attach_dataset(preds: DataFrame, index: DataFrame) -> DataFrame:
@@ -87,11 +79,9 @@ def experiment_matrix(instances: DataFrame, models: list[str], configs: list[str
 
 
 def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
-    """JN-14: file findings before x after by path, a missing side = []."""
-    empty = F.array().cast("array<string>")
-    j = before.join(after, ["instance_id", "path"], "full")
-    return j.select("instance_id", "path", F.coalesce("before_violations", empty).alias("before_violations"),
-                    F.coalesce("after_violations", empty).alias("after_violations"))
+    """JN-14: file versions before x after by (instance, path); a missing side
+    is null (no findings)."""
+    return before.join(after, ["instance_id", "path"], "full").select("instance_id", "path", "before", "after")
 
 
 def traj_diagnostics(trajs: DataFrame, preds: DataFrame) -> DataFrame:

@@ -61,9 +61,6 @@ def sec01(spark, sf):
     return b.select("doc_id", F.array_join(S.rule_findings("code", F.col("rules")), ";").alias("findings"))
 
 
-_SUB = " ".join(f"WHEN contains(code, {q(n)}) THEN '{r}'" for r, ns in K.SUBSTRING_RULES for n in ns)
-
-
 @register("sec11_substring_findings", oracle_cte("b_code") + """
 SELECT doc_id, array_to_string(list_filter([""" + ", ".join(
     f"CASE WHEN {' OR '.join(f'contains(code, {q(n)})' for n in ns)} THEN '{r}' END" for r, ns in K.SUBSTRING_RULES)
@@ -76,55 +73,106 @@ def sec11(spark, sf):
     return b.select("doc_id", F.array_join(S.substring_findings("code"), ";").alias("findings"))
 
 
-# ------------------------------------------------------------------ SEC-10, 12, 14, 16 (Python parser: rows only)
-@register("sec10_ast_scan")
+# ------------------------------------------------------------------ SEC-9, 10, 12, 14, 16
+# The oracle knows each code form's outcome: what a Python parser finds in it.
+_FOUND = ("CASE form WHEN 0 THEN 'SQLI_STRING_CONCAT' WHEN 1 THEN 'HARDCODED_SECRETS' WHEN 2 THEN 'MISSING_AUTH_CHECK' "
+          "WHEN 3 THEN 'NO_TRANSACTION_FOR_MULTI_WRITE' WHEN 5 THEN 'SYNTAX_ERROR_PREVENTS_SECURITY_SCAN' END")
+_FAMILY = "CASE form WHEN 0 THEN 'SQLI' WHEN 1 THEN 'SECRETS' WHEN 2 THEN 'MISSING_AUTH' WHEN 3 THEN 'NO_TRANSACTION' END"
+_NO_LEN = "object of type ''int'' has no len()"
+_AST = (f"CASE WHEN form = 4 THEN NULL WHEN form = 5 OR list_contains(rules, {_FAMILY}) THEN {_FOUND} ELSE '' END")
+
+
+def _sub_sql(active) -> str:
+    cases = [f"CASE WHEN {' OR '.join(f'contains(code, {q(n)})' for n in ns)} THEN '{r}' END"
+             for r, ns in K.SUBSTRING_RULES if r in active]
+    if "SQLI_FSTRING" in active:
+        cases.append("CASE WHEN (" + " OR ".join(f"contains(lower(code), {q(w)})" for w in K.SUBSTRING_SQL_WORDS) + ") AND ("
+                     + " OR ".join(f"contains(code, {q(f)})" for f in K.SUBSTRING_FQUOTES) + ") THEN 'SQLI_FSTRING' END")
+    return f"array_to_string(list_filter([{', '.join(cases)}], lambda z: z IS NOT NULL), ';')" if cases else "''"
+
+
+@register("sec10_ast_scan", oracle_cte("b_code") + f"""
+SELECT doc_id, {_AST} AS findings, CASE WHEN form = 4 THEN '{_NO_LEN}' END AS scan_error FROM b_code""")
 def sec10(spark, sf):
     b = bridge(spark, sf, "b_code")
     s = D.scan_files(b, "code", rules_col="rules")
     return s.select("doc_id", F.array_join("findings", ";").alias("findings"), "scan_error")
 
 
-@register("sec12_scan_with_fallback")
+@register("sec09_findings_union", oracle_cte("b_code") + f"""
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(
+         string_split({_rule_sql()}, ';') || [{_AST}], lambda z: z IS NOT NULL AND z <> ''))), ';') AS findings
+FROM b_code""")
+def sec09(spark, sf):
+    s = D.scan_files(bridge(spark, sf, "b_code"), "code", rules_col="rules")
+    return s.select("doc_id", F.array_join(S.merge_findings(S.rule_findings("code", F.col("rules")), F.col("findings")), ";")
+                    .alias("findings"))
+
+
+@register("sec12_scan_with_fallback", oracle_cte("b_code") + f""",
+s AS (SELECT doc_id, CASE WHEN form IN (4, 5) THEN {_sub_sql(K.SUBSTRING_DEFAULT_RULES)} ELSE '' END AS violations FROM b_code)
+SELECT doc_id, violations, violations <> '' AS sad_flag FROM s""")
 def sec12(spark, sf):
     b = bridge(spark, sf, "b_code")
     return D.scan_with_fallback(b, "code").select("doc_id", F.array_join("violations", ";").alias("violations"),
                                                    "sad_flag")
 
 
-def _changed_files(spark, sf):
-    b = bridge(spark, sf, "b_code")
-    return b.select(F.concat(F.lit("doc__"), (F.col("doc_id") % 97).cast("string")).alias("instance_id"),
-                    F.when(F.col("doc_id") % 7 == 0, F.lit("README.md")).otherwise(F.col("path")).alias("path"),
-                    F.when(F.col("doc_id") % 5 != 0, F.substring("code", 1, 40)).alias("before"),
-                    F.when(F.col("doc_id") % 11 != 0, F.col("code")).alias("after"))
+def _instance(doc_id="doc_id"):
+    """A patch of up to three files."""
+    return F.concat(F.lit("patch__"), F.expr(f"{doc_id} div 3").cast("string"))
 
 
-@register("sec14_postapply_delta")
+def _sides(spark, sf):
+    """(before, after): the code tables of the changed files."""
+    b = bridge(spark, sf, "b_code")
+    path = F.when(F.col("doc_id") % 7 == 0, F.lit("README.md")).otherwise(F.col("path")).alias("path")
+    before = b.where("doc_id % 5 <> 0").select(
+        _instance().alias("instance_id"), path, F.when(F.col("doc_id") % 5 <= 2, F.col("notes")).otherwise(F.col("code")).alias("before"))
+    after = b.where("doc_id % 11 <> 0").select(_instance().alias("instance_id"), path, F.col("code").alias("after"))
+    return before, after
+
+
+_DELTA = f"""
+f AS (SELECT doc_id, 'patch__' || CAST(doc_id // 3 AS VARCHAR) AS instance_id, path, form,
+             CASE WHEN doc_id % 5 IN (3, 4) AND form <> 4 THEN {_FOUND} END AS bv,
+             CASE WHEN doc_id % 11 <> 0 AND form <> 4 THEN {_FOUND} END AS av,
+             CASE WHEN form = 4 AND doc_id % 5 IN (3, 4) THEN 'before-scan failed for ' || path || ': {_NO_LEN}'
+                  WHEN form = 4 AND doc_id % 11 <> 0 THEN 'after-scan failed for ' || path || ': {_NO_LEN}' END AS err
+      FROM b_code WHERE doc_id % 7 <> 0 AND (doc_id % 5 <> 0 OR doc_id % 11 <> 0)),
+d AS (SELECT *, CASE WHEN err IS NULL AND av IS DISTINCT FROM bv THEN av END AS nv FROM f)"""
+
+
+@register("sec14_postapply_delta", oracle_cte("b_code") + "," + _DELTA + """
+SELECT instance_id, coalesce(string_agg(DISTINCT nv, ';' ORDER BY nv), '') AS new_violations,
+       count(err) > 0 AS scan_failed, max_by(err, path) FILTER (err IS NOT NULL) AS scan_error,
+       count(*) AS n_files, CASE WHEN count(err) > 0 THEN 'FAILED' ELSE 'OK' END AS status
+FROM d GROUP BY instance_id""")
 def sec14(spark, sf):
-    r = D.postapply_reports(_changed_files(spark, sf))
+    before, after = _sides(spark, sf)
+    r = D.postapply_reports(J.before_after(before, after))
     return r.select("instance_id", F.array_join("new_violations", ";").alias("new_violations"), "scan_failed",
-                    "scan_error", F.size("scanned_files").alias("n_files"),
-                    D.report_status(F.lit(False), F.col("scan_failed")).alias("status"))
+                    "scan_error", "n_files", D.report_status(F.lit(False), F.col("scan_failed")).alias("status"))
 
 
-@register("jn14_before_after")
+@register("jn14_before_after", oracle_cte("b_code") + "," + _DELTA + """
+SELECT instance_id, path, coalesce(bv, '') AS before, CASE WHEN err LIKE 'before%' THEN '' ELSE coalesce(av, '') END AS after,
+       coalesce(nv, '') AS new FROM d""")
 def jn14(spark, sf):
-    d = D.file_deltas(_changed_files(spark, sf))
-    before = d.select("instance_id", "path", "before_violations").where(F.size("before_violations") > 0)
-    after = d.select("instance_id", "path", "after_violations").where(F.size("after_violations") > 0)
-    j = J.before_after(before, after)
-    return j.select("instance_id", "path", F.array_join("before_violations", ";").alias("before"),
-                    F.array_join("after_violations", ";").alias("after"),
-                    F.array_join(F.array_sort(F.array_except("after_violations", "before_violations")), ";")
-                    .alias("new"))
+    before, after = _sides(spark, sf)
+    d = D.file_deltas(J.before_after(before, after))
+    return d.select("instance_id", "path", F.array_join("before_violations", ";").alias("before"),
+                    F.array_join("after_violations", ";").alias("after"), F.array_join("new_violations", ";").alias("new"))
 
 
-@register("sec16_task_scan_union")
+@register("sec16_task_scan_union", oracle_cte("b_code") + f""",
+s AS (SELECT 'task__' || CAST(doc_id // 4 AS VARCHAR) AS task,
+             CASE WHEN form IN (4, 5) THEN {_sub_sql(K.RULE_FAMILIES)} ELSE {_FOUND} END AS v FROM b_code)
+SELECT task, coalesce(string_agg(DISTINCT v, ';' ORDER BY v) FILTER (v <> ''), '') AS violations FROM s GROUP BY task""")
 def sec16(spark, sf):
-    b = bridge(spark, sf, "b_code").withColumn("task", (F.col("doc_id") % 11).cast("string"))
+    b = bridge(spark, sf, "b_code").withColumn("task", F.concat(F.lit("task__"), F.expr("doc_id div 4").cast("string")))
     s = D.scan_with_fallback(b, "code", active=list(K.RULE_FAMILIES))
-    return s.groupBy("task").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("violations")))),
-                                              ";").alias("violations"))
+    return D.distinct_findings(s, "task", "violations").select("task", F.array_join("violations", ";").alias("violations"))
 
 
 # ------------------------------------------------------------------ JN-5, 6, 7, 8, 9, 10, 13

@@ -312,11 +312,11 @@ def flt01(spark, sf):
 
 
 @register("flt02_id_regex_filter", oracle_cte("b_preds") + """
-SELECT seq, instance_id FROM b_preds WHERE regexp_matches(instance_id, '(doc__1\\d$)|(doc__2|doc__3)')""")
+SELECT seq, instance_id FROM b_preds WHERE regexp_matches(instance_id, 'doc__1\\d$') OR instance_id IN ('doc__2', 'doc__3')""")
 def flt02(spark, sf):
-    from gavel.operators.joins import combine_filter
-    rx = combine_filter("doc__2,doc__3", r"doc__1\d$")
-    return bridge(spark, sf, "b_preds").where(F.col("instance_id").rlike(rx)).select("seq", "instance_id")
+    from gavel.operators.joins import selected
+    keep = selected(F.col("instance_id"), "doc__2, doc__3", r"doc__1\d$")
+    return bridge(spark, sf, "b_preds").where(keep).select("seq", "instance_id")
 
 
 @register("flt05_row_limit", oracle_cte("b_preds") + """

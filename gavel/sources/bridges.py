@@ -235,7 +235,7 @@ SELECT o_orderkey AS seq,
 FROM {orders}
 """),
     "b_profiles": (("pages",), """
-SELECT page_id, url AS username, substring(html, 1, 300) AS bio FROM {pages}
+SELECT page_id, url AS username, html AS bio FROM {pages}
 """),
     "b_bearer": (("events",), """
 SELECT event_id AS request_id, user_id,
@@ -291,7 +291,7 @@ SELECT doc_id,
             WHEN 2 THEN 'src/test_' || source || '.py' WHEN 3 THEN 'src/' || source || '_test.py'
             WHEN 4 THEN 'test_' || source || '.py' WHEN 5 THEN 'SRC/Tests/' || source || '.py'
             WHEN 6 THEN '' ELSE 'src/' || source || '.py' END AS path,
-       CASE doc_id % 5 WHEN 0 THEN 'Dummy_' || source WHEN 1 THEN ' my-EXAMPLE ' ELSE lower(substring(text, 1, 12)) END
+       CASE doc_id % 5 WHEN 0 THEN 'Dummy_' || source WHEN 1 THEN ' my-EXAMPLE ' ELSE lower(text) END
          AS value,
        text
 FROM {documents}
@@ -310,17 +310,17 @@ UNION ALL
 SELECT 'model-b|full|org__' || lower(n_name) || '|r2', 'done', 100 + n_nationkey FROM {nation} WHERE n_nationkey % 2 = 0
 """),
     "b_code": (("documents",), """
-SELECT doc_id, 'src/' || source || '/m' || CAST(doc_id AS STRING) || '.py' AS path,
+SELECT doc_id, 'src/' || source || '/m' || CAST(doc_id AS STRING) || '.py' AS path, doc_id % 6 AS form, notes,
        CASE doc_id % 6
-         WHEN 0 THEN 'cursor.execute("SELECT * FROM t WHERE id=" + uid)' || chr(10) || substring(text, 1, 400)
-         WHEN 1 THEN 'q = f"SELECT ' || chr(123) || 'x' || chr(125) || ' FROM t"' || chr(10) || 'password = "hunter22"' || chr(10) || substring(text, 1, 300)
-         WHEN 2 THEN '@app.get("/u")' || chr(10) || 'def h(user_id):' || chr(10) || '    return user_id' || chr(10)
-         WHEN 3 THEN 'db.save()' || chr(10) || 'obj.update()' || chr(10) || 'el.innerHTML = x' || chr(10)
+         WHEN 0 THEN 'cursor.execute("SELECT * FROM t WHERE id=" + uid)'
+         WHEN 1 THEN 'q = f"SELECT ' || chr(123) || 'x' || chr(125) || ' FROM t"' || chr(10) || 'password = "hunter22"'
+         WHEN 2 THEN '@app.get("/u")' || chr(10) || 'def h(user_id):' || chr(10) || '    return user_id'
+         WHEN 3 THEN 'db.save()' || chr(10) || 'obj.update()' || chr(10) || 'el.innerHTML = x'
          WHEN 4 THEN 'import random' || chr(10) || 'api_key = 12345' || chr(10) || 'eval(s); os.system(c)'
-         ELSE substring(text, 1, 500) END AS code,
-       CASE doc_id % 3 WHEN 0 THEN {arr}('SQLI', 'SECRETS', 'MISSING_AUTH', 'NO_TRANSACTION', 'XSS', 'WEAK_RNG')
-            WHEN 1 THEN {arr}('SQLI', 'SECRETS') ELSE {empty} END AS rules
-FROM {documents}
+         ELSE 'def broken(:' END || chr(10) || notes AS code,
+       CASE doc_id % 4 WHEN 3 THEN {empty} WHEN 2 THEN {arr}('SQLI', 'SECRETS')
+            ELSE {arr}('SQLI', 'SECRETS', 'MISSING_AUTH', 'NO_TRANSACTION', 'XSS', 'WEAK_RNG') END AS rules
+FROM (SELECT doc_id, source, '# ' || replace(text, chr(10), chr(10) || '# ') AS notes FROM {documents}) t
 """),
     "b_index": (("documents",), """
 SELECT 'doc__' || CAST(doc_id AS STRING) AS instance_id, 'org/' || source AS repo,

@@ -5,7 +5,6 @@ import json
 from pyspark.sql import functions as F
 import os
 
-from gavel.operators import astscan
 from gavel.operators import delta as D
 from gavel.sources import files as S
 
@@ -66,13 +65,24 @@ def test_results_reports_trajectories(spark, tmpdir_path):
 
 
 def test_ast_scan_and_delta(spark):
-    assert astscan.scan_code("import random\n", ["WEAK_RNG"]) == ["WEAK_RNG_USAGE"]
-    assert astscan.scan_code("import random\n", []) == []
-    assert astscan.scan_code("def (:\n", []) == ["SYNTAX_ERROR_PREVENTS_SECURITY_SCAN"]
-    found, err = astscan.scan_or_error("token_limit = 4096\n", ["SECRETS"])
-    assert found is None and err.startswith("TypeError")
-    code = "db.save()\nwith db.transaction():\n    db.update()\nobj.delete()\n"
-    assert astscan.scan_code(code, ["NO_TRANSACTION"]) == ["NO_TRANSACTION_FOR_MULTI_WRITE"]
+    tx = "db.save()\nwith db.transaction():\n    db.update()\nobj.delete()\n"
+    once = "db.save()\nwith db.transaction():\n    db.update()\n"
+    guard = "@app.get('/')\ndef h(r):\n    verify(r)\n    return current_user\n"
+    cases = [
+        ("import random\n", ["WEAK_RNG"], ["WEAK_RNG_USAGE"], None), ("from random import x", ["WEAK_RNG"], ["WEAK_RNG_USAGE"], None),
+        ("import random\n", [], [], None), ("def (:\n", [], ["SYNTAX_ERROR_PREVENTS_SECURITY_SCAN"], None),
+        ("token_limit = 4096\n", ["SECRETS"], None, "object of type 'int' has no len()"), ("token = 0\n", ["SECRETS"], [], None),
+        ("password = 'abcde'", ["SECRETS"], ["HARDCODED_SECRETS"], None), ("password = 'my_ENV_x'", ["SECRETS"], [], None),
+        (tx, ["NO_TRANSACTION"], ["NO_TRANSACTION_FOR_MULTI_WRITE"], None), (once, ["NO_TRANSACTION"], [], None),
+        ("c.execute(f'{x}')", ["SQLI"], ["SQLI_FSTRING"], None), ("query('{}'.format(x))", ["SQLI"], ["SQLI_STRING_FORMAT"], None),
+        ("exec('a' + b)", ["SQLI"], ["SQLI_STRING_CONCAT"], None), ("execute(x)", ["SQLI"], [], None),
+        ("a.dangerouslySetInnerHTML(x)", ["XSS"], ["POTENTIAL_XSS"], None), (guard, ["MISSING_AUTH"], [], None),
+        (guard.replace("verify", "read"), ["MISSING_AUTH"], ["MISSING_AUTH_CHECK"], None), (None, ["SQLI"], [], None),
+    ]
+    code = spark.createDataFrame([(i, c, r) for i, (c, r, _, _) in enumerate(cases)], "i int, code string, rules array<string>")
+    got = {r.i: (r.findings, r.scan_error) for r in D.scan_files(code, "code", rules_col="rules").collect()}
+    for i, (c, _, found, error) in enumerate(cases):
+        assert got[i] == (found, error), c
     files = spark.createDataFrame([
         ("i1", "a.py", "x = 1\n", "import random\nx = 1\n"), ("i1", "b.md", None, "text"),
         ("i2", "c.py", "import random\n", "import random\n"), ("i3", "d.py", "x = 1\n", "def (:\n"),
