@@ -11,125 +11,160 @@ input order; Spark itself never relies on row order. Whole-file formats
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gavel.functions.text import looks_like_diff, py_rstrip, py_strip
 
-PRED_FIELDS = "instance_id string, task string, id string, task_id string, model_patch string, provider string, " \
-              "tau_step bigint, model_name_or_path string"
 RESULT_SCHEMA = "instance_id string, resolved boolean, resolved_status string, cri string"
 REPORT_SCHEMA = ("instance_id string, task string, repo string, base_commit string, scan_scope string, "
                  "scan_failed boolean, scan_ok boolean, scan_error string, skipped boolean, skip_reason string, "
-                 "changed_files array<string>, new_violations array<string>, "
+                 "changed_files array<string>, new_violations string, "
                  "files array<struct<path:string, before_violations:array<string>, after_violations:array<string>, "
                  "new_violations:array<string>>>, _corrupt_record string")
 
 
+ID_KEYS = ("instance_id", "task", "id", "task_id")
+
+
 def _id_of(rec, fallback):
+    """SRC-2 over a parsed struct of strings."""
+    return F.coalesce(*[F.nullif(rec[c], F.lit("")) for c in ID_KEYS], fallback)
+
+
+def _truthy_text(v: Column) -> Column:
+    """Text of a variant that Python counts as true, else null: no null, false,
+    zero, empty string, list or object. The string "0" counts."""
+    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    false = (kind.isNull() | (kind == "VOID") | ((kind == "BOOLEAN") & (text == "false")) | text.isin("", "[]", "{}")
+             | ((kind != "STRING") & (F.try_variant_get(v, "$", "double") == 0)))
+    return F.when(~F.coalesce(false, F.lit(False)), text)
+
+
+def _field(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def variant_id(v: Column, fallback: Column) -> Column:
     """SRC-2: first truthy of instance_id, task, id, task_id, else fallback."""
-    return F.coalesce(*[F.nullif(F.nullif(rec[c], F.lit("")), F.lit("0")) for c in
-                        ("instance_id", "task", "id", "task_id")], fallback)
+    return F.coalesce(*[_truthy_text(_field(v, k)) for k in ID_KEYS], fallback)
 
 
 # ------------------------------------------------------------------ SRC-1
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Polymorphic predictions: JSON array, map id -> payload, single
-    record, or JSONL; one row per prediction with (file, seq), duplicates
-    kept. The patch is returned raw (normalise with TXT-1). ``.jsonl`` paths
-    take the line-split reader, so one large file spreads over many tasks."""
-    if path.endswith(".jsonl"):
-        return read_predictions_jsonl(spark, path)
-    files = (spark.read.text(path, wholetext=True)
-             .select(F.col("_metadata.file_path").alias("file"),
-                     F.regexp_replace(F.col("value"), "^﻿", "").alias("text")))
-    files = files.where(py_strip(F.col("text")) != "")
-    t = py_strip(F.col("text"))
-    rec_t = PRED_FIELDS
+def predictions_of(units: DataFrame) -> DataFrame:
+    """SRC-1: one normaliser for a whole file (``line`` null) and for a line of
+    a JSONL file. ``units``: file, line, json (valid JSON text). Rows
+    (file, seq, instance_id, model_patch, provider, tau_step), seq a struct
+    (line, position); duplicates are kept, the patch is raw (TXT-1 follows)."""
+    t = py_strip(F.col("json"))
+    is_list, is_object = t.startswith("["), t.startswith("{")
+    members = F.map_entries(F.from_json(F.when(is_object, t), "map<string,variant>"))
+    keyed = is_object & F.exists(members, lambda m: m["key"].isin(*ID_KEYS))
+    whole = F.try_element_at(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<variant>"), F.lit(1))
+
+    def item(v, pos, key=None):
+        """(record or patch, its key in a map, its place)"""
+        return F.struct(v.alias("v"), (F.lit(None).cast("string") if key is None else key).alias("key"), pos.alias("pos"))
+
+    falsy = F.col("line").isNotNull() & _truthy_text(F.col("whole")).isNull()
+    items = (F.when(falsy | (t == "null"), F.array().cast("array<struct<v:variant,key:string,pos:int>>"))
+             .when(is_list, F.transform(F.from_json(F.when(is_list, t), "array<variant>"),
+                                        lambda e, i: item(e, (i + 1).cast("int"))))
+             .when(keyed | ~is_object, F.array(item(F.col("whole"), F.lit(0))))
+             .otherwise(F.transform(members, lambda m, i: item(m["value"], (i + 1).cast("int"), m["key"]))))
+    rows = units.withColumn("whole", whole).select("file", "line", falsy.alias("falsy"), F.explode_outer(items).alias("x"))
+    rows = rows.where("falsy or x is not null").select("file", "line", "falsy", "x.*")
+    record = F.schema_of_variant("v").startswith("OBJECT")
+    # in a map the key is the id unless the payload has an instance_id of its own
+    named = F.schema_of_variant(_field(F.col("v"), "instance_id")).isNotNull()
+    place = F.concat(F.lit("instance_"), F.col("pos").cast("string"))
+    fallback = F.when(F.col("pos") == 0, F.lit("instance_unknown")).otherwise(place)
+    ident = (F.when(F.col("falsy"), F.concat(F.lit("line_"), F.col("line").cast("string")))
+             .when(F.col("key").isNotNull() & (~record | ~named), F.coalesce(F.nullif("key", F.lit("")), place))
+             .otherwise(F.when(record, variant_id(F.col("v"), fallback)).otherwise(fallback)))
+    patch = F.when(record, F.try_variant_get("v", "$.model_patch", "string")).otherwise(F.try_variant_get("v", "$", "string"))
+    return rows.select("file", F.struct(F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("pos", F.lit(0)).alias("pos")).alias("seq"),
+                       ident.alias("instance_id"), F.coalesce(patch, F.lit("")).alias("model_patch"),
+                       F.when(record, F.try_variant_get("v", "$.provider", "string")).alias("provider"),
+                       F.when(record, F.try_variant_get("v", "$.tau_step", "bigint")).alias("tau_step"))
+
+
+def _valid_json(text: Column) -> Column:
     # wrapping in brackets makes trailing values (JSONL) a parse error
-    whole_ok = F.try_parse_json(F.concat(F.lit("["), F.col("text"), F.lit("]"))).isNotNull()
-    arr = files.where(whole_ok & t.startswith("[")).select(
-        "file", F.posexplode(F.from_json(F.col("text"), "array<string>")).alias("i", "e"))
-    arr = arr.select("file", (F.col("i") + 1).alias("seq"),
-                     F.when(F.col("e").startswith("{"), F.from_json("e", rec_t)).alias("r"), "e")
-    arr = arr.select("file", "seq", _id_of(F.col("r"), F.concat(F.lit("instance_"), F.col("seq").cast("string")))
-                     .alias("instance_id"),
-                     F.when(F.col("r").isNotNull(), F.col("r.model_patch")).otherwise(F.col("e")).alias("model_patch"),
-                     F.col("r.provider").alias("provider"), F.col("r.tau_step").alias("tau_step"))
-    objs = files.where(whole_ok & t.startswith("{"))
-    # top-level key presence (a null value still counts, as with ``k in obj``)
-    top_keys = F.map_keys(F.from_json("text", "map<string,string>"))
-    has_key = F.exists(top_keys, lambda k: k.isin("instance_id", "task", "id", "task_id"))
-    single = objs.where(has_key).select("file", F.lit(1).cast("bigint").alias("seq"),
-                                        F.from_json("text", rec_t).alias("r"))
-    single = single.select("file", "seq", _id_of(F.col("r"), F.lit("instance_unknown")).alias("instance_id"),
-                           F.col("r.model_patch").alias("model_patch"), F.col("r.provider").alias("provider"),
-                           F.col("r.tau_step").alias("tau_step"))
-    mapped = objs.where(~has_key).select("file", F.posexplode(F.from_json("text", "map<string,string>")).alias("i", "k", "v"))
-    mapped = mapped.select("file", (F.col("i") + 1).cast("bigint").alias("seq"), "k", "v",
-                           F.when(F.col("v").startswith("{"), F.from_json("v", rec_t)).alias("r"))
-    mapped = mapped.select("file", "seq", _id_of(F.col("r"), F.col("k")).alias("instance_id"),
-                           F.when(F.col("r").isNotNull(), F.col("r.model_patch")).otherwise(F.col("v")).alias("model_patch"),
-                           F.col("r.provider").alias("provider"), F.col("r.tau_step").alias("tau_step"))
-    lines = files.where(~whole_ok).select("file", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.where(py_strip(F.col("line")) != "").select(
-        "file", (F.col("i") + 1).cast("bigint").alias("seq"), F.from_json(py_strip(F.col("line")), rec_t).alias("r"),
-        py_strip(F.col("line")).alias("raw"))
-    empty_obj = F.col("raw").isin("{}", "[]", "null", "0", '""', "false")
-    lines = lines.select("file", "seq",
-                         F.when(empty_obj, F.concat(F.lit("line_"), F.col("seq").cast("string")))
-                         .otherwise(_id_of(F.col("r"), F.lit("instance_unknown"))).alias("instance_id"),
-                         F.col("r.model_patch").alias("model_patch"), F.col("r.provider").alias("provider"),
-                         F.col("r.tau_step").alias("tau_step"))
-    scalar = files.where(whole_ok & ~t.startswith("[") & ~t.startswith("{")).select(
-        "file", F.lit(1).cast("bigint").alias("seq"), F.lit("instance_unknown").alias("instance_id"),
-        F.element_at(F.from_json(F.concat(F.lit("["), F.col("text"), F.lit("]")), "array<string>"), 1)
-        .alias("model_patch"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("bigint").alias("tau_step"))
-    return arr.unionByName(single).unionByName(mapped).unionByName(lines).unionByName(scalar).withColumn(
-        "model_patch", F.coalesce(F.col("model_patch"), F.lit("")))
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+
+
+def _checked_lines(lines: DataFrame) -> DataFrame:
+    """Stripped, non-blank lines; a malformed one fails the job."""
+    raw = F.col("json")
+    return lines.withColumn("json", py_strip(F.regexp_replace(raw, "^\ufeff", ""))).where("json <> ''").withColumn(
+        "json", F.when(_valid_json(raw), raw).otherwise(F.raise_error(F.concat(
+            F.lit("malformed JSON on line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"))).cast("string")))
+
+
+def parse_prediction_texts(files: DataFrame) -> DataFrame:
+    """SRC-1 over (file, text): a JSON document, else JSONL; a blank text has
+    no rows."""
+    clean = files.select("file", F.regexp_replace("text", "^\ufeff", "").alias("text")).where(py_strip(F.col("text")) != "")
+    clean = clean.withColumn("ok", _valid_json(F.col("text")))
+    parts = F.when(F.col("ok"), F.array(F.col("text"))).otherwise(F.split("text", "\n"))
+    units = clean.select("file", "ok", F.posexplode(parts).alias("i", "json")).select(
+        "file", F.when(~F.col("ok"), (F.col("i") + 1).cast("bigint")).alias("line"), "json")
+    return predictions_of(_checked_lines(units))
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-1: polymorphic predictions file(s), read whole: one task per file,
+    a file below Spark's 2 GB row limit. Large JSONL files go to
+    ``read_predictions_jsonl``."""
+    return parse_prediction_texts(spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 
 # ------------------------------------------------------------------ SRC-3
-def read_statuses(spark: SparkSession, path_glob: str) -> DataFrame:
-    """exit_statuses_*.yaml, flat or nested; unreadable or non-mapping files
-    are skipped; rows (file, pos, instance_id, status); null ids dropped."""
-    schema = "file string, pos bigint, instance_id string, status string"
-
-    def parse(batches):
-        import yaml
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    data = yaml.safe_load(bytes(content).decode("utf-8"))
-                except Exception:  # noqa: BLE001 - unreadable file is skipped
-                    continue
-                if not isinstance(data, dict):
-                    continue
-                pos = 0
-                if "instances_by_exit_status" in data:
-                    ibs = data.get("instances_by_exit_status")
-                    if not isinstance(ibs, dict):
-                        continue
-                    for status, ids in ibs.items():
-                        if not isinstance(ids, (list, tuple)):
-                            continue
-                        for i in ids:
-                            if i is None:
-                                continue
-                            pos += 1
-                            rows.append((path, pos, str(i), str(status)))
-                    continue
-                for i, status in data.items():
-                    if i is None or status is None:
-                        continue
-                    pos += 1
-                    rows.append((path, pos, str(i), str(status)))
-            yield pd.DataFrame(rows, columns=["file", "pos", "instance_id", "status"])
+def _yaml_as_json(batches):
+    """(path, YAML bytes) -> (file, JSON text); scalars as their text."""
+    import json
+
+    import yaml
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {str(k): plain(v) for k, v in x.items() if k is not None}
+        return [plain(v) for v in x] if isinstance(x, (list, tuple)) else x if x is None else str(x)
+
+    for pdf in batches:
+        texts = []
+        for content in pdf["content"]:
+            try:
+                texts.append(json.dumps(plain(yaml.safe_load(bytes(content).decode("utf-8")))))
+            except (yaml.YAMLError, UnicodeDecodeError):
+                texts.append(None)
+        yield pd.DataFrame({"file": pdf["path"], "text": texts})
+
+
+def status_rows(files: DataFrame) -> DataFrame:
+    """SRC-3 over (file, text) with JSON mappings: {id: status}, or {status:
+    [ids]} under ``instances_by_exit_status``. Rows (file, pos, instance_id,
+    status); other texts and null ids or statuses have no rows."""
+    group = "instances_by_exit_status"
+    whole = F.from_json(F.when(F.col("text").startswith("{"), F.col("text")), "map<string,string>")
+    flat = F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("id"), e["value"].alias("status")))
+    by_status = F.map_entries(F.from_json(F.when(F.col("m")[group].startswith("{"), F.col("m")[group]), "map<string,string>"))
+    nested = F.flatten(F.transform(by_status, lambda e: F.transform(
+        F.coalesce(F.from_json(F.when(e["value"].startswith("["), e["value"]), "array<string>"), F.array().cast("array<string>")),
+        lambda i: F.struct(i.alias("id"), e["key"].alias("status")))))
+    pairs = F.when(F.map_contains_key("m", group), nested).otherwise(flat)
+    rows = files.withColumn("m", whole).where("m is not null").select("file", F.posexplode(pairs).alias("pos", "x"))
+    return rows.select("file", F.col("pos").cast("bigint").alias("pos"), F.col("x.id").alias("instance_id"),
+                       F.col("x.status").alias("status")).where("instance_id is not null and status is not null")
+
 
+def read_statuses(spark: SparkSession, path_glob: str) -> DataFrame:
+    """SRC-3: exit_statuses_*.yaml; unreadable files have no rows. Python turns
+    YAML into JSON text, Spark does the rest."""
     raw = spark.read.format("binaryFile").load(path_glob).select("path", "content")
-    return raw.mapInPandas(parse, schema)
+    return status_rows(raw.mapInPandas(_yaml_as_json, "file string, text string").where("text is not null"))
 
 
 def merge_statuses(rows: DataFrame, order=("file", "pos")) -> DataFrame:
@@ -142,59 +177,79 @@ def merge_statuses(rows: DataFrame, order=("file", "pos")) -> DataFrame:
 
 
 # ------------------------------------------------------------------ SRC-4, SRC-11
-def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """SRC-11: JSONL with (file, line) kept, blank lines skipped. Modes:
-    FAILFAST (strict: a malformed line fails the job), DROPMALFORMED
-    (malformed lines dropped) or PERMISSIVE (kept with ``_corrupt_record``
-    so they can be reported with their line number)."""
-    lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-             .withColumn("line", F.monotonically_increasing_id()).where(py_strip(F.col("value")) != ""))
+def parse_json_lines(lines: DataFrame, schema: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """SRC-11 over (file, line, value): blank lines skipped. Modes: FAILFAST
+    (a malformed line fails the job), DROPMALFORMED (dropped) or PERMISSIVE
+    (kept with ``_corrupt_record`` beside its line number)."""
+    lines = lines.where(py_strip(F.col("value")) != "")
     if mode == "FAILFAST":
-        parsed = lines.select("file", "line", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
-        return parsed.select("file", "line", "r.*")
-    full = schema + ", _corrupt_record string"
-    parsed = lines.select("file", "line", F.from_json("value", full, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    out = parsed.select("file", "line", "r.*")
-    if mode == "DROPMALFORMED":
-        return out.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return out
+        return lines.select("file", "line", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("file", "line", "r.*")
+    parsed = lines.select("file", "line", F.from_json("value", schema + ", _corrupt_record string", {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("file", "line", "r.*")
+    return parsed.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record") if mode == "DROPMALFORMED" else parsed
 
 
-def read_instance_results(spark: SparkSession, path: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """SRC-11: JSONL files with exact 1-based line numbers."""
+    return parse_json_lines(numbered_lines(spark, path), schema, mode)
+
+
+def last_results(rows: DataFrame) -> DataFrame:
     """SRC-4: rows without id dropped, the last row per id wins."""
-    r = read_jsonl(spark, path, RESULT_SCHEMA, mode="PERMISSIVE")
-    r = r.where(F.coalesce(F.col("instance_id"), F.lit("")) != "")
-    return (r.groupBy("instance_id").agg(F.max_by(F.struct("resolved", "resolved_status", "cri"),
-                                                  F.struct("file", "line")).alias("x"))
+    return (rows.where(F.coalesce(F.col("instance_id"), F.lit("")) != "").groupBy("instance_id")
+            .agg(F.max_by(F.struct("resolved", "resolved_status", "cri"), F.struct("file", "line")).alias("x"))
             .select("instance_id", "x.*"))
 
 
+def read_instance_results(spark: SparkSession, path: str) -> DataFrame:
+    return last_results(read_jsonl(spark, path, RESULT_SCHEMA, mode="PERMISSIVE"))
+
+
 # ------------------------------------------------------------------ SRC-5, 6
+def parse_reports(files: DataFrame) -> DataFrame:
+    """SRC-5/6 over (file name, text): the id is the file's stem; a scalar
+    ``new_violations`` counts as one finding, a falsy one as none; an
+    unreadable report becomes corrupt=true."""
+    r = F.from_json("text", REPORT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = files.select(F.regexp_replace("file", r"\.json$", "").alias("stem"), "text", r.alias("r")).select("stem", "text", "r.*")
+    raw = F.col("new_violations")
+    listed = (F.when(raw.startswith("["), F.from_json(F.when(raw.startswith("["), raw), "array<string>"))
+              .when(~raw.isin("", "0", "false", "{}"), F.array(raw)))
+    corrupt = F.col("_corrupt_record").isNotNull() | F.col("text").isNull() | ~py_strip(F.col("text")).startswith("{")
+    return rows.select(F.col("stem").alias("instance_id"), "scan_scope", "scan_failed", "scan_ok", "scan_error", listed.alias("new_violations"),
+                       corrupt.alias("corrupt"), "files", "changed_files")
+
+
 def read_reports(spark: SparkSession, directory: str) -> DataFrame:
-    """SRC-5/6: one security report per '<id>.json'; id = instance_id, task
-    or file stem; an unreadable report becomes corrupt=true."""
-    raw = (spark.read.schema(REPORT_SCHEMA).option("multiLine", "true").option("mode", "PERMISSIVE")
-           .json(f"{directory}/*.json").withColumn("file", F.col("_metadata.file_name")))
-    stem = F.regexp_replace("file", r"\.json$", "")
-    return raw.select(
-        F.coalesce(F.nullif("instance_id", F.lit("")), F.nullif("task", F.lit("")), stem).alias("instance_id"),
-        "scan_scope", "scan_failed", "scan_ok", "scan_error", "new_violations",
-        F.col("_corrupt_record").isNotNull().alias("corrupt"), "files", "changed_files")
+    """SRC-5/6: one security report per '<id>.json'."""
+    return parse_reports(spark.read.text(f"{directory}/*.json", wholetext=True).select(
+        F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
 
 
 # ------------------------------------------------------------------ SRC-7
+def parse_trajectories(files: DataFrame) -> DataFrame:
+    """SRC-7 over (file name, text): info.submission kept only when it looks
+    like a diff (right-stripped plus one newline); an unreadable text has no
+    row."""
+    rows = files.where(_valid_json(F.col("text")) & py_strip(F.col("text")).startswith("{"))
+    sub = F.coalesce(F.try_variant_get(F.try_parse_json("text"), "$.info.submission", "string"), F.lit(""))
+    return rows.select(F.regexp_replace("file", r"\.traj\.json$", "").alias("instance_id"),
+                       F.lit("extracted_from_trajectory").alias("model_name_or_path"),
+                       F.when(looks_like_diff(sub), F.concat(py_rstrip(sub), F.lit("\n"))).otherwise(F.lit(""))
+                       .alias("model_patch"), F.octet_length(sub).cast("bigint").alias("submission_bytes"))
+
+
 def read_trajectories(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-7: '*.traj.json' anywhere under root; info.submission kept only
-    when it looks like a diff (right-stripped plus one newline)."""
-    raw = (spark.read.option("multiLine", "true").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "*.traj.json").schema("info struct<submission:string>").json(root)
-           .withColumn("file", F.col("_metadata.file_name")))
-    sub = F.coalesce(F.col("info.submission"), F.lit(""))
-    return raw.select(F.regexp_replace("file", r"\.traj\.json$", "").alias("instance_id"),
-                      F.lit("extracted_from_trajectory").alias("model_name_or_path"),
-                      F.when(looks_like_diff(sub), F.concat(py_rstrip(sub), F.lit("\n"))).otherwise(F.lit(""))
-                      .alias("model_patch"), F.octet_length(sub).cast("bigint").alias("submission_bytes"))
+    """SRC-7: '*.traj.json' in root, else in root/trajectories, else anywhere
+    below; the first level that has files is read."""
+    listing = list_files(spark, root, "*.traj.json")
+    folder = F.regexp_replace(F.regexp_extract("path", "^(.*)/[^/]+$", 1), "^(file:)?/*", "/")
+    base = "/" + root.removeprefix("file:").strip("/")
+    level = F.when(folder == base, 0).when(folder == f"{base}/trajectories", 1).otherwise(2)
+    best = listing.agg(F.min(level).alias("n")).first()["n"]  # one number
+    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.traj.json").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return parse_trajectories(found.where(level == F.lit(best)).select("file", "text"))
 
 
 # ------------------------------------------------------------------ SRC-9, 10, 14, 16
@@ -344,21 +399,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)) + 1)
-    return (rows.join(F.broadcast(blocks.select("file", "block", "mid0", "first")), ["file", "block"])
+    return (rows.join(blocks.select("file", "block", "mid0", "first"), ["file", "block"])
             .select("file", (F.col("first") + F.col("mid") - F.col("mid0")).alias("line"), "value"))
 
 
 def read_predictions_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1, JSONL branch for large files: lines are split across tasks
-    (exact line numbers via ``numbered_lines``); blank lines skipped; a falsy
-    object becomes 'line_<n>'; a leading BOM is removed."""
-    lines = numbered_lines(spark, path)
-    raw = py_strip(F.regexp_replace("value", "^\\ufeff", ""))
-    parsed = lines.where(raw != "").select("file", F.col("line").alias("seq"), raw.alias("raw"),
-                                           F.from_json(raw, PRED_FIELDS).alias("r"))
-    empty_obj = F.col("raw").isin("{}", "[]", "null", "0", '""', "false")
-    return parsed.select("file", "seq",
-                         F.when(empty_obj, F.concat(F.lit("line_"), F.col("seq").cast("string")))
-                         .otherwise(_id_of(F.col("r"), F.lit("instance_unknown"))).alias("instance_id"),
-                         F.coalesce(F.col("r.model_patch"), F.lit("")).alias("model_patch"),
-                         F.col("r.provider").alias("provider"), F.col("r.tau_step").alias("tau_step"))
+    """SRC-1 for large JSONL files: lines are split across tasks, with exact
+    line numbers, and go through the same normaliser."""
+    return predictions_of(_checked_lines(numbered_lines(spark, path).select("file", "line", F.col("value").alias("json"))))

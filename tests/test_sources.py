@@ -2,9 +2,11 @@
 
 import json
 
-from pyspark.sql import functions as F
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from gavel.operators import delta as D
 from gavel.sources import files as S
 
@@ -35,6 +37,26 @@ def test_prediction_shapes(spark, tmpdir_path):
     assert got["blank"] == []
 
 
+def test_prediction_corner_shapes(spark):
+    texts = {
+        "line_list": '{"instance_id": "a", "model_patch": "1"}\n[{"id": "b"}, {"task": "0"}]\n{"m": {"task": "t", "model_patch": "x"}, "n": "y"}\n"bare"\nnull\n',
+        "map_key_first": '{"a": {"task": "b", "model_patch": "p"}}', "null": "null", "zero": '[{"instance_id": 0, "task": "0"}, {"id": 0}, 7]',
+        "pretty": '[\n {"instance_id": "p"},\n {"instance_id": "q"}\n]', "false_id": '{"instance_id": "", "id": false, "task_id": 12}',
+    }
+    files = spark.createDataFrame(list(texts.items()), "file string, text string")
+    got = {k: [] for k in texts}
+    for r in S.parse_prediction_texts(files).orderBy("file", "seq").collect():
+        got[r.file].append((r.instance_id, r.model_patch))
+    assert got == {
+        "line_list": [("a", "1"), ("b", ""), ("0", ""), ("m", "x"), ("n", "y"), ("instance_unknown", "bare"), ("line_5", "")],
+        "map_key_first": [("a", "p")], "null": [], "zero": [("0", ""), ("instance_2", ""), ("instance_3", "7")],
+        "pretty": [("p", ""), ("q", "")], "false_id": [("12", "")],
+    }
+    bad = spark.createDataFrame([("f", '{"id": 1}\n{broken\n')], "file string, text string")
+    with pytest.raises(Exception, match="malformed JSON on line 2"):
+        S.parse_prediction_texts(bad).collect()
+
+
 def test_statuses_last_write_wins(spark, tmpdir_path):
     d = tmpdir_path
     _write(d, "exit_statuses_1.yaml", "instances_by_exit_status:\n  Submitted: [a, b]\n  error: [c]\n")
@@ -56,12 +78,18 @@ def test_results_reports_trajectories(spark, tmpdir_path):
     assert res == {"a": (True, "RESOLVED")}
     _write(d, "rep/a.json", json.dumps({"instance_id": "a", "scan_failed": False, "new_violations": ["X"]}))
     _write(d, "rep/b.json", "{not json")
+    _write(d, "rep/c.json", json.dumps({"instance_id": "zz", "new_violations": "ONE"}))
     reps = {r.instance_id: (r.corrupt, r.new_violations) for r in S.read_reports(spark, os.path.join(d, "rep")).collect()}
     assert reps["a"] == (False, ["X"]) and reps["b"][0] is True
+    assert reps["c"] == (False, ["ONE"])
     _write(d, "trajs/t/one.traj.json", json.dumps({"info": {"submission": "diff --git a/x b/x\n--- a/x\n+++ b/x\n  \n"}}))
     _write(d, "trajs/two.traj.json", json.dumps({"info": {"submission": "just prose"}}))
     tr = {r.instance_id: r.model_patch for r in S.read_trajectories(spark, os.path.join(d, "trajs")).collect()}
-    assert tr == {"one": "diff --git a/x b/x\n--- a/x\n+++ b/x\n", "two": ""}
+    assert tr == {"two": ""}  # the root level has files
+    _write(d, "deep/t/one.traj.json", json.dumps({"info": {"submission": "diff --git a/x b/x\n--- a/x\n+++ b/x\n  \n"}}))
+    _write(d, "deep/u/bad.traj.json", "{unreadable")
+    tr = {r.instance_id: r.model_patch for r in S.read_trajectories(spark, os.path.join(d, "deep")).collect()}
+    assert tr == {"one": "diff --git a/x b/x\n--- a/x\n+++ b/x\n"}
 
 
 def test_ast_scan_and_delta(spark):
@@ -159,7 +187,7 @@ def test_jsonl_modes(spark, tmpdir_path):
     p = _write(tmpdir_path, "r.jsonl", '{"final_decision": "OK"}\n{not json\n\n{"final_decision": "VETO"}\n')
     schema = "final_decision string"
     keep = S.read_jsonl(spark, p, schema, "PERMISSIVE").orderBy("line").collect()
-    assert [r._corrupt_record is not None for r in keep] == [False, True, False]
+    assert [(r.line, r._corrupt_record is not None) for r in keep] == [(1, False), (2, True), (4, False)]
     drop = S.read_jsonl(spark, p, schema, "DROPMALFORMED").collect()
     assert sorted(r.final_decision for r in drop) == ["OK", "VETO"]
 
@@ -202,7 +230,7 @@ def test_distributed_jsonl_line_numbers(spark, tmpdir_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "512")  # many splits of one file
     try:
         nl = {r.line: r.value for r in S.numbered_lines(spark, p).collect()}
-        rows = {r.seq: r.instance_id for r in S.read_predictions_jsonl(spark, p).collect()}
+        rows = {r.seq.line: r.instance_id for r in S.read_predictions_jsonl(spark, p).collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert nl == {i: lines[i - 1] for i in range(1, 201)}
