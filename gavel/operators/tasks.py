@@ -17,105 +17,73 @@ from gavel.functions.text import py_strip
 
 # ------------------------------------------------------------------ BIZ-1
 def greedy_rate_limit(events: DataFrame, user: str = "user_id", ts: str = "ts_unit", order: str = "event_id",
-                      window: int = K.LIMITER_WINDOW, limit: int = K.LIMITER_LIMIT, span: int | None = None,
-                      max_rounds: int = 64) -> DataFrame:
+                      window: int = K.LIMITER_WINDOW, limit: int = K.LIMITER_LIMIT, span: int | None = None) -> DataFrame:
     """Allow an event when fewer than ``limit`` ALLOWED events of the same
     user lie in [ts - window + 1, ts]; denied events do not count, so a
     plain windowed count is wrong.
 
-    Parallel and exact:
-    1. The greedy state only reaches back ``window`` units, so a gap of at
-       least ``window`` between consecutive events of a user resets it: the
-       timeline is cut into segments there (running sum over a lag).
-    2. Segments are cut further into time chunks of ``span`` units, so a
-       user who never pauses (a hot key) still spreads over many tasks.
-    3. Every chunk is folded in parallel from an entry state (the allowed
-       timestamps carried in); the first pass assumes an empty one. A
-       chunk's true entry state is the exit state of the chunk before it in
-       the same segment; chunks whose entry changed are folded again until
-       nothing changes. The first chunk of a segment is always exact, so
-       after round r the first r chunks of every segment are final; in
-       practice one extra round suffices. Rounds cut lineage with
-       ``checkpoint()`` in the shared checkpoint folder.
+    Parallel and exact, also for one user who never pauses:
+    1. Every user's timeline is cut into runs of ``span`` units (at least a
+       window), and all runs are folded in parallel from an empty state.
+    2. A run's true entry state is what its predecessor left inside the
+       window. Where that differs from the state assumed, the run is merged
+       with its neighbour (runs double in length) and folded again from the
+       best known entry; all other runs stay as they are.
+    3. This ends when every assumed entry is right. A run that covers a whole
+       timeline has no predecessor, so at most log2(runs) rounds are needed;
+       usually one or two are. Rounds end at ``checkpoint()`` in the shared
+       folder.
+    Rows stream through the fold in time order (secondary sort); no task holds
+    a user's history, and no window spans a user.
     """
+    from gavel.session import ensure_checkpoint_dir
     spark = events.sparkSession
+    ensure_checkpoint_dir(spark)
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    span = span or window * 4096
-    key = [user, "_seg", "_chunk"]
-    w = Window.partitionBy(user).orderBy(ts, order)
-    data = (events.withColumn("_prev", F.lag(ts).over(w))
-            .withColumn("_new", F.when(F.col("_prev").isNull() | (F.col(ts) - F.col("_prev") >= window), 1)
-                        .otherwise(0))
-            .withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_chunk", F.floor(F.col(ts) / span).cast("bigint"))
-            .drop("_prev", "_new"))
-    base_fields = data.schema.fields
-    out_schema = T.StructType(base_fields + [T.StructField("allowed", T.BooleanType()),
-                                             T.StructField("_after", T.ArrayType(T.LongType()))])
+    span = max(window, span or window * 64)
+    key = [user, "_run"]
+    data = events.withColumn("_run", F.floor(F.col(ts) / span).cast("bigint"))
+    states = T.ArrayType(T.LongType())
+    out_schema = T.StructType([*data.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("_after", states)])
 
     def fold(batches):
-        # Rows arrive clustered by chunk and time-sorted inside each
-        # partition (secondary sort); the state survives batch boundaries.
-        cur, kept = None, []
+        current, kept = None, []
         for pdf in batches:
-            users, segs, chunks = pdf[user].to_numpy(), pdf["_seg"].to_numpy(), pdf["_chunk"].to_numpy()
-            times, entries = pdf[ts].to_numpy(), pdf["_entry"].to_numpy()
-            allowed, after = [False] * len(pdf), [None] * len(pdf)
-            for i in range(len(pdf)):
-                k = (users[i], segs[i], chunks[i])
-                if k != cur:
-                    cur = k
-                    kept = [int(x) for x in entries[i]] if entries[i] is not None else []
-                t = int(times[i])
-                while kept and kept[0] <= t - window:
-                    kept.pop(0)
-                if len(kept) < limit:
-                    kept.append(t)
-                    allowed[i] = True
-                after[i] = list(kept)
-            pdf = pdf.drop(columns=["_entry"])
-            pdf["allowed"] = allowed
-            pdf["_after"] = after
-            yield pdf
-
-    def run(rows: DataFrame, entries: DataFrame | None) -> DataFrame:
-        if entries is None:
-            rows = rows.withColumn("_entry", F.lit(None).cast("array<bigint>"))
-        else:
-            rows = rows.join(entries, key, "left")
+            allowed, after = [], []
+            for who, run, t, entry in zip(pdf[user], pdf["_run"], pdf[ts], pdf["_entry"]):
+                if (who, run) != current:
+                    current, kept = (who, run), [] if entry is None else [int(x) for x in entry]
+                kept = [x for x in kept if x > t - window]
+                allowed.append(len(kept) < limit)
+                if allowed[-1]:
+                    kept.append(int(t))
+                after.append(kept)
+            yield pdf.drop(columns=["_entry"]).assign(allowed=allowed, _after=after)
+
+    def folded(rows: DataFrame) -> DataFrame:
         clustered = rows.repartition(nparts, *key).sortWithinPartitions(*key, ts, order)
         return clustered.mapInPandas(fold, out_schema)
 
-    def next_entries(out: DataFrame) -> DataFrame:
-        exits = out.groupBy(*key).agg(F.max_by("_after", F.struct(ts, order)).alias("_exit"))
-        nxt = F.lead("_chunk").over(Window.partitionBy(user, "_seg").orderBy("_chunk"))
-        return (exits.withColumn("_next", nxt).where(F.col("_next").isNotNull())
-                .select(user, "_seg", F.col("_next").alias("_chunk"), F.col("_exit").alias("_entry"))
-                .where(F.size("_entry") > 0))
-
-    # Entry states only matter for segments that span several chunks; when
-    # there are none, one fold is exact and nothing needs to be kept.
-    multi = (data.select(user, "_seg", "_chunk").distinct().groupBy(user, "_seg").count()
-             .where(F.col("count") > 1))
-    if multi.isEmpty():
-        return run(data, None).drop("_seg", "_chunk", "_after")
-    from gavel.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    out = run(data, None).checkpoint()
-    entries = spark.createDataFrame([], T.StructType([f for f in base_fields if f.name in key]
-                                                    + [T.StructField("_entry", T.ArrayType(T.LongType()))]))
-    for _ in range(max_rounds):
-        nxt = next_entries(out).checkpoint()
-        cmp = nxt.join(entries.withColumnRenamed("_entry", "_old"), key, "full")
-        changed = cmp.where(~F.coalesce(F.col("_entry"), F.array().cast("array<bigint>"))
-                            .eqNullSafe(F.coalesce(F.col("_old"), F.array().cast("array<bigint>")))).select(*key)
-        if changed.isEmpty():
-            break
-        redo = run(data.join(changed, key, "left_semi"), nxt)
-        # each round cuts the growing lineage in the shared checkpoint folder
-        out = out.join(changed, key, "left_anti").unionByName(redo).checkpoint()
-        entries = nxt
-    return out.drop("_seg", "_chunk", "_after")
+    empty = F.array().cast(states)
+    out = folded(data.withColumn("_entry", empty)).checkpoint()
+    used = None  # entry states other than the empty one
+    while True:
+        ends = out.groupBy(*key).agg(F.max_by("_after", F.struct(ts, order)).alias("_exit"), F.min(ts).alias("_first"))
+        before = ends.select(user, (F.col("_run") + 1).alias("_run"), "_exit")
+        need = ends.select(*key, "_first").join(before, key, "left").select(
+            *key, F.filter(F.coalesce("_exit", empty), lambda t: t > F.col("_first") - window).alias("_entry"))
+        need = (need.withColumn("_used", empty) if used is None
+                else need.join(used, key, "left").withColumn("_used", F.coalesce("_used", empty)))
+        need = need.withColumn("_wrong", F.col("_entry") != F.col("_used")).checkpoint()
+        if need.where("_wrong").isEmpty():
+            return out.drop("_run", "_after")
+        merged = F.floor(F.col("_run") / 2).cast("bigint")
+        runs = need.groupBy(user, merged.alias("_run")).agg(
+            F.min_by("_entry", "_run").alias("_entry"), F.max("_wrong").alias("_wrong"))
+        out = out.withColumn("_run", merged).join(runs, key)
+        redo = folded(out.where("_wrong").drop("allowed", "_after", "_wrong"))
+        out = out.where("not _wrong").drop("_wrong", "_entry").unionByName(redo).checkpoint()
+        used = runs.select(*key, F.col("_entry").alias("_used"))
 
 
 # ------------------------------------------------------------------ BIZ-2

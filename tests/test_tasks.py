@@ -137,3 +137,11 @@ def test_ledger_chunked_prefix_equals_single_window(spark):
     a = sorted(((r.seq, r.kind, r.account_id, r.balance_after, r.overdrawn) for r in small.collect()))
     b = sorted(((r.seq, r.kind, r.account_id, r.balance_after, r.overdrawn) for r in big.collect()))
     assert a == b and any(x[4] for x in a)
+
+
+def test_limiter_never_pausing_user_over_many_runs(spark):
+    """The state shifts from run to run: every merge level takes part."""
+    events = [(i, 5, i) for i in range(900)] + [(900 + i, 6, 3 * i) for i in range(300)] + [(1200 + i, 7, 40 * i) for i in range(50)]
+    df = spark.createDataFrame(events, "event_id long, user_id long, ts_unit long")
+    got = {r.event_id: r.allowed for r in B.greedy_rate_limit(df, span=7).collect()}
+    assert got == brute_limiter(events)
