@@ -32,15 +32,27 @@ def _location(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def drain_to_memory(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run ``df`` until the available input is consumed; return the sink
-    content as a batch DataFrame."""
+def drain(df: DataFrame, label: str) -> DataFrame:
+    """Run ``df`` (append mode) until the available input is consumed, into a
+    parquet table under the shared folder; return that table."""
     spark = df.sparkSession
-    name = f"gavel_{label}_{uuid.uuid4().hex[:8]}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", _location(spark, label)).trigger(availableNow=True).start())
+    path = _location(spark, label)
+    (df.writeStream.format("parquet").option("path", f"{path}/table").outputMode("append")
+     .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(df.schema).parquet(f"{path}/table")
+
+
+def drain_latest(df: DataFrame, label: str) -> DataFrame:
+    """Run ``df`` (complete mode, a bounded result) until the available input
+    is consumed; every epoch writes its own version of the result, so a retried
+    epoch overwrites itself. Returns the newest version."""
+    spark = df.sparkSession
+    path = _location(spark, label)
+    q = (df.writeStream.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/v{epoch}"))
+         .outputMode("complete").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    last = max(p["batchId"] for p in q.recentProgress)
+    return spark.read.schema(df.schema).parquet(f"{path}/v{last}")
 
 
 def start_to_parquet(df: DataFrame, label: str, path: str, processing_time: str | None = "1 minute"):
@@ -77,7 +89,7 @@ def governed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     statuses = merge_statuses(bridge(spark, sf_dir, "b_status_raw"), order=("file", "ts", "pos"))
     ev = governed_eval(preds, statuses, bridge(spark, sf_dir, "b_results"), bridge(spark, sf_dir, "b_reports"),
                        model_id=MODEL_ID, allow_diff_fallback=True)
-    return drain_to_memory(present(ev), "governed")
+    return drain(present(ev), "governed")
 
 
 # ------------------------------------------------------------------ STR-2, STR-3
@@ -91,7 +103,7 @@ def decision_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running decision counts (complete mode); the CI gate reads them."""
     ev = _eval_stream(spark, sf_dir)
     counts = ev.groupBy("final_decision").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    return drain_to_memory(counts, "decisions", mode="complete")
+    return drain_latest(counts, "decisions")
 
 
 def risk_coverage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,46 +111,56 @@ def risk_coverage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     (complete mode), unpivoted per threshold on read."""
     from gavel.operators.aggregates import sweep_aggs, sweep_rows
     ev = _eval_stream(spark, sf_dir)
-    wide = drain_to_memory(ev.agg(*sweep_aggs()), "sweep", mode="complete")
+    wide = drain_latest(ev.agg(*sweep_aggs()), "sweep")
     return sweep_rows(wide)
 
 
 # ------------------------------------------------------------------ STR-4
 LIMITER_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
                             T.StructField("ts_unit", T.LongType()), T.StructField("allowed", T.BooleanType())])
-LIMITER_STATE = T.StructType([T.StructField("kept", T.ArrayType(T.LongType()))])
+LIMITER_STATE = T.StructType([T.StructField("kept", T.ArrayType(T.LongType())), T.StructField("newest", T.LongType())])
+
+
+def in_order(batches, columns: list[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch in order. Spark hands them over in
+    several Arrow batches, so sorting each batch would not order the key."""
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    return rows.sort_values(columns, kind="stable")
+
+
+def limiter_over(requests: DataFrame, window: int = K.LIMITER_WINDOW, limit: int = K.LIMITER_LIMIT) -> DataFrame:
+    """Greedy limiter on a stream of (event_id, user_id, ts_unit). The state of
+    a user is bounded: the allowed times still inside the window and the newest
+    time seen. A micro-batch is ordered across all of a key's Arrow batches;
+    a row older than an earlier micro-batch's newest one is late: it is denied
+    and changes nothing."""
+
+    def step(key, batches, state):
+        kept, newest = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
+        rows = in_order(batches, ["ts_unit", "event_id"])
+        floor, allowed = newest, []
+        for t in rows["ts_unit"].tolist():
+            late = floor is not None and t < floor
+            if not late:
+                kept, newest = [x for x in kept if x > t - window], t
+            allowed.append(not late and len(kept) < limit)
+            if allowed[-1]:
+                kept.append(t)
+        state.update((kept, newest))
+        yield rows[["event_id", "user_id", "ts_unit"]].assign(allowed=allowed)
+
+    return requests.groupBy("user_id").applyInPandasWithState(step, LIMITER_OUT, LIMITER_STATE, "append",
+                                                             GroupStateTimeout.NoTimeout)
 
 
 def limiter_stream(spark: SparkSession, sf_dir: str, window: int = K.LIMITER_WINDOW,
                    limit: int = K.LIMITER_LIMIT) -> DataFrame:
-    """Greedy limiter with per-user state (the last allowed timestamps
-    still inside the window). Rows of a micro-batch are ordered by event
-    time; the state carries across batches, so batch = stream when each
-    batch holds non-decreasing times per user."""
+    """STR-4 over the events table."""
     from gavel.sources.bridges import SPARK, sql_for
     ev = stream_table(spark, sf_dir, "events")
     req = spark.sql(sql_for("b_limiter", SPARK, {"events": "{events}"}), events=ev)
-
-    def step(key, batches, state):
-        kept = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts_unit", "event_id"], kind="stable")
-            out = []
-            for t in pdf["ts_unit"].to_numpy():
-                while kept and kept[0] <= t - window:
-                    kept.pop(0)
-                if len(kept) < limit:
-                    kept.append(int(t))
-                    out.append(True)
-                else:
-                    out.append(False)
-            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(),
-                                "ts_unit": pdf["ts_unit"].to_numpy(), "allowed": out})
-        state.update((kept,))
-
-    res = req.groupBy("user_id").applyInPandasWithState(step, LIMITER_OUT, LIMITER_STATE, "append",
-                                                        GroupStateTimeout.NoTimeout)
-    return drain_to_memory(res, "limiter")
+    return drain(limiter_over(req, window, limit), "limiter")
 
 
 # ------------------------------------------------------------------ STR-6
@@ -149,35 +171,40 @@ def status_upsert_stream(spark: SparkSession, sf_dir: str, table_path: str | Non
     version (idempotent) and a restarted query, which resumes at the next
     epoch from its checkpoint, finds the previous version under the same
     path."""
-    from pyspark.errors import AnalysisException
     from gavel.sources.bridges import SPARK, sql_for
     from gavel.sources.files import merge_statuses
 
     ev = stream_table(spark, sf_dir, "events")
     raw = spark.sql(sql_for("b_status_raw", SPARK, {"events": "{events}"}), events=ev)
     base = table_path or _location(spark, "status_table")
-    seen = {"last": None}
+    columns = ["instance_id", "status", "file", "ts", "pos"]
 
     def upsert(batch: DataFrame, epoch: int):
-        rows = batch.select("instance_id", "status", "file", "ts", "pos")
-        try:
+        rows = batch.select(*columns)
+        if epoch > 0:  # epoch 0 alone has no previous version; a lost one fails here
             rows = rows.unionByName(spark.read.parquet(f"{base}/v{epoch - 1}"))
-        except AnalysisException:
-            pass  # first epoch: no previous version
         merged = (rows.where(F.col("instance_id").isNotNull() & F.col("status").isNotNull())
                   .groupBy("instance_id")
                   .agg(F.max_by(F.struct("status", "file", "ts", "pos"), F.struct("file", "ts", "pos")).alias("r"))
                   .select("instance_id", "r.*"))
         merged.write.mode("overwrite").parquet(f"{base}/v{epoch}")
-        seen["last"] = epoch
 
     q = (raw.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    table = spark.read.parquet(f"{base}/v{seen['last']}")
+    table = spark.read.parquet(f"{base}/v{_last_version(spark, base)}")
     return merge_statuses(table, order=("file", "ts", "pos"))
 
 
+def _last_version(spark: SparkSession, base: str) -> int:
+    """Newest finished version under ``base`` (also after a restart that found
+    no new input)."""
+    done = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "part-*").load(base).select(
+        F.max(F.regexp_extract("path", "/v([0-9]+)/part-", 1).try_cast("int")).alias("n"))
+    return done.first()["n"]
+
+
 # ------------------------------------------------------------------ STR-7
 def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resume / skip-existing on a stream: the first write per id inside
@@ -187,7 +214,7 @@ def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.sql(sql_for("b_status_raw", SPARK, {"events": "{events}"}), events=ev)
     keys = (raw.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "2 days")
             .dropDuplicatesWithinWatermark(["instance_id"]).select("instance_id"))
-    return drain_to_memory(keys, "dedupe")
+    return drain(keys, "dedupe")
 
 
 # ------------------------------------------------------------------ STR-5
@@ -213,27 +240,25 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def step(key, batches, state):
         live = dict(zip(*state.get)) if state.exists else {}
-        for pdf in batches:
-            rows = []
-            for r in pdf.sort_values("seq", kind="stable").itertuples(index=False):
-                if r.op == "create":
-                    live[r.session_id] = r.user_id
-                    rows.append((r.chain_id, r.seq, r.op, r.session_id, r.user_id, True, None))
-                elif r.op == "invalidate":
-                    rows.append((r.chain_id, r.seq, r.op, r.session_id, live.pop(r.session_id, None), False, None))
-                else:
-                    owner = live.pop(r.session_id, None)
-                    if owner is None:
-                        rows.append((r.chain_id, r.seq, r.op, r.new_session_id, None, False, "unknown session id"))
-                    else:
-                        live[r.new_session_id] = owner
-                        rows.append((r.chain_id, r.seq, r.op, r.new_session_id, owner, True, None))
-            yield pd.DataFrame(rows, columns=[f.name for f in SESSION_OUT.fields])
-        state.update((list(live.keys()), list(live.values())))
+        rows = []
+        for r in in_order(batches, ["seq"]).itertuples(index=False):
+            owner = r.user_id if r.op == "create" else live.pop(r.session_id, None)
+            issued = {"create": r.session_id, "rotate": r.new_session_id}.get(r.op)
+            alive = r.op == "create" or (issued is not None and owner is not None)
+            if alive:
+                live[issued] = owner
+            named = r.session_id if r.op != "rotate" else r.new_session_id
+            error = "unknown session id" if r.op == "rotate" and owner is None else None
+            rows.append((r.chain_id, r.seq, r.op, named, owner, alive, error))
+        yield pd.DataFrame(rows, columns=[f.name for f in SESSION_OUT.fields])
+        if live:
+            state.update((list(live.keys()), list(live.values())))
+        elif state.exists:
+            state.remove()
 
     out = log.groupBy("chain_id").applyInPandasWithState(step, SESSION_OUT, SESSION_STATE, "append",
                                                          GroupStateTimeout.NoTimeout)
-    return drain_to_memory(out, "sessions")
+    return drain(out, "sessions")
 
 
 def windowed_decision_counts_stream(spark: SparkSession, sf_dir: str, width: str = "30 days") -> DataFrame:
@@ -249,5 +274,5 @@ def windowed_decision_counts_stream(spark: SparkSession, sf_dir: str, width: str
               .withWatermark("wm", "60 days")
               .groupBy(F.window("event_time", width).alias("w"), "final_decision")
               .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
-    out = drain_to_memory(counts, "decision_windows", mode="complete")
+    out = drain_latest(counts, "decision_windows")
     return out.select(F.col("w.start").cast("string").alias("window_start"), "final_decision", "n")
