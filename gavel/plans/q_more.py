@@ -350,11 +350,24 @@ def jsn01(spark, sf):
             .withColumn("signature", C.hmac_sha256_hex(DEMO_KEY, F.col("payload"))))
 
 
-@register("jsn04_proofcards")
+_STAMP = "2024-01-01T00:00:00+00:00"
+
+
+@register("jsn04_proofcards", oracle_cte("b_eval") + f""",
+c AS (SELECT task AS instance_id, '{{"cri":' || coalesce(CAST(cri AS VARCHAR), 'null') || ',"decision":"'
+        || coalesce(final_decision, 'UNKNOWN') || '","instance_id":"' || task || '","model":"' || model
+        || '","patch_hash":null,"proofcard_id":"' || sha256('bench-run|' || task)
+        || '","run_id":"bench-run","sad_flag":' || CASE WHEN sad_flag THEN 'true' ELSE 'false' END
+        || ',"source_enriched_path":"table","tau":null,"tests":{{"failed":0,"passed":0,"total":0}},"timestamp":"{_STAMP}"}}'
+        AS payload FROM b_eval)
+SELECT instance_id, payload, sha256(payload) AS payload_hash, 'HMAC-SHA256' AS algo, 'bridge.key' AS key_hint,
+       {_duck_hmac('payload')} AS signature FROM c""")
 def jsn04(spark, sf):
     from gavel.operators.cards import proofcards
-    return proofcards(bridge(spark, sf, "b_eval"), run_id="bench-run", stamp="2024-01-01T00:00:00+00:00",
-                      sign_key=DEMO_KEY.encode(), key_hint="bridge.key")
+    cards = proofcards(bridge(spark, sf, "b_eval"), run_id="bench-run", stamp=_STAMP, sign_key=DEMO_KEY.encode(),
+                       key_hint="bridge.key")
+    return cards.select("instance_id", "payload", "payload_hash", "signature.algo", "signature.key_hint",
+                        F.col("signature.value").alias("signature"))
 
 
 # ------------------------------------------------------------------ TXT-2, TXT-26, MET-5, WIN-7, AGG-14

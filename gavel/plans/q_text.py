@@ -289,13 +289,24 @@ def txt25(spark, sf):
 
 
 # ------------------------------------------------------------------ TXT-7, TXT-12 (rows only: Java-only regex)
-@register("txt07_extract_code")
+@register("txt07_extract_code", oracle_cte("b_traj") + f"""
+SELECT conv_id, CASE WHEN submission = '' THEN ''
+         WHEN starts_with(submission, 'Here is the patch:') THEN {Q.strip(
+             "replace(replace(submission, 'Here is the patch:' || chr(10) || '```diff' || chr(10), ''), '```' || chr(10) || 'Done.', '')")} || chr(10)
+         ELSE {Q.strip('submission')} || chr(10) END AS code FROM b_traj""")
 def txt07(spark, sf):
     t = bridge(spark, sf, "b_traj")
     return t.select("conv_id", TX.extract_code("submission").alias("code"))
 
 
-@register("txt12_split_files")
+@register("txt12_split_files", oracle_cte("b_traj") + f""",
+resp AS (SELECT conv_id, '# pkg/a_' || CAST(conv_id AS VARCHAR) || '.py' || chr(10) || submission || chr(10)
+                || '// pkg/b.py' || chr(10) || 'print(1)' || chr(10) || 'file: empty.py' AS t FROM b_traj),
+l AS (SELECT conv_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS i FROM resp),
+h AS (SELECT *, regexp_extract(x, {q(TX._FILE_HDR)}, 1) AS h FROM l),
+g AS (SELECT *, max(CASE WHEN h <> '' THEN i END) OVER (PARTITION BY conv_id ORDER BY i) AS n FROM h)
+SELECT conv_id, CAST(n AS INT) AS n, max(h) AS path, string_agg(x, chr(10) ORDER BY i) FILTER (h = '') AS content
+FROM g WHERE n IS NOT NULL GROUP BY conv_id, n HAVING count(*) > 1""")
 def txt12(spark, sf):
     t = bridge(spark, sf, "b_traj").select(
         "conv_id", F.concat(F.lit("# pkg/a_"), F.col("conv_id").cast("string"), F.lit(".py\n"), F.col("submission"),

@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 SPARK = {"arr": "array", "empty": "CAST(array() AS ARRAY<STRING>)", "nullarr": "CAST(NULL AS ARRAY<STRING>)",
          "epoch": "(unix_date(CAST(ts AS DATE)) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts))", "month": "date_format(ts, 'yyyy-MM')",
-         "h1": "sha2(", "h2": ", 256)"}
+         "h1": "sha2(", "h2": ", 256)", "div12": "(doc_id div 12)"}
 DUCK = {"arr": "list_value", "empty": "CAST([] AS VARCHAR[])", "nullarr": "CAST(NULL AS VARCHAR[])",
         "epoch": "CAST(floor(epoch(ts)) AS BIGINT)", "month": "strftime(ts, '%Y-%m')",
-        "h1": "sha256(", "h2": ")"}
+        "h1": "sha256(", "h2": ")", "div12": "(doc_id // 12)"}
 
 # fixed value: the demo signing key used by the bearer/reset-token bridges
 DEMO_KEY = "bridge-secret"
@@ -333,14 +333,12 @@ SELECT 'doc__' || CAST(doc_id AS STRING) AS instance_id, quality = 1 AS resolved
 FROM {labels} WHERE doc_id % 2 = 0
 """),
     "b_ctxfiles": (("documents",), """
-SELECT source AS instance_id, doc_id AS pos,
-       CASE WHEN doc_id % 10 = 0 THEN 'tests/test_' || CAST(doc_id AS STRING) || '.py'
+SELECT 'inst__' || CAST({div12} AS STRING) AS instance_id, doc_id AS pos,
+       CASE WHEN doc_id % 4 = 0 THEN 'tests/test_' || CAST(doc_id AS STRING) || '.py'
             WHEN doc_id % 7 = 0 THEN 'docs/' || CAST(doc_id AS STRING) || '.md'
             ELSE 'pkg/m' || CAST(doc_id AS STRING) || '.py' END AS path,
-       CASE WHEN doc_id % 10 = 0 THEN 'test'
-            WHEN doc_id % 10 = 1 AND CAST(substring(source, 4) AS BIGINT) % 2 = 0 THEN 'explicit'
-            ELSE 'changed' END AS kind,
-       substring(text, 1, 120) AS content
+       CASE WHEN doc_id % 4 = 0 THEN 'test' WHEN doc_id % 24 = 1 THEN 'explicit' ELSE 'changed' END AS kind,
+       text AS content
 FROM {documents}
 """),
 }

@@ -3,7 +3,7 @@ filters reach the parquet scans, the sweep scans its input once."""
 
 import pytest
 
-import __spark_entry__ as E
+from gavel.plans import catalog as E
 
 SF = "/root/testdata/sf0.001"
 BATCH = sorted(n for n in E.queries() if not n.startswith("str"))
