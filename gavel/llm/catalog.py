@@ -131,7 +131,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bit_sliced": op10_bit_sliced,
 }
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 ORACLE: dict[str, str] = {
+    "op1_minhash": rf"""
+        WITH RECURSIVE w AS MATERIALIZED (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+                 '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (
+          SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+              FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+              WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+        u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(doc_id, reach) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reach),
+        c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+        SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
+        FROM c LEFT JOIN n ON n.doc_id = c.doc_id""",
     "op4_chat": r"""
         WITH turns AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -158,6 +176,21 @@ ORACLE: dict[str, str] = {
           CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
         FROM d""",
+    "op9_interleave": r"""
+        WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k:
+                     CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        b AS (SELECT doc_id, source, encode(coalesce(text, '')) AS x FROM documents),
+        h AS (SELECT *, list_transform(string_split(regexp_replace(hex(x), '(..)', '0x\1,', 'g'), ','),
+                     lambda y: try_cast(y AS BIGINT)) AS bytes FROM b),
+        d AS (SELECT doc_id, source, octet_length(x) + 1 AS size, md5('1/' || doc_id) AS u,
+                CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS s,
+                xor(list_reduce([4294967295::BIGINT] || list_filter(bytes, lambda y: y IS NOT NULL),
+                    lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) AS text_crc32 FROM h, t),
+        r AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY u, doc_id) - 1 + 0.5::DOUBLE)
+                / count(*) OVER (PARTITION BY s) AS f FROM d),
+        g AS (SELECT *, row_number() OVER (ORDER BY f, s, doc_id) - 1 AS g, count(*) OVER () AS n FROM r)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (g * 16 // n)::INT AS shard,
+          (g - (g * 16 // n * n + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard, source FROM g""",
     "op10_bit_sliced": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
