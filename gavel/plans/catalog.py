@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["q_governance", "q_analytics", "q_tasks", "q_text", "q_more", "q_streaming"]
+AREAS = ["q_governance", "q_analytics", "q_tasks", "q_text", "q_more", "q_sources", "q_streaming"]
 
 
 def _load():

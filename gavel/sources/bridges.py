@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 SPARK = {"arr": "array", "empty": "CAST(array() AS ARRAY<STRING>)", "nullarr": "CAST(NULL AS ARRAY<STRING>)",
          "epoch": "(unix_date(CAST(ts AS DATE)) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts))", "month": "date_format(ts, 'yyyy-MM')",
-         "h1": "sha2(", "h2": ", 256)", "div12": "(doc_id div 12)"}
+         "h1": "sha2(", "h2": ", 256)", "div12": "(doc_id div 12)",
+         "js1": "regexp_replace(to_json(array(", "js2": ")), '^.|.$', '')"}
 DUCK = {"arr": "list_value", "empty": "CAST([] AS VARCHAR[])", "nullarr": "CAST(NULL AS VARCHAR[])",
         "epoch": "CAST(floor(epoch(ts)) AS BIGINT)", "month": "strftime(ts, '%Y-%m')",
-        "h1": "sha256(", "h2": ")", "div12": "(doc_id // 12)"}
+        "h1": "sha256(", "h2": ")", "div12": "(doc_id // 12)",
+        "js1": "CAST(to_json(", "js2": ") AS VARCHAR)"}
 
 # fixed value: the demo signing key used by the bearer/reset-token bridges
 DEMO_KEY = "bridge-secret"
@@ -343,6 +345,56 @@ FROM {documents}
 """),
 }
 
+# Texts of the tool's input files, one row a file (a line for b_resultlines);
+# j is a document's text as a JSON string.
+BRIDGES |= {
+    "b_predfiles": (("documents",), """
+SELECT doc_id, text AS t, 'f' || d AS file, CASE doc_id % 8
+  WHEN 0 THEN '[{{"instance_id":"a' || d || '","model_patch":' || j || '}}, ' || j || ', {{"task":"t' || d || '","model_patch":null}}]'
+  WHEN 1 THEN '{{"m' || d || '": {{"model_patch":' || j || ',"task":"x"}}, "n' || d || '": ' || j || '}}'
+  WHEN 2 THEN '{{"id":"s' || d || '","model_patch":' || j || ',"provider":"p"}}'
+  WHEN 3 THEN '{{"instance_id":"l' || d || '","model_patch":' || j || '}}' || chr(10) || chr(10) || '{{}}' || chr(10)
+              || '[{{"task":"p' || d || '"}},"0"]' || chr(10) || '{{"k' || d || '":' || j || '}}' || chr(10)
+  WHEN 4 THEN j WHEN 5 THEN 'null' WHEN 6 THEN ' ' || chr(10)
+  ELSE '{{"instance_id":0,"task":"0","model_patch":' || j || '}}' END AS text
+FROM (SELECT doc_id, text, CAST(doc_id AS STRING) AS d, {js1}text{js2} AS j FROM {documents}) x
+"""),
+    "b_statusfiles": (("documents",), """
+SELECT doc_id, 'exit_' || CAST(doc_id AS STRING) || '.yaml' AS file, CASE doc_id % 4
+  WHEN 0 THEN '{{"instances_by_exit_status":{{"Submitted":["doc__' || u || '","' || v || '"],"error":["' || v || '",null],"odd":"x"}}}}'
+  WHEN 1 THEN '{{"doc__' || u || '":"' || source || '","gone":null}}' WHEN 2 THEN '["not a mapping"]'
+  ELSE '{{"instances_by_exit_status":"none"}}' END AS text
+FROM (SELECT doc_id, source, CAST(doc_id % 300 AS STRING) AS u, lang AS v FROM {documents}) x
+"""),
+    "b_resultlines": (("documents",), """
+SELECT 'results.jsonl' AS file, doc_id + 1 AS line, CASE WHEN doc_id % 10 = 3 THEN '{{not json' WHEN doc_id % 10 = 7 THEN '  '
+  WHEN doc_id % 10 = 9 THEN '{{"resolved":true}}'
+  ELSE '{{"instance_id":"doc__' || CAST(doc_id % 250 AS STRING) || '","resolved":' || CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END
+       || ',"resolved_status":"' || source || '","cri":"0.' || CAST(doc_id % 9 AS STRING) || '","extra":' || {js1}text{js2} || '}}' END AS value
+FROM {documents}
+"""),
+    "b_reportfiles": (("documents",), """
+SELECT doc_id, 'doc__' || CAST(doc_id AS STRING) || '.json' AS file, CASE doc_id % 6
+  WHEN 0 THEN '{{"instance_id":"other","scan_failed":false,"new_violations":["B","A"],"note":' || {js1}text{js2} || '}}'
+  WHEN 1 THEN '{{"new_violations":"ONE","scan_ok":true}}' WHEN 2 THEN '{{"new_violations":"","scan_failed":true,"scan_error":"e"}}'
+  WHEN 3 THEN '{{"scan_ok":false}}' WHEN 4 THEN '{{broken ' || text ELSE '' END AS text
+FROM {documents}
+"""),
+    "b_evalfiles": (("documents",), """
+SELECT doc_id, 'r' || d || '.json' AS file, CASE doc_id % 4
+  WHEN 0 THEN '{{"report":{{"a":{{"resolved":true}},"b":{{"resolved":true,"patch_successfully_applied":false}}}},"results":[{{"instance_id":"a","resolved":false}},"junk"],"log":' || j || '}}'
+  WHEN 1 THEN '[{{"task":"t' || d || '","resolved":true,"log":' || j || '}}, 5]'
+  WHEN 2 THEN '{{"instance_id":"solo' || d || '","resolved":false}}' ELSE '{{"instances":[{{"id":"i' || d || '"}}],"results":{{"i' || d || '":{{"resolved":true}}}}}}' END AS text
+FROM (SELECT doc_id, CAST(doc_id AS STRING) AS d, {js1}text{js2} AS j FROM {documents}) x
+"""),
+    "b_trajfiles": (("conversations",), """
+SELECT conv_id, 'c' || CAST(conv_id AS STRING) || '.traj.json' AS file, s, CASE conv_id % 7 WHEN 5 THEN '{{unreadable' WHEN 6 THEN '{{"info":{{}}}}'
+  ELSE '{{"info":{{"submission":' || {js1}s{js2} || '}}}}' END AS text
+FROM (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'diff --git a/m.py b/m.py' || chr(10) || text || ' ' || chr(10) ELSE text END AS s,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM {conversations}) x WHERE r = 1
+"""),
+}
+
 
 def hmac_sql(dialect: dict, key: str, msg: str) -> str:
     """HMAC-SHA256 hex of ``msg`` (SQL expression) in either dialect."""
@@ -369,7 +421,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bridge(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     deps, _ = BRIDGES[name]
     frames = {t: read_table(spark, sf_dir, t) for t in deps}
-    text = sql_for(name, SPARK, {t: "{" + t + "}" for t in deps})
+    # spark.sql fills {table} slots, so braces of the text itself are doubled
+    text = sql_for(name, SPARK, {t: f"\0{t}\0" for t in deps}).replace("{", "{{").replace("}", "}}")
+    for t in deps:
+        text = text.replace(f"\0{t}\0", "{" + t + "}")
     return spark.sql(text, **frames)
 
 

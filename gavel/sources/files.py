@@ -307,14 +307,12 @@ EVAL_PAYLOAD = ("instance_id string, task string, id string, task_id string, res
                 "patch_successfully_applied boolean")
 
 
-def read_evaluator_report(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-8 / SET-4: instance entries of an evaluator report. Sections
+def parse_evaluator_reports(files: DataFrame) -> DataFrame:
+    """SRC-8 / SET-4 over (file, text): instance entries of reports. Sections
     'report', 'results', 'instances' (each a map id -> payload or a list of
     payloads) are read in that order and later entries override earlier
     ones; a top-level list is read as one section; a lone object with an
     instance_id is the fallback. One row per (file, instance)."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"),
-                                                         F.col("value").alias("text"))
     parts = []
     for rank, key in enumerate(("report", "results", "instances")):
         sec = F.get_json_object("text", f"$.{key}")
@@ -350,6 +348,11 @@ def read_evaluator_report(spark: SparkSession, path: str) -> DataFrame:
             .select("file", "instance_id", "x.*"))
 
 
+def read_evaluator_report(spark: SparkSession, path: str) -> DataFrame:
+    return parse_evaluator_reports(spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+
+
 # ------------------------------------------------------------------ SRC-15
 def task_catalogue(spark: SparkSession) -> DataFrame:
     """SRC-15: the task dimension (idx, name, language, security_rules); a
