@@ -68,6 +68,17 @@ def governed_eval(preds: DataFrame, statuses: DataFrame | None = None, results:
     p = preds if prepared else prepare_predictions(preds)
     t = float(cri_threshold)
 
+    # ---- whatever reads the patch text comes before the joins, so that the
+    # text itself only moves when the caller selects it ----
+    p = p.withColumns({"_infra1": X.infra_timeout_docker("patch"), "_phrase": X.infra_timeout_phrase("patch")})
+    if reports is None or allow_diff_fallback:
+        p = p.withColumn("_scan_src", F.when(~F.col("_infra1"), F.col("patch")))
+        p = p.withColumn("_ds", X.memo_column(("diff_scan", "_scan_src"), lambda: S.diff_scan(F.col("_scan_src"))))
+        p = p.withColumns({"_light": F.col("_ds.light"), "_haspy": F.col("_ds.haspy"), "_blank": F.col("_ds.blank"),
+                           "_parse_ok": python_scan_ok(F.col("_ds.parse_in"))}).drop("_scan_src", "_ds")
+    else:  # the scan is never used
+        p = p.withColumns({"_light": M.empty_arr(), "_haspy": F.lit(False), "_blank": F.lit(True), "_parse_ok": F.lit(False)})
+
     if statuses is not None:
         p = p.join(statuses.select("instance_id", F.col("status").alias("_status")), "instance_id", "left")
     else:
@@ -95,10 +106,8 @@ def governed_eval(preds: DataFrame, statuses: DataFrame | None = None, results:
                                                F.lit(None).cast("string").alias("proofcard")))
 
     has_result = F.coalesce(F.col("_has_result"), F.lit(False))
-    infra1 = X.infra_timeout_docker("patch")
-    infra2 = ~infra1 & X.infra_timeout_phrase("patch") & ~has_result
-    p = p.withColumns({"_infra1": infra1, "_infra2": infra2,
-                       "status": F.coalesce(F.col("_status"), F.lit(K.DEFAULT_STATUS))})
+    infra2 = ~F.col("_infra1") & F.col("_phrase") & ~has_result
+    p = p.withColumns({"_infra2": infra2, "status": F.coalesce(F.col("_status"), F.lit(K.DEFAULT_STATUS))})
 
     # ---- security: report, else diff-fragment scan (only where needed) ----
     if reports is not None:
@@ -110,10 +119,7 @@ def governed_eval(preds: DataFrame, statuses: DataFrame | None = None, results:
         need_scan = F.lit(True)
     need_scan = need_scan & ~F.col("_infra1") & ~F.col("_infra2")
     p = p.withColumns({"_found": found, "_need_scan": need_scan})
-    p = p.withColumn("_scan_src", F.when(F.col("_need_scan"), F.col("patch")))
-    p = p.withColumn("_ds", X.memo_column(("diff_scan", "_scan_src"), lambda: S.diff_scan(F.col("_scan_src"))))
-    p = p.withColumns({"_light": F.when(F.col("_need_scan"), F.col("_ds.light")), "_haspy": F.col("_ds.haspy"),
-                       "_blank": F.col("_ds.blank"), "_parse_ok": python_scan_ok(F.col("_ds.parse_in"))})
+    p = p.withColumn("_light", F.when(F.col("_need_scan"), F.col("_light")))
     scan_failed = S.diff_scan_failed(F.lit(False), F.col("_light"), F.col("_haspy"), F.col("_blank"),
                                      F.col("_parse_ok"))
 
