@@ -190,48 +190,58 @@ SESSION_OUT = T.StructType([
 
 def session_ops(log: DataFrame) -> DataFrame:
     """Replay a create/invalidate/rotate log per chain (a chain is a created
-    id and its rotations; ids are never reused, so chains never interact).
+    id and its rotations; an id is issued once, so chains never interact).
 
     Output: one row per op with the resulting owner, whether the id named
     by the row (the new id for create/rotate) is live afterwards, and an
-    error for rotations of ids that are not live. Validity is recursive
-    along a chain, so each chain is folded in order with ``applyInPandas``.
+    error for rotations of ids that are not live.
+
+    An op acts on a live id when it is the first to use the id after its
+    issue and the issue itself took effect. The first part is local to an
+    id; the second is followed from rotation to rotation by pointer doubling,
+    so a chain of n rotations takes log2(n) joins and no chain is ever
+    gathered in a task.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        live: dict = {}
-        rows = []
-        for r in pdf.itertuples(index=False):
-            err = None
-            if r.op == "create":
-                live[r.session_id] = r.user_id
-                rows.append((r.chain_id, r.seq, r.op, r.session_id, r.user_id, True, None))
-                continue
-            if r.op == "invalidate":
-                owner = live.pop(r.session_id, None)
-                rows.append((r.chain_id, r.seq, r.op, r.session_id, owner, False, None))
-                continue
-            owner = live.pop(r.session_id, None)
-            if owner is None:
-                err = "unknown session id"
-                rows.append((r.chain_id, r.seq, r.op, r.new_session_id, None, False, err))
-            else:
-                live[r.new_session_id] = owner
-                rows.append((r.chain_id, r.seq, r.op, r.new_session_id, owner, True, None))
-        return pd.DataFrame(rows, columns=[f.name for f in SESSION_OUT.fields])
-
-    cols = log.select(F.col("chain_id").cast("bigint"), F.col("seq").cast("bigint"), "op",
-                      "session_id", "user_id", "new_session_id")
-    return cols.groupBy("chain_id").applyInPandas(fold, schema=SESSION_OUT)
+    from gavel.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(log.sparkSession)
+    ops = log.select(F.col("chain_id").cast("bigint"), F.col("seq").cast("bigint"), "op", "session_id", "user_id",
+                     "new_session_id")
+    key = ["chain_id", "session_id"]
+    issues = ops.where("op <> 'invalidate'").select(
+        "chain_id", F.when(F.col("op") == "create", F.col("session_id")).otherwise(F.col("new_session_id")).alias("session_id"),
+        F.col("seq").alias("issued"), (F.col("op") == "create").alias("root"), F.col("user_id").alias("root_user"))
+    uses = ops.where("op <> 'create'").join(issues, key, "left").withColumn("later", F.col("issued") < F.col("seq"))
+    first = uses.where("later").groupBy(*key).agg(F.min("seq").alias("first_use"))
+    uses = uses.join(first, key, "left").withColumn("takes", F.coalesce(
+        F.col("later") & (F.col("seq") == F.col("first_use")), F.lit(False)))
+    # up: the row that must have taken effect for this one; null at a create or where nothing is taken
+    step = uses.select("chain_id", "seq", "takes", F.when(F.col("takes") & ~F.col("root"), F.col("issued")).alias("up"),
+                       F.when(F.col("takes") & F.col("root"), F.col("root_user")).alias("owner")).checkpoint()
+    while not step.where("up is not null").isEmpty():
+        above = step.select("chain_id", F.col("seq").alias("up"), F.col("takes").alias("_t"), F.col("up").alias("_u"),
+                            F.col("owner").alias("_o"))
+        step = step.join(above, ["chain_id", "up"], "left").select(
+            "chain_id", "seq", (F.col("takes") & F.coalesce("_t", F.lit(True))).alias("takes"),
+            F.when(F.col("takes") & F.coalesce("_t", F.lit(True)), F.col("_u")).alias("up"),
+            F.when(F.col("up").isNull(), F.col("owner")).otherwise(F.col("_o")).alias("owner")).checkpoint()
+    done = ops.join(step.select("chain_id", "seq", "takes", F.col("owner").alias("_owner")), ["chain_id", "seq"], "left")
+    create, rotate = F.col("op") == "create", F.col("op") == "rotate"
+    takes = F.coalesce("takes", F.lit(False))
+    return done.select(
+        "chain_id", "seq", "op", F.when(rotate, F.col("new_session_id")).otherwise(F.col("session_id")).alias("session_id"),
+        F.when(create, F.col("user_id")).when(takes, F.col("_owner")).alias("owner"),
+        (create | (rotate & takes)).alias("live_after"),
+        F.when(rotate & ~takes, F.lit("unknown session id")).alias("error"))
 
 
 def live_sessions(log: DataFrame) -> DataFrame:
-    """Ids live at the end of the log with their owner: ids issued by a
-    successful create/rotate that no later op consumed."""
-    ops = session_ops(log)
-    issued = ops.where(F.col("live_after") & F.col("op").isin("create", "rotate"))
-    consumed = log.where(F.col("op").isin("invalidate", "rotate")).select(F.col("session_id").alias("sid"))
-    return (issued.join(consumed, issued["session_id"] == consumed["sid"], "left_anti")
+    """Ids live at the end of the log with their owner: ids issued by a create
+    or an effective rotate that no later op names."""
+    issued = session_ops(log).where("live_after").select("chain_id", "session_id", "seq", "owner")
+    last_use = (log.where(F.col("op").isin("invalidate", "rotate")).groupBy(F.col("chain_id").cast("bigint").alias("chain_id"), "session_id")
+                .agg(F.max(F.col("seq").cast("bigint")).alias("last_use")))
+    return (issued.join(last_use, ["chain_id", "session_id"], "left")
+            .where(F.col("last_use").isNull() | (F.col("last_use") < F.col("seq")))
             .select("session_id", "chain_id", F.col("owner").alias("user_id")))
 
 

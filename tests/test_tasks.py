@@ -168,3 +168,36 @@ def test_streams_order_a_key_across_arrow_batches(spark, tmpdir_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert got == brute_limiter(events)
+
+
+def test_session_chains_by_pointer_doubling(spark):
+    """Long rotation chains, broken links and uses before the issue against a
+    plain replay."""
+    rnd = random.Random(6)
+    rows, expect, live_expect = [], {}, set()
+    for chain in range(12):
+        live, ids, seq = {}, [f"{chain}-0"], 0
+        ops = [("create", ids[0], f"u{chain}", None)]
+        if chain == 1:
+            ops.insert(0, ("invalidate", ids[0], None, None))  # before the issue: no effect
+        for k in range(40 if chain == 0 else 9):
+            src = ids[-1] if chain == 0 or rnd.random() < 0.7 else rnd.choice(ids)
+            if chain and rnd.random() < 0.2:
+                ops.append(("invalidate", src, None, None))
+            else:
+                ids.append(f"{chain}-{k + 1}")
+                ops.append(("rotate", src, None, ids[-1]))
+        for op, sid, user, new in ops:
+            seq += 1
+            rows.append((chain, seq, op, sid, user, new))
+            owner = user if op == "create" else live.pop(sid, None)
+            named = new if op == "rotate" else sid
+            alive = op == "create" or (op == "rotate" and owner is not None)
+            if alive:
+                live[named] = owner
+            expect[(chain, seq)] = (named, owner, alive, "unknown session id" if op == "rotate" and owner is None else None)
+        live_expect |= {(s, chain, o) for s, o in live.items()}
+    log = spark.createDataFrame(rows, "chain_id long, seq long, op string, session_id string, user_id string, new_session_id string")
+    got = {(r.chain_id, r.seq): (r.session_id, r.owner, r.live_after, r.error) for r in B.session_ops(log).collect()}
+    assert got == expect
+    assert {tuple(r) for r in B.live_sessions(log).collect()} == live_expect
