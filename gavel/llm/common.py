@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.session import ensure_checkpoint_dir
@@ -87,3 +88,76 @@ def connected_components(edges: DataFrame) -> DataFrame:
         cur = materialize(mapped.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo"))
                           .filter("hi <> lo").distinct(), "cc-edges")
     return labels.select("node", F.col("label").alias("component"))
+
+
+def link_buckets(rows: DataFrame, members: DataFrame, likely: Callable[[str, str], Column], least: float,
+                 confirm: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> DataFrame:
+    """(rep, label): connected components of the confirmed links between
+    members that share a bucket; label is the smallest member reachable.
+
+    ``rows``: (key, band, rep), the buckets with two members or more, one key a
+    band and member. ``members``: (rep, bands, sig), the keys in band order and
+    a signature. ``likely(x, y)`` estimates the similarity of two signature
+    columns, pairs below ``least`` are dropped; ``confirm`` keeps the pairs (a,
+    b) that are links.
+
+    In a bucket each member meets only the bucket's centre, the member with
+    the heaviest buckets, and of its centres only the likeliest; members
+    already in the centre's component need no test. After ``star_rounds`` such
+    rounds, all pairs that are left in one bucket but in two components are
+    estimated inside the bucket join, each pair in the first band it shares,
+    and confirmed in full. So no link that a bucket holds is lost, and no
+    bucket's pairs are emitted.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    weight = materialize(rows.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("w")), "links-weights")
+    buckets = materialize(rows.select("key", "band", "rep").join(weight, "rep"), "links-buckets")
+    left = members.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
+    right = members.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    close = likely("sa", "sb") >= F.lit(least)
+    labels = weight.select("rep", F.col("rep").alias("label"))
+    edges = tested = None
+    for step in range(star_rounds + 1):
+        labelled = buckets.join(labels, "rep")
+        if step < star_rounds:
+            centre = labelled.groupBy("key").agg(
+                F.max(F.struct("w", (-F.col("rep")).alias("neg"), F.col("label").alias("cl"))).alias("c"))
+            pairs = (labelled.join(centre, "key").filter(F.col("label") != F.col("c.cl"))
+                     .select(F.col("rep").alias("a"), (-F.col("c.neg")).alias("b")).distinct())
+        else:
+            per = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
+            main = (per.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("k"))
+                    .filter("k > 1").select("key", F.col("top.label").alias("main")))
+            mixed = labelled.join(main, "key").join(members, "rep")
+            odd = mixed.filter("label <> main").select("key", "band", F.col("rep").alias("a"), F.col("label").alias("la"),
+                                                       F.col("bands").alias("ba"), F.col("sig").alias("sa"))
+            every = mixed.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), "main",
+                                 F.col("bands").alias("bb"), F.col("sig").alias("sb"))
+            earlier = F.exists(F.zip_with(F.slice("ba", F.lit(1), F.col("band")), F.slice("bb", F.lit(1), F.col("band")),
+                                          lambda x, y: x == y), lambda z: z)
+            pairs = odd.join(every, (odd["key"] == every["key"]) & F.expr("la <> lb and (lb = main or a < b)")
+                             & close & ~earlier).select("a", "b")
+        if tested is not None:
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
+                tested, ["a", "b"], "left_anti")
+        if step < star_rounds:
+            scored = pairs.join(left, "a").join(right, "b").withColumn("est", likely("sa", "sb")).filter(F.col("est") >= least)
+            pairs = scored.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                            "links-pairs")
+        found = materialize(confirm(pairs), "links-confirmed")
+        tested = pairs if tested is None else tested.union(pairs)
+        if found.isEmpty():
+            continue
+        edges = found if edges is None else edges.union(found)
+        comp = connected_components(edges)
+        labels = materialize(weight.select("rep").join(comp, F.col("rep") == F.col("node"), "left")
+                             .select("rep", F.coalesce("component", "rep").alias("label")), "links-labels")
+    return labels
+
+
+def shared_buckets(members: DataFrame, name: str) -> DataFrame:
+    """(key, band, rep) of the buckets that hold two members (rep, bands) or more."""
+    rows = members.select("rep", F.posexplode("bands").alias("band", "key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return materialize(rows.join(sizes, "key"), name)

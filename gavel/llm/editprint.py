@@ -15,8 +15,8 @@ share the walk of their common beginning.
 ``fingerprint_edited`` needs every row's successor in id order: rows go to id
 blocks between quantiles, the first row of a block also to the block before
 (circularly), and each block is walked in order. ``near_copies`` groups
-documents: bands of sampled fingerprint bits give buckets, the members of a
-bucket meet its smallest id, and a bounded edit distance verifies them.
+documents: bands of sampled fingerprint bits give buckets, fingerprints filter
+their pairs, and a bounded edit distance verifies them.
 
 Defined cases: null text counts as empty, its fingerprint is all masked; equal
 texts have equal fingerprints and likeness 1; a null id sorts first; equal ids
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavel.llm.common import connected_components, materialize
+from gavel.llm.common import link_buckets, materialize, shared_buckets
 
 BITS = 256
 PERIOD = 4096  # rows of the shared random table
@@ -248,27 +248,32 @@ def near_copies(docs: DataFrame, share: float = 0.1, bands: int = 24, bits: int
     """(doc_id, class_id): documents within an edit distance of ``share`` of
     the longer text are linked; class_id is the smallest id reachable.
 
-    Bands sample ``bits`` fingerprint bits each. Equal texts collapse first; in
-    a bucket every member is verified against the bucket's smallest id.
+    Equal texts collapse first. Bands sample ``bits`` fingerprint bits each;
+    pairs that share a band and whose fingerprints are near enough are verified
+    by a bounded edit distance. Empty texts and null ids are linked with
+    nothing but equal texts.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    prints = materialize(fingerprint(texts).join(texts.select("doc_id", F.sha2("text", 256).alias("h")), "doc_id"), "edit-prints")
-    first = prints.groupBy("h").agg(F.min("doc_id").alias("rep"))
-    members = prints.join(first, "h").select("doc_id", "rep", "n_chars", "fingerprint")
-    reps = members.filter("doc_id = rep and n_chars > 0").dropDuplicates(["doc_id"])
+    first = texts.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("rep"))
+    member = materialize(texts.select("doc_id", F.sha2("text", 256).alias("h")).join(first, "h").select("doc_id", "rep"),
+                         "edit-members")
+    rep_texts = materialize(texts.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id")
+                            .filter("text <> ''").dropDuplicates(["doc_id"]), "edit-texts")
     draw = np.random.default_rng(SEED + 1).integers(0, BITS, (bands, bits))
     bit = lambda i: F.expr(f"(conv(substring(fingerprint, {i // 4 + 1}, 1), 16, 10) div {1 << (3 - i % 4)}) % 2")
     keys = F.array(*[F.concat(F.lit(f"{k}:"), *[bit(int(i)).cast("string") for i in row]) for k, row in enumerate(draw)])
-    rows = materialize(reps.select("rep", "fingerprint", F.explode(keys).alias("key")), "edit-bands")
-    centre = rows.groupBy("key").agg(F.min(F.struct("rep", "fingerprint")).alias("c"), F.count("*").alias("n")).filter("n > 1")
-    pairs = rows.join(centre, "key").filter("rep <> c.rep").select(
-        F.col("rep").alias("b"), F.col("c.rep").alias("a"), _hamming(F.col("fingerprint"), F.col("c.fingerprint")).alias("d")).filter(
-        F.col("d") <= math.ceil(BITS * math.acos(1 - min(1.0, 4 * share)) / math.pi + 5 * math.sqrt(BITS) / 2)).select(
-        "a", "b").distinct()
-    ta, tb = (texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
-    most = F.floor(F.greatest(F.char_length("ta"), F.char_length("tb")) * share).cast("int")
-    links = pairs.join(ta, "a").join(tb, "b").withColumn("most", most).filter(
-        (F.abs(F.char_length("ta") - F.char_length("tb")) <= F.col("most")) & (F.levenshtein("ta", "tb") <= F.col("most")))
-    found = connected_components(materialize(links.select("a", "b"), "edit-links"))
-    return members.join(found, F.col("rep") == F.col("node"), "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("class_id"))
+    reps = materialize(fingerprint(rep_texts).select(F.col("doc_id").alias("rep"), F.col("fingerprint").alias("sig"),
+                                                     keys.alias("bands")), "edit-prints")
+    # an edit changes about two steps of a walk of two steps a character
+    least = 1 - (math.acos(1 - min(1.0, 4 * share)) / math.pi + 5 / (2 * math.sqrt(BITS)))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ta, tb = (rep_texts.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
+        size = F.greatest(F.char_length("ta"), F.char_length("tb"))
+        most = F.floor(size * share).cast("int")
+        return pairs.join(ta, "a").join(tb, "b").filter(
+            (F.abs(F.char_length("ta") - F.char_length("tb")) <= most) & (F.levenshtein("ta", "tb") <= most)).select("a", "b")
+
+    labels = link_buckets(shared_buckets(reps, "edit-buckets"), reps,
+                          lambda x, y: 1 - _hamming(F.col(x), F.col(y)) / F.lit(float(BITS)), least, verified)
+    return member.join(labels, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavel.llm.common import connected_components, materialize, mix64, row_chunks, text_buffers
+from gavel.llm.common import link_buckets, materialize, mix64, row_chunks, shared_buckets, text_buffers
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 4
@@ -205,60 +205,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2) ->
                          .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "minhash-members")
     reps = (sig.filter("n_shingles > 0").join(member.filter("rep = doc_id").select("doc_id").distinct(), "doc_id")
             .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "bands"))
-    rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(rows.join(sizes, "key"), "minhash-buckets")
-    weight = materialize(shared.groupBy("rep").agg(F.sum("n").alias("w")), "minhash-weights")
+    rows = shared_buckets(reps, "minhash-buckets")
     texts = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-                        .join(weight.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]),
+                        .join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]),
                         "minhash-texts")
-    cand = materialize(signatures(texts).withColumnRenamed("doc_id", "rep").join(reps, "rep"), "minhash-signatures")
-    buckets = materialize(shared.select("key", "band", "rep").join(weight, "rep"), "minhash-weighted")
-    left = cand.select(F.col("rep").alias("a"), F.col("planes").alias("pa"))
-    right = cand.select(F.col("rep").alias("b"), F.col("planes").alias("pb"))
-    least = F.lit(floor_estimate(percent / 100))
-    labels = weight.select("rep", F.col("rep").alias("label"))
-    edges = tested = None
-    for step in range(star_rounds + 1):
-        labelled = buckets.join(labels, "rep")
-        if step < star_rounds:
-            # each member against its bucket's centre; of these the likeliest one
-            centre = labelled.groupBy("key").agg(
-                F.max(F.struct("w", (-F.col("rep")).alias("neg"), F.col("label").alias("cl"))).alias("c"))
-            pairs = (labelled.join(centre, "key").filter(F.col("label") != F.col("c.cl"))
-                     .select(F.col("rep").alias("a"), (-F.col("c.neg")).alias("b")).distinct())
-        else:
-            # whatever still lies in one bucket but in two components
-            per = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
-            main = (per.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("k"))
-                    .filter("k > 1").select("key", F.col("top.label").alias("main")))
-            mixed = labelled.join(main, "key").join(cand, "rep")
-            odd = mixed.filter("label <> main").select("key", "band", F.col("rep").alias("a"), F.col("label").alias("la"),
-                                                       F.col("bands").alias("ba"), F.col("planes").alias("pa"))
-            every = mixed.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), "main",
-                                 F.col("bands").alias("bb"), F.col("planes").alias("pb"))
-            earlier = F.exists(F.zip_with(F.slice("ba", F.lit(1), F.col("band")), F.slice("bb", F.lit(1), F.col("band")),
-                                          lambda x, y: x == y), lambda z: z)
-            pairs = odd.join(every, (odd["key"] == every["key"]) & F.expr("la <> lb and (lb = main or a < b)")
-                             & (estimate("pa", "pb") >= least) & ~earlier).select("a", "b")
-        if tested is not None:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
-                tested, ["a", "b"], "left_anti")
-        if step < star_rounds:
-            scored = pairs.join(left, "a").join(right, "b").withColumn("est", estimate("pa", "pb")).filter(F.col("est") >= least)
-            best = scored.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-        else:
-            best = pairs
-        best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-                           "minhash-pairs")
-        found = materialize(confirm(best, texts, percent), "minhash-links")
-        tested = best if tested is None else tested.union(best)
-        if found.isEmpty():
-            continue
-        edges = found if edges is None else edges.union(found)
-        comp = connected_components(edges)
-        labels = materialize(weight.select("rep").join(comp, F.col("rep") == F.col("node"), "left")
-                             .select("rep", F.coalesce("component", "rep").alias("label")), "minhash-labels")
+    members = materialize(signatures(texts).select(F.col("doc_id").alias("rep"), F.col("planes").alias("sig")).join(reps, "rep"),
+                          "minhash-signatures")
+    labels = link_buckets(rows, members, estimate, floor_estimate(percent / 100),
+                          lambda pairs: confirm(pairs, texts, percent), star_rounds)
     out = member.join(labels, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
