@@ -175,10 +175,14 @@ def model_task_comparison(loop: DataFrame) -> DataFrame:
     row side by side (a pivot on type, no self join)."""
     b = F.col("type") == "baseline"
     w = F.col("type") == "wrapped"
+    first = lambda of, col: F.min_by(F.when(of, F.col(col)), F.when(of, F.col("seq")))
     return loop.groupBy("model", "task").agg(
-        F.min_by(F.when(b, F.col("test_pass_rate")), F.when(b, F.col("seq"))).alias("baseline_pass_rate"),
-        F.min_by(F.when(w, F.col("final_decision")), F.when(w, F.col("seq"))).alias("wrapped_final_decision"),
-        F.min_by(F.when(w, F.col("last_test_pass_rate")), F.when(w, F.col("seq"))).alias("wrapped_last_pass_rate"),
+        first(b, "test_pass_rate").alias("baseline_pass_rate"),
+        first(b, "security_violation_count").alias("baseline_security_violations"),
+        first(w, "final_decision").alias("wrapped_final_decision"),
+        first(w, "last_test_pass_rate").alias("wrapped_last_pass_rate"),
+        first(w, "cri_history").alias("wrapped_cri_history"),
+        first(w, "last_security_violations").alias("wrapped_last_security_violations"),
         F.count_if(b).cast("bigint").alias("n_baseline"), F.count_if(w).cast("bigint").alias("n_wrapped"))
 
 

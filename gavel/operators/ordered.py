@@ -66,6 +66,8 @@ def iteration_steps(iters: DataFrame, tau_max: int = K.TAU_MAX, threshold: float
     """MET-1/2 + WIN-2: per-step metrics and decision, the stop rule, and
     only the steps the loop would have run (tau <= first stop)."""
     w = Window.partitionBy("run").orderBy("tau_step")
+    if "violations" not in iters.columns:
+        iters = iters.withColumn("violations", F.lit(None).cast("array<string>"))
     s = (iters.where(F.col("tau_step") <= tau_max)
          .withColumn("cri", M.cri_v1("total_tests", "tests_failed", "n_violations", "n_lint"))
          .withColumn("sad_flag", F.col("n_violations") > 0)
@@ -84,7 +86,7 @@ def iteration_fold(iters: DataFrame, **kw) -> DataFrame:
     """WIN-2 + WIN-3: the wrapped-run summary per run."""
     s = iteration_steps(iters, **kw)
     last = F.max_by(F.struct("tau_step", "cri", "sad_flag", "total_tests", "tests_failed", "n_lint",
-                             "decision"), F.col("tau_step"))
+                             "decision", "violations"), F.col("tau_step"))
     g = s.groupBy("run").agg(
         last.alias("l"), F.count(F.lit(1)).cast("bigint").alias("iterations"),
         F.array_sort(F.collect_list(F.struct("tau_step", "cri"))).alias("_h"),
@@ -99,6 +101,7 @@ def iteration_fold(iters: DataFrame, **kw) -> DataFrame:
         F.col("l.total_tests").cast("bigint").alias("last_total_tests"),
         F.when(F.col("l.total_tests") > 0, tp.cast("double") / F.col("l.total_tests").cast("double"))
         .alias("last_test_pass_rate"),
+        F.col("l.violations").alias("last_security_violations"),
         F.col("l.n_lint").cast("bigint").alias("last_linter_errors_count"))
 
 

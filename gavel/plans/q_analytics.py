@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gavel import constants as K
@@ -53,6 +54,15 @@ def agg02(spark, sf):
     return A.frequency_tables(bridge(spark, sf, "b_eval"))
 
 
+@register("win09_most_common", ORACLE["agg02_frequency_tables"].replace("SELECT 'final_decision' AS field", """SELECT field, value, count,
+       row_number() OVER (PARTITION BY field ORDER BY count DESC, first_seq) AS place FROM (SELECT 'final_decision' AS field""", 1) + ") c")
+def win09(spark, sf):
+    """WIN-9: counts descending, ties in order of first appearance."""
+    w = Window.partitionBy("field").orderBy(F.desc("count"), "first_seq")
+    return A.frequency_tables(bridge(spark, sf, "b_eval")).select(
+        "field", "value", "count", F.row_number().over(w).cast("bigint").alias("place"))
+
+
 # ------------------------------------------------------------------ AGG-3
 @register("agg03_ci_gate", oracle_cte("b_eval") + """,
 d AS (SELECT upper(coalesce(nullif(final_decision, ''), 'ABSTAIN')) AS d FROM b_eval)
@@ -108,13 +118,20 @@ def agg05(spark, sf):
 @register("agg06_model_task_first", oracle_cte("b_loop") + """
 SELECT model, task,
        arg_min_null(test_pass_rate, seq) FILTER (WHERE type = 'baseline') AS baseline_pass_rate,
+       arg_min_null(security_violation_count, seq) FILTER (WHERE type = 'baseline') AS baseline_security_violations,
+       array_to_string(list_transform(arg_min_null(cri_history, seq) FILTER (WHERE type = 'wrapped'),
+                                      lambda c: printf('%.6f', c)), ',') AS wrapped_cri_history,
+       array_to_string(arg_min_null(last_security_violations, seq) FILTER (WHERE type = 'wrapped'), ';')
+         AS wrapped_last_security_violations,
        arg_min_null(final_decision, seq) FILTER (WHERE type = 'wrapped') AS wrapped_final_decision,
        arg_min_null(last_test_pass_rate, seq) FILTER (WHERE type = 'wrapped') AS wrapped_last_pass_rate,
        CAST(count(*) FILTER (WHERE type = 'baseline') AS BIGINT) AS n_baseline,
        CAST(count(*) FILTER (WHERE type = 'wrapped') AS BIGINT) AS n_wrapped
 FROM b_loop GROUP BY model, task""")
 def agg06(spark, sf):
-    return A.model_task_comparison(bridge(spark, sf, "b_loop"))
+    c = A.model_task_comparison(bridge(spark, sf, "b_loop"))
+    return c.withColumn("wrapped_cri_history", fmt6(F.col("wrapped_cri_history"))).withColumn(
+        "wrapped_last_security_violations", F.array_join("wrapped_last_security_violations", ";"))
 
 
 @register("agg07_run_summary", oracle_cte("b_loop") + """,
@@ -253,11 +270,13 @@ SELECT run, arg_max(decision, tau_step) AS final_decision, CAST(count(*) AS BIGI
        CAST(arg_max(total_tests, tau_step) AS BIGINT) AS last_total_tests,
        arg_max_null(CASE WHEN total_tests > 0 THEN CAST(total_tests - tests_failed AS DOUBLE) / CAST(total_tests AS DOUBLE) END,
                tau_step) AS last_test_pass_rate,
+       array_to_string(arg_max(violations, tau_step), ';') AS last_security_violations,
        CAST(arg_max(n_lint, tau_step) AS BIGINT) AS last_linter_errors_count
 FROM kept GROUP BY run""")
 def win02(spark, sf):
     f = O.iteration_fold(bridge(spark, sf, "b_iter"))
-    return f.withColumn("cri_history", fmt6(F.col("cri_history")))
+    return f.withColumn("cri_history", fmt6(F.col("cri_history"))).withColumn(
+        "last_security_violations", F.array_join("last_security_violations", ";"))
 
 
 @register("win06_cri_series", oracle_cte("b_iter") + "," + _STEPS + """

@@ -136,6 +136,7 @@ FROM {lineitem}
 SELECT run, tau_step,
        tt AS total_tests, CASE WHEN ff < tt THEN ff ELSE tt END AS tests_failed,
        CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 1 ELSE 0 END AS n_violations,
+       CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN {arr}('SQLI_FSTRING') ELSE {empty} END AS violations,
        CAST(floor(l_tax * 100.0) AS BIGINT) % 4 AS n_lint
 FROM (SELECT run, l_returnflag, l_linestatus, l_tax,
              CAST(row_number() OVER (PARTITION BY run ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT)
@@ -166,7 +167,9 @@ SELECT o_orderpriority AS model, 'task_' || CAST(o_custkey % 40 AS STRING) AS ta
          AS test_pass_rate,
        CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'P' THEN 'VETO' ELSE 'ABSTAIN' END AS final_decision,
        CASE WHEN tt = 0 THEN NULL ELSE CAST(CASE WHEN pp < tt THEN pp ELSE tt END AS DOUBLE) / CAST(tt AS DOUBLE) END
-         AS last_test_pass_rate
+         AS last_test_pass_rate,
+       o_orderkey % 4 AS security_violation_count, {arr}(CAST(0.25 AS DOUBLE), CAST(o_orderkey % 100 AS DOUBLE) / 100) AS cri_history,
+       CASE WHEN o_orderkey % 3 = 0 THEN {arr}('POTENTIAL_XSS') ELSE {empty} END AS last_security_violations
 FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
              CAST(floor(o_totalprice) AS BIGINT) % 5 AS tt,
              CAST(floor(o_totalprice / 7.0) AS BIGINT) % 6 AS pp
@@ -298,18 +301,16 @@ SELECT doc_id,
        text
 FROM {documents}
 """),
-    "b_subset": (("nation",), """
-SELECT CASE WHEN n_nationkey % 9 = 4 THEN '# ' || lower(n_name) WHEN n_nationkey % 9 = 7 THEN '   '
-            ELSE '  org__' || lower(n_name) || ' ' END AS line, n_nationkey AS pos
-FROM {nation}
+    "b_subset": (("documents",), """
+SELECT CASE WHEN doc_id % 9 = 4 THEN '# ' || name WHEN doc_id % 9 = 7 THEN '   ' ELSE '  org__' || name || ' ' END AS line, doc_id AS pos
+FROM (SELECT doc_id, source || '-' || CAST(doc_id AS STRING) AS name FROM {documents}) x
 """),
-    "b_state": (("nation",), """
-SELECT 'model-a|' || CASE n_nationkey % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN '-SAD' ELSE 'full' END
-       || '|org__' || lower(n_name) || '|r1' AS key,
-       CASE WHEN n_nationkey % 4 = 0 THEN 'failed' ELSE 'done' END AS status, n_nationkey AS seq
-FROM {nation}
+    "b_state": (("documents",), """
+SELECT 'model-a|' || CASE doc_id % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN '-SAD' ELSE 'full' END || '|org__' || name || '|r1' AS key,
+       CASE WHEN doc_id % 4 = 0 THEN 'failed' ELSE 'done' END AS status, doc_id AS seq
+FROM (SELECT doc_id, source || '-' || CAST(doc_id AS STRING) AS name FROM {documents}) x
 UNION ALL
-SELECT 'model-b|full|org__' || lower(n_name) || '|r2', 'done', 100 + n_nationkey FROM {nation} WHERE n_nationkey % 2 = 0
+SELECT 'model-b|full|org__' || source || '-' || CAST(doc_id AS STRING) || '|r2', 'done', doc_id FROM {documents} WHERE doc_id % 2 = 0
 """),
     "b_code": (("documents",), """
 SELECT doc_id, 'src/' || source || '/m' || CAST(doc_id AS STRING) || '.py' AS path, doc_id % 6 AS form, notes,
