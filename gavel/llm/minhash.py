@@ -19,7 +19,9 @@ shingle of all words when there are fewer, nothing when there are none.
   and confirmed in full, so stars lose no link that a band has found.
 
 Defined cases: null or empty text has n_shingles 0 and is its own component;
-repeated rows collapse like any equal sets; other input columns are ignored.
+repeated rows collapse like any equal sets; a row without id has the component
+of a named row with an equal set, else none, and is kept only then; other input
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -215,4 +217,4 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2) ->
                           lambda pairs: confirm(pairs, texts, percent), star_rounds)
     out = member.join(labels, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -98,6 +98,13 @@ def test_minhash_hot_family_loses_no_link(spark):
     assert len(set(want.values())) > 1
 
 
+def test_minhash_rows_without_id(spark):
+    rows = [(1, "a b c d e f"), (None, "a b c d e f"), (None, "other words stand here alone"), (None, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str) == sorted(
+        [(1, 2, 1, True), (None, 2, 1, False), (None, 1, None, True), (None, 0, None, True)], key=str)
+
+
 def test_signature_estimate_is_close(spark):
     rng = random.Random(3)
     words = _words(rng, 400).split(" ")

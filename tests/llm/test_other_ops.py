@@ -155,7 +155,8 @@ def test_components_of_a_long_chain(spark):
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ugly = docs.limit(30).unionByName(spark.createDataFrame(
-        [(90001, None, None, None, None), (90002, "12 34", "en", "s", 5), (90003, "", "de", "s", 0)], docs.schema))
+        [(90001, None, None, None, None), (90002, "12 34", "en", "s", 5), (90003, "", "de", "s", 0),
+         (None, "A text without an id stays in the corpus.", "en", "s", 41)], docs.schema))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_near_dedup", "redact_personal_data", "best_fit_packing"]
     before, seen = ugly, {}
     for name, stage in corpus_pipeline.STAGES:
@@ -165,7 +166,7 @@ def test_pipeline_stages(spark):
             assert after.columns == docs.columns
             before = after
     kept = {r["doc_id"] for r in seen["language_id"].collect()}
-    assert not kept & {90001, 90002, 90003} and len(kept) == 30
-    assert seen["minhash_near_dedup"].count() <= 30
+    assert not kept & {90001, 90002, 90003} and len(kept) == 31 and None in kept
+    assert seen["minhash_near_dedup"].count() <= 31
     packed = {r["doc_id"] for r in seen["best_fit_packing"].collect()}
     assert packed == {r["doc_id"] for r in seen["minhash_near_dedup"].collect()}
