@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from gavel import constants as K
 from gavel.functions import metrics as M
+from gavel.functions.security import diff_scan_failed, with_diff_scan
 from gavel.functions.text import changed_file_count
+from gavel.operators.joins import candidate_grid
+from gavel.operators.pycheck import python_scan_ok
 
 
 def last_wins(df: DataFrame, key: str, order: str | list, value_cols=None) -> DataFrame:
@@ -61,6 +64,35 @@ def best_of_k(cands: DataFrame) -> DataFrame:
             .select("instance_id", "b.*", "n_candidates"))
 
 
+SELECTION_FIELDS = ["candidate_dir", "instance_id", "patch", "resolved", "resolved_status", "cri", "security_violations",
+                    "security_scan_failed", "security_scan_scope", "sad_flag", "final_decision", "changed_files", "patch_size",
+                    "security_report_found"]
+
+
+def select_candidates(preds: DataFrame, candidate_dirs: list[str], results: DataFrame, reports: DataFrame) -> DataFrame:
+    """JN-8 -> results and reports -> MET-12 -> WIN-1: per instance the best of
+    the candidate directories, with all fields of the selection report.
+
+    preds   : (instance_id, candidate_dir, patch); absent pairs have an empty patch
+    results : (instance_id, candidate_dir, resolved, resolved_status, cri)
+    reports : (instance_id, candidate_dir, scan_scope, scan_failed, new_violations)
+    A candidate without a report is scanned from its diff, before the joins."""
+    key = ["instance_id", "candidate_dir"]
+    grid = with_diff_scan(candidate_grid(preds.select(*key, "patch"), candidate_dirs), "patch")
+    grid = grid.withColumn("_parse_ok", python_scan_ok(F.col("_ds_parse_in")))
+    rows = (grid.join(results.select(*key, "resolved", "resolved_status", "cri"), key, "left")
+            .join(reports.select(*key, "scan_scope", "scan_failed", "new_violations", F.lit(True).alias("_found")), key, "left"))
+    found = F.coalesce("_found", F.lit(False))
+    diff_failed = diff_scan_failed(F.lit(False), F.col("_ds_light"), F.col("_ds_haspy"), F.col("_ds_blank"), F.col("_parse_ok"))
+    rows = rows.withColumns({
+        "security_report_found": found,
+        "security_violations": F.when(found, F.coalesce("new_violations", M.empty_arr())).otherwise(F.col("_ds_light")),
+        "security_scan_failed": F.when(found, F.coalesce("scan_failed", F.lit(False))).otherwise(diff_failed),
+        "security_scan_scope": F.when(found, F.coalesce("scan_scope", F.lit(K.SCOPE_POSTAPPLY))).otherwise(F.lit(K.SCOPE_FALLBACK)),
+        "cand_idx": F.col("cand_pos")})
+    return best_of_k(rows).select(*SELECTION_FIELDS)
+
+
 def iteration_steps(iters: DataFrame, tau_max: int = K.TAU_MAX, threshold: float = K.CRI_THRESHOLD,
                     plateau: float = K.PLATEAU_DELTA, early_stop_plateau: bool = True) -> DataFrame:
     """MET-1/2 + WIN-2: per-step metrics and decision, the stop rule, and

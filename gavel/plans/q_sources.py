@@ -1,5 +1,6 @@
-"""Registered queries of the file parsers (SRC-1..8, 11): the parsers run over
-file texts built from the given tables; each oracle knows what its forms hold."""
+"""Registered queries of the file parsers (SRC-1..8, 11) and of the candidate
+selection that reads their rows: the inputs are file texts built from the given
+tables; each oracle knows what its forms hold."""
 
 from __future__ import annotations
 
@@ -96,3 +97,41 @@ FROM b_resultlines WHERE trim(value) <> ''""")
 def src11(spark, sf):
     rows = S.parse_json_lines(bridge(spark, sf, "b_resultlines"), S.RESULT_SCHEMA)
     return rows.select("line", "instance_id", F.col("_corrupt_record").isNotNull().alias("malformed"))
+
+
+_RESULT = ("(doc_id + pos) % 2 = 0 AS resolved, 'S' || (doc_id % 3) AS resolved_status, "
+           "CASE WHEN pos = 0 THEN '0.' || (doc_id % 9) END AS cri")
+_REPORT = "CASE WHEN doc_id % 4 <> 1 THEN 'scope' END AS scan_scope, doc_id % 2 = 0 AS scan_failed"
+
+
+@register("win01_selection_rows", oracle_cte("b_candfiles") + f""",
+g AS (SELECT i.doc_id, 'doc__' || i.doc_id AS instance_id, d.pos, d.candidate_dir, coalesce(c.patch, '') AS patch, coalesce(c.k, 3) AS k
+      FROM (SELECT DISTINCT doc_id FROM b_candfiles) i
+      CROSS JOIN (VALUES (0, 'cand_a'), (1, 'cand_b'), (2, 'cand_c')) d(pos, candidate_dir)
+      LEFT JOIN b_candfiles c ON c.doc_id = i.doc_id AND c.pos = d.pos),
+r AS (SELECT doc_id, pos, {_RESULT} FROM b_candfiles WHERE doc_id % 7 <> 3),
+p AS (SELECT doc_id, pos, {_REPORT}, CASE WHEN doc_id % 3 = 0 THEN ['X'] ELSE CAST([] AS VARCHAR[]) END AS v FROM b_candfiles WHERE doc_id % 11 = 0),
+e AS (SELECT g.*, coalesce(r.resolved, false) AS resolved, r.resolved_status, coalesce(CAST(r.cri AS DOUBLE), 0.0) AS cri,
+             p.doc_id IS NOT NULL AS found, coalesce(p.scan_scope, 'postapply_fullfile_delta_v1') AS scan_scope,
+             CASE WHEN p.doc_id IS NOT NULL THEN p.v WHEN k = 1 THEN ['[high] {K.SECRET_LABEL}@src/m.py: token = "sk_live_' || g.doc_id || '"']
+                  ELSE CAST([] AS VARCHAR[]) END AS v,
+             CASE WHEN p.doc_id IS NOT NULL THEN p.scan_failed ELSE k >= 2 END AS failed
+      FROM g LEFT JOIN r ON r.doc_id = g.doc_id AND r.pos = g.pos LEFT JOIN p ON p.doc_id = g.doc_id AND p.pos = g.pos),
+f AS (SELECT *, CASE WHEN len(v) > 0 THEN 'VETO' WHEN failed THEN 'ABSTAIN' WHEN resolved THEN 'OK' ELSE 'ABSTAIN' END AS final_decision FROM e)
+SELECT candidate_dir, instance_id, patch, resolved, resolved_status, cri, array_to_string(v, ';') AS security_violations,
+       failed AS security_scan_failed, CASE WHEN found THEN scan_scope ELSE 'diff_fragment_fallback_v2' END AS security_scan_scope,
+       len(v) > 0 AS sad_flag, final_decision, CAST(patch <> '' AS BIGINT) AS changed_files, length(patch) AS patch_size,
+       found AS security_report_found
+FROM f QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY
+  CASE WHEN final_decision = 'VETO' THEN 3 WHEN final_decision = 'OK' THEN 0 WHEN resolved THEN 1 ELSE 2 END,
+  -cri, (patch <> ''), length(patch), pos) = 1""")
+def win01_rows(spark, sf):
+    from gavel.operators.ordered import select_candidates
+
+    c = bridge(spark, sf, "b_candfiles")
+    key = ["instance_id", "candidate_dir"]
+    results = c.where("doc_id % 7 <> 3").selectExpr(*key, *_RESULT.split(", "))
+    reports = c.where("doc_id % 11 = 0").selectExpr(
+        *key, *_REPORT.split(", "), "CASE WHEN doc_id % 3 = 0 THEN array('X') ELSE CAST(array() AS array<string>) END AS new_violations")
+    best = select_candidates(c.select(*key, "patch"), ["cand_a", "cand_b", "cand_c"], results, reports)
+    return best.withColumn("security_violations", F.array_join("security_violations", ";"))

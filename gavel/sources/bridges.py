@@ -380,6 +380,17 @@ SELECT doc_id, 'doc__' || CAST(doc_id AS STRING) || '.json' AS file, CASE doc_id
   WHEN 1 THEN '{{"new_violations":"ONE","scan_ok":true}}' WHEN 2 THEN '{{"new_violations":"","scan_failed":true,"scan_error":"e"}}'
   WHEN 3 THEN '{{"scan_ok":false}}' WHEN 4 THEN '{{broken ' || text ELSE '' END AS text
 FROM {documents}
+"""),
+    "b_candfiles": (("documents",), """
+SELECT doc_id, pos, k, 'doc__' || CAST(doc_id AS STRING) AS instance_id,
+       CASE pos WHEN 0 THEN 'cand_a' WHEN 1 THEN 'cand_b' ELSE 'cand_c' END AS candidate_dir,
+       CASE WHEN pos = 2 THEN '' ELSE 'diff --git a/src/m.py b/src/m.py' || chr(10) || '--- a/src/m.py' || chr(10) || '+++ b/src/m.py' || chr(10)
+         || '@@ -1,1 +1,9 @@' || chr(10) || '+# ' || replace(text, chr(10), chr(10) || '+# ') || chr(10)
+         || CASE k WHEN 0 THEN '+import random' WHEN 1 THEN '+token = "sk_live_' || CAST(doc_id AS STRING) || '"'
+                   ELSE '+this is not ( python' END || chr(10) END AS patch
+FROM (SELECT doc_id, text, 0 AS pos, doc_id % 3 AS k FROM {documents}
+      UNION ALL SELECT doc_id, text, 1, (doc_id + 1) % 3 FROM {documents} WHERE doc_id % 2 = 0
+      UNION ALL SELECT doc_id, text, 2, 3 FROM {documents} WHERE doc_id % 5 = 0) x
 """),
     "b_evalfiles": (("documents",), """
 SELECT doc_id, 'r' || d || '.json' AS file, CASE doc_id % 4
