@@ -67,21 +67,6 @@ def secret_findings_from_code(code) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(code, per_line))))
 
 
-def secret_findings_rows(rows, key: str = "seq"):
-    """SEC-13 regex layer over exploded added lines ``(key, pos, path,
-    line)``: per patch the number of code lines and the sorted distinct
-    tagged findings (bounded by the findings of one patch)."""
-    code = rows.where((F.col("line") != "") & ~py_lstrip(F.col("line")).startswith("#"))
-    norm = py_strip(F.col("line"))
-    label = F.when(F.coalesce(F.col("path"), F.lit("")) != "",
-                   F.concat(F.lit(K.SECRET_LABEL + "@"), F.col("path"), F.lit(": "), cap_snippet(norm))
-                   ).otherwise(F.concat(F.lit(K.SECRET_LABEL + ": "), cap_snippet(norm)))
-    tagged = F.transform(F.regexp_extract_all(norm, F.lit(K.SECRET_RE), 2),
-                         lambda v: F.concat(F.lit("["), secret_severity(F.col("path"), v), F.lit("] "), label))
-    return code.groupBy(key).agg(F.count(F.lit(1)).cast("bigint").alias("n_code_lines"),
-                                 F.array_sort(F.array_distinct(F.flatten(F.collect_list(tagged)))).alias("light"))
-
-
 def diff_scan(patch) -> Column:
     """SEC-13 without the parse check as ONE struct column: light (sorted
     tagged findings), haspy, blank, ncode and parse_in (the added code to

@@ -263,31 +263,11 @@ def with_added_lines(df, src: str, out: str = "added"):
 
 
 def explode_added_lines(df, src: str, key: str = "seq"):
-    """TXT-9 as rows (UDTF shape): one row per added line with its
-    position, path and text.
-
-    Lines are exploded with their position and one window per patch
-    (partitioned by ``key``, ordered by position) carries the running
-    state: the last 'diff --git ' position, the last '@@ ' position and the
-    last '+++ ' path before each line. A line is in a hunk when a hunk
-    header follows the last git header; its path counts only when the
-    '+++ ' line follows that header too. One exchange on ``key``.
-    """
-    from pyspark.sql import Window
-    rows = df.select(key, F.posexplode(lines_of(src)).alias("pos", "x"))
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    head = F.max(F.when(F.col("x").startswith("diff --git "), F.col("pos"))).over(upto)
-    hunk = F.max(F.when(F.col("x").startswith("@@ "), F.col("pos"))).over(upto)
-    plus = F.max(F.when(F.col("x").startswith("+++ "), F.struct(F.col("pos").alias("i"), plus_path(F.col("x")).alias("p"))
-                        )).over(upto)
-    cand = rows.where(F.col("x").startswith("+") | F.col("x").startswith("diff --git ")
-                      | F.col("x").startswith("@@ "))
-    st = (cand.withColumn("_h", F.coalesce(head, F.lit(-1))).withColumn("_k", hunk).withColumn("_p", plus)
-          .where(F.col("x").startswith("+") & ~F.col("x").startswith("+++ ")))
-    in_hunk = F.col("_k").isNotNull() & (F.col("_k") > F.col("_h"))
-    path = F.when(F.col("_p.i") > F.col("_h"), F.col("_p.p"))
-    return st.where(in_hunk).select(key, F.col("pos").cast("int").alias("pos"), path.alias("path"),
-                                    F.substring("x", 2, 1 << 30).alias("line"))
+    """TXT-9 as rows (UDTF shape): one row per added line with its position,
+    path and text, exploded from the in-row result: no exchange, and rows that
+    share a key stay apart."""
+    return with_added_lines(df, src, "_added").select(key, F.explode("_added").alias("_l")).select(
+        key, F.col("_l.pos").cast("int").alias("pos"), "_l.path", "_l.line")
 
 
 def plus_path(line) -> Column:

@@ -62,9 +62,10 @@ def skip_existing(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
-def rerun_split(statuses: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JN-10 / SNK-10: (kept statuses, removed rows) for a forced rerun."""
-    return (statuses.join(ids, "instance_id", "left_anti"), statuses.join(ids, "instance_id", "left_semi"))
+def rerun_marked(statuses: DataFrame, forced: Column) -> DataFrame:
+    """JN-10 / SNK-10: statuses with ``removed``, true for the ids of a forced
+    rerun; one pass over the table."""
+    return statuses.withColumn("removed", F.coalesce(forced, F.lit(False)))
 
 
 def experiment_matrix(instances: DataFrame, models: list[str], configs: list[str], repeats: int) -> DataFrame:

@@ -19,14 +19,6 @@ from gavel.operators.joins import candidate_grid
 from gavel.operators.pycheck import python_scan_ok
 
 
-def last_wins(df: DataFrame, key: str, order: str | list, value_cols=None) -> DataFrame:
-    """WIN-4: one row per key, the one with the greatest ``order``."""
-    order_cols = [order] if isinstance(order, str) else list(order)
-    cols = value_cols or [c for c in df.columns if c != key]
-    return (df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order_cols)).alias("_r"))
-            .select(key, "_r.*"))
-
-
 def first_wins(df: DataFrame, key: str, order: str | list, value_cols=None) -> DataFrame:
     """WIN-5 / AGG-6 building block: the row with the smallest ``order``."""
     order_cols = [order] if isinstance(order, str) else list(order)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -293,8 +290,3 @@ def render_profiles(profiles: DataFrame) -> DataFrame:
     html = F.concat(F.lit('<div class="profile"><h1>'), html_escape("username"), F.lit("</h1><p>"),
                     html_escape("bio"), F.lit("</p></div>"))
     return profiles.withColumn("html", html)
-
-
-def python_hmac_hex(key: str, msg: str) -> str:
-    """Reference helper for tests: stdlib HMAC-SHA256 hex."""
-    return hmac.new(key.encode(), msg.encode(), hashlib.sha256).hexdigest()

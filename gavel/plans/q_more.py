@@ -303,9 +303,7 @@ SELECT instance_id, status, regexp_matches(instance_id, '^doc__1[0-9]*$') AS rem
 def jn10(spark, sf):
     from gavel.sources.files import merge_statuses
     st = merge_statuses(bridge(spark, sf, "b_status_raw"), order=("file", "ts", "pos"))
-    ids = st.select("instance_id").where(F.col("instance_id").rlike(r"^doc__1[0-9]*$"))
-    kept, removed = J.rerun_split(st, ids)
-    return kept.withColumn("removed", F.lit(False)).unionByName(removed.withColumn("removed", F.lit(True)))
+    return J.rerun_marked(st, F.col("instance_id").rlike(r"^doc__1[0-9]*$"))
 
 
 # ------------------------------------------------------------------ AGG-13

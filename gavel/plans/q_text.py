@@ -115,9 +115,9 @@ FROM (SELECT seq, cur_path, {Q.strip('substring(line, 2)')} AS nrm FROM ls
         AND substring(line, 2) <> '' AND NOT starts_with({Q.lstrip('substring(line, 2)')}, '#')) c
 GROUP BY seq""", _ADDED_CTES))
 def sec13(spark, sf):
-    rows = X.explode_added_lines(_normalized(spark, sf).select("seq", "patch"), "patch")
-    return S.secret_findings_rows(rows, "seq").select(
-        "seq", "n_code_lines", F.array_join("light", ";").alias("light"))
+    scan = S.with_diff_scan(_normalized(spark, sf).select("seq", "patch"), "patch")
+    return scan.where("_ds_ncode > 0").select("seq", F.col("_ds_ncode").cast("bigint").alias("n_code_lines"),
+                                              F.array_join("_ds_light", ";").alias("light"))
 
 
 # ------------------------------------------------------------------ TXT-10, 11

@@ -137,6 +137,18 @@ def test_sinks(spark, tmpdir_path):
     assert spark.read.option("header", "true").csv(os.path.join(tmpdir_path, "csv")).count() == 3
 
 
+def test_keyed_table_state_and_record_pick(spark, tmpdir_path):
+    from gavel.operators.cards import pick_record
+    from gavel.sinks import writers as W
+    state = spark.createDataFrame([("a", "failed", 1), ("b", "done", 2)], "key string, status string, seq long")
+    now = W.upsert_state(state, spark.createDataFrame([("a", "done", 3), ("c", "done", 4), ("b", "failed", 0)], state.schema))
+    assert sorted((r.key, r.status, r.seq) for r in now.collect()) == [("a", "done", 3), ("b", "done", 2), ("c", "done", 4)]
+    W.write_table(now, os.path.join(tmpdir_path, "t"), key="key", buckets=3)
+    assert spark.read.parquet(os.path.join(tmpdir_path, "t")).count() == 3
+    assert pick_record(now.withColumnRenamed("key", "task"), "c").first().seq == 4
+    assert pick_record(now.withColumnRenamed("key", "task")).first().task == "b"
+
+
 def test_stream_to_parquet(spark, tmpdir_path):
     from gavel.streaming import jobs as J
     src = os.path.join(tmpdir_path, "in")
