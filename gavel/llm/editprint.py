@@ -15,7 +15,7 @@ share the walk of their common beginning.
 ``fingerprint_edited`` needs every row's successor in id order: rows go to id
 blocks between quantiles, the first row of a block also to the block before
 (circularly), and each block is walked in order. ``near_copies`` groups
-documents: bands of sampled fingerprint bits give buckets, fingerprints filter
+documents: bands of minima of their q-grams give buckets, packed minima filter
 their pairs, and a bounded edit distance verifies them.
 
 Defined cases: null text counts as empty, its fingerprint is all masked; equal
@@ -31,10 +31,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.llm.common import link_buckets, materialize, shared_buckets
+from gavel.llm import minhash
+from gavel.llm.common import link_buckets, materialize, mix64, shared_buckets
 
 BITS = 256
 PERIOD = 4096  # rows of the shared random table
@@ -235,23 +236,66 @@ def fingerprint_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
              "near_edited double, near_next double")
 
 
-def _hamming(a: Column, b: Column) -> Column:
-    words = [F.conv(F.substring(a, 1 + 8 * i, 8), 16, 10).cast("long").bitwiseXOR(
-        F.conv(F.substring(b, 1 + 8 * i, 8), 16, 10).cast("long")) for i in range(BITS // 32)]
-    total = F.bit_count(words[0])
-    for w in words[1:]:
-        total = total + F.bit_count(w)
-    return total
+def _grams(text: str, q: int) -> np.ndarray:
+    """Hashes of the q-grams of ``text`` with q - 1 end symbols on both sides,
+    each with the number of its occurrence: a set that stands for the bag."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    code = np.concatenate([np.zeros(q - 1, np.uint64), code, np.zeros(q - 1, np.uint64)])
+    rolled = np.zeros(len(code) - q + 1, np.uint64)
+    for k in range(q):
+        rolled = mix64(rolled + code[k:k + len(rolled)] * np.uint64(0x9E3779B97F4A7C15))
+    rolled.sort()
+    place = np.arange(len(rolled))
+    fresh = np.concatenate([[True], rolled[1:] != rolled[:-1]])
+    times = place - np.maximum.accumulate(np.where(fresh, place, 0))
+    return mix64(rolled + times.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def near_copies(docs: DataFrame, share: float = 0.1, bands: int = 24, bits: int = 16) -> DataFrame:
+def gram_bound(share: float) -> tuple[int, float]:
+    """(q, least similarity): an edit touches at most q of a text's q-grams, so
+    texts of at most n characters within share * n edits have bags of q-grams
+    with a Jaccard similarity of (1 - q * share) / (1 + q * share) or more."""
+    q = max(1, min(8, int(0.4 / share + 1e-9)))
+    return q, (1 - q * share) / (1 + q * share)
+
+
+def band_count(similarity: float, rows: int, miss: float = 1e-4) -> int:
+    """Bands of ``rows`` minima that miss a pair of this similarity with ``miss``."""
+    return math.ceil(math.log(miss) / math.log1p(-similarity ** rows))
+
+
+def _signed(texts: DataFrame, q: int, bands: int, rows: int) -> DataFrame:
+    """(rep, bands, sig): band keys and packed minima of each text's bag."""
+
+    def sign(batches):
+        np.seterr(over="ignore")
+        keyed, packed = minhash._family(SEED + 1, bands * rows), minhash._family(SEED + 2, minhash.MINIMA)
+        fold = np.random.default_rng(SEED + 3).integers(0, 1 << 63, (bands, rows), dtype=np.uint64) | np.uint64(1)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                bags = [_grams(t.as_py(), q) for t in part.column(1)]
+                low = minhash._minima(bags, *keyed).reshape(-1, bands, rows)
+                keys = mix64((low * fold).sum(axis=2) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+                every = np.ones(part.num_rows, bool)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), minhash._lists(keys, every), minhash._lists(minhash.packed(minhash._minima(bags, *packed)), every)],
+                    names=["rep", "bands", "sig"])
+
+    return texts.select("doc_id", "text").mapInArrow(sign, "rep long, bands array<long>, sig array<long>")
+
+
+def near_copies(docs: DataFrame, share: float = 0.1, rows: int = 4) -> DataFrame:
     """(doc_id, class_id): documents within an edit distance of ``share`` of
     the longer text are linked; class_id is the smallest id reachable.
 
-    Equal texts collapse first. Bands sample ``bits`` fingerprint bits each;
-    pairs that share a band and whose fingerprints are near enough are verified
-    by a bounded edit distance. Empty texts and null ids are linked with
-    nothing but equal texts.
+    Equal texts collapse first. Every pair within the distance has bags of
+    q-grams of a known least similarity (``gram_bound``); bands of ``rows``
+    minima of the bags, as many as miss such a pair with 1e-4 (``band_count``),
+    give the buckets, packed minima estimate their pairs, and an edit distance
+    that stops at the bound verifies them. Fingerprints take no part: at a
+    share of 0.1 their bits differ nearly as often as those of unrelated texts.
+    Empty texts and null ids are linked with nothing but equal texts.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     first = texts.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("rep"))
@@ -259,21 +303,19 @@ def near_copies(docs: DataFrame, share: float = 0.1, bands: int = 24, bits: int
                          "edit-members")
     rep_texts = materialize(texts.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id")
                             .filter("text <> ''").dropDuplicates(["doc_id"]), "edit-texts")
-    draw = np.random.default_rng(SEED + 1).integers(0, BITS, (bands, bits))
-    bit = lambda i: F.expr(f"(conv(substring(fingerprint, {i // 4 + 1}, 1), 16, 10) div {1 << (3 - i % 4)}) % 2")
-    keys = F.array(*[F.concat(F.lit(f"{k}:"), *[bit(int(i)).cast("string") for i in row]) for k, row in enumerate(draw)])
-    reps = materialize(fingerprint(rep_texts).select(F.col("doc_id").alias("rep"), F.col("fingerprint").alias("sig"),
-                                                     keys.alias("bands")), "edit-prints")
-    # an edit changes about two steps of a walk of two steps a character
-    least = 1 - (math.acos(1 - min(1.0, 4 * share)) / math.pi + 5 / (2 * math.sqrt(BITS)))
+    if not 0 < share < 1:
+        raise ValueError("share must lie between 0 and 1")
+    q, similarity = gram_bound(share)
+    reps = materialize(_signed(rep_texts, q, band_count(similarity, rows), rows), "edit-minima")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ta, tb = (rep_texts.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
         size = F.greatest(F.char_length("ta"), F.char_length("tb"))
-        most = F.floor(size * share).cast("int")
-        return pairs.join(ta, "a").join(tb, "b").filter(
-            (F.abs(F.char_length("ta") - F.char_length("tb")) <= most) & (F.levenshtein("ta", "tb") <= most)).select("a", "b")
+        both = pairs.join(ta, "a").join(tb, "b").withColumn("most", F.floor(size * share + 1e-9).cast("int"))
+        # -1 stands for more than the bound
+        return both.filter((F.abs(F.char_length("ta") - F.char_length("tb")) <= F.col("most"))
+                           & (F.expr("levenshtein(ta, tb, most)") >= 0)).select("a", "b")
 
-    labels = link_buckets(shared_buckets(reps, "edit-buckets"), reps,
-                          lambda x, y: 1 - _hamming(F.col(x), F.col(y)) / F.lit(float(BITS)), least, verified)
+    labels = link_buckets(shared_buckets(reps, "edit-buckets"), reps, minhash.estimate,
+                          minhash.floor_estimate(similarity), verified)
     return member.join(labels, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))

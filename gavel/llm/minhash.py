@@ -134,6 +134,12 @@ def band_keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIG_SCHEMA)
 
 
+def packed(minima: np.ndarray) -> np.ndarray:
+    """The low bits of each row of minima, one plane a bit."""
+    return np.concatenate([np.packbits(((minima >> np.uint64(j)) & np.uint64(1)).astype(np.uint8), axis=1)
+                           for j in range(LOW_BITS)], axis=1).view(np.int64)
+
+
 def signatures(texts: DataFrame) -> DataFrame:
     """doc_id and planes: the low bits of the minima, one packed plane a bit."""
 
@@ -145,9 +151,7 @@ def signatures(texts: DataFrame) -> DataFrame:
             for lo, hi in row_chunks(offsets):
                 part = offsets[lo:hi + 1]
                 minima = _minima(shingle_hashes(data[part[0]:part[-1]], part - part[0]), a, b)
-                planes = np.concatenate([np.packbits(((minima >> np.uint64(j)) & np.uint64(1)).astype(np.uint8), axis=1)
-                                         for j in range(LOW_BITS)], axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(planes, np.ones(hi - lo, bool))],
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(packed(minima), np.ones(hi - lo, bool))],
                                                  names=["doc_id", "planes"])
 
     return texts.select("doc_id", "text").mapInArrow(sign, "doc_id long, planes array<long>")

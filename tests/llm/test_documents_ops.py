@@ -303,6 +303,56 @@ def test_near_copies_by_edit_distance(docs):
     assert got[5] == got[6] == 5 and got[40] == 40 and got[0] == 0
 
 
+def _within(a, b, most):
+    """Whether the edit distance is ``most`` at most: the plain table, only its band."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    far = most + 1
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i in range(1, len(a) + 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = i if not j else min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (a[i - 1] != b[j - 1]))
+        if min(new.values()) > most:
+            return False
+        row = new
+    return row[len(b)] <= most
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Families with edits spread over up to a tenth of the text, short texts,
+    and pairs just beyond the threshold."""
+    rng = random.Random(17)
+    rows = []
+    for family in range(24):
+        base = _words(rng, 12 if family < 3 else 45)[:40 if family < 3 else 200]
+        rows.append(base)
+        for most in (len(base) // 10, len(base) // 10, len(base) // 20, len(base) // 7):
+            text, kind = list(base), rng.choice(["s", "i", "d", "sid"])
+            for at in sorted(rng.sample(range(len(base)), most), reverse=True):
+                one = rng.choice(kind)
+                text[at:at + 1] = [] if one == "d" else ["#"] if one == "s" else ["#", text[at]]
+            rows.append("".join(text))
+    rows += ["", "ab", "abc", "a" * 30, "a" * 33, "\U0001f600" * 20, "\U0001f600" * 21]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    linked = 0
+    for i, a in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            if a and rows[j] and _within(a, rows[j], max(len(a), len(rows[j])) // 10):
+                linked += 1
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert linked > 70
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in editprint.near_copies(df).collect()}
+    assert got == {i: root(i) for i in range(len(rows))}
+
+
 def test_single_row_and_empty_tables(spark, empty):
     one = spark.createDataFrame([(9, "abcdefgh")], "doc_id long, text string")
     r = editprint.fingerprint_edited(one, 2).collect()[0]
