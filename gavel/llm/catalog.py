@@ -63,14 +63,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
-    rows = warc.read_archive(spark, path).select(
+    rows = materialize(warc.read_archive(spark, path).select(
         "type", F.nullif(page("id"), F.lit("")).cast("long").alias("page_id"),
-        page("refers_to").alias("refers_to"), F.octet_length("body").cast("long").alias("payload_bytes"),
-        F.sha2("body", 256).alias("payload_digest"))
+        page("refers_to").alias("refers_to"), F.regexp_extract("digest", "^sha256:(.*)$", 1).alias("stated"), F.octet_length("body").cast("long").alias("payload_bytes"),
+        F.sha2("body", 256).alias("payload_digest")), "warc-rows")  # the archive is read once
     responses = rows.filter("type = 'response'")
-    full = responses.select(F.col("page_id").alias("first"), "payload_bytes", "payload_digest").dropDuplicates(["first"])
-    revisits = rows.filter("type = 'revisit'").select("page_id", F.col("refers_to").cast("long").alias("first")).join(
-        full, "first")
+    full = responses.select(F.col("page_id").alias("first"), "payload_bytes", "payload_digest").dropDuplicates(["first", "payload_digest"])
+    revisits = rows.filter("type = 'revisit'").select("page_id", F.col("refers_to").cast("long").alias("first"),
+                                                      F.col("stated").alias("payload_digest")).join(full, ["first", "payload_digest"])
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"),
                             F.lit(None).cast("long").alias("refers_to")).unionByName(

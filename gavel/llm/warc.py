@@ -1,9 +1,12 @@
 """WARC archives: segmented, chunk-framed records written and read by Spark.
 
 Writing: every page becomes an HTTP response whose body is framed in chunks
-(``Transfer-Encoding: chunked``). Chunk ends fall inside every occurrence of
-the version line, so ``WARC/1.1`` CRLF only ever starts a record and Spark's
-text reader splits archives at it. A block over ``segment`` bytes is cut into a
+(``Transfer-Encoding: chunked``). Chunk ends fall inside every ``WARC/1.1`` of a
+body, with or without its line end, so no block holds it and neither a chunk's
+nor a record's CRLF completes the version line; a url that ends with it has its
+last byte percent-encoded. So ``WARC/1.1`` CRLF only ever starts a record and
+Spark's text reader splits archives at it. A record's id names its page and a
+digest of url and body. A block over ``segment`` bytes is cut into a
 first record (WARC-Segment-Number 1) and continuation records that name their
 origin; the last has WARC-Segment-Total-Length. A page whose body equals that
 of a page with a smaller id becomes a ``revisit`` that names it.
@@ -17,8 +20,10 @@ Only Spark's own text reader and writer touch the files. Spark expressions do
 all work but the chunk framing, which runs over Arrow batches.
 
 Defined cases: a null page is an empty body; bodies under ``least`` bytes are
-all responses; repeated rows share the record id and stay as many; rows
-of one page_id must be equal; a null url is written as empty; other columns are ignored.
+all responses; rows that are equal in page_id, url and body share the record id
+and stay as many, others of one page_id (or of none) are records of their own;
+rows without a page_id are never revisits; a null url is written as empty; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +42,8 @@ EPOCH = "2024-01-01T00:00:00Z"
 
 
 def _frame(batches):
-    """Body bytes to chunk framing; a chunk ends inside each version line."""
-    mark = re.compile(re.escape(VERSION.encode()))
+    """Body bytes to chunk framing; a chunk ends inside each ``WARC/1.1``."""
+    mark = re.compile(re.escape(VERSION.strip().encode()))
     for batch in batches:
         out = []
         for body in batch.column(1).to_pylist():
@@ -78,8 +83,15 @@ def _unframe(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["h", "body"])
 
 
-def record_id(page: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
+def record_id(page: Column, url: Column, digest: Column, *more: Column) -> Column:
+    row = F.substring(F.sha2(F.concat(digest, F.lit(" "), url).cast("binary"), 256), 1, 32)
+    after = [x for c in more for x in (F.lit(":"), c.cast("string"))]
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row, *after, F.lit(">"))
+
+
+def _page(record: Column) -> Column:
+    """A record id of ``record_id`` without the row's digest; others as they are."""
+    return F.regexp_replace(record, "^(<urn:page:.*):[0-9a-f]{32}>$", "$1>")
 
 
 def _header(*lines) -> Column:
@@ -87,14 +99,15 @@ def _header(*lines) -> Column:
 
 
 def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, url, body, digest and, for revisits, the response's page_id."""
+    """page_id, url, body, digest and, for revisits, the response's page_id and url."""
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"),
                         F.coalesce("html", F.lit("")).cast("binary").alias("body"))
     base = base.withColumn("digest", F.sha2("body", 256))
     first = (base.filter(F.octet_length("body") >= least).groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
+        F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"),
+        F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
     return base.join(first, "digest", "left").withColumn(
-        "refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first")
+        "refers_to", F.when(F.col("first.page_id") != F.col("page_id"), F.col("first"))).drop("first")
 
 
 def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT, rows_a_file: int = ROWS_A_FILE) -> None:
@@ -112,8 +125,10 @@ def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT, rows_a_fi
     cut = framed.withColumn("total", total).withColumn("count", count).select(
         "*", F.explode(F.sequence(F.lit(1), "count")).alias("no")).withColumn(
         "part", F.expr(f"substring(block, (no - 1) * {segment} + 1, {segment})"))
-    rid = record_id(F.col("page_id"))
-    common = [("WARC-Date", F.lit(EPOCH)), ("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]", "%20"))]
+    row = F.col("page_id"), F.col("url"), F.col("digest")
+    rid = record_id(*row)
+    uri = F.regexp_replace(F.regexp_replace("url", r"[\x00-\x20]", "%20"), r"WARC/1\.1\z", "WARC/1.%31")
+    common = [("WARC-Date", F.lit(EPOCH)), ("WARC-Target-URI", uri)]
     size = ("Content-Length", F.octet_length("part").cast("string"))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest"))
     whole = _header(("WARC-Type", F.lit("response")), ("WARC-Record-ID", rid), *common, digest,
@@ -122,8 +137,7 @@ def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT, rows_a_fi
                       ("WARC-Segment-Number", F.lit("1")),
                       ("Content-Type", F.lit("application/http; msgtype=response")), size)
     more = [("WARC-Type", F.lit("continuation")),
-            ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-                                        F.lit(":"), F.col("no").cast("string"), F.lit(">"))),
+            ("WARC-Record-ID", record_id(*row, F.col("no"))),
             *common, ("WARC-Segment-Origin-ID", rid), ("WARC-Segment-Number", F.col("no").cast("string"))]
     last = _header(*more, ("WARC-Segment-Total-Length", F.col("total").cast("string")), size)
     header = F.when(F.col("count") == 1, whole).when(F.col("no") == 1, opening).when(
@@ -131,7 +145,7 @@ def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT, rows_a_fi
     revisit = planned.filter("refers_to is not null").select(_header(
         ("WARC-Type", F.lit("revisit")), ("WARC-Record-ID", rid), *common, digest,
         ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        ("WARC-Refers-To", record_id(F.col("refers_to"))), ("Content-Length", F.lit("0"))).cast("binary").alias("r"))
+        ("WARC-Refers-To", record_id(F.col("refers_to.page_id"), F.col("refers_to.url"), F.col("digest"))), ("Content-Length", F.lit("0"))).cast("binary").alias("r"))
     records = cut.select(F.concat(header.cast("binary"), "part").alias("r")).unionByName(revisit)
     # the text writer's line end is the last byte of the CRLF CRLF that ends a record
     records.select(F.concat("r", F.lit("\r\n\r").cast("binary")).cast("string").alias("value")).write.option(
@@ -162,7 +176,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(id, type, uri, digest, refers_to, body): whole records, bodies decoded;
-    a revisit's body is null."""
+    id and refers_to name the pages; a revisit's body is null."""
     records = read_records(spark, path)
     fields = ["id", "type", "uri", "digest", "refers_to"]
     whole = records.filter("no is null").select(*fields, "block")
@@ -189,4 +203,5 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     decoded = framed.mapInArrow(_unframe, f"h {schema}, body binary").select("h.*", "body")
     decoded = decoded.withColumn("body", F.coalesce("body", F.raise_error(F.concat(
         F.lit("broken chunk framing: "), F.col("id"))).cast("binary")))
-    return decoded.unionByName(every.filter("not chunked").select(*fields, "body"))
+    return decoded.unionByName(every.filter("not chunked").select(*fields, "body")).withColumns(
+        {c: _page(F.col(c)) for c in ("id", "refers_to")})

@@ -93,6 +93,33 @@ def test_warc_round_trip(spark):
     assert types.count("continuation") > 10
 
 
+def _warc_rows(spark, rows, segment):
+    path = shared_path(spark, "warc-test")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path, segment)
+    got = warc.read_archive(spark, path).collect()
+    return sorted((r["id"], r["type"], r["uri"] or "", None if r["body"] is None else bytes(r["body"]).decode()) for r in got)
+
+
+def test_warc_version_at_the_seams(spark):
+    """``WARC/1.1`` before a line end that only the framing adds: at a body's or
+    chunk's end, at every place of a segment, at a url's end."""
+    mark = "WARC/1.1"
+    rows = [(1, "u", "ends with " + mark), (2, "u", "x" * (4096 - len(mark)) + mark + "y" * 10), (3, "http://a/" + mark, "z"),
+            (4, mark, mark), (5, "u", mark + "\r"), (6, "u\n" + mark, mark + "\n")]
+    rows += [(10 + k, "u", "-" * k + (mark + "." * 5) * 20 + mark) for k in range(64)]
+    for segment in (64, warc.SEGMENT):
+        assert _warc_rows(spark, rows, segment) == sorted(
+            (f"<urn:page:{p}>", "response", u.replace("\n", "%20")[:-1] + "%31" if u.endswith(mark) else u, b) for p, u, b in rows)
+
+
+def test_warc_rows_that_share_an_id(spark):
+    big = [c * 500 for c in "abcd"]
+    rows = [(None, "u", big[0]), (None, "u", big[1]), (None, "v", big[1]), (7, "u", big[2]), (7, "u", big[3]), (7, "v", big[3]),
+            (7, "u", big[3]), (8, "w", big[3]), (9, "u", big[0])]
+    want = [(f"<urn:page:{'' if p is None else p}>", "revisit" if p == 8 else "response", u, None if p == 8 else b) for p, u, b in rows]
+    assert _warc_rows(spark, rows, 100) == sorted(want, key=lambda r: (r[0], r[1], r[2], r[3] or ""))
+
+
 def test_warc_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "x" * 40000)] * 2 + [(2, "u", "s")] * 2, "page_id long, url string, html string")
     for frame, n in ((df, 4), (df.limit(0), 0)):
