@@ -9,7 +9,10 @@ address but for case and dots) share a skip potential however far apart they
 are. Loopy sum-product messages run over all documents of a batch at once, so a
 number that is spelt in a way that no pattern takes is still found where the
 document repeats it as a recognised one. Occurrences of one key are linked in a
-row, so edges grow with the nodes, not with their pairs.
+row, and each open one to the nearest recognised one of its key, however many
+repeats lie between: edges grow with the nodes, not with their pairs. Messages
+run until they settle, document by document (a loop that swings is damped more
+and more and left after ``MOST`` rounds).
 
 Weights are trained on base labels of about ``sample`` documents drawn by hash;
 Spark sums equal node shapes and pairs, only those sums reach the driver.
@@ -23,6 +26,7 @@ nothing but what the skip edges carry.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from itertools import pairwise
 
 import numpy as np
@@ -34,7 +38,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
 SAMPLE = 3000  # documents to train on, about
-ROUNDS, DAMPING, LEAST = 12, 0.3, 0.6
+MOST, SETTLED, DAMPING, LEAST = 1000, 1e-3, 0.3, 0.6
 NEAR = 40  # code points between chain neighbours, at most
 AGREE = {"same": (30.0, 1.0), "similar": (12.0, 1.0)}  # prior counts of agreeing and differing skip pairs
 SHAPES = 64
@@ -137,14 +141,21 @@ def _keys(text: str, start: int, end: int) -> tuple[str, str]:
 
 def _edges(text: str, nodes: list) -> list[tuple[int, int, str]]:
     edges = [(i, i + 1, "chain") for i, (x, y) in enumerate(pairwise(nodes)) if y[1] - x[2] <= NEAR]
+    keys = [_keys(text, a, b) for _, a, b in nodes]
     for level, name in enumerate(("same", "similar")):
-        last: dict[str, int] = {}
-        for i, (_, a, b) in enumerate(nodes):
-            key = _keys(text, a, b)[level]
-            if len(key) >= 7:
-                if key in last and (not level or _keys(text, *nodes[last[key]][1:])[0] != _keys(text, a, b)[0]):
-                    edges.append((last[key], i, name))
-                last[key] = i
+        rows: dict[str, list[int]] = {}
+        for i, key in enumerate(keys):
+            if len(key[level]) >= 7:
+                rows.setdefault(key[level], []).append(i)
+        for row in rows.values():
+            links = set(pairwise(row))
+            known = [i for i in row if nodes[i][0] > 0]
+            for i in row if known else []:
+                if nodes[i][0] < 0:
+                    k = bisect(known, i)
+                    j = min(known[max(0, k - 1):k + 1], key=lambda j: abs(nodes[j][1] - nodes[i][1]))
+                    links.add((min(i, j), max(i, j)))
+            edges += [(i, j, name) for i, j in sorted(links) if not level or keys[i][0] != keys[j][0]]
     return edges
 
 
@@ -201,8 +212,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     return {"weights": weights, "pair": pair}
 
 
-def _beliefs(unary: np.ndarray, edges: list, pair: dict) -> np.ndarray:
-    """Loopy sum-product on log potentials; rows of label probabilities."""
+def _beliefs(unary: np.ndarray, edges: list, pair: dict, group: np.ndarray) -> np.ndarray:
+    """Loopy sum-product on log potentials; rows of label probabilities.
+    ``group``: each node's document; one that has settled takes no more part."""
     if edges:
         src = np.array([e[0] for e in edges] + [e[1] for e in edges])
         dst = np.array([e[1] for e in edges] + [e[0] for e in edges])
@@ -210,25 +222,33 @@ def _beliefs(unary: np.ndarray, edges: list, pair: dict) -> np.ndarray:
         k = np.array([kinds.index(e[2]) for e in edges])
         table = np.stack([pair[x] for x in kinds])
         table = np.concatenate([table[k], np.swapaxes(table[k], 1, 2)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        message = np.zeros((len(src), unary.shape[1]))
-        for _ in range(ROUNDS):
+        half = np.arange(len(edges))  # edges that still change, each in both directions
+        final = np.zeros((len(src), unary.shape[1]))
+        for step in range(MOST):
+            live = np.concatenate([half, half + len(edges)])
+            back = np.concatenate([half + len(edges), half])
             total = unary.copy()
-            np.add.at(total, dst, message)
-            out = (total[src] - message[back])[:, :, None] + table
+            np.add.at(total, dst[live], final[live])
+            out = (total[src[live]] - final[back])[:, :, None] + table[live]
             top = out.max(axis=1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
+            change = np.abs(new - final[live]).max(axis=1)
+            damping = max(DAMPING, 1 - 50 / (step + 1))
+            final[live] = damping * final[live] + (1 - damping) * new
+            moving = np.unique(group[src[live[change > SETTLED]]])
+            half = half[np.isin(group[src[half]], moving)]
+            if not len(half):
+                break
         unary = unary.copy()
-        np.add.at(unary, dst, message)
+        np.add.at(unary, dst, final)
     p = np.exp(unary - unary.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
 def label_texts(texts: list[str], model: dict) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text, (kind number, start, end)."""
-    out, unary, edges, open_nodes = [], [], [], []
+    out, unary, edges, open_nodes, group = [], [], [], [], []
     for t, text in enumerate(texts):
         base = base_spans(text)
         out.append((base, []))
@@ -236,6 +256,7 @@ def label_texts(texts: list[str], model: dict) -> list[tuple[list, list]]:
         if all(k > 0 for k, _, _ in nodes):
             continue  # nothing is left to label
         edges += [(i + len(unary), j + len(unary), kind) for i, j, kind in _edges(text, nodes)]
+        group += [t] * len(nodes)
         for k, a, b in nodes:
             if k > 0:
                 unary.append(np.where(np.arange(len(LABELS)) == k, 0.0, -30.0))
@@ -243,7 +264,7 @@ def label_texts(texts: list[str], model: dict) -> list[tuple[list, list]]:
                 open_nodes.append((len(unary), t, a, b))
                 unary.append(model["weights"][_shape(text, a, b)].sum(axis=0))
     if open_nodes:
-        belief = _beliefs(np.array(unary), edges, model["pair"])
+        belief = _beliefs(np.array(unary), edges, model["pair"], np.array(group))
         for i, t, a, b in open_nodes:
             k = int(belief[i].argmax())
             if k and belief[i, k] >= LEAST:

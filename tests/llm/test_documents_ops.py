@@ -260,6 +260,24 @@ def test_skip_edges_carry_a_label(spark):
     assert clean[3] is None and clean[4] == ""
 
 
+def test_skip_edges_reach_every_repeat(spark):
+    """Thirty repeats far apart, one of them recognised: first, last, in the middle."""
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    gap = " and then a good many words without any number follow here "
+    texts, want = [], []
+    for kind, known, other in ((3, "+1 (415) 555-2671", "14155552671"), (1, "10.200.30.41", "10 200 30 41")):
+        for at in (0, 15, 30):
+            parts = [known if i == at else other for i in range(31)]
+            texts.append(gap.join(parts))
+            starts = np.cumsum([0, *[len(x) + len(gap) for x in parts]])
+            want.append([(kind, int(starts[i]), int(starts[i]) + len(other)) for i in range(31) if i != at])
+    alone = [gap.join([other] * 31) for other in ("14155552671", "10 200 30 41")]  # nothing recognises them
+    got = pii.label_texts([*texts, *alone], model)
+    assert [added for _, added in got] == [*want, [], []]
+    nodes = pii._nodes(texts[1], pii.base_spans(texts[1]))
+    assert len(pii._edges(texts[1], nodes)) <= 3 * len(nodes)
+
+
 def _walk(text, table):
     votes, seen, at, j = [0] * editprint.BITS, [0] * editprint.BITS, 0, 0
     sym = [((ord(c) * 2654435761) & 0xFFFFFFFF) >> 24 for c in text]
