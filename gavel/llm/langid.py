@@ -102,14 +102,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """A model from ``docs`` (doc_id, text, lang): languages by family, and
     weights of each pair of families and of languages within a family."""
     labelled = docs.filter("lang is not null and text is not null").select(
-        F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("doc_id").alias("h"))
+        F.col("lang").cast("string"), F.col("text").cast("string"), "doc_id")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return {"families": {}, "pairs": {}}
-    draw = F.lit(False)
+    draw, h = F.lit(False), F.xxhash64("doc_id", "text")
     for lang, n in sorted(counts.items()):
-        draw = draw | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))))
-    drawn = _featured(labelled.filter(draw)).withColumn("family", F.coalesce(
+        draw = draw | ((F.col("lang") == lang) & (F.pmod(h, F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))))
+    # rows that repeat id and text are drawn together: one of them is enough
+    drawn = _featured(labelled.filter(draw).dropDuplicates(["lang", "doc_id", "text"])).withColumn("family", F.coalesce(
         *[F.when(F.col("lang").isin(langs), family) for family, langs in FAMILIES.items()], F.col("lang")))
     drawn = materialize(drawn, "langid-sample").coalesce(4)
     vectors = drawn.select("lang", "family", array_to_vector("x").alias("features"))

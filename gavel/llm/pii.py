@@ -14,7 +14,7 @@ repeats lie between: edges grow with the nodes, not with their pairs. Messages
 run until they settle, document by document (a loop that swings is damped more
 and more and left after ``MOST`` rounds).
 
-Weights are trained on base labels of about ``sample`` documents drawn by hash;
+Weights are trained on base labels of about ``sample`` texts drawn by hash;
 Spark sums equal node shapes and pairs, only those sums reach the driver.
 
 Defined cases: null or empty text has no spans; spans of different kinds may
@@ -159,11 +159,16 @@ def _edges(text: str, nodes: list) -> list[tuple[int, int, str]]:
     return edges
 
 
+def drawn_texts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """About ``sample`` texts of ``docs`` or fewer; copies count as one text."""
+    n = max(1, docs.count())
+    return docs.select(F.col("text").cast("string")).filter(
+        F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30))).distinct()
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Potentials from base labels of a bounded sample of ``docs``."""
-    n = max(1, docs.count())
-    drawn = docs.select(F.col("text").cast("string")).filter(
-        F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)))
+    drawn = drawn_texts(docs, sample)
 
     def run(batches):
         for batch in batches:

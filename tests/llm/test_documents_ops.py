@@ -234,6 +234,26 @@ def _base(text):
                   if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
 
 
+def test_samples_stay_bounded_on_skewed_rows(spark, monkeypatch):
+    """Rows of one id, of none, and copies of one text."""
+    rows = [(None if i % 2 else 7, f"the text number {i} of many", "en") for i in range(3000)]
+    rows += [(None, "the same text", "en")] * 1000 + [(i, f"un autre texte {i}", "fr") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    featured = langid._featured
+    monkeypatch.setattr(langid, "_featured", lambda labelled: seen.append(Counter(r["lang"] for r in labelled.collect())) or featured(labelled))
+    langid.train(docs, 100)
+    assert 50 <= seen[0]["en"] <= 150 and seen[0]["fr"] == 50
+    texts = [f"copied text {i}" for i in range(200)]
+    h = {r["text"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h")).collect()}
+    hot = min(texts, key=h.get)  # the one that every draw takes first
+    assert h[hot] < (1 << 30) * 100 / 3000
+    copies = spark.createDataFrame([(hot,)] * 1000 + [(f"a text {i}",) for i in range(2000)], "text string")
+    drawn = [r["text"] for r in pii.drawn_texts(copies, 100).collect()]
+    assert drawn.count(hot) == 1 and 30 <= len(drawn) <= 130
+
+
 def test_base_spans_equal_the_patterns():
     rng = random.Random(11)
     parts = ["a@b.c", "x.y+z@q-w.co.uk", "@", "a@@b.c.", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.2.3.4", "4111 1111 1111 1111",
