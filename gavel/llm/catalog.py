@@ -27,10 +27,8 @@ def _tokenizer(name: str) -> str:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    pieces = packing.tokenized_pieces(docs, _tokenizer("byte_bpe_50k.json"))
-    narrow = materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")),
-                         "packing-pieces")
-    return packing.pack(narrow, ["doc_id", "piece", "ids_crc32"])
+    pieces = packing.tokenized_pieces(docs, _tokenizer("byte_bpe_50k.json"), ids=False)
+    return packing.pack(pieces.drop("ids"), ["doc_id", "piece", "ids_crc32"])
 
 
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,7 @@
 """Best-two-fit packing of tokenized documents into fixed-length sequences.
 
-* One Arrow pass tokenizes: texts split before white space into chunks that the
-  tokenizer treats independently, each distinct chunk of a batch is encoded
-  once, and a document's ids are its chunks' ids joined. Documents with rare
-  white space or control characters go through the tokenizer whole.
+* One Arrow pass tokenizes whole texts, cuts them and takes the checksums of the
+  pieces; ids leave it only where they are asked for.
 * Only documents longer than a sequence are cut; their first piece takes the
   remainder, the others are full.
 * Lengths run from 1 to the capacity, so their histogram is bounded and the
@@ -23,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from array import array
 
 import numpy as np
@@ -34,8 +33,7 @@ from gavel.llm.common import materialize
 
 CAPACITY = 2048
 END_ID = 0
-KNOWN_CHUNKS = 300_000  # entries of a task's chunk memory; beyond it the memory restarts
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
+PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 def tokenizer_json(path: str) -> str:
@@ -43,24 +41,36 @@ def tokenizer_json(path: str) -> str:
         return f.read()
 
 
-class ChunkEncoder:
-    """Little-endian 32-bit ids of whole texts by a byte-level BPE tokenizer file."""
+class ByteBpe:
+    """Ids of whole texts by a byte-level BPE tokenizer file, as the tokenizers
+    library gives them. Texts go through the same vocabulary as merge ranks;
+    texts with special-token strings (unless these are ``plain`` text), rare
+    white space or very long runs of white space through the library itself."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_str(source)
-        self.chunk = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-        self.odd = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-        self.known: dict[str, bytes] = {}
+        self.whole.encode_special_tokens = plain
         spec = json.loads(source)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        special = [] if plain else [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        # the rank encoder's pattern overflows its stack in long runs of white space
+        odd = ["[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", r"[\t-\r ]{2000}", *special]
+        self.odd = re.compile("|".join(odd))
         self.quick = self._ranked(spec)
 
     @staticmethod
-    def _ranked(spec: dict):
-        """The same vocabulary as merge ranks, if ids follow the merge order."""
+    def pieces(spec: dict) -> dict[int, bytes]:
+        """The bytes of each id, special tokens left out."""
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        return {i: bytes(back[c] for c in word) for word, i in spec["model"]["vocab"].items() if word not in special}
+
+    @classmethod
+    def _ranked(cls, spec: dict):
+        """The vocabulary as merge ranks, if ids follow the merge order."""
         import tiktoken
 
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,35 +80,18 @@ class ChunkEncoder:
         if (spec["normalizer"], pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex")) != (
                 None, "ByteLevel", False, True) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
             return None
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(back[c] for c in word): i for word, i in vocab.items() if word not in special}
+        ranks = {word: i for i, word in cls.pieces(spec).items()}
         return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _learn(self, chunks: list[str]) -> None:
-        if self.quick and not any(s in c for s in self.special for c in chunks):
-            quick = self.quick
-            self.known.update((c, array("I", quick(c)).tobytes()) for c in chunks)
-            return
-        for c, e in zip(chunks, self.whole.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.known[c] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if self.odd.search(t) else self.chunk.findall(t) for t in texts]
-        new = set().union(*(p for p in parts if p)) - self.known.keys()
-        if len(self.known) + len(new) > KNOWN_CHUNKS:
-            self.known.clear()
-            new = set().union(*(p for p in parts if p))
-        if new:
-            self._learn(list(new))
-        find = self.known.__getitem__
-        return [array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes() if p is None
-                else b"".join(map(find, p)) for t, p in zip(texts, parts)]
-
-
-def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids): ids as little-endian 32-bit words.
+    def encode(self, text: str) -> list[int]:
+        if self.quick is None or self.odd.search(text):
+            return self.whole.encode(text, add_special_tokens=False).ids
+        return self.quick(text)
+
+
+def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids): ids as little-endian
+    32-bit words; null if only their checksum is asked for.
 
     ``tokenizer`` is the path of a tokenizer file on the driver; its text
     travels to the tasks.
@@ -106,29 +99,28 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY)
     source = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
 
     def cut(batches):
-        encoder = ChunkEncoder(source.value)
-        end = array("I", [END_ID]).tobytes()
+        encoder = ByteBpe(source.value)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             lo = 0
             while lo < batch.num_rows:
-                size, hi, block = 0, lo, []
+                size, hi, rows = 0, lo, []
                 while hi < batch.num_rows and (size < 1 << 20 or hi == lo):
-                    block.append(texts[hi].as_py() or "")
-                    size += len(block[-1])
-                    hi += 1
-                rows = []
-                for i, ids in enumerate(encoder.encode(block)):
-                    ids += end
-                    n = len(ids) // 4
+                    words = array("I", encoder.encode(texts[hi].as_py() or ""))
+                    words.append(END_ID)
+                    data, n = words.tobytes(), len(words)
+                    size += len(data)
                     first = n if n <= capacity else (n % capacity or capacity)
                     bounds = [0, *range(first, n + 1, capacity)]
-                    rows += [(lo + i, k, a, b - a, ids[4 * a:4 * b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-                at, piece, start, length, ids = zip(*rows)
+                    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                        part = data[4 * a:4 * b]
+                        rows.append((hi, k, a, b - a, zlib.crc32(part), part if ids else None))
+                    hi += 1
+                at, piece, start, length, crc, part = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "ids"])
+                     pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(part, pa.binary())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
                 lo = hi
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE_SCHEMA)
@@ -201,40 +193,40 @@ def _lookup(counts: np.ndarray, patterns) -> dict[str, np.ndarray]:
 
 
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
-    """``pieces`` plus sequence_id and offset.
+    """``pieces`` plus sequence_id and offset (columns of these names are replaced).
 
-    ``pieces`` must be stable when read again (a written table) and have a long
-    column ``length`` between 1 and ``capacity``; ``order`` names columns that
-    order its rows.
+    ``pieces`` has a long column ``length`` between 1 and ``capacity``;
+    ``order`` names columns that order its rows. The rows are written once with
+    their salt, which comes from their place in the input, so equal rows spread
+    too.
     """
     spark = pieces.sparkSession
     salts = salts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cell = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    cells = materialize(cell.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "packing-cells")
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    cell = materialize(pieces.select(F.struct(*kept).alias("row"), F.col("length").alias("n"), salt.alias("salt")), "packing-pieces")
+    cells = materialize(cell.groupBy("n", "salt").agg(F.count("*").alias("rows")), "packing-cells")
     counts = np.zeros(capacity + 1, np.int64)
-    for row in cells.groupBy("length").agg(F.sum("_n").alias("n")).collect():  # one row a length
-        counts[row["length"]] = row["n"]
+    for r in cells.groupBy("n").agg(F.sum("rows").alias("rows")).collect():  # one row a length
+        counts[r["n"]] = r["rows"]
     table = _lookup(counts, plan_patterns(counts))
-    prefix = cells.select("length", "_salt", (F.sum("_n").over(
-        Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    ranked = cell.join(prefix, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.row_number().over(
-        Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
-    columns = pieces.columns
+    prefix = cells.select("n", "salt", (F.sum("rows").over(
+        Window.partitionBy("n").orderBy("salt")) - F.col("rows")).alias("before"))
+    ranked = cell.join(prefix, ["n", "salt"]).select("row", "n", (F.col("before") + F.row_number().over(
+        Window.partitionBy("n", "salt").orderBy(*[f"row.{c}" for c in order])) - 1).alias("rank"))
 
     def place(batches):
         for batch in batches:
-            length = batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
-            at = table["before"][length] + batch.column(batch.schema.get_field_index("_rank")).to_numpy(zero_copy_only=False)
+            length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            at = table["before"][length] + rank
             k = np.searchsorted(table["first"], at, side="right") - 1
             local = at - table["first"][k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)) for c in columns] + [
-                    pa.array(table["base"][k] + local // table["copies"][k]),
-                    pa.array(table["offset"][k] + local % table["copies"][k] * length)],
-                names=[*columns, "sequence_id", "offset"])
+                [batch.column(0), pa.array(table["base"][k] + local // table["copies"][k]),
+                 pa.array(table["offset"][k] + local % table["copies"][k] * length)], names=["row", "sequence_id", "offset"])
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*columns, "_rank").mapInArrow(place, schema)
+    schema = cell.select("row").schema.add("sequence_id", "long").add("offset", "long")
+    return ranked.mapInArrow(place, schema).select("row.*", "sequence_id", "offset")
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
@@ -242,5 +234,5 @@ def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     ids each. ``pieces`` has the ids, ``placed`` sequence_id and offset."""
     rows = pieces.select("doc_id", "piece", "ids").join(
         placed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
-    return rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p")).select(
-        "sequence_id", F.expr("aggregate(transform(p, x -> x.ids), X'', (a, b) -> concat(a, b))").alias("ids"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: F.hex(x["ids"]))
+    return rows.groupBy("sequence_id").agg(F.unhex(F.array_join(parts, "")).alias("ids"))

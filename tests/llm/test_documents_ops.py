@@ -150,9 +150,11 @@ def test_pieces_and_sequences(docs):
 
 
 def test_special_token_text_and_odd_white_space(spark):
-    texts = ["a <|endoftext|> b", "x<|endoftext|>", "a  b\n\n c\t", "tail   ", " \xa0 y\x1cz　q"]
+    texts = ["a <|endoftext|> b", "x<|endoftext|>", "a  b\n\n c\t", "tail   ", " \xa0 y\x1cz　q", " " * 300000 + "x", " \t" * 9000 + "y\x85z"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: bytes(r["ids"]) for r in packing.tokenized_pieces(rows, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    pieces = packing.tokenized_pieces(rows, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    got = {i: b"".join(bytes(r["ids"]) for r in sorted(pieces, key=lambda r: r["piece"]) if r["doc_id"] == i) for i in range(len(texts))}
+    assert all(r["ids_crc32"] == zlib.crc32(r["ids"]) for r in pieces)
     for i, t in enumerate(texts):
         assert got[i] == np.array(_byte_ids(t), "<u4").tobytes(), t
 
@@ -184,6 +186,16 @@ def test_hot_length_ranks_are_gapless(spark):
     assert len(got) == 1500 and all(r["n"] == 1400 for r in got)
 
 
+def test_pack_leaves_clashing_columns_and_spreads_equal_rows(spark):
+    rows = spark.range(2000).selectExpr("1L AS doc_id", "1000L AS length", "'a' AS _salt", "2 AS _n", "3 AS _rank", "4 AS _before",
+                                        "5 AS salt", "6 AS n", "7 AS rank", "8 AS row", "9L AS offset")
+    got = packing.pack(rows, ["doc_id"], salts=7)
+    assert got.columns == [*rows.columns[:-1], "sequence_id", "offset"]
+    assert got.drop("sequence_id", "offset").distinct().collect() == rows.drop("offset").distinct().collect()
+    bins = got.groupBy("sequence_id").agg(F.sort_array(F.collect_list("offset")).alias("o")).collect()
+    assert len(bins) == 1000 and all(r["o"] == [0, 1000] for r in bins)
+
+
 def test_word_bpe_equals_the_library(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     model = Tokenizer.from_file(path)
