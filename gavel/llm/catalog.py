@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import chat, editprint, langid, minhash, packing, pii, sharding, topk, warc, wordbpe
+from gavel.llm import align, chat, editprint, langid, minhash, packing, pii, sharding, topk, toxicity, trie, warc, wordbpe
 from gavel.llm.common import materialize, shared_path
 
 
@@ -116,6 +116,22 @@ def op10_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.filter("vec_id % 100 = 0"), 10)
 
 
+def op11_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    model = toxicity.train(docs.filter("not held_out"), _table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.measured(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(trie.turn_lists(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_best_two_fit": op2_best_two_fit,
@@ -127,6 +143,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_edit_embedding": op8_edit_embedding,
     "op9_interleave": op9_interleave,
     "op10_bit_sliced": op10_bit_sliced,
+    "op11_boosted_trees": op11_boosted_trees,
+    "op12_align": op12_align,
+    "op13_burst_trie": op13_burst_trie,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -196,4 +215,43 @@ ORACLE: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_burst_trie": r"""
+        WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k:
+                     CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        o AS MATERIALIZED (
+          SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+            coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        c AS MATERIALIZED (
+          SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce([4294967295::BIGINT] || list_transform(
+              string_split(conv_id::VARCHAR, ''), lambda y: ascii(y)::BIGINT),
+              lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) % 4 AS h
+          FROM (SELECT DISTINCT conv_id FROM o), t),
+        r AS MATERIALIZED (
+          SELECT c.conv_id, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.base AND o.pos <= c.h
+          UNION ALL SELECT c.conv_id, o.pos + 3, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h),
+        n AS MATERIALIZED (
+          SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth,
+            md5(length(role) || ':' || role || ':' || text) AS turn, len(list_filter(string_split_regex(text,
+              '[ 	
+
+]+'), lambda x: x <> '')) AS words FROM r),
+        p AS MATERIALIZED (
+          SELECT conv_id, depth, words, md5(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node,
+            count(*) OVER (PARTITION BY conv_id) AS len FROM n
+          UNION ALL SELECT c.conv_id, 0, 0, md5(''), coalesce(l.len, 0) FROM c LEFT JOIN (
+            SELECT conv_id, count(*) AS len FROM n GROUP BY conv_id) l ON l.conv_id = c.conv_id),
+        a AS MATERIALIZED (
+          SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len), '')) AS ends_sha256
+          FROM p GROUP BY node),
+        e AS MATERIALIZED (
+          SELECT a.node, u.node AS up, m.conv_id AS parent_conv_id FROM a
+          LEFT JOIN p u ON u.conv_id = a.conv_id AND u.depth = a.depth - 1 LEFT JOIN a m ON m.node = u.node),
+        k AS (SELECT up AS node, count(*) AS n_children FROM e WHERE up IS NOT NULL GROUP BY up),
+        s AS (
+          SELECT u.node, sum((a.n_convs - 1) * a.words) AS saved, count(*) FILTER (k.node IS NULL) AS leaves
+          FROM a LEFT JOIN k ON k.node = a.node JOIN p u ON u.conv_id = a.conv_id AND u.depth <= a.depth GROUP BY u.node)
+        SELECT a.conv_id, a.depth, e.parent_conv_id, a.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+          s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, a.ends_sha256
+        FROM a JOIN e ON e.node = a.node JOIN s ON s.node = a.node LEFT JOIN k ON k.node = a.node""",
 }
