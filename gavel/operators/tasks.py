@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,28 +12,148 @@ from pyspark.sql import types as T
 from gavel import constants as K
 from gavel.functions.crypto import b64url_nopad, hmac_sha256_hex
 from gavel.functions.text import py_strip
+from gavel.session import written
 
 
 # ------------------------------------------------------------------ BIZ-1
+MOST_ENTRIES = 4096  # possible entry states of a run; beyond it runs are merged instead
+
+
 def greedy_rate_limit(events: DataFrame, user: str = "user_id", ts: str = "ts_unit", order: str = "event_id",
                       window: int = K.LIMITER_WINDOW, limit: int = K.LIMITER_LIMIT, span: int | None = None) -> DataFrame:
     """Allow an event when fewer than ``limit`` ALLOWED events of the same
     user lie in [ts - window + 1, ts]; denied events do not count, so a
-    plain windowed count is wrong.
+    plain windowed count is wrong. Events without a time are denied.
 
-    Parallel and exact, also for one user who never pauses:
+    An associative scan, so one user who never pauses spreads over tasks:
     1. Every user's timeline is cut into runs of ``span`` units (at least a
-       window), and all runs are folded in parallel from an empty state.
-    2. A run's true entry state is what its predecessor left inside the
-       window. Where that differs from the state assumed, the run is merged
-       with its neighbour (runs double in length) and folded again from the
-       best known entry; all other runs stay as they are.
-    3. This ends when every assumed entry is right. A run that covers a whole
-       timeline has no predecessor, so at most log2(runs) rounds are needed;
-       usually one or two are. Rounds end at ``checkpoint()`` in the shared
-       folder.
-    Rows stream through the fold in time order (secondary sort); no task holds
-    a user's history, and no window spans a user.
+       window). What a run has to know of the past is its entry state: at most
+       ``limit`` allowed times in the window - 1 units before it. The events of
+       these units come along as a halo, so the states that can occur are known.
+    2. One pass in time order (secondary sort) folds each run for all its
+       possible entries at once. Entries that lead to the same state are folded
+       on together, so after a few events there is mostly one. A run gives its
+       exit state per entry, an event either a decision or the entries under
+       which it is allowed.
+    3. Functions from entry to exit compose: each round a run's function takes
+       in the 2^k runs before it, until it is constant, at the latest at a run
+       with an empty halo. Only runs whose exit depends on their entry take
+       part, so there are log2(longest dependent chain) rounds, usually none.
+    4. Only events that depend on the entry are joined with it.
+    No run ever merges, no task holds a user's history, no window spans a user.
+    """
+    if math.comb(window - 1 + limit, limit) > MOST_ENTRIES:
+        return _limit_by_merging(events, user, ts, order, window, limit, span)
+    span = max(window, span or window * 64)
+    run = F.floor(F.col(ts) / span).cast("bigint")
+    here, after = F.struct(run.alias("run"), F.lit(False).alias("halo")), F.struct((run + 1).alias("run"), F.lit(True).alias("halo"))
+    near_end = F.pmod(F.col(ts), F.lit(span)) > span - window
+    dealt = events.select(F.struct(*events.columns).alias("row"), F.col(user).alias("who"), F.col(ts).cast("bigint").alias("t"),
+                          F.col(order).alias("pos"),
+                          F.explode(F.when(near_end, F.array(here, after)).otherwise(F.array(here))).alias("at"))
+    dealt = dealt.select("row", "who", "t", "pos", "at.*")
+    schema = T.StructType([*(T.StructField(c, dealt.schema[c].dataType) for c in ("row", "who", "run")),
+                           T.StructField("allowed", T.BooleanType()), T.StructField("by", T.ArrayType(T.IntegerType())),
+                           T.StructField("exits", T.MapType(T.IntegerType(), T.IntegerType()))])
+
+    def code(state, edge):  # times before the edge as digits, nearest first
+        return sum((edge - x) * window ** i for i, x in enumerate(sorted(state, reverse=True)))
+
+    def entries(halo, edge):
+        seen = {()}
+        for x in halo:
+            seen |= {tuple(sorted((*s, x))) for s in seen if len(s) < limit}
+        return {s: [code(s, edge)] for s in seen}
+
+    def fold(batches):
+        current = states = halo = None
+        for batch in batches:
+            who, t, runs, is_halo = (batch.column(c).to_pylist() for c in ("who", "t", "run", "halo"))
+            rows, allowed, by, ends = [], [], [], []
+
+            def close():  # a finished run: its exits, unless all are empty
+                if states is None:
+                    return
+                edge = (current[1] + 1) * span
+                exits = [(e, code([x for x in s if x > edge - window], edge)) for s, es in states.items() for e in es]
+                if any(x for _, x in exits):
+                    ends.append((*current, exits))
+
+            for i, key in enumerate(zip(who, runs)):
+                if key != current:
+                    close()
+                    current, states, halo = key, None, []
+                x = t[i]
+                if is_halo[i]:
+                    if halo.count(x) < limit:
+                        halo.append(x)
+                    continue
+                rows.append(i)
+                if x is None:
+                    allowed.append(False)
+                    by.append(None)
+                    continue
+                states = entries(halo, key[1] * span) if states is None else states
+                fresh, yes, n = {}, [], 0
+                for s, es in states.items():
+                    kept = tuple(y for y in s if y > x - window)
+                    n += len(es)
+                    if len(kept) < limit:
+                        kept, yes = (*kept, x), yes + es
+                    fresh[kept] = fresh.get(kept, []) + es
+                states = fresh
+                same = len(yes) in (0, n)
+                allowed.append(bool(yes) if same else None)
+                by.append(None if same else yes)
+            yield _limiter_batch(batch, rows, allowed, by, ends)
+        if current is not None:
+            ends = []
+            close()
+            if ends:
+                yield _limiter_batch(batch, [], [], [], ends)
+
+    nparts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clustered = dealt.repartition(nparts, "who", "run").sortWithinPartitions("who", "run", "t", "pos")
+    out = written(clustered.drop("pos").mapInArrow(fold, schema), "limiter")
+
+    varies = F.size(F.array_distinct(F.map_values("f"))) > 1
+    functions, step = out.where("exits is not null").select("who", "run", F.col("exits").alias("f")), 1
+    while not functions.where(varies).isEmpty():
+        before = functions.select(F.col("who").alias("w"), (F.col("run") + step).alias("r"), F.col("f").alias("g"))
+        first = F.when(F.col("g").isNull(), F.create_map(F.lit(0), F.lit(0))).otherwise(F.col("g"))
+        grown = functions.where(varies).join(before, F.col("who").eqNullSafe(F.col("w")) & (F.col("run") == F.col("r")), "left").select(
+            "who", "run", F.transform_values(first, lambda k, v: F.element_at("f", v)).alias("f"))
+        functions = written(functions.where(~varies).unionByName(grown), "limiter-functions")
+        step *= 2
+    known = functions.select(F.col("who").alias("w"), (F.col("run") + 1).alias("r"), F.map_values("f")[0].alias("entry"))
+    open_rows = out.where("by is not null").join(
+        known, F.col("who").eqNullSafe(F.col("w")) & (F.col("run") == F.col("r")), "left")
+    settled = open_rows.select("row", F.array_contains("by", F.coalesce("entry", F.lit(0))).alias("allowed"))
+    return out.where("allowed is not null").select("row", "allowed").unionByName(settled).select("row.*", "allowed")
+
+
+def _limiter_batch(batch: pa.RecordBatch, rows: list, allowed: list, by: list, ends: list) -> pa.RecordBatch:
+    """The event rows ``rows`` of ``batch`` with their decisions, then one row
+    for each finished run (users and runs of rows are not read again, but for
+    rows that wait for an entry)."""
+    picked = pa.array(rows + [None] * len(ends), pa.int64())
+    who = batch.column("who").take(pa.array(rows, pa.int64())).to_pylist() + [e[0] for e in ends]
+    run = batch.column("run").take(pa.array(rows, pa.int64())).to_pylist() + [e[1] for e in ends]
+    nothing = [None] * len(ends)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("row").take(picked), pa.array(who, batch.column("who").type), pa.array(run, pa.int64()),
+         pa.array(allowed + nothing, pa.bool_()), pa.array(by + nothing, pa.list_(pa.int32())),
+         pa.array([None] * len(rows) + [e[2] for e in ends], pa.map_(pa.int32(), pa.int32()))],
+        names=["row", "who", "run", "allowed", "by", "exits"])
+
+
+def _limit_by_merging(events: DataFrame, user: str, ts: str, order: str, window: int, limit: int, span: int | None) -> DataFrame:
+    """The limiter for limits whose entry states are too many to fold at once.
+
+    Runs are folded from an empty state; where the predecessor's exit differs
+    from the state assumed, a run is merged with its neighbour (runs double in
+    length) and folded again from the best known entry, at most log2(runs)
+    times. Rows stream through the fold; no task holds a user's history.
     """
     from gavel.session import ensure_checkpoint_dir
     spark = events.sparkSession

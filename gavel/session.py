@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale: AQE re-plans joins and coalesces small
 # shuffle partitions at runtime, skew-join splits hot partitions, UTC keeps
@@ -69,5 +69,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
-def cpus() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: its lineage ends
+    at a table that every executor can read again after a loss, and it is
+    computed once (``checkpoint()`` computes an uncached frame twice)."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -147,6 +147,41 @@ def test_limiter_never_pausing_user_over_many_runs(spark):
     assert got == brute_limiter(events)
 
 
+def test_limiter_dependent_chain_spreads_and_clashing_columns(spark):
+    """One user who never pauses, dense enough that every run's exit depends on
+    its entry; tiny Arrow batches; columns named like the operator's own."""
+    rnd = random.Random(2)
+    t, events = 0, []
+    for eid in range(1500):
+        events.append((eid, None if eid % 2 else 9, t, "r", "w", True, eid, 1))
+        t += rnd.choice([0, 1, 3, 3, 4])
+    df = spark.createDataFrame(events + [(1500, 9, None, "r", "w", False, 0, 1)],
+                               "event_id long, user_id long, ts_unit long, row string, who string, halo boolean, run int, allowed_ int")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = B.greedy_rate_limit(df, span=10)
+        got = {r.event_id: r.allowed for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert out.columns == [*df.columns, "allowed"]
+    assert got == brute_limiter([(e[0], e[1] or 0, e[2]) for e in events]) | {1500: False}
+    assert B.greedy_rate_limit(df.limit(0)).count() == 0
+
+
+def test_limiter_with_many_entry_states_merges_runs(spark):
+    rnd = random.Random(5)
+    events = [(i, rnd.randint(0, 1), rnd.randint(0, 300)) for i in range(900)]
+    df = spark.createDataFrame(events, "event_id long, user_id long, ts_unit long")
+    wide = {r.event_id: r.allowed for r in B.greedy_rate_limit(df, window=40, limit=20, span=50).collect()}
+    queues, want = {}, {}
+    for eid, user, ts in sorted(events, key=lambda e: (e[1], e[2], e[0])):
+        kept = [x for x in queues.get(user, []) if x > ts - 40]
+        want[eid] = len(kept) < 20
+        queues[user] = kept + [ts] if want[eid] else kept
+    assert wide == want
+
+
 def test_streams_order_a_key_across_arrow_batches(spark, tmpdir_path):
     """Newest first, tiny Arrow batches: the micro-batch is ordered as a whole;
     a later file continues from the state, rows behind it are late."""
