@@ -40,6 +40,8 @@ DUCK = {"arr": "list_value", "empty": "CAST([] AS VARCHAR[])", "nullarr": "CAST(
         "h1": "sha256(", "h2": ")", "div12": "(doc_id // 12)",
         "js1": "CAST(to_json(", "js2": ") AS VARCHAR)"}
 
+LIMITER_UNIT = 14400  # seconds of the limiter bridge's time unit
+
 # fixed value: the demo signing key used by the bearer/reset-token bridges
 DEMO_KEY = "bridge-secret"
 
@@ -176,7 +178,7 @@ FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
       FROM {orders}) o
 """),
     "b_limiter": (("events",), """
-SELECT event_id, user_id, CAST(floor({epoch} / 14400) AS BIGINT) AS ts_unit FROM {events}
+SELECT event_id, user_id, CAST(floor({epoch} / {unit}) AS BIGINT) AS ts_unit FROM {events}
 """),
     "b_usage": (("events",), """
 SELECT 'acct_' || CAST(user_id AS STRING) AS account, {month} AS month,
@@ -420,6 +422,7 @@ def hmac_sql(dialect: dict, key: str, msg: str) -> str:
 def sql_for(name: str, dialect: dict, tables: dict[str, str] | None = None) -> str:
     deps, text = BRIDGES[name]
     slots = dict(dialect)
+    slots["unit"] = LIMITER_UNIT
     slots["hmac_u"] = hmac_sql(dialect, DEMO_KEY, "'u' || CAST(user_id AS STRING)")
     for t in deps:
         slots[t] = (tables or {}).get(t, t)
@@ -444,3 +447,14 @@ def oracle_cte(*names: str, recursive: bool = False) -> str:
     """``WITH`` clause defining the named bridges for DuckDB."""
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(f"{n} AS ({sql_for(n, DUCK)})" for n in names)
+
+
+def session_op(k: int, event: dict) -> tuple:
+    """The k-th event of a chain as (op, session_id, user_id, new_session_id),
+    the rule of ``b_session_log``; a chain is named by its first event."""
+    kind, chain = event["event_type"], event["chain"]
+    if k == 1:
+        return "create", f"s{chain}_1", f"u{event['user_id']}", None
+    rotates = kind in ("view", "click", "purchase")
+    used = max(k - 2, 1) if kind in ("purchase", "signup") else k - 1
+    return "rotate" if rotates else "invalidate", f"s{chain}_{used}", None, f"s{chain}_{k}" if rotates else None

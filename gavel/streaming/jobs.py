@@ -11,30 +11,26 @@ tests compare with the batch operators.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from gavel import constants as K
 from gavel.session import ensure_checkpoint_dir
-
+from gavel.streaming.ordered import LIMITER_OUT, SESSION_OUT, LimiterProcessor, SessionProcessor
 
 FILES_A_TRIGGER = 64  # static sides are read again in every micro-batch
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, whole: bool = False) -> DataFrame:
-    """The table as a file stream; ``whole``: what is available is one
-    micro-batch, for jobs whose result depends on the order of rows."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a file stream."""
     path = f"{sf_dir}/{name}.parquet"
     table = spark.read.parquet(path)
     files = table.inputFiles()
     if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
         path = f"{sf_dir}/{name}.parque[t]"  # a stream takes a single file only through a glob
-    stream = spark.readStream.schema(table.schema)
-    return (stream if whole else stream.option("maxFilesPerTrigger", FILES_A_TRIGGER)).parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", FILES_A_TRIGGER).parquet(path)
 
 
 def _location(spark: SparkSession, label: str) -> str:
@@ -124,53 +120,72 @@ def risk_coverage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep_rows(wide)
 
 
+# ------------------------------------------------------------------ ordered streams
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+END_OF_STREAM = "2200-01-01 00:00:00"  # a time that pandas can hold
+
+
+def _spread(rows: DataFrame, column: str) -> str:
+    """The time between a table's oldest and newest row, as an interval."""
+    r = rows.agg((F.max(column).cast("timestamp").cast("long") - F.min(column).cast("timestamp").cast("long")).alias("s")).first()
+    return f"{int(r['s'] or 0) + 1} seconds"
+
+
+def drain_in_order(rows: DataFrame, job: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """Run ``job`` over ``rows`` with the column ``event_time`` until the input
+    is consumed, then close the stream: a marker row (every other column null)
+    moves the watermark past all rows, so what still waits in the state leaves.
+
+    The marker comes as a file of its own once the input is consumed, to the
+    same query with the same checkpoint; a job skips rows with ``closing``.
+    Spark's watermark starts at 1970: rows of that instant or before are late."""
+    spark = rows.sparkSession
+    path = _location(spark, label)
+    marker = spark.createDataFrame([(True,)], "closing boolean").select(
+        F.lit(END_OF_STREAM).cast("timestamp").alias("event_time"), "closing")
+    marker.limit(0).write.parquet(f"{path}/closing")
+    closing = spark.readStream.schema(marker.schema).parquet(f"{path}/closing")
+    out = job(rows.withColumn("closing", F.lit(False)).unionByName(closing, allowMissingColumns=True))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)  # list and map state, timers
+    try:
+        for last in (False, True):
+            if last:
+                marker.coalesce(1).write.mode("append").parquet(f"{path}/closing")
+            (out.writeStream.format("parquet").option("path", f"{path}/table").outputMode("append")
+             .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(out.schema).parquet(f"{path}/table")
+
+
 # ------------------------------------------------------------------ STR-4
-LIMITER_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
-                            T.StructField("ts_unit", T.LongType()), T.StructField("allowed", T.BooleanType())])
-LIMITER_STATE = T.StructType([T.StructField("kept", T.ArrayType(T.LongType())), T.StructField("newest", T.LongType())])
-
-
-def in_order(batches, columns: list[str]) -> pd.DataFrame:
-    """A key's rows of one micro-batch in order. Spark hands them over in
-    several Arrow batches, so sorting each batch would not order the key."""
-    parts = list(batches)
-    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    return rows.sort_values(columns, kind="stable")
-
-
-def limiter_over(requests: DataFrame, window: int = K.LIMITER_WINDOW, limit: int = K.LIMITER_LIMIT) -> DataFrame:
-    """Greedy limiter on a stream of (event_id, user_id, ts_unit). The state of
-    a user is bounded: the allowed times still inside the window and the newest
-    time seen. A micro-batch is ordered across all of a key's Arrow batches;
-    a row older than an earlier micro-batch's newest one is late: it is denied
-    and changes nothing."""
-
-    def step(key, batches, state):
-        kept, newest = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        rows = in_order(batches, ["ts_unit", "event_id"])
-        floor, allowed = newest, []
-        for t in rows["ts_unit"].tolist():
-            late = floor is not None and t < floor
-            if not late:
-                kept, newest = [x for x in kept if x > t - window], t
-            allowed.append(not late and len(kept) < limit)
-            if allowed[-1]:
-                kept.append(t)
-        state.update((kept, newest))
-        yield rows[["event_id", "user_id", "ts_unit"]].assign(allowed=allowed)
-
-    return requests.groupBy("user_id").applyInPandasWithState(step, LIMITER_OUT, LIMITER_STATE, "append",
-                                                             GroupStateTimeout.NoTimeout)
+def limiter_over(requests: DataFrame, lateness: str, unit: int = 1, window: int = K.LIMITER_WINDOW,
+                 limit: int = K.LIMITER_LIMIT) -> DataFrame:
+    """Greedy limiter on a stream of (event_id, user_id, ts_unit, event_time,
+    closing); ``event_time`` is the start of the unit, ``unit`` its seconds.
+
+    Requests wait in the user's state until the watermark passes their unit and
+    are decided in order of (ts_unit, event_id), so the result does not depend on
+    files or micro-batches. Requests later than ``lateness`` are dropped and
+    counted by the watermark (``numRowsDroppedByWatermark``). The state of a
+    user is at most ``limit`` waiting ids a unit and ``limit`` allowed times."""
+    return requests.withWatermark("event_time", lateness).groupBy("user_id").transformWithStateInPandas(
+        LimiterProcessor(window, limit, unit * 1000), LIMITER_OUT, "append", "EventTime")
 
 
 def limiter_stream(spark: SparkSession, sf_dir: str, window: int = K.LIMITER_WINDOW,
                    limit: int = K.LIMITER_LIMIT) -> DataFrame:
-    """STR-4 over the events table. Its files are in no order of time, so what
-    is available is one micro-batch and nobody's rows are late."""
-    from gavel.sources.bridges import SPARK, sql_for
-    ev = stream_table(spark, sf_dir, "events", whole=True)
-    req = spark.sql(sql_for("b_limiter", SPARK, {"events": "{events}"}), events=ev)
-    return drain(limiter_over(req, window, limit), "limiter")
+    """STR-4 over the events table. Its files are in no order of time, so the
+    lateness is the table's spread and nobody's request is late; a live stream
+    gives the disorder it expects instead."""
+    from gavel.sources.bridges import LIMITER_UNIT as unit, SPARK, sql_for
+    ev = stream_table(spark, sf_dir, "events")
+    req = spark.sql(sql_for("b_limiter", SPARK, {"events": "{events}"}), events=ev).withColumn(
+        "event_time", F.timestamp_seconds(F.col("ts_unit") * unit))
+    lateness = _spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts")
+    return drain_in_order(req, lambda rows: limiter_over(rows, lateness, unit, window, limit), "limiter")
 
 
 # ------------------------------------------------------------------ STR-6
@@ -228,47 +243,28 @@ def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ STR-5
-SESSION_STATE = T.StructType([T.StructField("ids", T.ArrayType(T.StringType())),
-                              T.StructField("owners", T.ArrayType(T.StringType()))])
+def sessions_over(events: DataFrame, as_op: Callable, lateness: str) -> DataFrame:
+    """Session log on a stream of (chain_id, at, tie, event_time, closing and
+    whatever ``as_op`` reads); ``as_op(k, event)`` turns the k-th event of a chain
+    into (op, session_id, user_id, new_session_id).
 
+    Events wait in the chain's state until the watermark passes them and are
+    applied in order of (at, tie); the state holds the waiting events, the
+    number of applied ones and the live ids with their owners."""
+    return events.withWatermark("event_time", lateness).groupBy("chain_id").transformWithStateInPandas(
+        SessionProcessor(as_op), SESSION_OUT, "append", "EventTime")
 
-def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session state per chain with ``applyInPandasWithState``: the live
-    ids of a chain and their owners are the state; each op is applied in
-    sequence order inside the micro-batch and the state carries across
-    batches (ops of one chain must arrive in order)."""
-    from gavel.operators.tasks import SESSION_OUT
-    from gavel.sources.bridges import SPARK, bridge, sql_for
 
-    # The log derives each op's sequence number from a per-chain window,
-    # which a stream cannot compute; the ops table itself is streamed from
-    # the batch derivation written under the checkpoint folder.
-    path = _location(spark, "session-log")
-    bridge(spark, sf_dir, "b_session_log").write.mode("overwrite").parquet(path)
-    schema = spark.read.parquet(path).schema
-    log = spark.readStream.schema(schema).parquet(path)
-
-    def step(key, batches, state):
-        live = dict(zip(*state.get)) if state.exists else {}
-        rows = []
-        for r in in_order(batches, ["seq"]).itertuples(index=False):
-            owner = r.user_id if r.op == "create" else live.pop(r.session_id, None)
-            issued = {"create": r.session_id, "rotate": r.new_session_id}.get(r.op)
-            alive = r.op == "create" or (issued is not None and owner is not None)
-            if alive:
-                live[issued] = owner
-            named = r.session_id if r.op != "rotate" else r.new_session_id
-            error = "unknown session id" if r.op == "rotate" and owner is None else None
-            rows.append((r.chain_id, r.seq, r.op, named, owner, alive, error))
-        yield pd.DataFrame(rows, columns=[f.name for f in SESSION_OUT.fields])
-        if live:
-            state.update((list(live.keys()), list(live.values())))
-        elif state.exists:
-            state.remove()
-
-    out = log.groupBy("chain_id").applyInPandasWithState(step, SESSION_OUT, SESSION_STATE, "append",
-                                                         GroupStateTimeout.NoTimeout)
-    return drain(out, "sessions")
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-5 over the events table; the k-th event of a chain is its k-th op."""
+    from gavel.sources.bridges import session_op
+    ev = stream_table(spark, sf_dir, "events")
+    at = F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    chain = F.col("user_id") * 4 + F.col("event_id") % 4
+    rows = ev.select(chain.alias("chain_id"), at.alias("at"), F.col("event_id").alias("tie"),
+                     F.to_json(F.struct("event_type", "user_id", chain.alias("chain"))).alias("event"), F.timestamp_micros(at).alias("event_time"))
+    lateness = _spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts")
+    return drain_in_order(rows, lambda r: sessions_over(r, session_op, lateness), "sessions")
 
 
 def windowed_decision_counts_stream(spark: SparkSession, sf_dir: str, width: str = "30 days") -> DataFrame:

@@ -182,29 +182,6 @@ def test_limiter_with_many_entry_states_merges_runs(spark):
     assert wide == want
 
 
-def test_streams_order_a_key_across_arrow_batches(spark, tmpdir_path):
-    """Newest first, tiny Arrow batches: the micro-batch is ordered as a whole;
-    a later file continues from the state, rows behind it are late."""
-    import os
-
-    from gavel.streaming import jobs as J
-    rnd = random.Random(4)
-    events = [(i, rnd.randint(0, 2), i // 3) for i in range(600)]
-    src = os.path.join(tmpdir_path, "in")
-    schema = "event_id long, user_id long, ts_unit long"
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
-    try:
-        for k, part in enumerate((events[:400], events[400:])):
-            spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(src)
-            os.utime(src)
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-        got = {r.event_id: r.allowed for r in J.drain(J.limiter_over(stream), "limiter-test").collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    assert got == brute_limiter(events)
-
-
 def test_session_chains_by_pointer_doubling(spark):
     """Long rotation chains, broken links and uses before the issue against a
     plain replay."""
