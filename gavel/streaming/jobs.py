@@ -56,8 +56,10 @@ def drain_latest(df: DataFrame, label: str) -> DataFrame:
     q = (df.writeStream.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/v{epoch}"))
          .outputMode("complete").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start())
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    return spark.read.schema(df.schema).parquet(f"{path}/v{last}")
+    done = [p["batchId"] for p in q.recentProgress]
+    if not done:  # no input at all: what the aggregate gives on an empty table
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{path}/v{max(done)}")
 
 
 def start_to_parquet(df: DataFrame, label: str, path: str, processing_time: str | None = "1 minute"):
@@ -131,14 +133,15 @@ def _spread(rows: DataFrame, column: str) -> str:
     return f"{int(r['s'] or 0) + 1} seconds"
 
 
-def drain_in_order(rows: DataFrame, job: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+def drain_in_order(rows: DataFrame, job: Callable[[DataFrame], DataFrame], label: str, progress: list | None = None) -> DataFrame:
     """Run ``job`` over ``rows`` with the column ``event_time`` until the input
     is consumed, then close the stream: a marker row (every other column null)
     moves the watermark past all rows, so what still waits in the state leaves.
 
     The marker comes as a file of its own once the input is consumed, to the
     same query with the same checkpoint; a job skips rows with ``closing``.
-    Spark's watermark starts at 1970: rows of that instant or before are late."""
+    Spark's watermark starts at 1970: rows of that instant or before are late.
+    ``progress`` takes the reports of the micro-batches."""
     spark = rows.sparkSession
     path = _location(spark, label)
     marker = spark.createDataFrame([(True,)], "closing boolean").select(
@@ -153,8 +156,11 @@ def drain_in_order(rows: DataFrame, job: Callable[[DataFrame], DataFrame], label
         for last in (False, True):
             if last:
                 marker.coalesce(1).write.mode("append").parquet(f"{path}/closing")
-            (out.writeStream.format("parquet").option("path", f"{path}/table").outputMode("append")
-             .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination())
+            q = (out.writeStream.format("parquet").option("path", f"{path}/table").outputMode("append")
+                 .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start())
+            q.awaitTermination()
+            if progress is not None:
+                progress += q.recentProgress
     finally:
         spark.conf.set(provider, before)
     return spark.read.schema(out.schema).parquet(f"{path}/table")
@@ -267,18 +273,27 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain_in_order(rows, lambda r: sessions_over(r, session_op, lateness), "sessions")
 
 
+def windowed_counts(rows: DataFrame, by: str, width: str, lateness: str, slide: str | None = None) -> DataFrame:
+    """Counts of ``by`` per tumbling (or sliding) window of ``event_time``, in
+    append mode: a window is written once, when the watermark has passed its
+    end, and leaves the state. Rows later than ``lateness`` are dropped and
+    counted by the watermark. The closing marker opens a window that never ends."""
+    counts = rows.withWatermark("event_time", lateness).groupBy(
+        F.window("event_time", width, slide).alias("w"), by).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    start = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_seconds(w.start))")
+    return counts.select(start.cast("string").alias("window_start"), by, "n")
+
+
 def windowed_decision_counts_stream(spark: SparkSession, sf_dir: str, width: str = "30 days") -> DataFrame:
-    """STR-2 over event time: decision counts per tumbling window of the
-    ship date, with a watermark bounding the state kept for late rows."""
+    """STR-2 over event time: decision counts per tumbling window of the ship
+    date. The table's files are in no order of time, so the lateness is its
+    spread; a live stream gives the disorder it expects."""
     from gavel.sources.bridges import SPARK, sql_for
     li = stream_table(spark, sf_dir, "lineitem")
     ev = spark.sql(sql_for("b_eval", SPARK, {"lineitem": "{lineitem}"}).replace(
-        "SELECT 'li__'", "SELECT l_shipdate AS event_time, 'li__'", 1), lineitem=li)
-    # windows over the wall-clock (NTZ) time are independent of the session
-    # time zone; the watermark column is the same instant in UTC
-    counts = (ev.withColumn("wm", F.to_utc_timestamp(F.col("event_time").cast("timestamp"), F.current_timezone()))
-              .withWatermark("wm", "60 days")
-              .groupBy(F.window("event_time", width).alias("w"), "final_decision")
-              .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
-    out = drain_latest(counts, "decision_windows")
-    return out.select(F.col("w.start").cast("string").alias("window_start"), "final_decision", "n")
+        "SELECT 'li__'", "SELECT l_shipdate AS shipped, 'li__'", 1), lineitem=li)
+    # the instant whose UTC wall clock is the ship date: windows do not depend on the session time zone
+    rows = ev.select("final_decision", F.to_utc_timestamp(
+        F.col("shipped").cast("timestamp"), F.current_timezone()).alias("event_time"))
+    lateness = _spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_shipdate")
+    return drain_in_order(rows, lambda r: windowed_counts(r, "final_decision", width, lateness), "decision_windows")

@@ -91,3 +91,22 @@ def test_session_op_equals_the_bridge(spark):
         want.append((e.chain, k, *session_op(k, e.asDict())))
     assert sorted((r.chain_id, r.seq, r.op, r.session_id, r.user_id, r.new_session_id) for r in log) == sorted(want) or \
         sorted(map(repr, ((r.chain_id, r.seq, r.op, r.session_id, r.user_id, r.new_session_id) for r in log))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("slide", [None, "5 seconds"])
+def test_windows_leave_the_state_and_equal_the_batch(spark, tmpdir_path, slide):
+    rnd = random.Random(3)
+    rows = sorted(((1000 + i // 4, rnd.choice("ab")) for i in range(800)), key=lambda r: r[0] + rnd.randint(0, 8))
+    schema = "t long, kind string"
+    parts = [rows[:200], rows[200:500], rows[500:] + [(900, "a")]]  # the last row is too late
+    stream = _stream(spark, f"{tmpdir_path}/in", parts, schema).withColumn("event_time", F.timestamp_seconds("t"))
+    progress = []
+    got = J.drain_in_order(stream, lambda r: J.windowed_counts(r, "kind", "10 seconds", "20 seconds", slide), "windows-test", progress)
+    want = spark.createDataFrame(rows, schema).groupBy(
+        F.window(F.timestamp_seconds("t"), "10 seconds", slide).alias("w"), "kind").count().select(
+        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss"), "kind", "count")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    state = [p["stateOperators"][0] for p in progress if p["stateOperators"]]
+    assert sum(o["numRowsDroppedByWatermark"] for o in state) == (1 if slide is None else 2)
+    total = [o["numRowsTotal"] for o in state]
+    assert max(total) < len(want.collect()) and total[-1] <= 2  # only the closing marker's windows are left
