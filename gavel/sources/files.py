@@ -11,10 +11,11 @@ input order; Spark itself never relies on row order. Whole-file formats
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gavel.functions.text import looks_like_diff, py_rstrip, py_strip
+from gavel.session import written
 
 RESULT_SCHEMA = "instance_id string, resolved boolean, resolved_status string, cri string"
 REPORT_SCHEMA = ("instance_id string, task string, repo string, base_commit string, scan_scope string, "
@@ -73,7 +74,11 @@ def predictions_of(units: DataFrame) -> DataFrame:
              .when(keyed | ~is_object, F.array(item(F.col("whole"), F.lit(0))))
              .otherwise(F.transform(members, lambda m, i: item(m["value"], (i + 1).cast("int"), m["key"]))))
     rows = units.withColumn("whole", whole).select("file", "line", falsy.alias("falsy"), F.explode_outer(items).alias("x"))
-    rows = rows.where("falsy or x is not null").select("file", "line", "falsy", "x.*")
+    return _records(rows.where("falsy or x is not null").select("file", "line", "falsy", "x.*"))
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """Prediction rows of items (file, line, falsy, v, key, pos)."""
     record = F.schema_of_variant("v").startswith("OBJECT")
     # in a map the key is the id unless the payload has an instance_id of its own
     named = F.schema_of_variant(_field(F.col("v"), "instance_id")).isNotNull()
@@ -116,7 +121,8 @@ def parse_prediction_texts(files: DataFrame) -> DataFrame:
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """SRC-1: polymorphic predictions file(s), read whole: one task per file,
     a file below Spark's 2 GB row limit. Large JSONL files go to
-    ``read_predictions_jsonl``."""
+    ``read_predictions_jsonl``, large arrays and maps to
+    ``read_predictions_json``."""
     return parse_prediction_texts(spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
@@ -399,7 +405,6 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id().alias("mid"), "value"))
     blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("mid0"))
-    from pyspark.sql import Window
     w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)) + 1)
     return (rows.join(blocks.select("file", "block", "mid0", "first"), ["file", "block"])
@@ -410,3 +415,101 @@ def read_predictions_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """SRC-1 for large JSONL files: lines are split across tasks, with exact
     line numbers, and go through the same normaliser."""
     return predictions_of(_checked_lines(numbered_lines(spark, path).select("file", "line", F.col("value").alias("json"))))
+
+
+# ------------------------------------------------------------------ SRC-1, one large array or map
+def json_elements(spark: SparkSession, path: str) -> DataFrame:
+    """Members of JSON files that hold one array or one map each, however
+    large: (file, opens, element, text); ``opens`` is ``[`` or ``{``, ``element``
+    counts from 1, ``text`` is a value or, in a map, ``"key": value``.
+
+    The text reader cuts byte ranges at commas, so a file spreads over tasks.
+    A piece between two commas is a function of the state at its start: whether
+    it begins inside a string, and at which depth. (An escape never crosses a
+    comma in valid JSON.) It flips the first by its bare quotes and moves the
+    depth by the brackets outside strings, counted for both cases. The functions
+    compose by running sums inside a byte range and over the few ranges of a
+    file; a piece that begins outside a string at depth 1 opens an element. Only
+    an element's own pieces are ever gathered."""
+    raw = spark.read.option("lineSep", ",").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"')
+
+    def depth(odd):  # net brackets of every other part
+        text = F.array_join(F.filter("parts", lambda x, i: i % 2 == odd), "")
+        return F.length(F.regexp_replace(text, r"[^\[{]", "")) - F.length(F.regexp_replace(text, r"[^\]}]", ""))
+
+    here = Window.partitionBy("file", "block").orderBy("at")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    pieces = raw.withColumn("parts", parts).select(
+        "file", "block", "at", "value", (F.size("parts") - 1).alias("quotes"), depth(0).alias("out"), depth(1).alias("inside"))
+    odd = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2
+    pieces = pieces.withColumn("odd", odd).select(
+        "file", "block", "at", "value", "quotes", "odd",
+        F.when(F.col("odd") == 0, F.col("out")).otherwise(F.col("inside")).alias("move0"),
+        F.when(F.col("odd") == 0, F.col("inside")).otherwise(F.col("out")).alias("move1"))
+    pieces = written(pieces.select("*", *[F.coalesce(F.sum(f"move{k}").over(before), F.lit(0)).alias(f"depth{k}") for k in (0, 1)]),
+                     "json-pieces")
+
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a byte range
+    ranges = pieces.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.sum("move0").alias("m0"), F.sum("move1").alias("m1"))
+    ranges = ranges.withColumn("start", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    ranges = ranges.select("file", "block", "start", F.coalesce(F.sum(
+        F.when(F.col("start") == 0, F.col("m0")).otherwise(F.col("m1"))).over(earlier), F.lit(0)).alias("base"))
+    state = (F.col("start") + F.col("odd")) % 2
+    at_depth = F.col("base") + F.when(F.col("start") == 0, F.col("depth0")).otherwise(F.col("depth1"))
+    opened = pieces.join(ranges, ["file", "block"]).select(
+        "file", "block", "at", "value", ((state == 0) & (at_depth == 1)).cast("long").alias("opens"))
+    counts = opened.groupBy("file", "block").agg(F.sum("opens").alias("n"), F.min_by("value", "at").alias("first"))
+    whole = Window.partitionBy("file")
+    counts = counts.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"),
+                           (F.sum("n").over(whole) + 1).alias("last"), F.min_by("first", "block").over(whole).alias("first"))
+    numbered = opened.join(counts, ["file", "block"]).select(
+        "file", "block", "at", "value", "last", F.substring(_lstripped(F.col("first")), 1, 1).alias("opens"),
+        (F.col("earlier") + F.sum("opens").over(here) + 1).alias("element"))
+    texts = numbered.groupBy("file", "element", "last", "opens").agg(
+        F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("p"))
+    joined = F.array_join(F.transform("p", lambda x: x["value"]), ",")
+    rows = texts.select("file", "element", "last", "opens", joined.alias("t"))
+    rows = rows.withColumn("t", F.when(F.col("element") == 1, _lstripped(F.col("t")).substr(F.lit(2), F.length("t"))).otherwise(F.col("t")))
+    rows = rows.withColumn("t", F.when(F.col("element") == F.col("last"), py_rstrip(F.col("t"))).otherwise(F.col("t")))
+    closing = F.when(F.col("opens") == "[", "]").when(F.col("opens") == "{", "}")
+    bad = F.col("element").eqNullSafe(F.col("last")) & ~F.coalesce(F.substring("t", -1, 1) == closing, F.lit(False))
+    rows = rows.withColumn("t", F.when(bad, F.raise_error(F.concat(F.lit("neither a JSON array nor a map: "), F.col("file"))).cast("string"))
+                           .when(F.col("element") == F.col("last"), F.expr("substr(t, 1, length(t) - 1)")).otherwise(F.col("t")))
+    empty = (F.col("last") == 1) & (py_strip(F.col("t")) == "")
+    return rows.where(~empty).select("file", "opens", "element", F.col("t").alias("text"))
+
+
+def _lstripped(c: Column) -> Column:
+    return F.regexp_replace(c, "^\ufeff?[ \t\r\n]*", "")
+
+
+def read_predictions_json(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-1 for large files that hold one array or one map: members are found
+    and parsed in parallel (``json_elements``) and go through the normaliser of
+    ``read_predictions``. A map that is one prediction (it has an id key) is put
+    together again. A malformed member fails the job; of equal keys of a map
+    the last one counts, as in the whole-file reader."""
+    members = written(json_elements(spark, path), "json-members")
+    brackets = F.when(F.col("opens") == "[", F.concat(F.lit("["), F.col("text"), F.lit("]"))).otherwise(
+        F.concat(F.lit("{"), F.col("text"), F.lit("}")))
+    fault = F.raise_error(F.concat(F.lit("malformed JSON in member "), F.col("element").cast("string"), F.lit(" of "), F.col("file")))
+    checked = members.withColumn("json", F.when(_valid_json(brackets), brackets).otherwise(fault.cast("string")))
+    values = F.from_json(F.when(F.col("opens") == "[", F.col("json")), "array<variant>")
+    entries = F.map_entries(F.from_json(F.when(F.col("opens") == "{", F.col("json")), "map<string,variant>"))
+    odd = F.when(F.coalesce(F.size(values), F.lit(1)) != 1, fault.cast("string"))
+    items = checked.select("file", "opens", "element", "text", F.coalesce(odd, F.lit("")).alias("one"), entries[0]["key"].alias("key"),
+                           F.coalesce(F.try_element_at(values, F.lit(1)), entries[0]["value"]).alias("v"))
+    single = items.where("opens = '{'").groupBy("file").agg(F.max(F.col("key").isin(*ID_KEYS)).alias("single")).where("single")
+    plain = items.where("opens = '['").unionByName(items.where("opens = '{'").join(single, "file", "left_anti"))
+    later = plain.where("opens = '{'").groupBy("file", "key").agg(F.max("element").alias("element"), F.min("element").alias("first"))
+    plain = plain.where("opens = '['").withColumn("first", F.col("element")).unionByName(
+        plain.where("opens = '{'").join(later, ["file", "key", "element"]).select(*plain.columns, "first"))
+    records = _records(plain.where("one = ''").select("file", F.lit(None).cast("bigint").alias("line"), F.lit(False).alias("falsy"), "v", "key",
+                                    F.col("first").cast("int").alias("pos")))
+    whole = members.join(single, "file", "left_semi").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("element", "text"))).alias("p"))
+    units = whole.select("file", F.lit(None).cast("bigint").alias("line"), F.concat(
+        F.lit("{"), F.array_join(F.transform("p", lambda x: x["text"]), ","), F.lit("}")).alias("json"))
+    return records.unionByName(predictions_of(units))
