@@ -153,6 +153,58 @@ def calibration(evals: DataFrame, bins: int = 10) -> DataFrame:
                        (F.sum(F.abs(F.col("sc") - F.col("sy"))) / F.sum("n")).alias("ece"))
 
 
+def conformal_thresholds(evals: DataFrame, alphas: list[str], bins: int = 1024) -> DataFrame:
+    """AGG-14: conformal risk control. For each target ``alpha`` (decimal text)
+    the smallest ``tau`` so that accepting ``cri > tau`` keeps the expected share
+    of accepted but unresolved rows at or below alpha: with n rows of known
+    outcome, (accepted unresolved + 1) / (n + 1) <= alpha. So tau is the
+    floor(alpha * (n + 1))-th largest cri of the unresolved rows; infinity where
+    that rank is 0 (nothing can be promised), minus infinity where there are fewer
+    (everything can be accepted).
+
+    The order statistic is exact and sorts nothing: each pass counts the rows of
+    the interval that holds a rank in ``bins`` equal bins, then goes on between
+    the smallest and largest value of the bin that holds it. All alphas share a
+    pass, and a pass returns at most ``bins`` rows an alpha."""
+    from decimal import Decimal
+    from math import inf
+
+    e = evals.where(F.col("resolved").isNotNull()).select(
+        F.coalesce(F.col("cri").cast("double"), F.lit(0.0)).alias("cri"), F.col("resolved"))
+    wrong = e.where("not resolved").select("cri")
+    failed = F.when(~F.col("resolved"), F.col("cri"))
+    total = e.agg(F.count(F.lit(1)).alias("n"), F.count(failed).alias("wrong"), F.min(failed).alias("lo"), F.max(failed).alias("hi")).first()
+    taus, live = {}, {}
+    for alpha in alphas:
+        rank = int(Decimal(alpha) * (total["n"] + 1))
+        if rank < 1 or rank > total["wrong"]:
+            taus[alpha] = inf if rank < 1 else -inf
+        else:
+            live[alpha] = (total["lo"], total["hi"], rank)
+    while live:
+        names = list(live)
+        places = [F.when(F.col("cri").between(lo, hi), F.struct(F.lit(i).alias("i"), F.least(F.lit(bins - 1), F.floor(
+            (F.col("cri") - lo) / (hi - lo) * bins) if hi > lo else F.lit(0)).cast("int").alias("bin")))
+            for i, (lo, hi, _) in enumerate(live.values())]
+        seen = wrong.select("cri", F.explode(F.array_compact(F.array(*places))).alias("p")).groupBy("p").agg(
+            F.count(F.lit(1)).alias("n"), F.min("cri").alias("lo"), F.max("cri").alias("hi")).select("p.*", "n", "lo", "hi")
+        counts = sorted(seen.collect(), key=lambda r: (r["i"], -r["bin"]))
+        for i, alpha in enumerate(names):
+            rank = live[alpha][2]
+            for r in (r for r in counts if r["i"] == i):
+                if rank <= r["n"]:
+                    break
+                rank -= r["n"]
+            live[alpha] = (r["lo"], r["hi"], rank)
+            if r["lo"] == r["hi"]:
+                taus[alpha] = live.pop(alpha)[0]
+    found = [F.struct(F.lit(a).alias("alpha"), F.lit(float(taus[a])).alias("tau"),
+                      F.count_if(F.col("cri") > F.lit(float(taus[a]))).alias("accepted"),
+                      F.count_if((F.col("cri") > F.lit(float(taus[a]))) & ~F.col("resolved")).alias("wrong_accepted")) for a in alphas]
+    return e.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("resolved")).alias("n_wrong"), F.array(*found).alias("f")).select(
+        F.explode("f").alias("f"), "n", "n_wrong").select(F.col("f.alpha").alias("alpha"), "n", "n_wrong", "f.tau", "f.accepted", "f.wrong_accepted")
+
+
 # ------------------------------------------------------------ task loop rows
 def model_summary(loop: DataFrame) -> DataFrame:
     """AGG-5: per model: unique tasks, baseline full passes, wrapped

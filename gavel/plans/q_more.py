@@ -437,6 +437,25 @@ def agg14b(spark, sf):
     return calibration(bridge(spark, sf, "b_eval")).withColumn("ece", F.round("ece", 6))
 
 
+ALPHAS = ["0.01", "0.05", "0.1", "0.25"]
+
+
+@register("agg14_conformal", oracle_cte("b_eval") + """,
+e AS (SELECT coalesce(CAST(cri AS DOUBLE), 0.0) AS cri, resolved FROM b_eval WHERE resolved IS NOT NULL),
+w AS (SELECT cri, row_number() OVER (ORDER BY cri DESC) AS r FROM e WHERE NOT resolved),
+t AS (SELECT count(*) AS n, count(*) FILTER (NOT resolved) AS n_wrong FROM e),
+a(alpha, d) AS (VALUES """ + ", ".join(f"('{a}', CAST({a} AS DECIMAL(9,4)))" for a in ALPHAS) + """),
+k AS (SELECT alpha, n, n_wrong, CAST(floor(d * (n + 1)) AS BIGINT) AS rank FROM a, t),
+x AS (SELECT alpha, n, n_wrong, CASE WHEN rank < 1 THEN 'Infinity'::DOUBLE WHEN rank > n_wrong THEN '-Infinity'::DOUBLE ELSE w.cri END AS tau
+      FROM k LEFT JOIN w ON w.r = k.rank)
+SELECT alpha, n, n_wrong, tau, CAST(count(*) FILTER (e.cri > tau) AS BIGINT) AS accepted,
+       CAST(count(*) FILTER (e.cri > tau AND NOT e.resolved) AS BIGINT) AS wrong_accepted
+FROM x, e GROUP BY alpha, n, n_wrong, tau""")
+def agg14c(spark, sf):
+    from gavel.operators.aggregates import conformal_thresholds
+    return conformal_thresholds(bridge(spark, sf, "b_eval"), ALPHAS)
+
+
 # ------------------------------------------------------------------ SRC-15 + SEC-9 gate
 _CAT_SQL = ", ".join("(%d, '%s', [%s])" % (i, n, ", ".join(f"'{r}'" for r in rules))
                      for i, (n, _lang, rules) in enumerate(K.TASK_CATALOGUE))

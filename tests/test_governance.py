@@ -90,3 +90,26 @@ def test_survey_ledger_cases(spark):
     assert r["y"].cri == 1.0 and r["y"].final_decision == "OK" and r["y"].total_tests == 1
     # a VETO base status still ends as ABSTAIN
     assert r["z"].final_decision == "ABSTAIN" and r["z"].tests_failed == 1
+
+
+def test_conformal_thresholds_are_exact_order_statistics(spark):
+    import math
+    import random
+    from decimal import Decimal
+
+    from gavel.operators.aggregates import conformal_thresholds
+    rng = random.Random(3)
+    for values in ([rng.choice([0.0, 0.2, 0.2000000001, 1e-300, 0.9, 1.0]) for _ in range(400)],
+                   [2.0 ** -rng.randint(0, 200) for _ in range(300)], [0.5] * 40, [0.3]):
+        rows = [(v, rng.choice([True, False, False, None])) for v in values] + [(None, False), (0.7, False)]
+        alphas = ["0.001", "0.05", "0.3", "0.999"]
+        got = {r.alpha: r for r in conformal_thresholds(spark.createDataFrame(rows, "cri double, resolved boolean"), alphas, bins=4).collect()}
+        known = [(v or 0.0, ok) for v, ok in rows if ok is not None]
+        wrong = sorted((v for v, ok in known if not ok), reverse=True)
+        for a in alphas:
+            rank = int(Decimal(a) * (len(known) + 1))
+            tau = math.inf if rank < 1 else -math.inf if rank > len(wrong) else wrong[rank - 1]
+            r = got[a]
+            assert (r.n, r.n_wrong, r.tau) == (len(known), len(wrong), tau)
+            assert r.accepted == sum(v > tau for v, _ in known) and r.wrong_accepted == sum(v > tau for v in wrong)
+            assert rank < 1 or (r.wrong_accepted + 1) / (r.n + 1) <= float(a) + 1e-12 or tau == -math.inf
