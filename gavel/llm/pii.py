@@ -49,7 +49,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DIGITS = re.compile(r"[(+]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
-AROUND_AT = re.compile(r"[^\s@]{1,64}@[^\s@]{1,255}")
+AFTER_AT = re.compile(r"[^\s@]+")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -72,6 +72,21 @@ def _emails(text: str):
         at = text.find("@", floor)
 
 
+def _around_at(text: str):
+    """Runs without white space on both sides of an @, whole however long; each
+    character is looked at once a side."""
+    floor, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > floor and not text[start - 1].isspace():
+            start -= 1
+        after = AFTER_AT.match(text, at + 1) if start < at else None
+        if after:
+            yield start, after.end()
+        floor = after.end() if after else at + 1
+        at = text.find("@", floor)
+
+
 def _addresses(text: str):
     if "." not in text:
         return
@@ -108,7 +123,7 @@ def _nodes(text: str, base: list) -> list[tuple[int, int, int]]:
     reach = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
     more = [(m.start(), m.end()) for m in DIGITS.finditer(text)]
     if "@" in text:
-        more += [(m.start(), m.end()) for m in AROUND_AT.finditer(text)]
+        more += _around_at(text)
     nodes = [(k + 1, a, b) for k, a, b in base]
     for a, b in more:
         k = int(np.searchsorted(starts, b))

@@ -197,3 +197,27 @@ def test_pipeline_stages(spark):
     assert seen["minhash_near_dedup"].count() <= 31
     packed = {r["doc_id"] for r in seen["best_fit_packing"].collect()}
     assert packed == {r["doc_id"] for r in seen["minhash_near_dedup"].collect()}
+
+
+def test_pipeline_keeps_different_texts_under_one_id_and_clashing_columns(spark):
+    """Two texts share an id, one is a copy of another row's; columns named like
+    the stages' own."""
+    words = [" ".join(f"the {w}{k} is and of {w}" for k in range(30)) for w in ("river", "stone", "cloud")]
+    rows = [(5, words[0]), (5, words[1]), (5, words[1]), (3, words[2]), (9, words[2]), (None, words[2])]
+    docs = spark.createDataFrame([(i, t, "en", "d", 1, "r", "x") for i, t in rows],
+                                 "doc_id long, text string, lang string, document string, row int, _row string, id string")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(5, words[0]), (5, words[1]), (3, words[2]), (None, words[2])], key=repr)
+    assert corpus_pipeline.language_id(spark, docs, SF).columns == docs.columns
+
+
+def test_pii_runs_around_an_at_are_whole():
+    from gavel.llm import pii
+    long = "a" * 300 + "@m\u00fcnchen." + "b" * 400
+    text = f"mail {long} x@ @y a@b@c @@ q@r"
+    assert [text[a:b] for a, b in pii._around_at(text)] == [long, "a@b", "q@r"]
+    assert (-1, 5, 5 + len(long)) in pii._nodes(text, pii.base_spans(text)) or any(
+        a <= 5 + len(long) and k > 0 for k, a, b in pii.base_spans(text))
+    assert list(pii._around_at("@")) == [] and list(pii._around_at("x" * 100000)) == []
