@@ -7,7 +7,7 @@ read again as the next stage's input.
 4. best-fit packing: pieces of what is left, placed in sequences
 
 The first three return the columns of their input; the last returns one row per
-packed piece. Rows that repeat a doc_id count as one document from stage 2 on.
+packed piece. Rows that repeat a doc_id are separate documents.
 """
 
 from __future__ import annotations
@@ -20,17 +20,23 @@ from gavel.llm import catalog, common, langid, minhash, packing, pii
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; ``und`` is rejected."""
-    named = docs.select(*docs.columns, F.struct(*docs.columns).alias("_row"))
-    found = langid.predict(named.select("_row", "text"), langid.train(docs), ["_row"])
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
+    named = docs.select(F.struct(*docs.columns).alias("document"), "text")
+    found = langid.predict(named, langid.train(docs), ["document"])
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select("document.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: its smallest id. Rows without
-    an id cannot be named and stay."""
-    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each near-duplicate class: its smallest id, of rows with
+    that id the first read. Rows are told apart by a number of their own, so
+    different texts under one id all stay. Rows without an id cannot be named
+    and stay."""
+    named = docs.filter("doc_id is not null").select(F.struct(*docs.columns).alias("document"), F.monotonically_increasing_id().alias("row"))
+    rows = common.materialize(named, "dedup-rows")
+    found = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("document.text").alias("text")))
+    ids = rows.select("row", F.col("document.doc_id").alias("id"))
+    stays = found.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row").groupBy("component_id").agg(
+        F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(stays, "row").select("document.*").unionByName(docs.filter("doc_id is null"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
