@@ -4,10 +4,13 @@ tables; each oracle knows what its forms hold."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gavel import constants as K
 from gavel.plans.sqltext import q
+from gavel.session import ensure_checkpoint_dir
 from gavel.sources import files as S
 from gavel.sources.bridges import bridge, oracle_cte
 
@@ -99,6 +102,62 @@ def src11(spark, sf):
     return rows.select("line", "instance_id", F.col("_corrupt_record").isNotNull().alias("malformed"))
 
 
+@register("src09_newest_logs", oracle_cte("b_listing") + """,
+x AS (SELECT *, regexp_extract(path, '/([^/]+)/run_instance[.]log$', 1) AS key FROM b_listing)
+SELECT key, path, sha256(text) AS text_sha256 FROM x
+WHERE key <> '' AND path = (SELECT max_by(y.path, (y.mtime, y.path)) FROM x y WHERE y.key = x.key)""")
+def src09(spark, sf):
+    return S.newest_texts(bridge(spark, sf, "b_listing"), S.EVAL_LOG_KEY).select(
+        "key", "path", F.sha2("text", 256).alias("text_sha256"))
+
+
+@register("src10_newest_reports", oracle_cte("b_listing") + """
+SELECT regexp_extract(path, '[.]([^./]+)[.]json$', 1) AS key, max_by(path, (mtime, path)) AS path
+FROM b_listing WHERE path LIKE '/runs/out/%' GROUP BY 1""")
+def src10(spark, sf):
+    return S.newest_per_key(bridge(spark, sf, "b_listing").where("path LIKE '/runs/out/%'"), r"\.([^./]+)\.json$")
+
+
+@register("src14_artifacts", oracle_cte("b_listing") + """,
+t(kind, prio, pre, post) AS (VALUES ('traj', 0, 'trajs/', '.traj.json'), ('traj', 1, 'trajectories/', '.traj.json'),
+                                    ('log', 0, 'logs/', '.log'), ('log', 1, 'logs/', '.txt')),
+m AS (SELECT kind, prio, substr(path, 7) AS rel, pre, post FROM b_listing JOIN t
+      ON starts_with(path, '/runs/' || pre) AND ends_with(path, post))
+SELECT substr(rel, length(pre) + 1, length(rel) - length(pre) - length(post)) AS instance_id, kind, min_by(rel, (prio, rel)) AS path
+FROM m GROUP BY 1, 2""")
+def src14(spark, sf):
+    return S.discover_artifacts(bridge(spark, sf, "b_listing").select("path"), "/runs", {
+        "traj": ["trajs/{id}.traj.json", "trajectories/{id}.traj.json"], "log": ["logs/{id}.log", "logs/{id}.txt"]})
+
+
+@register("src16_prediction_files", oracle_cte("b_listing") + """,
+p AS (SELECT path, regexp_extract(path, '^(.*)/[^/]+$', 1) AS dir FROM b_listing WHERE path LIKE '%/preds%.json')
+SELECT dir, coalesce(max(CASE WHEN path LIKE '%/preds_filled.json' THEN path END), max(path)) AS path FROM p GROUP BY dir""")
+def src16(spark, sf):
+    return S.choose_prediction_file(bridge(spark, sf, "b_listing").select("path"))
+
+
+_WRITTEN = "SELECT '{}' AS layout, {} AS line, {} AS pos, instance_id, sha256(model_patch) AS patch_sha256 FROM p"
+
+
+@register("snk08_prediction_documents", oracle_cte("b_preds") + """,
+p AS (SELECT instance_id, model_patch, row_number() OVER (ORDER BY seq, instance_id, model_patch) AS n FROM b_preds)
+""" + "\nUNION ALL ".join([_WRITTEN.format("array", 0, "n"), _WRITTEN.format("mapping", 0, "n"), _WRITTEN.format("lines", "n", 0)]))
+def snk08(spark, sf):
+    """Predictions written as one array, one mapping and lines, and read back."""
+    from gavel.sinks.documents import write_document
+
+    preds = bridge(spark, sf, "b_preds").select("instance_id", "model_patch", F.col("seq").alias("_seq"))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/documents/{uuid.uuid4().hex}"
+    out = None
+    for layout, read in (("array", S.read_predictions_json), ("mapping", S.read_predictions_json), ("lines", S.read_predictions_jsonl)):
+        write_document(preds, f"{folder}/{layout}.json", ["_seq"], layout, "instance_id" if layout == "mapping" else None)
+        rows = read(spark, f"{folder}/{layout}.json").select(
+            F.lit(layout).alias("layout"), "seq.line", "seq.pos", "instance_id", F.sha2("model_patch", 256).alias("patch_sha256"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 _RESULT = ("(doc_id + pos) % 2 = 0 AS resolved, 'S' || (doc_id % 3) AS resolved_status, "
            "CASE WHEN pos = 0 THEN '0.' || (doc_id % 9) END AS cri")
 _REPORT = "CASE WHEN doc_id % 4 <> 1 THEN 'scope' END AS scan_scope, doc_id % 2 = 0 AS scan_failed"

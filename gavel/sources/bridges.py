@@ -400,6 +400,16 @@ SELECT doc_id, 'r' || d || '.json' AS file, CASE doc_id % 4
   WHEN 1 THEN '[{{"task":"t' || d || '","resolved":true,"log":' || j || '}}, 5]'
   WHEN 2 THEN '{{"instance_id":"solo' || d || '","resolved":false}}' ELSE '{{"instances":[{{"id":"i' || d || '"}}],"results":{{"i' || d || '":{{"resolved":true}}}}}}' END AS text
 FROM (SELECT doc_id, CAST(doc_id AS STRING) AS d, {js1}text{js2} AS j FROM {documents}) x
+"""),
+    "b_listing": (("documents",), """
+SELECT doc_id, text, doc_id * 7919 % 1009 AS mtime, '/runs/' || CASE doc_id % 8
+  WHEN 0 THEN 'trajs/i' || k || '.traj.json' WHEN 1 THEN 'trajectories/' || odd || 'i' || k || '.traj.json'
+  WHEN 2 THEN 'logs/' || odd || 'i' || k || '.log' WHEN 3 THEN 'logs/i' || k || '.txt'
+  WHEN 4 THEN 'eval/r' || d || '/doc__' || five || '/run_instance.log' WHEN 5 THEN 'out/m' || d || '.run' || five || '.json'
+  WHEN 6 THEN 'p' || k || '/preds.json' ELSE odd || 'p' || k || '/preds_filled.json' END AS path
+FROM (SELECT doc_id, text, CAST(doc_id AS STRING) AS d, CAST(CAST(floor(doc_id / 8) AS BIGINT) AS STRING) AS k,
+             CAST(CAST(floor(doc_id / 40) AS BIGINT) AS STRING) AS five, CASE WHEN floor(doc_id / 8) % 2 = 1 THEN 'x' ELSE '' END AS odd
+      FROM {documents}) x
 """),
     "b_trajfiles": (("conversations",), """
 SELECT conv_id, 'c' || CAST(conv_id AS STRING) || '.traj.json' AS file, s, CASE conv_id % 7 WHEN 5 THEN '{{unreadable' WHEN 6 THEN '{{"info":{{}}}}'

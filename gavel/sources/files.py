@@ -10,6 +10,8 @@ input order; Spark itself never relies on row order. Whole-file formats
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -274,20 +276,22 @@ def newest_per_key(listing: DataFrame, key_regex: str) -> DataFrame:
 def discover_artifacts(listing: DataFrame, root: str, candidates: dict) -> DataFrame:
     """SRC-14/16: per (instance, kind) the first existing candidate path in
     priority order. ``candidates`` maps kind -> list of relative path
-    templates with '{id}'."""
-    rel = F.regexp_replace("path", "^(file:)?" + root.rstrip("/") + "/", "")
-    parts = []
-    for kind, templates in candidates.items():
-        for prio, tpl in enumerate(templates):
-            pre, post = tpl.split("{id}")
-            rx = "^" + pre.replace(".", r"\.") + "(.+)" + post.replace(".", r"\.") + "$"
-            parts.append(listing.select(F.lit(kind).alias("kind"), F.lit(prio).alias("prio"),
-                                        F.regexp_extract(rel, rx, 1).alias("instance_id"), rel.alias("rel"))
-                         .where(F.col("instance_id") != ""))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return allp.groupBy("instance_id", "kind").agg(F.min_by("rel", "prio").alias("path"))
+    templates with one '{id}'. A path is held against all templates in its row, so the
+    listing is scanned once however many there are."""
+    under = F.regexp_replace("path", "^file:(//)?", "")
+    prefix = root.removeprefix("file://").removeprefix("file:").rstrip("/") + "/"
+    rel = F.when(F.col("_under").startswith(prefix), F.expr(f"substring(_under, {len(prefix) + 1})")).otherwise(F.col("_under"))
+
+    def match(kind, prio, template):
+        pre, post = template.split("{id}")
+        fits = F.col("rel").startswith(pre) & F.col("rel").endswith(post) & (F.length("rel") > len(pre) + len(post))
+        return F.when(fits, F.struct(F.lit(kind).alias("kind"), F.lit(prio).alias("prio"), F.col("rel").substr(
+            F.lit(len(pre) + 1), F.length("rel") - (len(pre) + len(post))).alias("instance_id")))
+
+    hits = F.array(*[match(k, n, t) for k, templates in candidates.items() for n, t in enumerate(templates)])
+    found = listing.select(under.alias("_under")).select(rel.alias("rel")).select(
+        "rel", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+    return found.groupBy("h.instance_id", "h.kind").agg(F.min_by("rel", F.struct("h.prio", "rel")).alias("path"))
 
 
 # ------------------------------------------------------------------ SRC-12, 13
@@ -313,44 +317,46 @@ EVAL_PAYLOAD = ("instance_id string, task string, id string, task_id string, res
                 "patch_successfully_applied boolean")
 
 
+EVAL_SECTIONS = ("report", "results", "instances")
+
+
 def parse_evaluator_reports(files: DataFrame) -> DataFrame:
     """SRC-8 / SET-4 over (file, text): instance entries of reports. Sections
     'report', 'results', 'instances' (each a map id -> payload or a list of
     payloads) are read in that order and later entries override earlier
     ones; a top-level list is read as one section; a lone object with an
-    instance_id is the fallback. One row per (file, instance)."""
-    parts = []
-    for rank, key in enumerate(("report", "results", "instances")):
-        sec = F.get_json_object("text", f"$.{key}")
-        as_map = files.where(py_strip(sec).startswith("{")).select(
-            "file", F.posexplode(F.from_json(sec, "map<string,string>")).alias("pos", "k", "v"))
-        parts.append(as_map.where(F.col("v").startswith("{")).select(
-            "file", F.lit(rank).alias("rank"), "pos", F.col("k").alias("instance_id"),
-            F.from_json("v", EVAL_PAYLOAD).alias("p")))
-        as_list = files.where(py_strip(sec).startswith("[")).select(
-            "file", F.posexplode(F.from_json(sec, "array<string>")).alias("pos", "e"))
-        p = F.from_json("e", EVAL_PAYLOAD)
-        parts.append(as_list.where(F.col("e").startswith("{")).select(
-            "file", F.lit(rank).alias("rank"), "pos", _id_of(p, F.lit(None).cast("string")).alias("instance_id"),
-            p.alias("p")))
-    top = files.where(py_strip(F.col("text")).startswith("[")).select(
-        "file", F.posexplode(F.from_json("text", "array<string>")).alias("pos", "e"))
-    p = F.from_json("e", EVAL_PAYLOAD)
-    parts.append(top.where(F.col("e").startswith("{")).select(
-        "file", F.lit(3).alias("rank"), "pos", _id_of(p, F.lit(None).cast("string")).alias("instance_id"), p.alias("p")))
-    entries = parts[0]
-    for q in parts[1:]:
-        entries = entries.unionByName(q)
-    entries = entries.where(F.coalesce(F.col("instance_id"), F.lit("")) != "")
-    single = files.where(py_strip(F.col("text")).startswith("{")).select(
-        "file", F.lit(-1).alias("rank"), F.lit(0).alias("pos"),
-        F.get_json_object("text", "$.instance_id").alias("instance_id"), F.from_json("text", EVAL_PAYLOAD).alias("p"))
-    single = single.where(F.col("instance_id").isNotNull()).join(entries.select("file").distinct(), "file", "left_anti")
-    allrows = entries.unionByName(single)
-    return (allrows.groupBy("file", "instance_id")
-            .agg(F.max_by(F.struct(F.col("p.resolved").alias("resolved"),
-                                   F.col("p.patch_successfully_applied").alias("patch_successfully_applied")),
-                          F.struct("rank", "pos")).alias("x"))
+    instance_id is the fallback. One row per (file, instance).
+
+    A text is parsed once into its sections, the entries of all sections meet
+    in one array of the row and leave by one explode: one scan, one shuffle."""
+    trimmed = py_strip(F.col("text"))
+    as_object = F.when(trimmed.startswith("["), F.concat(F.lit('{"top":'), "text", F.lit("}"))).when(trimmed.startswith("{"), F.col("text"))
+    schema = ", ".join(f"{s} string" for s in (*EVAL_SECTIONS, "top")) + ", " + EVAL_PAYLOAD
+
+    def entry(rank, pos, ident, p):
+        return F.struct(F.lit(rank).alias("rank"), pos.alias("pos"), ident.alias("instance_id"), p["resolved"].alias("resolved"),
+                        p["patch_successfully_applied"].alias("patch_successfully_applied"))
+
+    def parsed(text, build):
+        return F.transform(F.array(F.from_json(F.when(text.startswith("{"), text), EVAL_PAYLOAD)), build)[0]
+
+    def section(text, rank):
+        of_map = F.transform(F.map_entries(F.from_json(F.when(text.startswith("{"), text), "map<string,string>")), lambda e, i: parsed(
+            e["value"], lambda p: F.when(e["value"].startswith("{"), entry(rank, i, e["key"], p))))
+        of_list = F.transform(F.from_json(F.when(text.startswith("["), text), "array<string>"), lambda e, i: parsed(
+            e, lambda p: F.when(e.startswith("{"), entry(rank, i, _id_of(p, F.lit(None).cast("string")), p))))
+        return F.coalesce(of_map, of_list, F.array())
+
+    def entries(r):
+        listed = F.concat(*[section(r[name], rank) for rank, name in enumerate((*EVAL_SECTIONS, "top"))])
+        named = F.filter(listed, lambda e: F.coalesce(e["instance_id"], F.lit("")) != "")
+        lone = F.array(entry(-1, F.lit(0), r["instance_id"], r))
+        return F.transform(F.array(named), lambda n: F.when(F.size(n) > 0, n).when(
+            F.coalesce(r["instance_id"], F.lit("")) != "", lone))[0]
+
+    found = files.select("file", F.explode(F.transform(F.array(F.from_json(as_object, schema)), entries)[0]).alias("e"))
+    return (found.groupBy("file", "e.instance_id")
+            .agg(F.max_by(F.struct("e.resolved", "e.patch_successfully_applied"), F.struct("e.rank", "e.pos")).alias("x"))
             .select("file", "instance_id", "x.*"))
 
 
@@ -369,21 +375,50 @@ def task_catalogue(spark: SparkSession) -> DataFrame:
 
 
 # ------------------------------------------------------------------ SRC-9, 10, 16
+EVAL_LOG_KEY = r"/([^/]+)/run_instance\.log$"
+
+
+def newest_texts(files: DataFrame, key_regex: str) -> DataFrame:
+    """SRC-9 over (path, mtime, text): the newest file's text per key. The choice
+    is made on paths alone; only chosen texts meet it."""
+    chosen = newest_per_key(files.select("path", "mtime"), key_regex)
+    return files.select("path", "text").join(chosen, "path").select("key", "path", "text")
+
+
+def read_chosen(spark: SparkSession, chosen: DataFrame) -> DataFrame:
+    """(path, text) of the files of a listing that were chosen; no other file is
+    opened. Their names pass the driver, as those of every read do (Spark
+    plans a scan from the names of its files)."""
+    names = [r["path"] for r in chosen.select("path").where("path is not null").distinct().toLocalIterator()]
+    if not names:
+        return spark.createDataFrame([], "path string, text string")
+    literal = [re.sub(r"([\\\[\]{}*?])", r"\\\1", n) for n in names]  # no pattern
+    return spark.read.text(literal, wholetext=True).select(
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text"))
+
+
+def _plain_path(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_eval_logs(spark: SparkSession, root: str) -> DataFrame:
     """SRC-9: newest ``<id>/run_instance.log`` per instance under root (by
-    modification time), with its text."""
-    listing = list_files(spark, root, "run_instance.log")
-    newest = newest_per_key(listing, r"/([^/]+)/run_instance\.log$")
-    texts = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "run_instance.log")
-             .text(root, wholetext=True)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("log_text"))
-    return newest.join(texts, "path", "inner").select(F.col("key").alias("instance_id"), "path", "log_text")
+    modification time), with its text; older logs are listed, not opened."""
+    newest = written(newest_per_key(list_files(spark, root, "run_instance.log"), EVAL_LOG_KEY), "newest-logs")
+    texts = read_chosen(spark, newest).select(_plain_path(F.col("path")).alias("_plain"), "text")
+    return newest.withColumn("_plain", _plain_path(F.col("path"))).join(texts, "_plain").select(
+        F.col("key").alias("instance_id"), "path", F.col("text").alias("log_text"))
+
+
+def newest_report(listing: DataFrame, run_id: str) -> DataFrame:
+    """SRC-10 over a listing: the newest ``*.<run_id>.json`` (one row, null if none)."""
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    return listing.where(name.endswith(f".{run_id}.json")).agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
 
 
 def newest_report_path(spark: SparkSession, outdir: str, run_id: str) -> DataFrame:
     """SRC-10: the newest ``*.<run_id>.json`` report (one row)."""
-    listing = list_files(spark, outdir, f"*.{run_id}.json")
-    return listing.agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+    return newest_report(list_files(spark, outdir, f"*.{run_id}.json"), run_id)
 
 
 def choose_prediction_file(listing: DataFrame) -> DataFrame:

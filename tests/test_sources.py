@@ -248,3 +248,37 @@ def test_distributed_jsonl_line_numbers(spark, tmpdir_path):
     assert nl == {i: lines[i - 1] for i in range(1, 201)}
     expect = {i: (f"line_{i}" if i % 23 == 0 else f"i{i}") for i in range(1, 201) if i % 17 != 0}
     assert rows == expect
+
+
+def test_newest_logs_open_only_what_they_read(spark, tmpdir_path):
+    """Names with blanks and pattern characters are names; an older log that
+    cannot be read is listed, never opened."""
+    import shutil
+    d = tmpdir_path
+    for k, inst in enumerate(["plain", "a b+c", "x[1]{2}*", "p%20q"]):
+        old = _write(d, f"logs/r1/{inst}/run_instance.log", "old")
+        os.utime(old, (1000, 1000))
+        _write(d, f"logs/r2/{inst}/run_instance.log", f"new {k}\nline")
+    listing = S.written(S.newest_per_key(S.list_files(spark, f"{d}/logs", "run_instance.log"), S.EVAL_LOG_KEY), "test-newest")
+    shutil.rmtree(f"{d}/logs/r1")  # gone after the choice: a reader of every log would fail
+    assert sorted(r.text for r in S.read_chosen(spark, listing).collect()) == [f"new {k}\nline" for k in range(4)]
+    logs = {r.instance_id: r.log_text for r in S.read_eval_logs(spark, f"{d}/logs").collect()}
+    assert logs == {"plain": "new 0\nline", "a b+c": "new 1\nline", "x[1]{2}*": "new 2\nline", "p%20q": "new 3\nline"}
+    assert S.read_chosen(spark, listing.limit(0)).count() == 0
+
+
+def test_evaluator_reports_in_one_scan(spark):
+    """Sections in their order, lists and maps, the lone object, unreadable texts."""
+    texts = {
+        "all": {"instances": [{"id": "a", "resolved": True}], "report": {"a": {"resolved": False}, "b": {"resolved": True}, "c": 5},
+                "results": [{"task": "b", "resolved": False}, "junk", {"resolved": True}]},
+        "top": [{"task_id": "t", "resolved": True, "patch_successfully_applied": False}, 7],
+        "lone": {"instance_id": "solo", "resolved": True}, "empty": {"instance_id": ""}, "kept": {"instance_id": "x", "report": {"y": {}}}}
+    files = spark.createDataFrame([(k, json.dumps(v)) for k, v in texts.items()] + [("bad", "{"), ("none", None), ("str", '"x"')],
+                                  "file string, text string")
+    rows = S.parse_evaluator_reports(files)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Join" not in plan
+    got = sorted((r.file, r.instance_id, r.resolved, r.patch_successfully_applied) for r in rows.collect())
+    assert got == [("all", "a", True, None), ("all", "b", False, None), ("kept", "y", None, None), ("lone", "solo", True, None),
+                   ("top", "t", True, False)]
