@@ -15,9 +15,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gavel import constants as K
-from gavel.session import ensure_checkpoint_dir
+from gavel.session import ensure_checkpoint_dir, written
+from gavel.sinks.keyed import KeyedTable
 from gavel.streaming.ordered import LIMITER_OUT, SESSION_OUT, LimiterProcessor, SessionProcessor
 
 FILES_A_TRIGGER = 64  # static sides are read again in every micro-batch
@@ -195,57 +197,68 @@ def limiter_stream(spark: SparkSession, sf_dir: str, window: int = K.LIMITER_WIN
 
 
 # ------------------------------------------------------------------ STR-6
-def status_upsert_stream(spark: SparkSession, sf_dir: str, table_path: str | None = None) -> DataFrame:
-    """Last-write-wins status table maintained with ``foreachBatch``: epoch
-    ``e`` merges its rows with the table of epoch ``e-1`` (``max_by`` per
-    id) and writes version ``e``. A retried epoch overwrites its own
-    version (idempotent) and a restarted query, which resumes at the next
-    epoch from its checkpoint, finds the previous version under the same
-    path."""
-    from gavel.sources.bridges import SPARK, sql_for
-    from gavel.sources.files import merge_statuses
+def last_status(rows: DataFrame) -> DataFrame:
+    """The last write per id by (file, ts, pos); null ids and statuses take no part."""
+    order = F.struct("file", "ts", "pos")
+    return (rows.where(F.col("instance_id").isNotNull() & F.col("status").isNotNull()).groupBy("instance_id")
+            .agg(F.max_by(F.struct("status", "file", "ts", "pos"), order).alias("r")).select("instance_id", "r.*"))
 
-    ev = stream_table(spark, sf_dir, "events")
-    raw = spark.sql(sql_for("b_status_raw", SPARK, {"events": "{events}"}), events=ev)
-    base = table_path or _location(spark, "status_table")
-    columns = ["instance_id", "status", "file", "ts", "pos"]
+
+def upsert_statuses(raw: DataFrame, path: str, buckets: int = 32) -> KeyedTable:
+    """Last-write-wins status table under ``path``, maintained until the input is
+    consumed. An epoch rewrites the buckets its ids fall in; a retried epoch
+    writes the same, a restarted query goes on from its checkpoint."""
+    spark = raw.sparkSession
+    fields = [raw.schema[c] for c in ("instance_id", "status", "file", "ts", "pos")]
+    table = KeyedTable(spark, f"{path}/table", "instance_id", StructType(fields), buckets)
 
     def upsert(batch: DataFrame, epoch: int):
-        rows = batch.select(*columns)
-        if epoch > 0:  # epoch 0 alone has no previous version; a lost one fails here
-            rows = rows.unionByName(spark.read.parquet(f"{base}/v{epoch - 1}"))
-        merged = (rows.where(F.col("instance_id").isNotNull() & F.col("status").isNotNull())
-                  .groupBy("instance_id")
-                  .agg(F.max_by(F.struct("status", "file", "ts", "pos"), F.struct("file", "ts", "pos")).alias("r"))
-                  .select("instance_id", "r.*"))
-        merged.write.mode("overwrite").parquet(f"{base}/v{epoch}")
-
-    q = (raw.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}/_checkpoint")
-         .trigger(availableNow=True).start())
+        table.merge(batch, epoch, last_status)
+
+    q = (raw.select(*[f.name for f in fields]).writeStream.foreachBatch(upsert)
+         .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start())
     q.awaitTermination()
-    table = spark.read.parquet(f"{base}/v{_last_version(spark, base)}")
-    return merge_statuses(table, order=("file", "ts", "pos"))
+    return table
 
 
-def _last_version(spark: SparkSession, base: str) -> int:
-    """Newest finished version under ``base`` (also after a restart that found
-    no new input)."""
-    done = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "part-*").load(base).select(
-        F.max(F.regexp_extract("path", "/v([0-9]+)/part-", 1).try_cast("int")).alias("n"))
-    return done.first()["n"]
+def status_upsert_stream(spark: SparkSession, sf_dir: str, table_path: str | None = None) -> DataFrame:
+    """STR-6 over the events table."""
+    from gavel.sources.bridges import SPARK, sql_for
+    ev = stream_table(spark, sf_dir, "events")
+    raw = spark.sql(sql_for("b_status_raw", SPARK, {"events": "{events}"}), events=ev)
+    table = upsert_statuses(raw, table_path or _location(spark, "status_table"))
+    return table.read().select("instance_id", "status")
 
 
 # ------------------------------------------------------------------ STR-7
+def first_seen(raw: DataFrame, path: str, key: str = "instance_id", buckets: int = 32) -> DataFrame:
+    """Resume / skip-existing on a stream: every key leaves once, in the epoch that
+    first has it, however late its repeats come. The keys seen so far are a
+    bucketed table instead of state: an epoch reads the buckets its keys fall in,
+    keeps the keys that are not there (anti join), writes them out under its number,
+    then adds them to the table; a retried epoch finds the table as it was before it."""
+    spark = raw.sparkSession
+    schema = StructType([raw.schema[key]])
+    table = KeyedTable(spark, f"{path}/seen", key, schema, buckets)
+
+    def emit(batch: DataFrame, epoch: int):
+        fresh = written(table.absent(batch, epoch), "first-seen")
+        fresh.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+        table.merge(fresh, epoch, lambda rows: rows.distinct())
+
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/out/epoch=-1")
+    q = (raw.select(key).writeStream.foreachBatch(emit).option("checkpointLocation", f"{path}/progress")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/out").select(key)
+
+
 def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resume / skip-existing on a stream: the first write per id is kept,
-    later repeats are dropped however late they come. The state is one row an
-    id; a watermark would bound it, but emit ids again and lose those whose
-    only write is late."""
+    """STR-7 over the events table."""
     from gavel.sources.bridges import SPARK, sql_for
     ev = stream_table(spark, sf_dir, "events")
     raw = spark.sql(sql_for("b_status_raw", SPARK, {"events": "{events}"}), events=ev)
-    return drain(raw.select("instance_id").dropDuplicates(["instance_id"]), "dedupe")
+    return first_seen(raw, _location(spark, "dedupe"))
 
 
 # ------------------------------------------------------------------ STR-5
