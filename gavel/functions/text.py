@@ -208,53 +208,34 @@ def is_no_patch(c) -> Column:
 def added_lines(c) -> Column:
     """TXT-9: array<struct<pos, path, line>> of the '+' lines inside hunks.
 
-    A line's block is the last 'diff --git ' line before it; it is inside a
-    hunk when the block's first '@@ ' line precedes it; its path is the last
-    '+++ ' line of the block before it. No sequential fold, no shuffle; cost
-    O(lines x files) inside the row. Every intermediate is bound once
-    (``let``), so the expression stays linear in size.
+    The lines are cut into blocks at the 'diff --git ' lines (and one block before the
+    first), so a line only meets the headers of its own block: it is inside
+    a hunk when the block's first '@@ ' line precedes it; its path is the block's
+    last '+++ ' line before it. No sequential fold, no shuffle; cost O(lines)
+    for any number of files with a header each. Every intermediate is bound
+    once (``let``), so the expression stays linear in size.
     """
     idx0 = F.transform(lines_of(c), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
 
     def with_idx(idx):
-        heads, hunks, plus = _added_parts(idx)
-        cand = F.filter(idx, lambda s: s["x"].startswith("+") & ~s["x"].startswith("+++ "))
-        parts = F.struct(heads.alias("h"), hunks.alias("k"), plus.alias("p"), cand.alias("c"))
-
-        def with_parts(hp):
-            return let(_blocks(hp["h"], hp["k"]),
-                       lambda blocks: _added_from_parts(hp["c"], hp["h"], hp["p"], blocks))
-        return let(parts, with_parts)
+        heads = F.transform(F.filter(idx, lambda s: s["x"].startswith("diff --git ")), lambda s: s["i"])
+        cuts = F.concat(F.array(F.lit(0)), heads, F.array(F.size(idx)))
+        return let(cuts, lambda cut: F.flatten(F.transform(F.slice(cut, 1, F.size(cut) - 1), lambda start, k: let(
+            F.slice(idx, start + 1, F.get(cut, k + 1) - start), _added_in_block))))
     return let(idx0, with_idx)
 
 
-def _added_parts(idx: Column):
-    heads = F.transform(F.filter(idx, lambda s: s["x"].startswith("diff --git ")), lambda s: s["i"])
-    hunks = F.transform(F.filter(idx, lambda s: s["x"].startswith("@@ ")), lambda s: s["i"])
-    plus = F.transform(F.filter(idx, lambda s: s["x"].startswith("+++ ")),
+def _added_in_block(block: Column) -> Column:
+    """The added lines of one file's block, as (pos, path, line)."""
+    hunk = F.array_min(F.transform(F.filter(block, lambda s: s["x"].startswith("@@ ")), lambda s: s["i"]))
+    plus = F.transform(F.filter(block, lambda s: s["x"].startswith("+++ ")),
                        lambda s: F.struct(s["i"].alias("i"), plus_path(s["x"]).alias("p")))
-    return heads, hunks, plus
-
-
-def _blocks(heads: Column, hunks: Column) -> Column:
-    return F.transform(F.concat(F.array(F.lit(-1)), heads),
-                       lambda b: F.struct(b.alias("b"), F.array_min(F.filter(hunks, lambda k: k > b)).alias("k")))
-
-
-def _added_from_parts(cand, heads, plus, blocks) -> Column:
-    def resolve(s):
-        b = F.coalesce(F.array_max(F.filter(heads, lambda h: h < s["i"])), F.lit(-1))
-
-        def at_block(bv):
-            k = F.array_min(F.transform(F.filter(blocks, lambda bk: bk["b"] == bv), lambda bk: bk["k"]))
-            p = F.array_max(F.filter(plus, lambda pp: (pp["i"] > bv) & (pp["i"] < s["i"])))["p"]
-            return F.struct(s["i"].alias("pos"), p.alias("path"), F.substring(s["x"], 2, 1 << 30).alias("line"),
-                            (F.coalesce(k, F.lit(1 << 30)) < s["i"]).alias("in_hunk"))
-        return let(b, at_block)
-
-    out = F.filter(F.transform(cand, resolve), lambda s: s["in_hunk"])
-    return F.transform(out, lambda s: F.struct(s["pos"].alias("pos"), s["path"].alias("path"),
-                                               s["line"].alias("line")))
+    start = F.coalesce(hunk, F.lit(1 << 30))
+    parts = F.struct(start.alias("k"), plus.alias("p"))
+    return let(parts, lambda h: F.transform(
+        F.filter(block, lambda s: s["x"].startswith("+") & ~s["x"].startswith("+++ ") & (s["i"] > h["k"])),
+        lambda s: F.struct(s["i"].alias("pos"), F.array_max(F.filter(h["p"], lambda q: q["i"] < s["i"]))["p"].alias("path"),
+                           F.substring(s["x"], 2, 1 << 30).alias("line"))))
 
 
 def with_added_lines(df, src: str, out: str = "added"):

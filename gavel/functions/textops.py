@@ -162,6 +162,28 @@ REPAIR = ("Task: {name}\nLanguage: {language}\n\nSpecification:\n{spec}\n\n"
           "Repair the code. Focus on fixing failing tests and security issues. Return ONLY the corrected code.")
 
 
+PATCH_FORMAT = (
+    "diff --git a/path/to/file.py b/path/to/file.py\n--- a/path/to/file.py\n+++ b/path/to/file.py\n"
+    "@@ -10,7 +10,7 @@ def function_name():\n context line\n-old line\n+new line\n context line\n")
+PATCH_FIRST = (
+    "Task: {name}\n\n{spec}\n\nYou are given a real Python repository with failing tests.\n"
+    "Propose a patch that fixes the bug without introducing new security issues.\n\n"
+    "Relevant code:\n```python\n{snapshot}\n```\n\n"
+    "CRITICAL: Return ONLY a valid unified diff patch in this EXACT format:\n\n{format}\n"
+    "Rules:\n1. Start with 'diff --git a/FILE b/FILE' for each file you modify.\n"
+    "2. Include both '--- a/FILE' and '+++ b/FILE' headers.\n"
+    "3. Each hunk MUST have complete @@ headers like '@@ -X,Y +A,B @@'.\n"
+    "4. Do NOT include explanations, markdown fences, or comments outside the diff.\n"
+    "5. Output ONLY the raw patch text.\n")
+PATCH_REPAIR = (
+    "Task: {name}\n\n{spec}\n\nYour previous patch failed to apply or did not solve the problem.\n"
+    "Here is the latest test, linter, and security output:\n\n{output}\n\nLinter errors:\n{lint}\n\n"
+    "Security violations:\n{viol}\n\nRelevant code snapshot:\n```python\n{snapshot}\n```\n\n"
+    "CRITICAL: Return ONLY a valid unified diff patch.\nUse the EXACT format from the first attempt.\n"
+    "Start with 'diff --git', include full headers, and complete '@@ -X,Y +A,B @@' lines.\n"
+    "NO explanations, NO markdown fences, ONLY the raw patch text.\n")
+
+
 def _template(tpl: str, cols: dict) -> Column:
     parts, rest = [], tpl
     while "{" in rest:
@@ -194,3 +216,12 @@ def build_prompt(name, language, spec, starter, previous=None, output=None, lint
                                 "previous": _c(previous), "output": _c(output),
                                 "lint": py_list_repr(lint), "viol": py_list_repr(viol)})
     return F.when(_c(previous).isNull(), first).otherwise(repair)
+
+
+def build_patch_prompt(name, spec, snapshot, repair, output, lint, viol) -> Column:
+    """TXT-25, repository tasks: the first prompt, or with ``repair`` the one that
+    states the last checks; both carry the code snapshot."""
+    base = {"name": _c(name), "spec": _c(spec), "snapshot": _c(snapshot)}
+    first = _template(PATCH_FIRST, base | {"format": F.lit(PATCH_FORMAT)})
+    lines = {"lint": F.array_join(_c(lint), "\n"), "viol": F.array_join(_c(viol), "\n")}
+    return F.when(_c(repair), _template(PATCH_REPAIR, base | {"output": _c(output)} | lines)).otherwise(first)

@@ -17,6 +17,7 @@ from gavel.functions.security import diff_scan_failed, with_diff_scan
 from gavel.functions.text import changed_file_count
 from gavel.operators.joins import candidate_grid
 from gavel.operators.pycheck import python_scan_ok
+from gavel.session import written
 
 
 def first_wins(df: DataFrame, key: str, order: str | list, value_cols=None) -> DataFrame:
@@ -164,17 +165,61 @@ def first_k(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def rows_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """SET-5: canonical compare of two tables (columns by name, arrays as
-    given, duplicates counted): rows only in a, rows only in b, counts."""
+BUCKETS = 4096
+
+
+def _sides(a: DataFrame, b: DataFrame, buckets: int) -> tuple[DataFrame, list[str]]:
+    """Both tables by column name with the side (1, -1), two digests of the row and
+    its bucket. The digests read the row as canonical JSON, nulls kept."""
     cols = sorted(a.columns)
-    a2, b2 = a.select(*cols), b.select(*cols)
-    only_a = a2.exceptAll(b2).agg(F.count(F.lit(1)).alias("only_left"))
-    only_b = b2.exceptAll(a2).agg(F.count(F.lit(1)).alias("only_right"))
-    spark = a.sparkSession
-    return spark.sql("SELECT (SELECT only_left FROM {x}) AS only_left, (SELECT only_right FROM {y}) AS only_right,"
-                     " (SELECT count(*) FROM {a}) AS left_rows, (SELECT count(*) FROM {b}) AS right_rows",
-                     x=only_a, y=only_b, a=a2, b=b2)
+    if sorted(b.columns) != cols:
+        raise ValueError(f"columns differ: {cols} and {sorted(b.columns)}")
+    both = a.select(*cols, F.lit(1).alias("__side")).unionByName(b.select(*cols, F.lit(-1).alias("__side")))
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]), {
+        "ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    digests = F.transform(F.array(text), lambda t: F.struct(F.xxhash64(t).alias("x"), F.xxhash64(t, F.lit("second")).alias("y")))[0]
+    return both.withColumn("__d", digests).withColumn("__bucket", F.pmod(F.col("__d.x"), F.lit(buckets)).cast("int")), cols
+
+
+def _digests(sides: DataFrame) -> DataFrame:
+    """A row a bucket: counts of both sides and whether they can differ. The sums
+    do not depend on order; repeated rows count."""
+    def total(name):
+        return F.sum(F.col(f"__d.{name}").cast("decimal(20,0)") * F.col("__side"))
+    return sides.groupBy("__bucket").agg(
+        F.count_if(F.col("__side") > 0).alias("left_rows"), F.count_if(F.col("__side") < 0).alias("right_rows"),
+        total("x").alias("x"), total("y").alias("y")).select(
+        "__bucket", "left_rows", "right_rows",
+        ((F.col("left_rows") != F.col("right_rows")) | (F.col("x") != 0) | (F.col("y") != 0)).alias("differs"))
+
+
+def row_differences(a: DataFrame, b: DataFrame, buckets: int = BUCKETS, digests: DataFrame | None = None) -> DataFrame:
+    """SET-5: the rows that the tables do not share, with ``only_left`` and
+    ``only_right`` (how often more they stand there).
+
+    Rows meet by commutative digests of buckets (two independent 64-bit
+    sums): equal tables shuffle a row a bucket and task, nothing else. Only rows
+    of buckets that differ are compared by value; the list of such buckets
+    (``buckets`` numbers at most) is broadcast. Columns go by name, types are
+    brought together as in a union; map columns cannot be compared."""
+    sides, cols = _sides(a, b, buckets)
+    where = (_digests(sides) if digests is None else digests).where("differs").select("__bucket")
+    drilled = sides.join(F.broadcast(where), "__bucket", "left_semi")  # at most ``buckets`` rows
+    names = [F.col(f"`{c}`") for c in cols]
+    counted = drilled.groupBy(*names).agg(F.sum("__side").alias("__n")).where("__n <> 0")
+    return counted.select(*names, F.greatest("__n", F.lit(0)).cast("bigint").alias("only_left"),
+                          F.greatest(-F.col("__n"), F.lit(0)).cast("bigint").alias("only_right"))
+
+
+def rows_equal(a: DataFrame, b: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """SET-5: one row with the numbers of rows only in a, only in b, in a and in b
+    (duplicates counted); see ``row_differences``."""
+    digests = written(_digests(_sides(a, b, buckets)[0]), "digests")  # a row a bucket, used twice
+    only = row_differences(a, b, buckets, digests).agg(
+        F.coalesce(F.sum("only_left"), F.lit(0)).alias("only_left"), F.coalesce(F.sum("only_right"), F.lit(0)).alias("only_right"))
+    rows = digests.agg(F.coalesce(F.sum("left_rows"), F.lit(0)).alias("left_rows"), F.coalesce(F.sum("right_rows"), F.lit(0)).alias("right_rows"))
+    return a.sparkSession.sql("SELECT (SELECT struct(only_left, only_right) FROM {x}) AS only, left_rows, right_rows FROM {y}",
+                              x=only, y=rows).select("only.*", "left_rows", "right_rows")
 
 
 def pack_context(files: DataFrame, max_changed: int = 5, max_tests: int = 3) -> DataFrame:

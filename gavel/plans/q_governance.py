@@ -29,12 +29,13 @@ def present(ev: DataFrame) -> DataFrame:
     return ev.withColumn("violations", F.array_join("security_violations", ";")).select(*PRESENT)
 
 
-def governed_from_bridges(spark: SparkSession, sf: str, *, with_reports=True, allow_fallback=True) -> DataFrame:
+def governed_from_bridges(spark: SparkSession, sf: str, *, with_reports=True, allow_fallback=True,
+                          artifacts: DataFrame | None = None) -> DataFrame:
     preds = bridge(spark, sf, "b_preds").drop("form")
     statuses = merge_statuses(bridge(spark, sf, "b_status_raw"), order=("file", "ts", "pos"))
     results = bridge(spark, sf, "b_results")
     reports = bridge(spark, sf, "b_reports") if with_reports else None
-    return governed_eval(preds, statuses, results, reports, model_id=MODEL_ID, allow_diff_fallback=allow_fallback)
+    return governed_eval(preds, statuses, results, reports, artifacts, model_id=MODEL_ID, allow_diff_fallback=allow_fallback)
 
 
 def q_met15(spark: SparkSession, sf: str) -> DataFrame:

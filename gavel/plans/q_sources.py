@@ -118,16 +118,34 @@ def src10(spark, sf):
     return S.newest_per_key(bridge(spark, sf, "b_listing").where("path LIKE '/runs/out/%'"), r"\.([^./]+)\.json$")
 
 
-@register("src14_artifacts", oracle_cte("b_listing") + """,
-t(kind, prio, pre, post) AS (VALUES ('traj', 0, 'trajs/', '.traj.json'), ('traj', 1, 'trajectories/', '.traj.json'),
-                                    ('log', 0, 'logs/', '.log'), ('log', 1, 'logs/', '.txt')),
+# fixed values: where a run keeps its artifacts, first existing one counts
+ARTIFACTS = {"traj": ["trajs/{id}.traj.json", "trajectories/{id}.traj.json"], "log": ["logs/{id}.log", "logs/{id}.txt"],
+             "proofcard": ["proofcards/{id}.json", "proofcards/{id}.proofcard.json"]}
+_ARTIFACT_CTES = """,
+t(kind, prio, pre, post) AS (VALUES """ + ", ".join(
+    f"('{kind}', {n}, '{t.split('{id}')[0]}', '{t.split('{id}')[1]}')" for kind, ts in ARTIFACTS.items() for n, t in enumerate(ts)) + """),
 m AS (SELECT kind, prio, substr(path, 7) AS rel, pre, post FROM b_listing JOIN t
-      ON starts_with(path, '/runs/' || pre) AND ends_with(path, post))
-SELECT substr(rel, length(pre) + 1, length(rel) - length(pre) - length(post)) AS instance_id, kind, min_by(rel, (prio, rel)) AS path
-FROM m GROUP BY 1, 2""")
+      ON starts_with(path, '/runs/' || pre) AND ends_with(path, post)),
+a AS (SELECT substr(rel, length(pre) + 1, length(rel) - length(pre) - length(post)) AS instance_id, kind,
+             min_by(rel, (prio, rel)) AS path FROM m GROUP BY 1, 2)"""
+
+
+@register("src14_artifacts", oracle_cte("b_listing") + _ARTIFACT_CTES + "\nSELECT instance_id, kind, path FROM a")
 def src14(spark, sf):
-    return S.discover_artifacts(bridge(spark, sf, "b_listing").select("path"), "/runs", {
-        "traj": ["trajs/{id}.traj.json", "trajectories/{id}.traj.json"], "log": ["logs/{id}.log", "logs/{id}.txt"]})
+    return S.discover_artifacts(bridge(spark, sf, "b_listing").select("path"), "/runs", ARTIFACTS)
+
+
+@register("jn04_governed_artifacts", oracle_cte("b_listing", "b_preds") + _ARTIFACT_CTES + """
+SELECT p.instance_id AS task, p.seq, max(CASE WHEN kind = 'traj' THEN path END) AS traj, max(CASE WHEN kind = 'log' THEN path END) AS log,
+       max(CASE WHEN kind = 'proofcard' THEN path END) AS proofcard
+FROM b_preds p LEFT JOIN a ON a.instance_id = p.instance_id GROUP BY 1, 2""")
+def jn04(spark, sf):
+    """The governed evaluation with the artifacts of a listing."""
+    from gavel.plans.q_governance import governed_from_bridges
+
+    found = S.discover_artifacts(bridge(spark, sf, "b_listing").select("path"), "/runs", ARTIFACTS)
+    rows = governed_from_bridges(spark, sf, artifacts=S.artifact_columns(found, list(ARTIFACTS)))
+    return rows.select("task", "seq", "artifacts.*")
 
 
 @register("src16_prediction_files", oracle_cte("b_listing") + """,
@@ -158,6 +176,24 @@ def snk08(spark, sf):
     return out
 
 
+@register("set05_row_differences", oracle_cte("b_preds") + """,
+l AS (SELECT instance_id, model_patch FROM b_preds),
+r AS (SELECT instance_id, CASE WHEN seq % 50 = 0 THEN model_patch || '!' ELSE model_patch END AS model_patch FROM b_preds WHERE seq % 70 <> 1
+      UNION ALL SELECT instance_id, model_patch FROM b_preds WHERE seq % 90 = 2),
+n AS (SELECT instance_id, model_patch, sum(side) AS n FROM (SELECT *, 1 AS side FROM l UNION ALL SELECT *, -1 FROM r) GROUP BY 1, 2)
+SELECT instance_id, sha256(model_patch) AS patch_sha256, CAST(greatest(n, 0) AS BIGINT) AS only_left, CAST(greatest(-n, 0) AS BIGINT) AS only_right
+FROM n WHERE n <> 0""")
+def set05(spark, sf):
+    """Predictions against a copy with changed, missing and repeated rows."""
+    from gavel.operators.ordered import row_differences
+
+    preds = bridge(spark, sf, "b_preds").select("instance_id", "model_patch", "seq")
+    changed = F.when(F.col("seq") % 50 == 0, F.concat("model_patch", F.lit("!"))).otherwise(F.col("model_patch"))
+    copy = preds.where("seq % 70 <> 1").withColumn("model_patch", changed).unionByName(preds.where("seq % 90 = 2"))
+    return row_differences(preds.drop("seq"), copy.drop("seq")).select(
+        "instance_id", F.sha2("model_patch", 256).alias("patch_sha256"), "only_left", "only_right")
+
+
 _RESULT = ("(doc_id + pos) % 2 = 0 AS resolved, 'S' || (doc_id % 3) AS resolved_status, "
            "CASE WHEN pos = 0 THEN '0.' || (doc_id % 9) END AS cri")
 _REPORT = "CASE WHEN doc_id % 4 <> 1 THEN 'scope' END AS scan_scope, doc_id % 2 = 0 AS scan_failed"

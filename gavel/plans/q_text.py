@@ -8,9 +8,10 @@ from gavel import constants as K
 from gavel.functions import security as S
 from gavel.functions import text as X
 from gavel.functions import textops as TX
+from gavel.operators.prompts import patch_prompts, task_prompts
 from gavel.plans import sqltext as Q
 from gavel.plans.sqltext import q
-from gavel.sources.bridges import bridge, oracle_cte
+from gavel.sources.bridges import bridge, oracle_cte, read_table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -288,6 +289,49 @@ def txt25(spark, sf):
     return b.select("doc_id", prompt.alias("prompt"))
 
 
+_LAST = """,
+s AS (SELECT 'doc__' || doc_id AS task, 'task ' || doc_id AS name, text AS spec, doc_id FROM documents),
+l AS (SELECT task, max(step) AS step FROM b_attempts_code GROUP BY task),
+c AS (SELECT b.* FROM b_attempts_code b JOIN l USING (task, step)),
+j AS (SELECT s.*, c.step, c.code, coalesce(c.output, '') AS output, c.lint, c.viol FROM s LEFT JOIN c USING (task))"""
+
+
+def _prompt_inputs(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    task = F.concat(F.lit("doc__"), F.col("doc_id").cast("string"))
+    specs = docs.select(task.alias("task"), F.concat(F.lit("task "), F.col("doc_id").cast("string")).alias("name"),
+                        F.lit("python").alias("language"), F.col("text").alias("spec"))
+    return docs, task, specs, bridge(spark, sf, "b_attempts_code")
+
+
+@register("txt25_task_prompts", oracle_cte("b_attempts_code") + _LAST + """
+SELECT task, CASE WHEN step IS NULL THEN
+  format(E'Task: {}\\nLanguage: python\\n\\nSpecification:\\n{}\\n\\nStarter code (you MAY reuse or refactor):\\n```python\\n{}\\n```\\n\\n', name, spec,
+         CASE WHEN doc_id % 3 = 0 THEN 'start ' || doc_id ELSE '' END) || 'Write a complete, working solution in one file. Return ONLY the final code.'
+ELSE format(E'Task: {}\\nLanguage: python\\n\\nSpecification:\\n{}\\n\\nYou wrote the following code which FAILED tests or checks:\\n```python\\n{}\\n```\\n\\nTest / linter / security output:\\n{}\\n',
+            name, spec, code, output)
+  || 'Linter errors: ' || CASE len(lint) WHEN 0 THEN '[]' ELSE '[''' || array_to_string(lint, ''', ''') || ''']' END || chr(10)
+  || 'Security violations: ' || CASE len(viol) WHEN 0 THEN '[]' ELSE '[''' || array_to_string(viol, ''', ''') || ''']' END || chr(10) || chr(10)
+  || 'Repair the code. Focus on fixing failing tests and security issues. Return ONLY the corrected code.' END AS prompt
+FROM j""")
+def txt25_tasks(spark, sf):
+    docs, task, specs, attempts = _prompt_inputs(spark, sf)
+    starters = docs.where("doc_id % 3 = 0").select(task.alias("task"), F.concat(F.lit("start "), F.col("doc_id").cast("string")).alias("starter"))
+    return task_prompts(specs, starters, attempts)
+
+
+@register("txt25_patch_prompts", oracle_cte("b_attempts_code", "b_code") + _LAST + f"""
+SELECT task, format(E'Task: {{}}\\n\\n{{}}\\n\\n', name, spec) || CASE WHEN step IS NULL THEN
+  replace(replace(split_part({q(TX.PATCH_FIRST)}, '{{spec}}' || chr(10) || chr(10), 2), '{{format}}', {q(TX.PATCH_FORMAT)}), '{{snapshot}}', b.code)
+ELSE replace(replace(replace(replace(split_part({q(TX.PATCH_REPAIR)}, '{{spec}}' || chr(10) || chr(10), 2), '{{output}}', output),
+  '{{lint}}', array_to_string(lint, chr(10))), '{{viol}}', array_to_string(viol, chr(10))), '{{snapshot}}', b.code) END AS prompt
+FROM j JOIN b_code b USING (doc_id)""")
+def txt25_patches(spark, sf):
+    _, task, specs, attempts = _prompt_inputs(spark, sf)
+    code = bridge(spark, sf, "b_code").select(task.alias("task"), F.col("code").alias("snapshot"))
+    return patch_prompts(specs, code, attempts)
+
+
 # ------------------------------------------------------------------ TXT-7, TXT-12 (rows only: Java-only regex)
 @register("txt07_extract_code", oracle_cte("b_traj") + f"""
 SELECT conv_id, CASE WHEN submission = '' THEN ''

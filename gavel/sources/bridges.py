@@ -402,14 +402,22 @@ SELECT doc_id, 'r' || d || '.json' AS file, CASE doc_id % 4
 FROM (SELECT doc_id, CAST(doc_id AS STRING) AS d, {js1}text{js2} AS j FROM {documents}) x
 """),
     "b_listing": (("documents",), """
-SELECT doc_id, text, doc_id * 7919 % 1009 AS mtime, '/runs/' || CASE doc_id % 8
-  WHEN 0 THEN 'trajs/i' || k || '.traj.json' WHEN 1 THEN 'trajectories/' || odd || 'i' || k || '.traj.json'
-  WHEN 2 THEN 'logs/' || odd || 'i' || k || '.log' WHEN 3 THEN 'logs/i' || k || '.txt'
+SELECT doc_id, text, doc_id * 7919 % 1009 AS mtime, '/runs/' || CASE doc_id % 10
+  WHEN 0 THEN 'trajs/doc__' || k || '.traj.json' WHEN 1 THEN 'trajectories/' || odd || 'doc__' || k || '.traj.json'
+  WHEN 2 THEN 'logs/' || odd || 'doc__' || k || '.log' WHEN 3 THEN 'logs/doc__' || k || '.txt'
   WHEN 4 THEN 'eval/r' || d || '/doc__' || five || '/run_instance.log' WHEN 5 THEN 'out/m' || d || '.run' || five || '.json'
-  WHEN 6 THEN 'p' || k || '/preds.json' ELSE odd || 'p' || k || '/preds_filled.json' END AS path
-FROM (SELECT doc_id, text, CAST(doc_id AS STRING) AS d, CAST(CAST(floor(doc_id / 8) AS BIGINT) AS STRING) AS k,
-             CAST(CAST(floor(doc_id / 40) AS BIGINT) AS STRING) AS five, CASE WHEN floor(doc_id / 8) % 2 = 1 THEN 'x' ELSE '' END AS odd
+  WHEN 6 THEN 'p' || k || '/preds.json' WHEN 7 THEN odd || 'p' || k || '/preds_filled.json'
+  WHEN 8 THEN 'proofcards/' || odd || 'doc__' || k || '.json' ELSE 'proofcards/doc__' || k || '.proofcard.json' END AS path
+FROM (SELECT doc_id, text, CAST(doc_id AS STRING) AS d, CAST(CAST(floor(doc_id / 10) AS BIGINT) AS STRING) AS k,
+             CAST(CAST(floor(doc_id / 50) AS BIGINT) AS STRING) AS five, CASE WHEN floor(doc_id / 10) % 2 = 1 THEN 'x' ELSE '' END AS odd
       FROM {documents}) x
+"""),
+    "b_attempts_code": (("documents",), """
+SELECT 'doc__' || CAST(CAST(floor(doc_id / 5) AS BIGINT) * 2 AS STRING) AS task, doc_id % 5 AS step, 'def f' || CAST(doc_id AS STRING) || '():' || chr(10) || text AS code,
+       CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id % 9 AS STRING) || ' failed' END AS output,
+       CASE doc_id % 3 WHEN 0 THEN {empty} WHEN 1 THEN {arr}('E501') ELSE {arr}('E501', 'F401') END AS lint,
+       CASE WHEN doc_id % 4 = 0 THEN {arr}('[high] x@' || source) ELSE {empty} END AS viol
+FROM {documents}
 """),
     "b_trajfiles": (("conversations",), """
 SELECT conv_id, 'c' || CAST(conv_id AS STRING) || '.traj.json' AS file, s, CASE conv_id % 7 WHEN 5 THEN '{{unreadable' WHEN 6 THEN '{{"info":{{}}}}'
