@@ -18,7 +18,8 @@ assistant texts, without markers.
 
 Defined cases: null text or role counts as empty; a null turn sorts first; ties
 in turn sort by role, then text; repeated rows are separate turns; a null
-conv_id is a conversation of its own; other columns are ignored.
+conv_id is a conversation of its own; other columns are ignored. The cost grows
+with the turns and the text of a conversation (offsets: n log n).
 """
 
 from __future__ import annotations
@@ -40,19 +41,37 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _merge(turns: Column) -> Column:
-    """Adjacent turns of one role as one message (role, texts)."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    """Adjacent turns of one role as one message (role, texts): the places where
+    a role begins are found, the turns between two of them are a message."""
+    def cut(t):
+        begins = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))
+        return _let(begins, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(t, i)["role"].alias("role"),
+            F.transform(F.slice(t, i + 1, F.coalesce(F.get(at, k + 1), F.size(t)) - i), lambda x: x["text"]).alias("texts"))))
+
+    return _let(turns, cut)
 
-    def step(done, turn):
-        last = F.element_at(done, -1)
-        grown = F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        fresh = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == turn["role"])
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(
-            F.concat(done, F.array(fresh)))
 
-    return F.aggregate(turns, empty, step)
+def _running(lengths: Column) -> Column:
+    """Inclusive running sums in steps of growing distance: after a step with
+    distance d every place holds the sum of the last 8d values, so the cost is
+    n log n for any number of pieces."""
+    def widened(distance):
+        def step(a):
+            return F.when(F.size(a) > distance, F.transform(a, lambda x, i: sum(
+                (F.coalesce(F.get(a, i - k * distance), F.lit(0)) for k in range(1, 8)), x))).otherwise(a)
+        return step
+
+    distance = 1
+    while distance < 1 << 31:  # an array holds fewer values
+        lengths, distance = _let(lengths, widened(distance)), distance * 8
+    return lengths
 
 
 def _pieces(message: Column) -> Column:
@@ -81,16 +100,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     pieces = sorted_turns.select("conv_id", _merge(F.col("t")).alias("m")).select(
         "conv_id", F.flatten(F.transform("m", _pieces)).alias("p"))
-    start = F.struct(F.lit(3).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
-
-    def mark(state, piece):
-        n = F.char_length(piece["text"]).cast("long")
-        return F.struct((state["at"] + n).alias("at"), F.when(
-            piece["loss"], F.concat(state["spans"], F.array(F.struct(state["at"].alias("start"), n.alias("length")))))
-            .otherwise(state["spans"]).alias("spans"))
-
+    ends = _running(F.transform("p", lambda x: F.char_length(x["text"]).cast("long")))
+    spans = _let(ends, lambda end: F.filter(F.transform("p", lambda x, i: F.struct(
+        x["loss"].alias("loss"), (F.coalesce(F.get(end, i - 1), F.lit(0)) + 3).alias("start"), F.get(end, i).alias("end"))), lambda x: x["loss"]))
+    loss = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (x["end"] + 3 - x["start"]).alias("length")))
     return pieces.select("conv_id", F.concat(F.lit("<s>"), F.array_join(F.transform("p", lambda x: x["text"]), "")).alias(
-        "formatted"), F.aggregate("p", start, mark)["spans"].alias("loss"))
+        "formatted"), loss.cast(SPANS).alias("loss"))
 
 
 def parse(formatted: Column) -> Column:
@@ -116,5 +131,16 @@ def parse(formatted: Column) -> Column:
 
 
 def loss_texts(formatted: Column, loss: Column) -> Column:
-    """The texts under the loss mask, unescaped."""
-    return F.transform(loss, lambda s: unescape(formatted.substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    """The texts under the loss mask, unescaped. The text is cut once in blocks of
+    1024 code points, a span reads its own blocks: a place far into a long text
+    costs no walk from its beginning."""
+    block = 1024
+
+    def read(blocks):
+        def span(s):
+            first = F.floor(s["start"] / block)
+            own = F.slice(blocks, (first + 1).cast("int"), (F.floor((s["start"] + s["length"]) / block) - first + 1).cast("int"))
+            return unescape(F.array_join(own, "").substr((s["start"] - first * block + 1).cast("int"), s["length"].cast("int")))
+        return F.transform(loss, span)
+
+    return _let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), read)

@@ -122,9 +122,11 @@ def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT, rows_a_fi
     framed = responses.mapInArrow(_frame, f"h {schema}, block binary").select("h.*", F.concat(head, "block").alias("block"))
     total = F.octet_length("block")
     count = F.greatest(F.lit(1), F.ceil(total / F.lit(segment))).cast("int")
-    cut = framed.withColumn("total", total).withColumn("count", count).select(
-        "*", F.explode(F.sequence(F.lit(1), "count")).alias("no")).withColumn(
-        "part", F.expr(f"substring(block, (no - 1) * {segment} + 1, {segment})"))
+    # the parts are cut inside the row, from a block that is read once: an exploded row carries its own part, not the block
+    parts = F.expr("transform(array(block), b -> transform(sequence(1, count), no -> "
+                   f"struct(no, substring(b, (no - 1) * {segment} + 1, {segment}) AS part)))[0]")
+    cut = framed.withColumn("total", total).withColumn("count", count).withColumn("cut", F.explode(parts)).select(
+        *[c for c in kept if c != "body"], "total", "count", "cut.no", "cut.part")
     row = F.col("page_id"), F.col("url"), F.col("digest")
     rid = record_id(*row)
     uri = F.regexp_replace(F.regexp_replace("url", r"[\x00-\x20]", "%20"), r"WARC/1\.1\z", "WARC/1.%31")
@@ -186,7 +188,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.count_if(F.col("no") == 1).alias("copies"),
         F.array_sort(F.collect_set(F.struct("no", "block"))).alias("p"), F.max("total").alias("total"),
         F.max(F.when(F.col("no") == 1, F.col("h"))).alias("h"))
-    block = F.expr("aggregate(transform(p, x -> x.block), X'', (a, b) -> concat(a, b))")
+    # joined once; a cast between bytes and text changes no byte
+    block = F.array_join(F.transform("p", lambda x: x["block"].cast("string")), "").cast("binary")
     joined = joined.withColumn("block", block)
     right = (F.octet_length("block") == F.col("total")) & F.col("h").isNotNull() & (
         F.element_at("p", -1)["no"] == F.size("p"))

@@ -1,6 +1,7 @@
 """Chat formatting, WARC and top-k against brute force; registered queries
 against their SQL; the pipeline stage by stage."""
 
+import time
 import gzip
 import hashlib
 import random
@@ -221,3 +222,25 @@ def test_pii_runs_around_an_at_are_whole():
     assert (-1, 5, 5 + len(long)) in pii._nodes(text, pii.base_spans(text)) or any(
         a <= 5 + len(long) and k > 0 for k, a, b in pii.base_spans(text))
     assert list(pii._around_at("@")) == [] and list(pii._around_at("x" * 100000)) == []
+
+
+def test_chat_of_48000_turns(spark):
+    """Offsets and merging grow with the turns, not with their square."""
+    n = 48000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("</s> é\U0001f600"), F.col("id").cast("string")).alias("text"))
+    started = time.time()
+    got = chat.format_conversations(rows).select(
+        F.size(chat.parse(F.col("formatted"))).alias("n"), F.sha2(F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss")), ""), 256).alias("h")).first()
+    said = "".join(f"</s> é\U0001f600{i}" for i in range(n) if i % 3)
+    assert (got.n, got.h) == (n, hashlib.sha256(said.encode()).hexdigest())
+    assert time.time() - started < 60
+
+
+def test_warc_page_of_12_mb(spark, tmp_path):
+    page = spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("repeat('é0123456789abcde', 786432)").alias("html"))
+    started = time.time()
+    warc.write_archive(page, f"{tmp_path}/a")
+    got = warc.read_archive(spark, f"{tmp_path}/a").select(F.sha2("body", 256).alias("h")).first()
+    assert got.h == hashlib.sha256("é0123456789abcde".encode() * 786432).hexdigest()
+    assert time.time() - started < 90
