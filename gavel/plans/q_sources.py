@@ -155,25 +155,25 @@ def src16(spark, sf):
     return S.choose_prediction_file(bridge(spark, sf, "b_listing").select("path"))
 
 
-_WRITTEN = "SELECT '{}' AS layout, {} AS line, {} AS pos, instance_id, sha256(model_patch) AS patch_sha256 FROM p"
-
-
-@register("snk08_prediction_documents", oracle_cte("b_preds") + """,
+def _reread(layout, read):
+    """Predictions written in one layout and read back."""
+    def query(spark, sf):
+        from gavel.sinks.documents import write_document
+
+        preds = bridge(spark, sf, "b_preds").select("instance_id", "model_patch", F.col("seq").alias("_seq"))
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/documents/{uuid.uuid4().hex}/{layout}.json"
+        write_document(preds, path, ["_seq"], layout, "instance_id" if layout == "mapping" else None)
+        return read(spark, path).select("seq.line", "seq.pos", "instance_id", F.sha2("model_patch", 256).alias("patch_sha256"))
+    return query
+
+
+for _name, _layout, _read, _line, _pos in (
+        ("snk08_predictions_array", "array", S.read_predictions_json, 0, "n"),
+        ("snk08_predictions_mapping", "mapping", S.read_predictions_json, 0, "n"),
+        ("snk01_predictions_lines", "lines", S.read_predictions_jsonl, "n", 0)):
+    register(_name, oracle_cte("b_preds") + f""",
 p AS (SELECT instance_id, model_patch, row_number() OVER (ORDER BY seq, instance_id, model_patch) AS n FROM b_preds)
-""" + "\nUNION ALL ".join([_WRITTEN.format("array", 0, "n"), _WRITTEN.format("mapping", 0, "n"), _WRITTEN.format("lines", "n", 0)]))
-def snk08(spark, sf):
-    """Predictions written as one array, one mapping and lines, and read back."""
-    from gavel.sinks.documents import write_document
-
-    preds = bridge(spark, sf, "b_preds").select("instance_id", "model_patch", F.col("seq").alias("_seq"))
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/documents/{uuid.uuid4().hex}"
-    out = None
-    for layout, read in (("array", S.read_predictions_json), ("mapping", S.read_predictions_json), ("lines", S.read_predictions_jsonl)):
-        write_document(preds, f"{folder}/{layout}.json", ["_seq"], layout, "instance_id" if layout == "mapping" else None)
-        rows = read(spark, f"{folder}/{layout}.json").select(
-            F.lit(layout).alias("layout"), "seq.line", "seq.pos", "instance_id", F.sha2("model_patch", 256).alias("patch_sha256"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+SELECT {_line} AS line, {_pos} AS pos, instance_id, sha256(model_patch) AS patch_sha256 FROM p""")(_reread(_layout, _read))
 
 
 @register("set05_row_differences", oracle_cte("b_preds") + """,
