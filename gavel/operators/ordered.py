@@ -166,6 +166,7 @@ def first_k(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
 
 
 BUCKETS = 4096
+FINER = 256  # a bucket that differs is told apart in so many parts
 
 
 def _sides(a: DataFrame, b: DataFrame, buckets: int) -> tuple[DataFrame, list[str]]:
@@ -178,18 +179,20 @@ def _sides(a: DataFrame, b: DataFrame, buckets: int) -> tuple[DataFrame, list[st
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]), {
         "ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
     digests = F.transform(F.array(text), lambda t: F.struct(F.xxhash64(t).alias("x"), F.xxhash64(t, F.lit("second")).alias("y")))[0]
-    return both.withColumn("__d", digests).withColumn("__bucket", F.pmod(F.col("__d.x"), F.lit(buckets)).cast("int")), cols
+    return both.withColumn("__d", digests).withColumns({
+        "__bucket": F.pmod(F.col("__d.x"), F.lit(buckets)).cast("int"),
+        "__part": F.pmod(F.col("__d.x"), F.lit(buckets * FINER)).cast("int")}), cols
 
 
-def _digests(sides: DataFrame) -> DataFrame:
+def _digests(sides: DataFrame, by: str = "__bucket") -> DataFrame:
     """A row a bucket: counts of both sides and whether they can differ. The sums
     do not depend on order; repeated rows count."""
     def total(name):
         return F.sum(F.col(f"__d.{name}").cast("decimal(20,0)") * F.col("__side"))
-    return sides.groupBy("__bucket").agg(
+    return sides.groupBy(by).agg(
         F.count_if(F.col("__side") > 0).alias("left_rows"), F.count_if(F.col("__side") < 0).alias("right_rows"),
         total("x").alias("x"), total("y").alias("y")).select(
-        "__bucket", "left_rows", "right_rows",
+        by, "left_rows", "right_rows",
         ((F.col("left_rows") != F.col("right_rows")) | (F.col("x") != 0) | (F.col("y") != 0)).alias("differs"))
 
 
@@ -198,13 +201,15 @@ def row_differences(a: DataFrame, b: DataFrame, buckets: int = BUCKETS, digests:
     ``only_right`` (how often more they stand there).
 
     Rows meet by commutative digests of buckets (two independent 64-bit
-    sums): equal tables shuffle a row a bucket and task, nothing else. Only rows
-    of buckets that differ are compared by value; the list of such buckets
-    (``buckets`` numbers at most) is broadcast. Columns go by name, types are
+    sums): equal tables shuffle a row a bucket and task, nothing else. Buckets that
+    differ are digested again in ``FINER`` parts, and only rows of parts that
+    differ are compared by value; the lists of buckets and of parts (``buckets``
+    and ``buckets * FINER`` numbers at most) are broadcast. Columns go by name, types are
     brought together as in a union; map columns cannot be compared."""
     sides, cols = _sides(a, b, buckets)
     where = (_digests(sides) if digests is None else digests).where("differs").select("__bucket")
-    drilled = sides.join(F.broadcast(where), "__bucket", "left_semi")  # at most ``buckets`` rows
+    parts = _digests(sides.join(F.broadcast(where), "__bucket", "left_semi"), "__part").where("differs").select("__part")
+    drilled = sides.join(F.broadcast(parts), "__part", "left_semi")  # at most a million numbers
     names = [F.col(f"`{c}`") for c in cols]
     counted = drilled.groupBy(*names).agg(F.sum("__side").alias("__n")).where("__n <> 0")
     return counted.select(*names, F.greatest("__n", F.lit(0)).cast("bigint").alias("only_left"),
