@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -168,19 +168,36 @@ def drain_in_order(rows: DataFrame, job: Callable[[DataFrame], DataFrame], label
     return spark.read.schema(out.schema).parquet(f"{path}/table")
 
 
+GROUPS = 256  # keys of the state: users or chains share them by hash
+BUCKETS_WAITING = 16  # buckets of time that the lateness spans; a row waits at most one bucket longer than it
+
+
+def _bucket_ms(spark: SparkSession, lateness: str) -> int:
+    micros = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{lateness}') AS n").first()["n"]
+    return max(1, micros // 1000 // BUCKETS_WAITING)
+
+
+def _group(closing: str, key: Column, groups: int) -> Column:
+    return F.when(F.col(closing), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key), F.lit(groups))).cast("int")
+
+
 # ------------------------------------------------------------------ STR-4
 def limiter_over(requests: DataFrame, lateness: str, unit: int = 1, window: int = K.LIMITER_WINDOW,
-                 limit: int = K.LIMITER_LIMIT) -> DataFrame:
+                 limit: int = K.LIMITER_LIMIT, groups: int = GROUPS) -> DataFrame:
     """Greedy limiter on a stream of (event_id, user_id, ts_unit, event_time,
     closing); ``event_time`` is the start of the unit, ``unit`` its seconds.
 
-    Requests wait in the user's state until the watermark passes their unit and
+    Requests wait in the state until the watermark passes their bucket of time and
     are decided in order of (ts_unit, event_id), so the result does not depend on
     files or micro-batches. Requests later than ``lateness`` are dropped and
     counted by the watermark (``numRowsDroppedByWatermark``). The state of a
     user is at most ``limit`` waiting ids a unit and ``limit`` allowed times."""
-    return requests.withWatermark("event_time", lateness).groupBy("user_id").transformWithStateInPandas(
-        LimiterProcessor(window, limit, unit * 1000), LIMITER_OUT, "append", "EventTime")
+    width = max(1, _bucket_ms(requests.sparkSession, lateness) // (unit * 1000))
+    rows = requests.withWatermark("event_time", lateness).select(
+        _group("closing", F.col("user_id"), groups).alias("group"), F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user"),
+        "ts_unit", "event_id", "event_time", "closing")
+    return rows.groupBy("group").transformWithStateInPandas(
+        LimiterProcessor(window, limit, unit * 1000, width), LIMITER_OUT, "append", "EventTime")
 
 
 def limiter_stream(spark: SparkSession, sf_dir: str, window: int = K.LIMITER_WINDOW,
@@ -262,16 +279,19 @@ def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ STR-5
-def sessions_over(events: DataFrame, as_op: Callable, lateness: str) -> DataFrame:
+def sessions_over(events: DataFrame, as_op: Callable, lateness: str, groups: int = GROUPS) -> DataFrame:
     """Session log on a stream of (chain_id, at, tie, event_time, closing and
     whatever ``as_op`` reads); ``as_op(k, event)`` turns the k-th event of a chain
     into (op, session_id, user_id, new_session_id).
 
-    Events wait in the chain's state until the watermark passes them and are
+    Events wait in the state until the watermark passes their bucket of time and are
     applied in order of (at, tie); the state holds the waiting events, the
     number of applied ones and the live ids with their owners."""
-    return events.withWatermark("event_time", lateness).groupBy("chain_id").transformWithStateInPandas(
-        SessionProcessor(as_op), SESSION_OUT, "append", "EventTime")
+    rows = events.withWatermark("event_time", lateness).select(
+        _group("closing", F.col("chain_id"), groups).alias("group"), F.coalesce(F.col("chain_id").cast("string"), F.lit("")).alias("chain"),
+        "at", "tie", "event", "event_time", "closing")
+    return rows.groupBy("group").transformWithStateInPandas(
+        SessionProcessor(as_op, _bucket_ms(events.sparkSession, lateness)), SESSION_OUT, "append", "EventTime")
 
 
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,3 +110,51 @@ def test_windows_leave_the_state_and_equal_the_batch(spark, tmpdir_path, slide):
     assert sum(o["numRowsDroppedByWatermark"] for o in state) == (1 if slide is None else 2)
     total = [o["numRowsTotal"] for o in state]
     assert max(total) < len(want.collect()) and total[-1] <= 2  # only the closing marker's windows are left
+
+
+def _timers(progress):
+    return sum(int(o["customMetrics"].get("numRegisteredTimers", 0)) for p in progress for o in p["stateOperators"])
+
+
+def test_state_calls_grow_with_groups_not_with_rows(spark, tmpdir_path, small_batches):
+    rnd = random.Random(12)
+    events = [(i, i % 400, 5000 + rnd.randint(0, 900)) for i in range(2000)]
+    rows = _stream(spark, f"{tmpdir_path}/limiter", [events[:900], events[900:]], REQUESTS).withColumn("event_time", F.timestamp_seconds("ts_unit"))
+    progress = []
+    got = J.drain_in_order(rows, lambda r: J.limiter_over(r, "901 seconds", groups=4), "limiter-test", progress)
+    assert {r.event_id: r.allowed for r in got.collect()} == brute_limiter(events)
+    assert 4 <= _timers(progress) <= 4 * 18
+    log = [(i % 300, 1_000_000 * (5000 + rnd.randint(0, 900)), i, f'{{"event_type":"view","user_id":1,"chain":{i % 300}}}') for i in range(1500)]
+    rows = _stream(spark, f"{tmpdir_path}/sessions", [log[:700], log[700:]], "chain_id long, at long, tie long, event string").withColumn(
+        "event_time", F.timestamp_micros("at"))
+    progress = []
+    got = J.drain_in_order(rows, lambda r: J.sessions_over(r, session_op, "901 seconds", groups=4), "sessions-test", progress).collect()
+    assert sorted((r.chain_id, r.seq) for r in got) == sorted((c, k) for c in range(300) for k in range(1, 6))
+    assert all(r.owner == "u1" and r.live_after for r in got) and 4 <= _timers(progress) <= 4 * 18
+
+
+def test_allowed_times_count_over_buckets_and_leave_the_state(spark, tmpdir_path, small_batches):
+    """Requests of one user in many epochs, with a watermark that moves between them."""
+    rnd = random.Random(2)
+    events = sorted(((i, i % 2, 1000 + i // 3) for i in range(900)), key=lambda e: e[2] + rnd.randint(0, 8))
+    parts = [events[k:k + 150] for k in range(0, 900, 150)]
+    rows = _stream(spark, f"{tmpdir_path}/in", parts, REQUESTS).withColumn("event_time", F.timestamp_seconds("ts_unit"))
+    progress = []
+    got = J.drain_in_order(rows, lambda r: J.limiter_over(r, "16 seconds"), "limiter-test", progress)
+    assert {r.event_id: r.allowed for r in got.collect()} == brute_limiter(events)
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]][-1] == 0
+
+
+def test_session_chains_go_on_over_epochs(spark, tmpdir_path, small_batches):
+    import json
+    rnd = random.Random(5)
+    kinds = ["view", "click", "purchase", "signup", "other"]
+    rows = [(i % 7, 1_000_000 * (1000 + i // 3), i, f'{{"event_type":"{rnd.choice(kinds)}","user_id":{i % 7},"chain":{i % 7}}}') for i in range(600)]
+    by = {c: [r[1:] for r in rows if r[0] == c] for c in range(7)}
+    log = [(c, k, *session_op(k, json.loads(e))) for c, es in by.items() for k, (_, _, e) in enumerate(es, 1)]
+    want = B.session_ops(spark.createDataFrame(log, "chain_id long, seq long, op string, session_id string, user_id string, new_session_id string"))
+    mixed = sorted(rows, key=lambda r: r[1] + rnd.randint(0, 8_000_000))
+    stream = _stream(spark, f"{tmpdir_path}/in", [mixed[k:k + 150] for k in range(0, 600, 150)],
+                     "chain_id long, at long, tie long, event string").withColumn("event_time", F.timestamp_micros("at"))
+    got = J.drain_in_order(stream, lambda r: J.sessions_over(r, session_op, "16 seconds"), "sessions-test")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
