@@ -458,6 +458,16 @@ def read_predictions_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ SRC-1, one large array or map
+SPAN_BITS = 15
+TASK_BYTES = 16 << 20  # of text that one task sorts or gathers
+
+
+def _tasks(spark: SparkSession, path: str) -> int:
+    """So many tasks that none holds more than ``TASK_BYTES``; file contents are not read."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first()["n"] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
 def json_elements(spark: SparkSession, path: str) -> DataFrame:
     """Members of JSON files that hold one array or one map each, however
     large: (file, opens, element, text); ``opens`` is ``[`` or ``{``, ``element``
@@ -468,9 +478,11 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame:
     it begins inside a string, and at which depth. (An escape never crosses a
     comma in valid JSON.) It flips the first by its bare quotes and moves the
     depth by the brackets outside strings, counted for both cases. The functions
-    compose by running sums inside a byte range and over the few ranges of a
-    file; a piece that begins outside a string at depth 1 opens an element. Only
-    an element's own pieces are ever gathered."""
+    compose by running sums inside a span of a byte range (``2 ** SPAN_BITS`` pieces
+    at most) and over the spans of a file; a piece that begins outside a string at
+    depth 1 opens an element. Only an element's own pieces are ever gathered.
+    The number of tasks follows the files' bytes, so a task's share stays as it is."""
+    tasks = _tasks(spark, path)
     raw = spark.read.option("lineSep", ",").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value")
@@ -480,35 +492,40 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame:
         text = F.array_join(F.filter("parts", lambda x, i: i % 2 == odd), "")
         return F.length(F.regexp_replace(text, r"[^\[{]", "")) - F.length(F.regexp_replace(text, r"[^\]}]", ""))
 
-    here = Window.partitionBy("file", "block").orderBy("at")
+    span = F.shiftright("at", SPAN_BITS)  # of a byte range, so that a task's rows do not grow with it
+    place = ["file", "block", "span"]
+    here = Window.partitionBy(*place).orderBy("at")
     before = here.rowsBetween(Window.unboundedPreceding, -1)
     pieces = raw.withColumn("parts", parts).select(
-        "file", "block", "at", "value", (F.size("parts") - 1).alias("quotes"), depth(0).alias("out"), depth(1).alias("inside"))
+        "file", "block", span.alias("span"), "at", "value", (F.size("parts") - 1).alias("quotes"), depth(0).alias("out"), depth(1).alias("inside"))
+    pieces = pieces.repartition(tasks, *place)
     odd = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2
     pieces = pieces.withColumn("odd", odd).select(
-        "file", "block", "at", "value", "quotes", "odd",
+        "file", "block", "span", "at", "value", "quotes", "odd",
         F.when(F.col("odd") == 0, F.col("out")).otherwise(F.col("inside")).alias("move0"),
         F.when(F.col("odd") == 0, F.col("inside")).otherwise(F.col("out")).alias("move1"))
     pieces = written(pieces.select("*", *[F.coalesce(F.sum(f"move{k}").over(before), F.lit(0)).alias(f"depth{k}") for k in (0, 1)]),
                      "json-pieces")
 
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a byte range
-    ranges = pieces.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.sum("move0").alias("m0"), F.sum("move1").alias("m1"))
+    earlier = Window.partitionBy("file").orderBy("block", "span").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
+    ranges = pieces.groupBy(*place).agg(F.sum("quotes").alias("quotes"), F.sum("move0").alias("m0"), F.sum("move1").alias("m1"))
     ranges = ranges.withColumn("start", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
-    ranges = ranges.select("file", "block", "start", F.coalesce(F.sum(
+    ranges = ranges.select("file", "block", "span", "start", F.coalesce(F.sum(
         F.when(F.col("start") == 0, F.col("m0")).otherwise(F.col("m1"))).over(earlier), F.lit(0)).alias("base"))
     state = (F.col("start") + F.col("odd")) % 2
     at_depth = F.col("base") + F.when(F.col("start") == 0, F.col("depth0")).otherwise(F.col("depth1"))
-    opened = pieces.join(ranges, ["file", "block"]).select(
-        "file", "block", "at", "value", ((state == 0) & (at_depth == 1)).cast("long").alias("opens"))
-    counts = opened.groupBy("file", "block").agg(F.sum("opens").alias("n"), F.min_by("value", "at").alias("first"))
+    opened = pieces.join(F.broadcast(ranges), place).select(
+        "file", "block", "span", "at", "value", ((state == 0) & (at_depth == 1)).cast("long").alias("opens"),
+        F.when(F.col("block") == 0, F.ascii(_lstripped(F.col("value")))).alias("code"))  # a number: the aggregate hashes instead of sorting
+    counts = opened.groupBy(*place).agg(F.sum("opens").alias("n"), F.min_by("code", "at").alias("first"))
     whole = Window.partitionBy("file")
-    counts = counts.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"),
-                           (F.sum("n").over(whole) + 1).alias("last"), F.min_by("first", "block").over(whole).alias("first"))
-    numbered = opened.join(counts, ["file", "block"]).select(
-        "file", "block", "at", "value", "last", F.substring(_lstripped(F.col("first")), 1, 1).alias("opens"),
+    counts = counts.select("file", "block", "span", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"),
+                           (F.sum("n").over(whole) + 1).alias("last"),
+                           F.min_by("first", F.struct("block", "span")).over(whole).alias("first"))
+    numbered = opened.join(F.broadcast(counts), place).repartition(tasks, *place).select(
+        "file", "block", "at", "value", "last", F.when(F.col("first") == ord("["), "[").when(F.col("first") == ord("{"), "{").alias("opens"),
         (F.col("earlier") + F.sum("opens").over(here) + 1).alias("element"))
-    texts = numbered.groupBy("file", "element", "last", "opens").agg(
+    texts = numbered.repartition(tasks, "file", "element").groupBy("file", "element", "last", "opens").agg(
         F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: x["value"]), ",")
     rows = texts.select("file", "element", "last", "opens", joined.alias("t"))
@@ -543,6 +560,7 @@ def read_predictions_json(spark: SparkSession, path: str) -> DataFrame:
     items = checked.select("file", "opens", "element", "text", F.coalesce(odd, F.lit("")).alias("one"), entries[0]["key"].alias("key"),
                            F.coalesce(F.try_element_at(values, F.lit(1)), entries[0]["value"]).alias("v"))
     single = items.where("opens = '{'").groupBy("file").agg(F.max(F.col("key").isin(*ID_KEYS)).alias("single")).where("single")
+    single = F.broadcast(single)  # names of files; dealt by file, the members of one file would meet in one task
     plain = items.where("opens = '['").unionByName(items.where("opens = '{'").join(single, "file", "left_anti"))
     later = plain.where("opens = '{'").groupBy("file", "key").agg(F.max("element").alias("element"), F.min("element").alias("first"))
     plain = plain.where("opens = '['").withColumn("first", F.col("element")).unionByName(

@@ -74,3 +74,34 @@ def test_malformed_documents_fail(spark, tmpdir_path, text):
         f.write(text)
     with pytest.raises((PySparkException, Py4JJavaError), match="malformed JSON|neither a JSON"):
         S.read_predictions_json(spark, path).collect()
+
+
+@pytest.mark.parametrize("name", ["array", "map", "single"])
+def test_short_spans_equal_the_whole_file(spark, tmpdir_path, tiny_ranges, monkeypatch, name):
+    """A byte range is worked off in spans of two pieces."""
+    monkeypatch.setattr(S, "SPAN_BITS", 1)
+    path = os.path.join(tmpdir_path, "doc.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(DOCUMENTS[name](random.Random(5)), f)
+    got = sorted(map(repr, S.read_predictions_json(spark, path).collect()))
+    assert got == sorted(map(repr, S.read_predictions(spark, path).collect()))
+
+
+def test_members_of_a_file_do_not_meet_in_one_task(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "map.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({f"k{i}": f"p{i}, q" for i in range(50)}, f)
+    plan = S.read_predictions_json(spark, path)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and ("LeftAnti" in line or "LeftSemi" in line)]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+
+
+def test_tasks_follow_the_bytes(spark, tmpdir_path, monkeypatch):
+    path = os.path.join(tmpdir_path, "a.json")
+    with open(path, "w") as f:
+        json.dump(["x" * 50] * 100, f)
+    least = spark.sparkContext.defaultParallelism
+    assert S._tasks(spark, path) == least
+    monkeypatch.setattr(S, "TASK_BYTES", 100)
+    assert S._tasks(spark, path) == -(-os.path.getsize(path) // 100) > least
+    assert len(S.read_predictions_json(spark, path).collect()) == 100
