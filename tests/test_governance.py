@@ -113,3 +113,17 @@ def test_conformal_thresholds_are_exact_order_statistics(spark):
             assert (r.n, r.n_wrong, r.tau) == (len(known), len(wrong), tau)
             assert r.accepted == sum(v > tau for v, _ in known) and r.wrong_accepted == sum(v > tau for v in wrong)
             assert rank < 1 or (r.wrong_accepted + 1) / (r.n + 1) <= float(a) + 1e-12 or tau == -math.inf
+
+
+def test_scan_holds_the_facts_of_few_files_only(monkeypatch):
+    import pyarrow as pa
+    from gavel.operators import astscan as A
+
+    monkeypatch.setattr(A, "HELD", 2)
+    sizes, make = [], pa.array
+    monkeypatch.setattr(A.pa, "array", lambda x, *a: sizes.append(len(x)) or make(x, *a))
+    codes = make([["import random", "def broken(:"], [], ["api_key = 12345"], ["x = 1"], None])
+    (got,) = list(A._versions_facts.func(iter([codes])))
+    assert max(sizes) == 2 and len(got) == 5
+    rows = got.to_pylist()
+    assert [[f["kind"] for v in r for f in v["facts"]] for r in rows] == [["import", "unparsable"], [], ["literal"], ["literal"], []]
