@@ -87,10 +87,11 @@ def select_candidates(preds: DataFrame, candidate_dirs: list[str], results: Data
 
 
 def iteration_steps(iters: DataFrame, tau_max: int = K.TAU_MAX, threshold: float = K.CRI_THRESHOLD,
-                    plateau: float = K.PLATEAU_DELTA, early_stop_plateau: bool = True) -> DataFrame:
+                    plateau: float = K.PLATEAU_DELTA, early_stop_plateau: bool = True, by: str = "run") -> DataFrame:
     """MET-1/2 + WIN-2: per-step metrics and decision, the stop rule, and
-    only the steps the loop would have run (tau <= first stop)."""
-    w = Window.partitionBy("run").orderBy("tau_step")
+    only the steps the loop would have run (tau <= first stop). Runs are told
+    apart by ``by``, a column in one-to-one relation with ``run``."""
+    w = Window.partitionBy(by).orderBy("tau_step")
     if "violations" not in iters.columns:
         iters = iters.withColumn("violations", F.lit(None).cast("array<string>"))
     s = (iters.where(F.col("tau_step") <= tau_max)
@@ -102,23 +103,23 @@ def iteration_steps(iters: DataFrame, tau_max: int = K.TAU_MAX, threshold: float
     if early_stop_plateau:
         stop = stop | (F.col("prev_cri").isNotNull() & (F.abs(F.col("cri") - F.col("prev_cri")) < F.lit(plateau)))
     s = s.withColumn("stop", stop)
-    first_stop = F.min(F.when(F.col("stop"), F.col("tau_step"))).over(Window.partitionBy("run"))
+    first_stop = F.min(F.when(F.col("stop"), F.col("tau_step"))).over(Window.partitionBy(by))
     return s.withColumn("_first_stop", first_stop).where(
         F.col("_first_stop").isNull() | (F.col("tau_step") <= F.col("_first_stop"))).drop("_first_stop")
 
 
-def iteration_fold(iters: DataFrame, **kw) -> DataFrame:
+def iteration_fold(iters: DataFrame, by: str = "run", **kw) -> DataFrame:
     """WIN-2 + WIN-3: the wrapped-run summary per run."""
-    s = iteration_steps(iters, **kw)
+    s = iteration_steps(iters, by=by, **kw)
     last = F.max_by(F.struct("tau_step", "cri", "sad_flag", "total_tests", "tests_failed", "n_lint",
-                             "decision", "violations"), F.col("tau_step"))
-    g = s.groupBy("run").agg(
+                             "decision", "violations", *(["run"] if by != "run" else [])), F.col("tau_step"))
+    g = s.groupBy(by).agg(
         last.alias("l"), F.count(F.lit(1)).cast("bigint").alias("iterations"),
         F.array_sort(F.collect_list(F.struct("tau_step", "cri"))).alias("_h"),
         F.min_by("cri", "tau_step").alias("_first"))
     tp = F.col("l.total_tests") - F.col("l.tests_failed")
     return g.select(
-        "run", F.col("l.decision").alias("final_decision"), "iterations",
+        "run" if by == "run" else "l.run", F.col("l.decision").alias("final_decision"), "iterations",
         F.transform("_h", lambda x: x["cri"]).alias("cri_history"),
         F.when(F.col("iterations") > 1, F.col("l.cri") - F.col("_first")).otherwise(F.lit(0.0)).alias("cri_improvement"),
         F.col("l.tau_step").alias("last_tau"), F.col("l.cri").alias("last_cri"), F.col("l.sad_flag").alias("last_sad"),
@@ -130,10 +131,11 @@ def iteration_fold(iters: DataFrame, **kw) -> DataFrame:
         F.col("l.n_lint").cast("bigint").alias("last_linter_errors_count"))
 
 
-def baseline_summary(iters: DataFrame) -> DataFrame:
+def baseline_summary(iters: DataFrame, by: str = "run") -> DataFrame:
     """MET-14: the baseline row (tau 0 in the loop; here the first step),
-    pass rate null when there are no tests."""
-    first = first_wins(iters, "run", "tau_step", ["tau_step", "total_tests", "tests_failed", "n_violations", "n_lint"])
+    pass rate null when there are no tests. ``by`` as in ``iteration_steps``."""
+    first = first_wins(iters, by, "tau_step", ["total_tests", "tests_failed", "n_violations", "n_lint",
+                                              *(["run"] if by != "run" else [])])
     tp = F.col("total_tests") - F.col("tests_failed")
     return first.select(
         "run", tp.cast("bigint").alias("tests_passed"), F.col("tests_failed").cast("bigint"),

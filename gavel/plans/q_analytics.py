@@ -9,7 +9,7 @@ from gavel import constants as K
 from gavel.operators import aggregates as A
 from gavel.operators import ordered as O
 from gavel.plans import sqltext as Q
-from gavel.sources.bridges import bridge, oracle_cte
+from gavel.sources.bridges import bridge, iteration_rows, oracle_cte
 from gavel.sources.files import merge_statuses
 
 QUERIES: dict = {}
@@ -246,10 +246,10 @@ kept AS (SELECT * FROM st4 QUALIFY min(CASE WHEN stop THEN tau_step END) OVER (P
 @register("met01_step_metrics", oracle_cte("b_iter") + "," + _STEPS + """
 SELECT run, tau_step, cri, sad_flag, decision, stop FROM st4""")
 def met01(spark, sf):
-    it = bridge(spark, sf, "b_iter")
+    it = iteration_rows(spark, sf)
     from gavel.functions import metrics as M
     from pyspark.sql import Window
-    w = Window.partitionBy("run").orderBy("tau_step")
+    w = Window.partitionBy("run_key").orderBy("tau_step")
     s = (it.where(F.col("tau_step") <= K.TAU_MAX)
          .withColumn("cri", M.cri_v1("total_tests", "tests_failed", "n_violations", "n_lint"))
          .withColumn("sad_flag", F.col("n_violations") > 0)
@@ -274,7 +274,7 @@ SELECT run, arg_max(decision, tau_step) AS final_decision, CAST(count(*) AS BIGI
        CAST(arg_max(n_lint, tau_step) AS BIGINT) AS last_linter_errors_count
 FROM kept GROUP BY run""")
 def win02(spark, sf):
-    f = O.iteration_fold(bridge(spark, sf, "b_iter"))
+    f = O.iteration_fold(iteration_rows(spark, sf), by="run_key")
     return f.withColumn("cri_history", fmt6(F.col("cri_history"))).withColumn(
         "last_security_violations", F.array_join("last_security_violations", ";"))
 
@@ -285,7 +285,7 @@ SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY tau_step) AS BIGIN
        row_number() OVER (PARTITION BY run ORDER BY tau_step DESC) = 1 AS is_last
 FROM kept""")
 def win06(spark, sf):
-    return O.cri_series(O.iteration_fold(bridge(spark, sf, "b_iter")))
+    return O.cri_series(O.iteration_fold(iteration_rows(spark, sf), by="run_key"))
 
 
 @register("met14_baseline_summary", oracle_cte("b_iter") + """,
@@ -301,7 +301,7 @@ SELECT run, CAST(total_tests - tests_failed AS BIGINT) AS tests_passed, CAST(tes
        n_violations > 0 AS sad_flag, CAST(0 AS BIGINT) AS tau
 FROM g""")
 def met14(spark, sf):
-    return O.baseline_summary(bridge(spark, sf, "b_iter"))
+    return O.baseline_summary(iteration_rows(spark, sf), by="run_key")
 
 
 # ------------------------------------------------------------------ WIN-4/5/8
